@@ -92,7 +92,8 @@ def exact_percentiles(
         exact = F.lit(float(probs[name])) * (F.col("_n") - 1)
         part = exact - F.floor(exact)
         a, b = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}")
-        out.append((a + (b - a) * part).alias(name))
+        # Ten places: an exact tie stays a tie when the caller rounds it.
+        out.append(F.round(a + (b - a) * part, 10).alias(name))
     return q.select(*list(groups), *out)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tenderlens.rules import Rules
 
-ONE = F.lit(1)
 
 
 def rows() -> Column:
