@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 from tenderlens.operators.latest import latest_by_max, latest_per_key
 from tenderlens.operators.attribution import candidate_records, exclusion_attribution
 from tenderlens.plans import (
+    check_suites,
     core,
     impact,
+    profile,
     questions_entity,
     questions_supply,
     questions_value,
+    study,
     views,
 )
 from tenderlens.plans.workspace import VIEW_NAMES, Workspace
@@ -156,6 +159,15 @@ ATTRIBUTION: dict[str, Query] = {
 }
 
 
+CHECKS: dict[str, Query] = {
+    **{
+        name: (lambda ws, f=f: f(ws).drop("check_group", "check_name"))
+        for name, f in check_suites.SUITES.items()
+    },
+    "c13_document_reconciliation": check_suites.document_reconciliation,
+}
+
+
 def _on_views(table: dict) -> dict[str, Query]:
     return {k: (lambda ws, f=f: f(ws.v)) for k, f in table.items()}
 
@@ -166,7 +178,7 @@ QUESTIONS: dict[str, Query] = {
     **_on_views(questions_entity.RESULT_SETS),
 }
 
-QUERIES: dict[str, Query] = {**STAGING, **CORE, **VIEWS, **ATTRIBUTION, **QUESTIONS}
+QUERIES: dict[str, Query] = {**STAGING, **CORE, **VIEWS, **ATTRIBUTION, **QUESTIONS, **CHECKS, **study.STUDIES, **profile.PROFILES}
 
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 

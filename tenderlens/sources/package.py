@@ -300,8 +300,8 @@ def flatten(releases: DataFrame, r: Rules) -> Staging:
 # ------------------------------------------------------------------
 # Independent profile of the nested documents (no explode)
 # ------------------------------------------------------------------
-def source_profile(releases: DataFrame, r: Rules) -> DataFrame:
-    """Counts, money totals, non-null dates and flag counts taken from the
+def source_totals(releases: DataFrame, r: Rules) -> DataFrame:
+    """One wide row: counts, money totals, non-null dates and flag counts taken from the
     documents with higher-order functions: a different path from the explodes."""
     total = {}
 
@@ -390,7 +390,12 @@ def source_profile(releases: DataFrame, r: Rules) -> DataFrame:
     n("flag.party.INCOMPLETE", count_if(
         parties,
         lambda p: F.coalesce(F.array_contains(p["roles"], "supplier") & (p["id"] == r.bare_supplier_id), F.lit(False))))
-    wide = releases.agg(*[c.alias(k.replace(".", "__")) for k, c in total.items()])
+    return releases.agg(*[c.alias(k.replace(".", "__")) for k, c in total.items()])
+
+
+def source_profile(releases: DataFrame, r: Rules) -> DataFrame:
+    """``source_totals`` as (item, source_value) rows."""
+    wide = source_totals(releases, r)
     return wide.unpivot([], list(wide.columns), "item", "source_value").select(
         F.regexp_replace("item", "__", ".").alias("item"), "source_value"
     )
