@@ -64,7 +64,7 @@ SQL = {
     "p03_tag_combinations": """SELECT list_aggregate(list_sort(string_split(r.tag, ',')), 'string_agg', ',') AS tags, count(*) AS releases, count(*) FILTER (s.release_count > 1) AS in_repeated_processes
        FROM releases r JOIN snap s ON s.ocid = r.ocid GROUP BY 1""",
     "p04_describe_amounts": f"""SELECT m AS measure, count(x) AS n, min(x)::DOUBLE AS minimum, max(x)::DOUBLE AS maximum, round(sum(x)::DOUBLE / count(x), 2) AS mean, count(*) FILTER (x = 0) AS zeros,
-       count(*) FILTER (x < 0) AS negatives, {", ".join(f"round(quantile_cont(x::DOUBLE, {p}), 10) AS {n}" for n, p in (("p25", .25), ("median", .5), ("p75", .75), ("p95", .95), ("p99", .99)))} FROM {AMOUNTS} WHERE x IS NOT NULL GROUP BY 1""",
+       count(*) FILTER (x < 0) AS negatives, {", ".join(f"round(quantile_cont(x::DOUBLE, {p}), 4) AS {n}" for n, p in (("p25", .25), ("median", .5), ("p75", .75), ("p95", .95), ("p99", .99)))} FROM {AMOUNTS} WHERE x IS NOT NULL GROUP BY 1""",
     "p05_extreme_records": """SELECT 'tenderers' AS kind, release_id, t.ocid, number_of_tenderers::DOUBLE AS value, buyer_id FROM tender t JOIN releases r USING (release_id) WHERE number_of_tenderers > 11
        UNION ALL SELECT 'budget', release_id, ocid, budget_amount::DOUBLE, buyer_id FROM planning WHERE budget_amount >= 495000
        UNION ALL SELECT 'award', release_id, a.ocid, value::DOUBLE, buyer_id FROM awards a JOIN releases r USING (release_id) WHERE value >= 600000""",

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tenderlens.operators.latest import latest_by_max, latest_per_key
 from tenderlens.operators.attribution import candidate_records, exclusion_attribution
 from tenderlens.plans import (
+    building_blocks,
     check_suites,
     core,
     impact,
@@ -178,7 +179,10 @@ QUESTIONS: dict[str, Query] = {
     **_on_views(questions_entity.RESULT_SETS),
 }
 
-QUERIES: dict[str, Query] = {**STAGING, **CORE, **VIEWS, **ATTRIBUTION, **QUESTIONS, **CHECKS, **study.STUDIES, **profile.PROFILES}
+QUERIES: dict[str, Query] = {
+    **STAGING, **CORE, **VIEWS, **ATTRIBUTION, **QUESTIONS, **CHECKS, **study.STUDIES, **profile.PROFILES,
+    **building_blocks.BLOCKS,
+}
 
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 

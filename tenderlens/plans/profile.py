@@ -15,7 +15,7 @@ OLD_LIMITS = {"past": "2000-01-01", "future": "2026-01-01", "extreme": "2031-01-
 
 def profiler_date_class(text: Column, placeholders=OLD_PLACEHOLDERS, limits=OLD_LIMITS) -> Column:
     """Classes of a raw date text, unparseable texts included."""
-    d = F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
 
     def day(x):
         return F.lit(x).cast("date")
@@ -114,8 +114,9 @@ def describe_amounts(ws) -> DataFrame:
         F.round(F.sum(x).cast("double") / F.count(x), 2).alias("mean"),
         F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
     )
-    q = exact_percentiles(long, "x", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}, ["measure"])
-    return stats.join(q, "measure")
+    probs = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    q = exact_percentiles(long, "x", probs, ["measure"])
+    return stats.join(q.select("measure", *[F.round(p, 4).alias(p) for p in probs]), "measure")
 
 
 def threshold_counts(ws, thresholds: dict[str, list]) -> DataFrame:
