@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["impact", "views", "questions", "checks", "study", "blocks"]
+MODULES = ["impact", "views", "questions", "checks", "study", "blocks", "deliverables"]
 
 
 def all_sql() -> dict[str, str]:

@@ -282,7 +282,7 @@ CTES += [
                              quantile_cont(number_of_tenderers::DOUBLE, 0.5) FILTER (prim) AS median_tenderers,
                              round(avg(single::INT) FILTER (prim), 4) AS single_bidder_rate FROM competition GROUP BY 1) c ON c.buyer_id = d.buyer_id
            LEFT JOIN (SELECT buyer_id, count(*) AS award_n, sum(value) AS award_value_total,
-                             round(quantile_cont(value::DOUBLE, 0.5), 2) AS median_award_value FROM awv GROUP BY 1) a ON a.buyer_id = d.buyer_id
+                             round(quantile_cont(value::DOUBLE, 0.5)::DECIMAL(38,6), 2)::DOUBLE AS median_award_value FROM awv GROUP BY 1) a ON a.buyer_id = d.buyer_id
            LEFT JOIN (SELECT buyer_id, count(*) AS distinct_supplier_n, round(max(v)::DOUBLE / sum(v)::DOUBLE, 4) AS top_supplier_value_share
                       FROM (SELECT buyer_id, supplier_id, sum(value) AS v FROM sav GROUP BY 1, 2) GROUP BY 1) k ON k.buyer_id = d.buyer_id
            LEFT JOIN (SELECT buyer_id, count(*) AS contract_n, round(avg(has_implementation::INT), 4) AS implementation_coverage_rate

@@ -14,6 +14,7 @@ from tenderlens.plans import (
     building_blocks,
     check_suites,
     core,
+    deliverables,
     impact,
     profile,
     questions_entity,
@@ -182,6 +183,7 @@ QUESTIONS: dict[str, Query] = {
 QUERIES: dict[str, Query] = {
     **STAGING, **CORE, **VIEWS, **ATTRIBUTION, **QUESTIONS, **CHECKS, **study.STUDIES, **profile.PROFILES,
     **building_blocks.BLOCKS,
+    **deliverables.DELIVERABLES,
 }
 
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
