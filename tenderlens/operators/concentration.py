@@ -23,8 +23,8 @@ def hhi(value: Column) -> Column:
 def _join(left: DataFrame, right: DataFrame, groups) -> DataFrame:
     if groups:
         return left.join(right, list(groups), "left")
-    # Both sides are one-row aggregates.
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    # Both sides are one-row aggregates: the right one is read as scalar subqueries.
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
 
 
 def concentration(

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from tenderlens.functions import bands
 from tenderlens.functions.flags import materiality, small_n_note
-from tenderlens.operators.order_stats import ntile, percent_rank, top_rows, with_position
+from tenderlens.operators.order_stats import (
+    exact_percentiles,
+    ntile,
+    percent_rank,
+    top_rows,
+    with_position,
+)
 from tenderlens.plans import register
 from tenderlens.plans.common import mark, money, pct, ratio, rows, sum_if, with_totals
 from tenderlens.plans.questions_supply import AWARD, _entities, _unit
@@ -127,20 +133,19 @@ def _gated(v) -> DataFrame:
 
 
 def kpi_positions(df: DataFrame, kpis) -> DataFrame:
-    """percent_rank of each KPI among the entities that have one (blanks kept apart)."""
-    for k in kpis:
-        have = with_position(
-            df.filter(F.col(k).isNotNull()).select("buyer_id", k), [(k, "asc")], "_r", count_as="_n"
-        ).select("buyer_id", F.round(percent_rank(F.col("_r"), F.col("_n")) * 100, 0).alias(f"{k}_pctile"))
-        df = df.join(have, "buyer_id", "left")
-    return df
+    """percent_rank of each KPI among the entities that have one, blanks kept
+    apart: all KPIs are ranked in one pass over (kpi, value) rows."""
+    cells = F.array(*[F.struct(F.lit(k).alias("kpi"), F.col(k).cast("double").alias("x")) for k in kpis])
+    long = df.select("buyer_id", F.inline(cells)).filter(F.col("x").isNotNull())
+    r = with_position(long, [("x", "asc")], "_r", groups=["kpi"], count_as="_n")
+    place = F.round(percent_rank(F.col("_r"), F.col("_n")) * 100, 0)
+    return r.groupBy("buyer_id").agg(*[F.max(F.when(F.col("kpi") == k, place)).alias(f"{k}_pctile") for k in kpis])
 
 
 def kpi_profile(v, n: int = 15) -> DataFrame:
     e = with_position(_gated(v), [("award_value", "desc")], "rank_award_value")
     top = e.filter(F.col("rank_award_value") <= n)
-    every = kpi_positions(_gated(v).select("buyer_id", *KPIS), KPIS).drop(*KPIS)
-    e = top.join(every, "buyer_id")
+    e = top.join(kpi_positions(_gated(v), KPIS), "buyer_id", "left")
     return e.select(
         "rank_award_value", "buyer_name",
         F.round(F.col("reach") * 100, 1).alias("tender_reach_pct"), "reach_pctile",
@@ -167,10 +172,9 @@ def kpi_spread(v) -> DataFrame:
         *[F.struct(F.lit(t).alias("kpi"), F.col(k).cast("double").alias("value")) for k, t in labels.items()]
     )
     long = _gated(v).select(F.inline(cells)).filter(F.col("value").isNotNull())
-    return long.groupBy("kpi").agg(
-        rows().alias("entities_compared"),
-        F.percentile("value", F.array(*[F.lit(p) for p in probs.values()])).alias("q"),
-    ).select("kpi", "entities_compared", *[F.round(F.col("q")[i], 3).alias(p) for i, p in enumerate(probs)])
+    n = long.groupBy("kpi").agg(rows().alias("entities_compared"))
+    q = exact_percentiles(long, "value", probs, ["kpi"])
+    return n.join(q, "kpi").select("kpi", "entities_compared", *[F.round(p, 3).alias(p) for p in probs])
 
 
 def kpi_by_quartile(v) -> DataFrame:

@@ -9,6 +9,7 @@ from tenderlens.functions import bands
 from tenderlens.functions.flags import small_n_note
 from tenderlens.operators.concentration import concentration, hhi, holder_totals
 from tenderlens.operators.order_stats import (
+    exact_percentiles,
     ntile,
     percent_rank,
     top_rows,
@@ -159,16 +160,14 @@ def entity_concentration_spread(v) -> DataFrame:
     share = totals.groupBy("buyer_id").agg(
         F.sum("awards").alias("awards"), ratio(F.max("value"), F.sum("value")).alias("share")
     ).filter(F.col("awards") >= v.rules.min_awards)
-    q = F.percentile("share", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = share.agg(rows().alias("n"), q.alias("q"), F.count_if(F.col("share") >= 0.5).alias("half"))
-    return out.select(
-        F.col("n").alias("entities_in_comparison"),
+    names = {"p25_top_1_share_pct": 0.25, "median_top_1_share_pct": 0.5, "p75_top_1_share_pct": 0.75}
+    q = exact_percentiles(share, "share", names)
+    n = share.agg(rows().alias("n"), F.count_if(F.col("share") >= 0.5).alias("half"))
+    return q.select(
+        n.select("n").scalar().alias("entities_in_comparison"),
         F.lit(v.rules.min_awards).alias("min_awards_threshold"),
-        *[
-            F.round(F.col("q")[i] * 100, 1).alias(name)
-            for i, name in enumerate(["p25_top_1_share_pct", "median_top_1_share_pct", "p75_top_1_share_pct"])
-        ],
-        F.col("half").alias("entities_where_one_supplier_holds_half"),
+        *[F.round(F.col(name) * 100, 1).alias(name) for name in names],
+        n.select("half").scalar().alias("entities_where_one_supplier_holds_half"),
     )
 
 

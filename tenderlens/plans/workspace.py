@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,11 @@ class Workspace:
             self._built[name] = self.spark.read.parquet(path)
         return self._built[name]
 
+    def tables(self, builds: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        """Independent tables, written as concurrent Spark jobs."""
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            return dict(zip(builds, pool.map(lambda n: self.table(n, builds[n]), builds)))
+
     @cached_property
     def releases(self) -> DataFrame:
         return self.table("release_documents", self._releases)
@@ -62,24 +68,22 @@ class Workspace:
     @cached_property
     def stg(self) -> Staging:
         flat = package.flatten(self.releases, self.rules).tables()
-        return Staging(**{n: self.table(n, lambda df=df: df) for n, df in flat.items()})
+        return Staging(**self.tables({n: (lambda df=df: df) for n, df in flat.items()}))
 
     @cached_property
     def core(self) -> Core:
         stg, r = self.stg, self.rules
-        lines = self.table("budget_lines", lambda: core_plan.build_budget_lines(stg.planning))
-        return Core(
-            stg=stg,
-            dim_buyer=self.table("dim_buyer", lambda: core_plan.build_dim_buyer(stg.releases, r)),
-            dim_supplier=self.table(
-                "dim_supplier", lambda: core_plan.build_dim_supplier(stg.parties, stg.award_suppliers, r)
-            ),
-            budget_lines=lines,
-            process_snapshot=self.table(
-                "process_snapshot", lambda: core_plan.build_process_snapshot(stg, lines)
-            ),
-            rules=r,
+        t = self.tables(
+            {
+                "budget_lines": lambda: core_plan.build_budget_lines(stg.planning),
+                "dim_buyer": lambda: core_plan.build_dim_buyer(stg.releases, r),
+                "dim_supplier": lambda: core_plan.build_dim_supplier(stg.parties, stg.award_suppliers, r),
+            }
+        )
+        snapshot = self.table(
+            "process_snapshot", lambda: core_plan.build_process_snapshot(stg, t["budget_lines"])
         )
+        return Core(stg=stg, process_snapshot=snapshot, rules=r, **t)
 
     @cached_property
     def v(self) -> Views:
@@ -87,8 +91,10 @@ class Workspace:
 
     def build_all(self) -> dict[str, DataFrame]:
         """Staging, core and every view, in dependency order."""
-        for name in VIEW_NAMES:
-            getattr(self.v, name)
+        v = self.v
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            for wave in VIEW_WAVES:
+                list(pool.map(lambda name: getattr(v, name), wave))
         return dict(self._built)
 
     def refresh_snapshot(self) -> Core:
@@ -100,24 +106,24 @@ class Workspace:
         return self.core
 
 
-VIEW_NAMES = [
-    "lifecycle_stage",
-    "budget_eligible",
-    "competition_eligible",
-    "award_value_eligible",
-    "supplier_award_eligible",
-    "budget_award_comparison",
-    "tender_duration_eligible",
-    "award_lag_eligible",
-    "signature_lag_eligible",
-    "contract_implementation_coverage",
-    "award_scale_flag",
-    "entity_benchmark",
-    "dim_buyer",
-    "dim_procurement_method",
-    "metric_population",
-    "dq_impact",
+# Views of one wave read only core tables and earlier waves.
+VIEW_WAVES = [
+    [
+        "lifecycle_stage",
+        "budget_eligible",
+        "competition_eligible",
+        "award_value_eligible",
+        "tender_duration_eligible",
+        "award_lag_eligible",
+        "signature_lag_eligible",
+        "contract_implementation_coverage",
+        "dim_buyer",
+    ],
+    ["supplier_award_eligible", "budget_award_comparison"],
+    ["award_scale_flag", "entity_benchmark", "dim_procurement_method"],
+    ["metric_population", "dq_impact"],
 ]
+VIEW_NAMES = [name for wave in VIEW_WAVES for name in wave]
 
 
 class Views:
