@@ -1,6 +1,6 @@
 """Exact order statistics without an unbounded single-task sort.
 
-A value is mapped to one of a few thousand monotone log-scale buckets. A
+A value is mapped to one of some ten thousand monotone log-scale buckets. A
 histogram of the buckets (bounded size) gives the count and sum in front of
 each bucket; only the rows inside a bucket are then sorted, each bucket in its
 own task. Results are exact: the bucket decides where the work happens, never
@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEPS_PER_OCTAVE = 32
+_STEPS_PER_OCTAVE = 256
 
 
 def value_bucket(value: Column) -> Column:
-    """Monotone bucket number; at most about 130 octaves x 32 on either side of zero."""
+    """Monotone bucket number, 0.3% wide: money spans some 10,000 buckets, and
+    one bucket of 4-decimal amounts holds a bounded number of distinct values."""
     x = value.cast("double")
     return (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * _STEPS_PER_OCTAVE)).cast("int")
 

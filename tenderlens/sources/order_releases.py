@@ -66,6 +66,22 @@ def _kept(candidates: list[Column]) -> Column:
     return F.array_compact(F.array(*candidates))
 
 
+_SUPPLIER_DIGITS = Decimal(10) ** 15
+
+
+def _lead_code() -> Column:
+    """(price, supplier, status) packed into one ordered number. A fixed-width
+    buffer keeps the aggregate hash-based; a struct would force it to sort."""
+    cents = (F.col("price") * 10000).cast("decimal(18,0)")
+    rest = F.col("l_suppkey") * 1000 + F.ascii("l_linestatus")
+    return (cents * F.lit(_SUPPLIER_DIGITS).cast("decimal(16,0)") + rest.cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
+def _lead(code: Column) -> tuple[Column, Column]:
+    rest = (code % F.lit(_SUPPLIER_DIGITS).cast("decimal(16,0)")).cast("bigint")
+    return F.floor(rest / 1000).cast("bigint"), F.chr(rest % 1000)
+
+
 def line_facts(lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(
         "l_orderkey",
@@ -91,9 +107,9 @@ def line_facts(lineitem: DataFrame) -> DataFrame:
         F.sum("price").alias("line_value"),
         F.min("ship").alias("first_ship"),
         F.max("ship").alias("last_ship"),
-        F.max(F.struct("price", "l_suppkey", "l_linestatus")).alias("lead"),
+        F.max(_lead_code()).alias("lead_code"),
         *per_part,
-    )
+    ).withColumns(dict(zip(("lead_supplier", "lead_status"), _lead(F.col("lead_code"))))).drop("lead_code")
 
 
 def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +146,7 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare_buyer = every(97)
     buyer_id = F.when(bare_buyer, "B-").otherwise(F.concat(F.lit("B-"), F.col("c_nationkey").cast("string")))
     buyer_name = F.when(~bare_buyer, F.col("n_name"))
-    supp = F.col("lead.l_suppkey")
+    supp = F.col("lead_supplier")
     supplier_id = F.when(supp % 10 == 0, "S-").otherwise(F.concat(F.lit("S"), supp.cast("string")))
     supplier_name = F.when(every(9), F.concat(F.lit("Supplier  "), supp.cast("string"), F.lit("\t"))).otherwise(
         F.concat(F.lit("Supplier "), supp.cast("string")))
@@ -193,7 +209,7 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
         label("A").alias("awardID"),
         nil.alias("title"),
         nil.alias("description"),
-        F.col("lead.l_linestatus").alias("status"),
+        F.col("lead_status").alias("status"),
         _money(award_value).alias("value"),
         _iso(F.col("last_ship")).alias("dateSigned"),
         F.struct(

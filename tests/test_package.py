@@ -118,7 +118,7 @@ def by(df, key, *cols):
 def test_counts(ws):
     n = {k: d.count() for k, d in ws.stg.tables().items()}
     assert n["releases"] == n["planning"] == len(RELEASES)
-    assert n["tender"] == 13 and n["awards"] == 10 and n["award_suppliers"] == 14
+    assert n["tender"] == 12 and n["awards"] == 10 and n["award_suppliers"] == 14
     assert n["contracts"] == 4 and n["transactions"] == 2 and n["milestones"] == 4
 
 
