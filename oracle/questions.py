@@ -35,7 +35,7 @@ def ranked_totals(src: str, grp: str | None, holder: str = "supplier_id") -> str
 
 HHI = "sum((v::DOUBLE / tot::DOUBLE) ** 2) * 10000"
 FLAGGED = "(award_id IN (SELECT award_id FROM asf))"
-SCEN = "(SELECT '1  as published' AS scenario, * FROM {t} UNION ALL SELECT '2  without flagged awards', * FROM {t} WHERE award_id NOT IN (SELECT award_id FROM asf))"
+SCEN = "(SELECT '1  as published ({p})' AS scenario, * FROM {t} UNION ALL SELECT '2  without DQ-21 flagged awards', * FROM {t} WHERE award_id NOT IN (SELECT award_id FROM asf))"
 RB = """CASE WHEN ratio < 0.5 THEN '1  award below half of budget (<0.5)' WHEN ratio < 0.9 THEN '2  award 50-90% of budget'
  WHEN ratio <= 1.1 THEN '3  award within 10% of budget (0.9-1.1)' WHEN ratio <= 1.5 THEN '4  award 110-150% of budget'
  WHEN ratio <= 10 THEN '5  award 1.5x-10x budget' ELSE '6  award above 10x budget (check units / budget entry)' END"""
@@ -149,7 +149,7 @@ SQL = {
     "q1_6_concentration_sensitivity": f"""SELECT g AS scenario, sum(n)::BIGINT AS awards_in_scope, (SELECT count(*) FROM sav WHERE {FLAGGED}) AS flagged_awards_in_m_s01,
       {k('sum(v)', 1)} AS value_in_scope_k, {", ".join(f"{pct(f'sum(v) FILTER (rn <= {n})', 'sum(v)', 2)} AS top_{n}_share_pct" for n in (1, 5, 10, 100))},
       round({HHI}, 1) AS herfindahl_index_0_to_10000, (SELECT supplier_name FROM sup WHERE sup.supplier_id = any_value(t.supplier_id) FILTER (rn = 1)) AS largest_supplier,
-      {k('max(v)', 2)} AS largest_supplier_value_k FROM {ranked_totals(SCEN.format(t='sav'), 'scenario')} t GROUP BY g""",
+      {k('max(v)', 2)} AS largest_supplier_value_k FROM {ranked_totals(SCEN.format(t='sav', p='RS2'), 'scenario')} t GROUP BY g""",
     "q1_6b_method_sensitivity": f"""SELECT m AS procurement_method, sum(f)::BIGINT AS flagged_awards, {k('sum(p)', 2)} AS value_published_k,
       {k('coalesce(sum(w), 0)', 2)} AS value_without_flagged_k, {pct('max(p)', 'sum(p)', 1)} AS top_1_share_pct_published,
       {pct('max(w)', 'sum(w)', 1)} AS top_1_share_pct_without_flagged,
@@ -210,11 +210,12 @@ SQL = {
       (SELECT count(*) FROM bva WHERE ratio >= 20 AND budget >= 100000) AS ratio_1m_or_more_with_budget_100k_plus FROM bva WHERE budget < 100000""",
     "q3_9_above_ten_by_entity": band_entity("true"),
     "q3_10_unit_test": f"""SELECT count(*) FILTER (ratio BETWEEN 900 AND 1100) AS ocids_with_ratio_900_to_1100, count(*) FILTER (ratio BETWEEN 900 AND 1100 AND budget >= 100000) AS of_which_budget_100k_plus,
-      count(*) FILTER (ratio > 10) AS ocids_above_10x, {pct('count(*) FILTER (ratio BETWEEN 900 AND 1100)', 'count(*) FILTER (ratio > 10)', 1)} AS ratio_900_to_1100_pct_of_above_10x FROM bva""",
+      count(*) FILTER (ratio > 10) AS ocids_above_10x, {pct('count(*) FILTER (ratio BETWEEN 900 AND 1100)', 'count(*) FILTER (ratio > 10)', 1)} AS ratio_900_to_1100_pct_of_above_10x,
+      if(coalesce(ratio_900_to_1100_pct_of_above_10x, 0) >= 50, 'most of the above-10x OCIDs lie near 1,000', 'they do not lie near 1,000') AS reading FROM bva""",
     "q3_11_budget_sensitivity": f"""SELECT scenario, count(*) AS comparable_ocids, (SELECT count(*) FROM bva WHERE {FLAGGED}) AS flagged_ocids_in_comparison, {k('sum(budget)', 1)} AS total_budget_k,
       {k('sum(value)', 1)} AS total_award_k, round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_award_to_budget_ratio, round({q('ratio', 0.5)}, 4) AS median_ratio,
       count(*) FILTER (ratio > 10) AS ocids_above_10x, {k('sum(value) FILTER (ratio > 10)', 1)} AS above_10x_award_k, {pct('sum(value) FILTER (ratio > 10)', 'sum(value)', 2)} AS above_10x_pct_of_award_value
-      FROM {SCEN.format(t='bva')} GROUP BY scenario""",
+      FROM {SCEN.format(t='bva', p='RS1, RS3')} GROUP BY scenario""",
     "q3_11a_flag_footprint": f"""SELECT count(*) AS flagged_awards, count(*) FILTER (dd) AS dropped_decimal, count(*) FILTER (sl) AS sibling_lot, {k('sum(value)', 1)} AS flagged_value_k,
       {pct('sum(value)', '(SELECT sum(value) FROM awv)', 1)} AS pct_of_m_v01_award_value, count(*) FILTER (award_id IN (SELECT award_id FROM bva)) AS in_budget_comparison,
       count(DISTINCT buyer_id) AS entities FROM asf""",

@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Population:
-    """Candidates of one metric and the predicates that exclude them."""
+    """Candidates of one metric and the predicates that exclude them.
+
+    Populations given the same ``candidates`` object share its scan and joins;
+    ``present`` says which of its rows are candidates of this metric.
+    """
 
     metric_id: str
     candidates: DataFrame
@@ -25,23 +29,32 @@ class Population:
     other: Column = field(default_factory=lambda: F.lit(False))
     pre_exclude: Column = field(default_factory=lambda: F.lit(False))
     value: Column | None = None
+    present: Column = field(default_factory=lambda: F.lit(True))
 
 
 def candidate_records(populations: list[Population]) -> DataFrame:
     money = "decimal(30,4)"
 
-    def one(p: Population) -> DataFrame:
+    def record(p: Population) -> Column:
         tripped = F.array_compact(F.array(*[F.when(c, F.lit(ref)) for ref, c in p.issues.items()]))
         value = p.value if p.value is not None else F.lit(None)
-        return p.candidates.select(
+        row = F.struct(
             F.lit(p.metric_id).alias("metric_id"),
             value.cast(money).alias("val"),
             tripped.cast("array<string>").alias("issues"),
             F.coalesce(p.other, F.lit(False)).alias("other_reason"),
             F.coalesce(p.pre_exclude, F.lit(False)).alias("is_pre"),
         )
+        return F.when(p.present, row)
 
-    return reduce(DataFrame.unionByName, [one(p) for p in populations])
+    by_frame: dict[int, list[Population]] = {}
+    for p in populations:
+        by_frame.setdefault(id(p.candidates), []).append(p)
+    parts = [
+        same[0].candidates.select(F.inline(F.array_compact(F.array(*[record(p) for p in same]))))
+        for same in by_frame.values()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exclusion_attribution(populations: list[Population]) -> DataFrame:

@@ -256,6 +256,14 @@ def second_largest(ws) -> DataFrame:
     return two.withColumn("second", F.lead(AWARD).over(w)).filter("rn = 1").select("supplier_id", F.col(AWARD).alias("first"), "second")
 
 
+def partition_shares(ws) -> DataFrame:
+    """Share of each holder in its group: the group totals are a second small
+    aggregate, so no window ever buffers a whole group."""
+    t = holder_totals(ws.v.supplier_award_eligible, "supplier_id", AWARD, ["buyer_id"])
+    whole = t.groupBy("buyer_id").agg(F.sum("value").alias("total"))
+    return t.join(whole, "buyer_id").select("buyer_id", "supplier_id", pct(F.col("value"), F.col("total"), 4).alias("share_pct"))
+
+
 WINDOWS = {
     "w01_row_number": lambda ws: with_position(
         _holders(ws), [("value", "desc"), ("supplier_id", "asc")], "position", kind="row_number").select("supplier_id", "position"),
@@ -273,8 +281,7 @@ WINDOWS = {
     "w07_running_share": lambda ws: with_position(
         _holders(ws), [("value", "desc"), ("supplier_id", "asc")], "position", kind="row_number", running={"value": "cum"}).select(
         "supplier_id", "cum", pct(F.col("cum"), F.col("cum_total"), 4).alias("cumulative_pct")),
-    "w08_partition_totals": lambda ws: holder_totals(ws.v.supplier_award_eligible, "supplier_id", AWARD, ["buyer_id"]).select(
-        "buyer_id", "supplier_id", pct(F.col("value"), F.sum("value").over(Window.partitionBy("buyer_id")), 4).alias("share_pct")),
+    "w08_partition_totals": partition_shares,
     "w09_over_aggregate": lambda ws: cumulative_bands(
         ws.v.competition_eligible.groupBy(bands.participation_band(F.col(N)).alias("band")).agg(rows().alias("n")), "band", "n"
     ).select("band", "n", pct(F.col("_upto"), F.col("_total"), 4).alias("cumulative_pct")),

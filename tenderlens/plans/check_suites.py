@@ -3,7 +3,7 @@ entities, layers, observations, views, questions, dimensions, scale flag."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions import flags
@@ -396,23 +396,36 @@ def observations(ws) -> DataFrame:
 
 # ------------------------------------------------------------------ 9 views
 def _independent(ws) -> dict[str, DataFrame]:
-    """The populations again, from staging, by another formulation."""
+    """The populations again, from staging, by another formulation. The four
+    base recounts feed dozens of checks, so each is written once."""
     stg, r = ws.stg, ws.rules
-    owner = latest_by_max(stg.releases.select("ocid", "buyer_id", "release_seq"), ["ocid"], "release_seq").drop("release_seq")
+    owner = ws.table(
+        "recount_owner",
+        lambda: latest_by_max(stg.releases.select("ocid", "buyer_id", "release_seq"), ["ocid"], "release_seq").drop("release_seq"),
+    )
     non_test = owner.filter(F.col("buyer_id") != r.test_buyer_id)
     keep = non_test.select("ocid")
-    tender = latest_by_max(stg.tender, ["ocid"], "release_seq").join(keep, "ocid", "left_semi")
-    award = latest_by_max(stg.awards, ["ocid"], "release_seq").join(keep, "ocid", "left_semi")
-    line = latest_by_max(
-        stg.planning.filter(F.col("budget_project_id").isNotNull() & (F.col("buyer_id") != r.test_buyer_id)),
-        ["ocid", "budget_project_id"], "release_seq",
+
+    def newest(name):
+        section = getattr(stg, name)
+        return ws.table(
+            f"recount_{name}", lambda: latest_by_max(section, ["ocid"], "release_seq").join(keep, "ocid", "left_semi")
+        )
+
+    award = newest("awards")
+    line = ws.table(
+        "recount_line",
+        lambda: latest_by_max(
+            stg.planning.filter(F.col("budget_project_id").isNotNull() & (F.col("buyer_id") != r.test_buyer_id)),
+            ["ocid", "budget_project_id"], "release_seq",
+        ),
     )
     usable = (F.col("status") == "active") & F.col("award_value_flag").isNull() & F.col("award_monetary_flag").isNull()
     per = line.groupBy("ocid").agg(rows().alias("n_lines"))
     return {
         "owner": owner,
         "non_test": non_test,
-        "tender": tender,
+        "tender": newest("tender"),
         "award": award,
         "line": line,
         "award_ok": award.filter(usable),
@@ -695,8 +708,6 @@ def presentation_dims(ws) -> DataFrame:
 # ------------------------------------------------------------------ 12 scale flag
 def scale_flag(ws) -> DataFrame:
     """Recount by multiplication and by ``lead`` over the two largest awards."""
-    from pyspark.sql import Window
-
     v, r = ws.v, ws.rules
     flag, aw = v.award_scale_flag, v.award_value_eligible
     a, b = F.col("award_value_amount"), F.col("budget_amount")

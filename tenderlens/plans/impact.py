@@ -79,19 +79,24 @@ def populations(v) -> list[Population]:
     known = F.col("buyer_id").isNotNull()
     is_test = F.col("buyer_id") == r.test_buyer_id
     snap = core.process_snapshot.filter(known)
+    yes = F.lit(True)
     tender = stg.tender.select(
         "ocid", F.col("release_id").alias("tender_release_id"), F.col("status").alias("tender_status"),
         "tenderer_count_flag", "tender_start_date", "tender_end_date", "tender_start_date_flag",
-        "tender_end_date_flag",
+        "tender_end_date_flag", yes.alias("has_tender"),
     )
     award = stg.awards.select(
         "ocid", "award_id", F.col("status").alias("award_status"), "award_value_amount", "award_value_flag",
-        "award_monetary_flag", "award_date", "award_date_flag",
+        "award_monetary_flag", "award_date", "award_date_flag", yes.alias("has_award"),
     )
-    contract = stg.contracts.select("ocid", "contract_id", "date_signed", "date_signed_flag")
-    with_tender = snap.join(tender, ["ocid", "tender_release_id"])
-    with_award = snap.join(award, ["ocid", "award_id"])
-    eligible_awards = v.award_value_eligible.select("ocid", "award_id", "award_value_amount")
+    contract = stg.contracts.select("ocid", "contract_id", "date_signed", "date_signed_flag", yes.alias("has_contract"))
+    # One row per process with its picked sections: five metrics read it at once.
+    process = (
+        snap.join(tender, ["ocid", "tender_release_id"], "left")
+        .join(award, ["ocid", "award_id"], "left")
+        .join(contract, ["ocid", "contract_id"], "left")
+    )
+    with_tender, with_award = F.col("has_tender").isNotNull(), F.col("has_award").isNotNull()
 
     complete = F.col("supplier_id") != r.bare_supplier_id
     suppliers = stg.award_suppliers.groupBy("award_id").agg(
@@ -102,13 +107,23 @@ def populations(v) -> list[Population]:
 
     single = F.col("budget_line_count") == 1
     extreme, zero = F.col("budget_amount_flag").isNotNull(), F.col("budget_monetary_flag").isNotNull()
+    counts = core.process_snapshot.select("ocid", "budget_line_count")
     one_line = core.budget_lines.select("ocid", "budget_amount", "budget_amount_flag", "budget_monetary_flag").join(
-        core.process_snapshot.filter(single).select("ocid"), "ocid", "left_semi"
+        counts.filter(single).select("ocid"), "ocid", "left_semi"
     )
-    compared = eligible_awards.join(core.process_snapshot.select("ocid", "budget_line_count"), "ocid").join(
-        one_line, "ocid", "left"
+    # One row per eligible award with its suppliers and its only budget line: two metrics.
+    awarded = (
+        v.award_value_eligible.select("ocid", "award_id", "award_value_amount")
+        .join(suppliers, "award_id", "left")
+        .join(counts, "ocid")
+        .join(one_line, "ocid", "left")
     )
     unusable = F.col("budget_amount").isNull() | (F.col("budget_amount") <= 0)
+    amount = F.col("award_value_amount")
+
+    def missing(first, second):
+        return F.col(first).isNull() | F.col(second).isNull()
+
     return [
         Population(
             "M-P01", core.budget_lines.filter(known),
@@ -117,40 +132,38 @@ def populations(v) -> list[Population]:
             F.col("budget_amount").isNull() | (F.col("budget_amount") < 0), is_test, F.col("budget_amount"),
         ),
         Population(
-            "M-C01 / M-C02", with_tender,
+            "M-C01 / M-C02", process,
             {"DQ-04": F.col("tenderer_count_flag") == "ELEVATED",
              "DQ-05": F.col("tenderer_count_flag") == "ANOMALOUS"},
-            F.col("tender_status").isNull(), is_test,
+            F.col("tender_status").isNull(), is_test, present=with_tender,
         ),
         Population(
-            "M-V01", with_award,
+            "M-V01", process,
             {"DQ-07": F.col("award_value_flag").isNotNull(), "DQ-16": F.col("award_monetary_flag").isNotNull()},
-            ~F.col("award_status").eqNullSafe("active"), is_test, F.col("award_value_amount"),
+            ~F.col("award_status").eqNullSafe("active"), is_test, amount, present=with_award,
         ),
         Population(
-            "M-S01", eligible_awards.join(suppliers, "award_id", "left"), {"DQ-14": no_complete & has_bare},
-            no_complete & ~has_bare, value=F.col("award_value_amount"),
+            "M-S01", awarded, {"DQ-14": no_complete & has_bare}, no_complete & ~has_bare, value=amount,
         ),
         Population(
-            "P4-BvA", compared,
+            "P4-BvA", awarded,
             {"C-06": F.col("budget_line_count") > 1, "DQ-06": single & extreme, "DQ-16": single & zero},
-            (F.col("budget_line_count") == 0) | (single & unusable & ~extreme & ~zero),
-            value=F.col("award_value_amount"),
+            (F.col("budget_line_count") == 0) | (single & unusable & ~extreme & ~zero), value=amount,
         ),
         Population(
-            "M-E01", with_tender,
+            "M-E01", process,
             _date_issues("tender_start_date_flag", "tender_end_date_flag", "tender_start_date", "tender_end_date"),
-            F.col("tender_start_date_flag").isNull() | F.col("tender_end_date_flag").isNull(), is_test,
+            missing("tender_start_date_flag", "tender_end_date_flag"), is_test, present=with_tender,
         ),
         Population(
-            "M-E02", with_tender.join(award, ["ocid", "award_id"]),
+            "M-E02", process,
             _date_issues("tender_start_date_flag", "award_date_flag", "tender_start_date", "award_date"),
-            F.col("tender_start_date_flag").isNull() | F.col("award_date_flag").isNull(), is_test,
+            missing("tender_start_date_flag", "award_date_flag"), is_test, present=with_tender & with_award,
         ),
         Population(
-            "P5-SIG", snap.join(contract, ["ocid", "contract_id"]).join(award, ["ocid", "award_id"], "left"),
+            "P5-SIG", process,
             _date_issues("award_date_flag", "date_signed_flag", "award_date", "date_signed"),
-            F.col("award_date_flag").isNull() | F.col("date_signed_flag").isNull(), is_test,
+            missing("award_date_flag", "date_signed_flag"), is_test, present=F.col("has_contract").isNotNull(),
         ),
         Population("ENTITY", core.dim_buyer, {"DQ-19": F.col("buyer_id_flag").isNotNull()}, pre_exclude=is_test),
     ]

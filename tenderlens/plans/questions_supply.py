@@ -21,8 +21,8 @@ from tenderlens.plans.views import median, method, rate
 
 AWARD = "award_value_amount"
 DEPTHS = {"suppliers_to_reach_50_pct": "0.5", "suppliers_to_reach_80_pct": "0.8"}
-PUBLISHED = "1  as published"
-WITHOUT = "2  without flagged awards"
+# Scenario labels.
+WITHOUT = "2  without DQ-21 flagged awards"
 
 
 def _unit(v, name: str) -> str:
@@ -33,10 +33,10 @@ def _entities(df: DataFrame) -> DataFrame:
     return df.filter(F.col("buyer_id_flag").isNull())
 
 
-def scenarios(marked: DataFrame) -> DataFrame:
+def scenarios(marked: DataFrame, published: str) -> DataFrame:
     """Each row once per scenario it belongs to: one scan, no second read."""
-    both = F.array(F.lit(PUBLISHED), F.lit(WITHOUT))
-    labels = F.when(F.col("is_flagged"), F.array(F.lit(PUBLISHED))).otherwise(both)
+    both = F.array(F.lit(published), F.lit(WITHOUT))
+    labels = F.when(F.col("is_flagged"), F.array(F.lit(published))).otherwise(both)
     return marked.withColumn("scenario", F.explode(labels))
 
 
@@ -178,7 +178,7 @@ def _marked_suppliers(v) -> DataFrame:
 def concentration_sensitivity(v) -> DataFrame:
     marked = _marked_suppliers(v)
     g = ["scenario"]
-    totals = scenarios(marked).groupBy(*g, "supplier_id").agg(
+    totals = scenarios(marked, "1  as published (RS2)").groupBy(*g, "supplier_id").agg(
         F.max("supplier_name").alias("supplier_name"), rows().alias("awards"), F.sum(AWARD).alias("value")
     )
     top = [1, 5, 10, 100]

@@ -214,12 +214,14 @@ def unit_test(v) -> DataFrame:
         F.count_if(over).alias("ocids_above_10x"),
     )
     share = pct(F.col("ocids_with_ratio_900_to_1100"), F.nullif("ocids_above_10x", F.lit(0)), 1)
-    return t.withColumn("ratio_900_to_1100_pct_of_above_10x", share)
+    mostly = F.col("ratio_900_to_1100_pct_of_above_10x") >= 50
+    reading = F.when(mostly, "most of the above-10x OCIDs lie near 1,000").otherwise("they do not lie near 1,000")
+    return t.withColumn("ratio_900_to_1100_pct_of_above_10x", share).withColumn("reading", reading)
 
 
 def budget_sensitivity(v) -> DataFrame:
     marked = mark(v.budget_award_comparison, v.award_scale_flag, "award_id", "is_flagged")
-    s = scenarios(marked)
+    s = scenarios(marked, "1  as published (RS1, RS3)")
     over = F.col(RATIO) > 10
     t = s.groupBy("scenario").agg(
         *_totals(), F.count_if(over).alias("over_n"), sum_if(over, F.col(AWARD)).alias("over_award")
