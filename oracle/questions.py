@@ -60,7 +60,7 @@ def entity_totals(extra: str = "") -> str:
 
 def band_entity(where: str) -> str:
     return f"""SELECT rank() OVER (ORDER BY award DESC) AS rank_in_band, buyer_id, buyer_name, n AS ocids_above_10x, {k('award', 1)} AS award_k,
-      {pct('award', 'tot', 1)} AS pct_of_band_value, round(med, 1) AS median_ratio, alln::BIGINT AS band_ocids, {k('tot', 1)} AS band_award_k
+      {pct('award', 'tot', 1)} AS pct_of_band_value, round(med::DECIMAL(38,8), 1)::DOUBLE AS median_ratio, alln::BIGINT AS band_ocids, {k('tot', 1)} AS band_award_k
       FROM (SELECT buyer_id, max(buyer_name) AS buyer_name, count(*) AS n, sum(value) AS award, {q('ratio', 0.5)} AS med,
               sum(sum(value)) OVER () AS tot, sum(count(*)) OVER () AS alln FROM bva WHERE ratio > 10 AND {where} GROUP BY buyer_id)
       QUALIFY row_number() OVER (ORDER BY award DESC, buyer_id) <= 5"""
@@ -167,7 +167,7 @@ SQL = {
       {pct('sum(p) OVER (ORDER BY b)', 'sum(p) OVER ()', 2)} AS cumulative_pct_of_primary, x AS sensitivity_only_tenders
       FROM (SELECT {PB} AS b, count(*) FILTER (prim) AS p, count(*) FILTER (NOT prim) AS x FROM competition GROUP BY 1)""",
     "q2_3_tenderer_percentiles": f"""SELECT count(*) AS eligible_tenders, min(number_of_tenderers)::BIGINT AS min_tenderers,
-      {", ".join(f"{q('number_of_tenderers', p)} AS {n}" for n, p in (('p25', .25), ('median', .5), ('p75', .75), ('p90', .9), ('p99', .99)))},
+      {", ".join(f"round({q('number_of_tenderers', p)}, 6) AS {n}" for n, p in (('p25', .25), ('median', .5), ('p75', .75), ('p90', .9), ('p99', .99)))},
       max(number_of_tenderers)::BIGINT AS max_tenderers FROM competition WHERE prim""",
     "q2_4_competition_by_method": f"""SELECT coalesce(method, {NS}) AS procurement_method, count(*) AS eligible_tenders, {q('number_of_tenderers', 0.5)} AS median_tenderers,
       round(100 * avg(single::INT), 1) AS single_bidder_rate_pct, round(100 * avg((number_of_tenderers >= 6)::INT), 1) AS six_plus_tenderers_pct,
@@ -184,22 +184,22 @@ SQL = {
       FROM (SELECT 'highest single-bidder rate' AS ranking, hi AS rnk, * FROM s UNION ALL SELECT 'lowest single-bidder rate', lo, * FROM s) x WHERE rnk <= 10)""",
     "q3_1_budget_headline": f"""SELECT (SELECT count(*) FROM awv) AS candidate_awards, count(*) AS eligible_ocids, {pct('count(*)', '(SELECT count(*) FROM awv)', 1)} AS eligible_pct_of_candidate,
       (SELECT count(*) FROM awv) - count(*) AS excluded_ocids, {k('sum(budget)', 1)} AS total_budget_k, {k('sum(value)', 1)} AS total_award_k, {k('sum(variance)', 1)} AS net_variance_k,
-      round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_award_to_budget_ratio, round({q('ratio', 0.5)}, 4) AS median_ratio FROM bva""",
+      round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_award_to_budget_ratio, round({q('ratio', 0.5)}::DECIMAL(38,8), 4)::DOUBLE AS median_ratio FROM bva""",
     "q3_1b_register": entries("P4-BvA"),
     "q3_2_ratio_percentiles": f"""SELECT count(*) AS eligible_ocids, min(ratio) AS min_ratio,
-      {", ".join(f"round({q('ratio', p)}, 4) AS {n}" for n, p in (('p01', .01), ('p10', .1), ('p25', .25), ('median', .5), ('p75', .75), ('p90', .9), ('p99', .99)))},
+      {", ".join(f"round({q('ratio', p)}::DECIMAL(38,8), 4)::DOUBLE AS {n}" for n, p in (('p01', .01), ('p10', .1), ('p25', .25), ('median', .5), ('p75', .75), ('p90', .9), ('p99', .99)))},
       max(ratio) AS max_ratio FROM bva""",
     "q3_3_ratio_bands": f"""SELECT {RB} AS ratio_band, count(*) AS ocids, {pct('count(*)', 'sum(count(*)) OVER ()', 2)} AS pct_of_ocids, {k('sum(budget)', 2)} AS budget_k,
       {k('sum(value)', 2)} AS award_k, {pct('sum(value)', 'sum(sum(value)) OVER ()', 2)} AS pct_of_award_value FROM bva GROUP BY 1""",
     "q3_4_variance_by_method": f"""SELECT coalesce(method, {NS}) AS procurement_method, count(*) AS eligible_ocids, {k('sum(budget)', 2)} AS budget_k, {k('sum(value)', 2)} AS award_k,
-      {k('sum(variance)', 2)} AS net_variance_k, round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_ratio, round({q('ratio', 0.5)}, 4) AS median_ratio,
+      {k('sum(variance)', 2)} AS net_variance_k, round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_ratio, round({q('ratio', 0.5)}::DECIMAL(38,8), 4)::DOUBLE AS median_ratio,
       {pct('count(*) FILTER (ratio > 1.1)', 'count(*)', 1)} AS pct_award_above_110pct_of_budget, {pct('count(*) FILTER (ratio < 0.9)', 'count(*)', 1)} AS pct_award_below_90pct_of_budget,
       CASE WHEN count(*) < 30 THEN {SMALL} ELSE '' END AS reliability_note FROM bva GROUP BY 1""",
     "q3_5_entity_variance": f"""SELECT * FROM (SELECT rank() OVER (ORDER BY abs(variance) DESC) AS rank_by_abs_variance, buyer_id, buyer_name, n AS eligible_ocids, {k('budget', 2)} AS budget_k,
-      {k('award', 2)} AS award_k, {k('variance', 2)} AS net_variance_k, round(award::DOUBLE / budget::DOUBLE, 4) AS aggregate_ratio, round(med, 4) AS median_ratio,
+      {k('award', 2)} AS award_k, {k('variance', 2)} AS net_variance_k, round(award::DOUBLE / budget::DOUBLE, 4) AS aggregate_ratio, round(med::DECIMAL(38,8), 4)::DOUBLE AS median_ratio,
       {pct('sum(abs(variance)) OVER (ORDER BY abs(variance) DESC, buyer_id)', 'sum(abs(variance)) OVER ()', 1)} AS cumulative_share_of_abs_variance_pct, ents AS entities_in_comparison
       FROM {entity_totals()}) WHERE rank_by_abs_variance <= 15""",
-    "q3_6_entity_departure": f"""SELECT * FROM (SELECT rank() OVER (ORDER BY abs(med - 1) DESC) AS rank_by_median_departure, buyer_id, buyer_name, n AS eligible_ocids, round(med, 4) AS median_ratio,
+    "q3_6_entity_departure": f"""SELECT * FROM (SELECT rank() OVER (ORDER BY abs(med - 1) DESC) AS rank_by_median_departure, buyer_id, buyer_name, n AS eligible_ocids, round(med::DECIMAL(38,8), 4)::DOUBLE AS median_ratio,
       round(100 * aligned, 1) AS pct_ocids_within_10pct_of_budget, ntile(4) OVER (ORDER BY aligned, buyer_id) AS alignment_quartile, ents AS entities_in_comparison
       FROM {entity_totals()}) WHERE rank_by_median_departure <= 15""",
     "q3_7_budget_reuse": f"""SELECT count(*) AS budget_project_ids, count(*) FILTER (n > 1) AS ids_used_by_several_ocids, {k('sum(s)', 1)} AS summed_budget_k, {k('sum(m)', 1)} AS budget_counted_once_k,
@@ -213,7 +213,7 @@ SQL = {
       count(*) FILTER (ratio > 10) AS ocids_above_10x, {pct('count(*) FILTER (ratio BETWEEN 900 AND 1100)', 'count(*) FILTER (ratio > 10)', 1)} AS ratio_900_to_1100_pct_of_above_10x,
       if(coalesce(ratio_900_to_1100_pct_of_above_10x, 0) >= 50, 'most of the above-10x OCIDs lie near 1,000', 'they do not lie near 1,000') AS reading FROM bva""",
     "q3_11_budget_sensitivity": f"""SELECT scenario, count(*) AS comparable_ocids, (SELECT count(*) FROM bva WHERE {FLAGGED}) AS flagged_ocids_in_comparison, {k('sum(budget)', 1)} AS total_budget_k,
-      {k('sum(value)', 1)} AS total_award_k, round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_award_to_budget_ratio, round({q('ratio', 0.5)}, 4) AS median_ratio,
+      {k('sum(value)', 1)} AS total_award_k, round(sum(value)::DOUBLE / sum(budget)::DOUBLE, 4) AS aggregate_award_to_budget_ratio, round({q('ratio', 0.5)}::DECIMAL(38,8), 4)::DOUBLE AS median_ratio,
       count(*) FILTER (ratio > 10) AS ocids_above_10x, {k('sum(value) FILTER (ratio > 10)', 1)} AS above_10x_award_k, {pct('sum(value) FILTER (ratio > 10)', 'sum(value)', 2)} AS above_10x_pct_of_award_value
       FROM {SCEN.format(t='bva', p='RS1, RS3')} GROUP BY scenario""",
     "q3_11a_flag_footprint": f"""SELECT count(*) AS flagged_awards, count(*) FILTER (dd) AS dropped_decimal, count(*) FILTER (sl) AS sibling_lot, {k('sum(value)', 1)} AS flagged_value_k,
@@ -228,7 +228,7 @@ SQL = {
       UNION ALL SELECT 'P5-SIG signature lag, award to signing (days)', count(*), {q('days', 0.5)} FROM sle""",
     "q4_1b_register": entries("M-E01", "M-E02", "P5-SIG", name=True),
     "q4_2_timing_distribution": f"""SELECT measure, count(*) AS eligible_n, min(days)::BIGINT AS min_days,
-      {", ".join(f"{q('days', p)} AS {n}" for n, p in (('p25', .25), ('median', .5), ('p75', .75), ('p90', .9), ('p99', .99)))},
+      {", ".join(f"round({q('days', p)}, 6) AS {n}" for n, p in (('p25', .25), ('median', .5), ('p75', .75), ('p90', .9), ('p99', .99)))},
       max(days)::BIGINT AS max_days, round(avg(days), 1) AS mean_days, count(*) FILTER (days = 0) AS same_day, count(*) FILTER (days > 365) AS over_1_year,
       {pct('count(*) FILTER (days > 365)', 'count(*)', 2)} AS over_1_year_pct FROM {IV} GROUP BY measure""",
     "q4_3_duration_bands": f"""SELECT measure, b AS duration_band, n AS processes, {pct('n', 'sum(n) OVER (PARTITION BY measure)', 2)} AS pct_of_measure,

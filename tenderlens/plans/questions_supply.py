@@ -270,7 +270,7 @@ def tenderer_percentiles(v) -> DataFrame:
     return _primary(v.competition_eligible).agg(
         rows().alias("eligible_tenders"), F.min(N).alias("min_tenderers"), q.alias("q"), F.max(N).alias("max_tenderers")
     ).select(
-        "eligible_tenders", "min_tenderers", *[F.col("q")[i].alias(p) for i, p in enumerate(probs)], "max_tenderers"
+        "eligible_tenders", "min_tenderers", *[F.round(F.col("q")[i], 6).alias(p) for i, p in enumerate(probs)], "max_tenderers"
     )
 
 

@@ -310,7 +310,7 @@ def timing_distribution(v) -> DataFrame:
         F.count_if(days == 0).alias("same_day"), F.count_if(days > 365).alias("over_1_year"),
     )
     return t.select(
-        "measure", "eligible_n", "min_days", *[F.col("q")[i].alias(p) for i, p in enumerate(probs)], "max_days",
+        "measure", "eligible_n", "min_days", *[F.round(F.col("q")[i], 6).alias(p) for i, p in enumerate(probs)], "max_days",
         "mean_days", "same_day", "over_1_year", pct(F.col("over_1_year"), F.col("eligible_n"), 2).alias("over_1_year_pct"),
     )
 
