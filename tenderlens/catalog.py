@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderlens.operators.latest import latest_by_max, latest_per_key
+from tenderlens.functions import flags
 from tenderlens.operators.attribution import candidate_records, exclusion_attribution
 from tenderlens.plans import (
     building_blocks,
@@ -41,8 +42,8 @@ def present(df: DataFrame) -> DataFrame:
             return c.cast("bigint").alias(f.name)
         if isinstance(f.dataType, T.ArrayType):
             return F.array_join(c, ",").alias(f.name)
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return c.cast("date").alias(f.name)
+        if isinstance(f.dataType, T.TimestampType):
+            return flags.utc_day(c).alias(f.name)
         return c
 
     return df.select(*[plain(f) for f in df.schema.fields])

@@ -23,6 +23,11 @@ def strict_date(c: Column, field: str) -> Column:
     )
 
 
+def utc_day(ts: Column) -> Column:
+    """Calendar day of an instant in UTC, whatever the session time zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
 def date_flag(d: Column, r: Rules) -> Column:
     return (
         F.when(d.isNull(), F.lit(None))

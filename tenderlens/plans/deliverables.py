@@ -209,40 +209,16 @@ MEASURES = {
     "r12_disclosure": lambda ws: measures.disclosure(ws.v, {"method": SLICES.method_main}),
 }
 
-# figure -> the measure that must give the same number
-SECOND_PATH = {
-    "EXE-01": ("processes", {}, {}),
-    "EXE-03": ("award_value", {}, {}),
-    "EXE-04": ("median_award_value", {}, {}),
-    "EXE-07": ("top_supplier_share", {}, {"n": 10}),
-    "EXE-08": ("excluded_value_share", {}, {}),
-    "EXE-09": ("median_ratio", {}, {}),
-    "SUP-09": ("supplier_hhi", {}, {}),
-    "SUP-10": ("suppliers_with_one_award", {}, {}),
-    "SUP-11": ("excluded_awards", {}, {}),
-    "COM-05": ("single_bidder_rate_primary", {}, {}),
-    "COM-08": ("single_bidder_rate_primary", {"method": SLICES.method_main}, {}),
-    "BVA-05": ("aggregate_ratio", {}, {}),
-    "BVA-10": ("net_variance", {"buyer": SLICES.buyer}, {}),
-    "TIM-08": ("p90_award_lag", {}, {}),
-    "TIM-16": ("median_tender_duration", {"tender_start_year": SLICES.years[0]}, {}),
-    "ENT-06": ("top_entity_share", {}, {"n": 10}),
-    "IMP-04": ("implementation_coverage_rate", {"contract_status": SLICES.contract_status}, {}),
-    "IMP-C3": ("stage_conversion_rate", {}, {"stage": 3}),
-    "DQ-X3": ("impact", {}, {"metric": "M-V01", "issue": "DQ-07", "column": "records_with_issue"}),
-}
+def figure_pack(ws) -> DataFrame:
+    return ws.table("figure_pack", lambda: figures.all_figures(ws.v, SLICES))
 
 
 def figure_comparison(ws) -> DataFrame:
-    """The pack against the measures: two implementations of the same figures."""
-    every = union([f(ws.v, SLICES) for f in figures.FAMILIES.values()])
-    e = ws.table("figure_pack", lambda: every).filter(F.col("figure_id").isin(list(SECOND_PATH)))
-    a = union(
-        [
-            measures.measure(ws.v, name, f, **p).select(F.lit(fid).alias("figure_id"), F.col("value").alias("expected_value"))
-            for fid, (name, f, p) in SECOND_PATH.items()
-        ]
-    ).join(e.select("figure_id", "unit"), "figure_id")
+    """The whole pack against the measures: two implementations of every figure."""
+    e = figure_pack(ws)
+    again = measures.measure_batch(ws.v, figures.measure_calls(SLICES))
+    a = again.withColumnsRenamed({"label": "figure_id", "value": "expected_value"}).join(
+        e.select("figure_id", "unit"), "figure_id")
     return compare_figures(e, a, "figure_id", "expected_value", figures.PLACES).select(
         "figure_id", "unit", F.round("expected", 6).alias("expected"), F.round("actual", 6).alias("actual"), "matches")
 
@@ -281,9 +257,8 @@ COMPARISONS = {
     "c14_figure_comparison": figure_comparison,
     "c15_cell_comparison": cell_comparison,
     "c16_claim_trace": claim_trace,
-    "r_all_figures": lambda ws: ws.table(
-        "figure_pack", lambda: union([f(ws.v, SLICES) for f in figures.FAMILIES.values()])
-    ).groupBy("page", "unit").agg(rows().alias("n_figures"), F.count("expected_value").alias("with_value")),
+    "r_all_figures": lambda ws: figure_pack(ws).groupBy("page", "unit").agg(
+        rows().alias("n_figures"), F.count("expected_value").alias("with_value"), F.count("measure").alias("with_measure")),
     "st1_streamed_pick": incremental.streamed_pick,
     "st1b_streamed_budget_lines": incremental.streamed_budget_lines,
 }

@@ -6,6 +6,7 @@ conditional aggregates, so a slice never costs another scan.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from tenderlens.operators.order_stats import exact_percentiles
 from tenderlens.plans.common import dbl, ratio, rows, sum_if, union
 from tenderlens.plans.questions_supply import AWARD
 from tenderlens.plans.questions_value import BUDGET, RATIO
+from tenderlens.plans.register import METRICS
 from tenderlens.plans.views import median, method, rate
 
 # Page order of the pack.
@@ -382,7 +384,87 @@ FAMILIES = {
 }
 
 
+def measure_calls(s: Slices) -> dict[str, tuple[str, dict, dict]]:
+    """Every figure as a call of ``measures.measure``: (name, filters, parameters)."""
+    main, other, third, who = ({"method": s.method_main}, {"method": s.method_other}, {"method": s.method_third},
+                               {"buyer": s.buyer})
+    calls: dict[str, tuple] = {}
+
+    def plain(prefix: str, numbered: dict[int, str]):
+        for i, name in numbered.items():
+            calls[f"{prefix}-{i:02d}"] = (name, {}, {})
+
+    plain("EXE", {1: "processes", 2: "planned_budget", 3: "award_value", 4: "median_award_value",
+                  5: "single_bidder_rate_primary", 6: "median_tenderers_primary", 8: "excluded_value_share",
+                  9: "median_ratio", 10: "median_tender_duration", 11: "median_award_lag",
+                  12: "implementation_coverage_rate", 13: "planning_only_share"})
+    calls["EXE-07"] = ("top_supplier_share", {}, {"n": 10})
+    plain("SUP", {1: "supplier_awards", 2: "suppliers", 3: "supplier_value", 9: "supplier_hhi",
+                  10: "suppliers_with_one_award", 11: "excluded_awards", 12: "excluded_value", 13: "excluded_value_share"})
+    for i, n in enumerate((1, 5, 10, 20, 100), start=4):
+        calls[f"SUP-{i:02d}"] = ("top_supplier_share", {}, {"n": n})
+    calls["SUP-16"], calls["SUP-17"] = ("top_supplier_share", main, {"n": 1}), ("top_supplier_share", other, {"n": 1})
+    calls["SUP-18"] = ("supplier_hhi", other, {})
+    plain("COM", {1: "competition_n_primary", 2: "competition_n_sensitivity", 3: "median_tenderers_primary",
+                  4: "median_tenderers_sensitivity", 5: "single_bidder_rate_primary", 6: "single_bidder_rate_sensitivity"})
+    calls["COM-07"], calls["COM-08"] = ("single_bidder_rate_primary", third, {}), ("single_bidder_rate_primary", main, {})
+    calls["COM-09"] = ("single_bidder_rate_primary", {"tender_status": s.tender_status}, {})
+    calls["COM-10"] = ("median_tenderers_primary", main, {})
+    for b in range(1, 9):
+        calls[f"COM-B{b}"] = ("tenders_in_band", {}, {"band": b, "population": "primary" if b < 8 else "sensitivity only"})
+    plain("BVA", {1: "comparable_processes", 2: "comparable_budget", 3: "comparable_award", 4: "net_variance",
+                  5: "aggregate_ratio", 6: "median_ratio", 7: "share_within_10pct", 11: "small_budgets"})
+    calls["BVA-08"], calls["BVA-09"], calls["BVA-10"] = ("aggregate_ratio", main, {}), ("median_ratio", other, {}), ("net_variance", who, {})
+    for b in range(1, 7):
+        calls[f"BVA-B{b}"] = ("comparable_in_band", {}, {"band": b})
+    plain("TIM", {1: "tender_duration_n", 2: "award_lag_n", 3: "signature_lag_n", 4: "median_tender_duration",
+                  5: "median_award_lag", 6: "median_signature_lag", 7: "p90_tender_duration", 8: "p90_award_lag",
+                  9: "p90_signature_lag", 13: "award_lag_over_year_share"})
+    for i, metric in ((10, "M-E01"), (11, "M-E02"), (12, "P5-SIG")):
+        calls[f"TIM-{i}"] = ("eligible_share", {}, {"metric": metric})
+    calls["TIM-14"], calls["TIM-15"] = ("median_award_lag", other, {}), ("median_award_lag", main, {})
+    for i, y in enumerate(s.years, start=16):
+        calls[f"TIM-{i}"] = ("median_tender_duration", {"tender_start_year": y}, {})
+    for k, kind in enumerate(("tender_duration", "award_lag", "signature_lag"), start=1):
+        for b in range(1, 7):
+            calls[f"TIM-D{k}-{b}"] = ("timing_in_band", {}, {"interval": kind, "band": b})
+    plain("ENT", {1: "entities", 2: "entity_processes", 3: "entity_planned_budget", 4: "entity_award_value"})
+    for i, n in ((5, 1), (6, 10), (7, 100)):
+        calls[f"ENT-{i:02d}"] = ("top_entity_share", {}, {"n": n})
+    for i, (name, k) in enumerate((("median_entity_single_bidder_rate", 30), ("median_entity_top_supplier_share", 10),
+                                   ("median_entity_implementation", 20)), start=8):
+        calls[f"ENT-{i:02d}"] = (name, {}, {"min_n": k})
+    for i, kpi in enumerate(("single_bidder_rate", "top_supplier_value_share", "implementation_coverage_rate",
+                             "tender_reach_rate", "median_award_value"), start=11):
+        calls[f"ENT-{i}"] = ("entity_kpi", who, {"kpi": kpi})
+    plain("IMP", {1: "contracts", 2: "contracts_with_implementation", 3: "implementation_coverage_rate"})
+    calls["IMP-04"] = ("implementation_coverage_rate", {"contract_status": s.contract_status}, {})
+    calls["IMP-05"] = ("implementation_coverage_rate", who, {})
+    for k in range(1, 6):
+        calls[f"IMP-S{k}"] = ("processes_reaching_stage", {}, {"stage": k})
+    for k in range(2, 6):
+        calls[f"IMP-C{k}"] = ("stage_conversion_rate", {}, {"stage": k})
+    for k in range(1, 5):
+        calls[f"IMP-T{k}"] = ("contracts_of_type", {}, {"band": k})
+    for metric in (m[0] for m in METRICS):
+        slug = re.sub("[^A-Za-z0-9]+", "-", metric).rstrip("-")
+        calls[f"DQ-C-{slug}"] = ("register", {}, {"metric": metric, "column": "candidate_count"})
+        calls[f"DQ-E-{slug}"] = ("register", {}, {"metric": metric, "column": "eligible_count"})
+        calls[f"DQ-P-{slug}"] = ("eligible_share", {}, {"metric": metric})
+    cells = (("M-P01", "DQ-06", "records_with_issue"), ("M-P01", "DQ-06", "affected_value_ngn"),
+             ("M-V01", "DQ-07", "records_with_issue"), ("M-V01", "DQ-20", "records_with_issue"),
+             ("M-E02", "DATE-ORDER", "records_with_issue"), ("M-E01", "ALL", "records_with_issue"),
+             ("M-S01", "DQ-13", "records_with_issue"))
+    for i, (metric, ref, column) in enumerate(cells, start=1):
+        calls[f"DQ-X{i}"] = ("impact", {}, {"metric": metric, "issue": ref, "column": column})
+    for i, column in ((14, "records_with_issue"), (15, "affected_value_ngn")):
+        calls[f"SUP-{i}"] = ("impact", {}, {"metric": "M-S01", "issue": "DQ-14", "column": column})
+    return calls
+
+
 def all_figures(v, s: Slices) -> DataFrame:
-    every = union([f(v, s) for f in FAMILIES.values()])
+    """Every figure in page order, with the measure it corresponds to."""
+    names = F.create_map(*[F.lit(x) for fid, call in measure_calls(s).items() for x in (fid, call[0])])
+    every = union([f(v, s) for f in FAMILIES.values()]).withColumn("measure", names[F.col("figure_id")])
     place = F.array_position(F.array(*[F.lit(x) for x in PAGES]), F.col("page"))
     return every.orderBy(place, "figure_id")

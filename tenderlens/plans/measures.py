@@ -157,6 +157,22 @@ COMPOSED = {
 }
 
 
+TIMING = {
+    "tender_duration": ("tender_duration_eligible", "tender_duration_days"),
+    "award_lag": ("award_lag_eligible", "award_lag_days"),
+    "signature_lag": ("signature_lag_eligible", "signature_lag_days"),
+}
+
+
+def _timing_in_band(v, f, p):
+    view, days = TIMING[p["interval"]]
+    six = [F.lit(i) for i in range(1, 7)]
+    return _value(filtered(v, view, f), F.count_if(bands.duration_band(F.col(days), six) == p["band"]))
+
+
+COMPOSED["timing_in_band"] = _timing_in_band
+
+
 def measure(v, name: str, filters: dict | None = None, **params) -> DataFrame:
     """One row, one ``value`` (double)."""
     filters = filters or {}
@@ -166,6 +182,29 @@ def measure(v, name: str, filters: dict | None = None, **params) -> DataFrame:
     return COMPOSED[name](v, filters, params)
 
 
+def measure_batch(v, calls: dict[str, tuple[str, dict, dict]]) -> DataFrame:
+    """(label, value) of many calls. Simple measures of one view under the same
+    filters share one scan; the others are one small query each."""
+    shared: dict[tuple, dict[str, Column]] = {}
+    parts = []
+    for label, (name, filters, params) in calls.items():
+        if name in SIMPLE:
+            view, agg = SIMPLE[name]
+            shared.setdefault((view, tuple(sorted(filters.items()))), {})[label] = agg(params)
+        elif name == "timing_in_band":
+            view, days = TIMING[params["interval"]]
+            six = [F.lit(i) for i in range(1, 7)]
+            c = F.count_if(bands.duration_band(F.col(days), six) == params["band"])
+            shared.setdefault((view, tuple(sorted(filters.items()))), {})[label] = c
+        else:
+            parts.append(COMPOSED[name](v, filters, params).select(F.lit(label).alias("label"), "value"))
+    for (view, filters), columns in shared.items():
+        one = filtered(v, view, dict(filters)).agg(*[dbl(c).alias(f"v{i}") for i, c in enumerate(columns.values())])
+        cells = [F.struct(F.lit(x).alias("label"), F.col(f"v{i}").alias("value")) for i, x in enumerate(columns)]
+        parts.append(one.select(F.inline(F.array(*cells))))
+    return union(parts)
+
+
 def measure_table(v, calls: list[tuple[str, str, dict, dict]]) -> DataFrame:
     """(label, value) rows for several measure calls."""
     return union(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlens.functions import flags
+from tenderlens.model import RELEASE_FIELDS
 from tenderlens.operators.order_stats import exact_percentiles
 from tenderlens.plans.common import rows, union
 
@@ -69,8 +71,6 @@ def most_repeated(ws, n: int = 10) -> DataFrame:
 
 def field_presence(ws) -> DataFrame:
     """Present and non-empty counts of every top-level field, one scan."""
-    from tenderlens.model import RELEASE_FIELDS
-
     def filled(name, kind):
         c = F.col(name)
         if kind.startswith("array"):
@@ -211,7 +211,7 @@ def frequencies(ws) -> DataFrame:
 
 
 def release_dates_by_year(ws) -> DataFrame:
-    return ws.stg.releases.groupBy(F.year("release_date").alias("year")).agg(
+    return ws.stg.releases.groupBy(F.year(flags.utc_day(F.col("release_date"))).alias("year")).agg(
         rows().alias("releases"), F.count_distinct("ocid").alias("processes")
     )
 
