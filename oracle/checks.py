@@ -170,6 +170,13 @@ SUITES: dict[str, list[tuple]] = {
         ("WF-07", None, n(LAG, "d < 0")), ("WF-08", None, n(SIG, "d < 0")), ("WF-09", None, "(SELECT quantile_cont(number_of_tenderers::DOUBLE, 0.5) FROM competition WHERE prim)"),
         ("WF-10", None, n("tender", "tender_start_date_flag = 'VALID'")),
     ],
+    "c09b_spot_checks": [
+        (f"SP-{c}{i}", None, f"(SELECT max({col}) FROM {src} WHERE ocid = '{p}')")
+        for i, p in enumerate(("P1", "P10", "P100"))
+        for c, src, col in (("A", "awv", "award_id"), ("B", "sav", "supplier_name"),
+                            ("C", "ps", "(['planning','tender','award','contract','implementation'])[stage]"),
+                            ("D", "asf", "CASE WHEN dd AND sl THEN 'DROPPED_DECIMAL+SIBLING_LOT' WHEN dd THEN 'DROPPED_DECIMAL' ELSE 'SIBLING_LOT' END"))
+    ],
     "c10_business_questions": [
         ("BQ-01", f"(SELECT max(v)::DECIMAL(38,4) FROM {MINE})", f"(SELECT max(v)::DECIMAL(38,4) FROM {SUPV})"), ("BQ-02", n(MINE), n(SUPV)),
         ("BQ-03", money(f"(SELECT v FROM {MINE} ORDER BY v DESC LIMIT 10)", "v"), money(f"(SELECT v FROM {SUPV} ORDER BY v DESC LIMIT 10)", "v")),

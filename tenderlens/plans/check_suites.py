@@ -500,8 +500,8 @@ def analytical_views(ws) -> DataFrame:
             Check("AV-05", "M-S01 awards = recount", F.count_distinct("award_id"), count(m_s01)),
             Check("AV-06", "M-S01 one row per award", rows(), v.supplier_award_eligible.agg(F.count_distinct("award_id")).scalar()),
             Check("AV-07", "M-S01 most suppliers per award", F.max("distinct_supplier_count"), "1"),
-            Check("SP-06", "award and supplier repeated", repeats(["award_id", "supplier_id"]), "0"),
         ]),
+        probe(v.supplier_award_eligible, [Check("SP-06", "award and supplier repeated", repeats(["award_id", "supplier_id"]), "0")]),
         probe(v.budget_award_comparison, [Check("AV-08", "budget to award = recount", rows(), count(bva))]),
         probe(v.tender_duration_eligible, [Check("AV-09", "M-E01 = recount", rows(), count(dur))]),
         probe(v.award_lag_eligible, [Check("AV-10", "M-E02 = recount", rows(), count(lag))]),
@@ -546,6 +546,32 @@ def analytical_views(ws) -> DataFrame:
     return suite("Analytical views", probes)
 
 
+def spot_checks(ws, records: list[tuple]) -> DataFrame:
+    """Named records: (check id, view, key column, key, column, expected or None)."""
+    by_view: dict[str, list[tuple]] = {}
+    for record in records:
+        by_view.setdefault(record[1], []).append(record)
+    probes = []
+    for view, wanted in by_view.items():
+        checks = [
+            Check(cid, f"{view}: {column} of {key}", F.max(F.when(F.col(key_column) == key, F.col(column).cast("string"))), expected)
+            for cid, _, key_column, key, column, expected in wanted
+        ]
+        probes.append(probe(getattr(ws.v, view), checks))
+    return suite("Spot checks", probes)
+
+
+# Three processes of the order data, in the views that show a correction, a supplier and a stage.
+ORDER_SPOTS = [
+    (f"SP-{c}{i}", view, "ocid", key, column, None)
+    for i, key in enumerate(("P1", "P10", "P100"))
+    for c, view, column in (
+        ("A", "award_value_eligible", "award_id"), ("B", "supplier_award_eligible", "supplier_name"),
+        ("C", "lifecycle_stage", "highest_stage"), ("D", "award_scale_flag", "flag_reason"),
+    )
+]
+
+
 # ------------------------------------------------------------------ 10 questions
 def business_questions(ws) -> DataFrame:
     v, stg, r, i = ws.v, ws.stg, ws.rules, _independent(ws)
@@ -806,6 +832,7 @@ SUITES = {
     "c07_layer_reconciliation": layer_reconciliation,
     "c08_observations": observations,
     "c09_analytical_views": analytical_views,
+    "c09b_spot_checks": lambda ws: spot_checks(ws, ORDER_SPOTS),
     "c10_business_questions": business_questions,
     "c11_presentation_dims": presentation_dims,
     "c12_scale_flag": scale_flag,

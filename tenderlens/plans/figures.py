@@ -137,6 +137,7 @@ def suppliers(v, s: Slices) -> DataFrame:
     p, sup, aw = PAGES[1], v.supplier_award_eligible, v.award_value_eligible
     awards = F.count_distinct("award_id")
     n = sup.agg(awards).scalar()
+    holders = sup.select("supplier_id").distinct().agg(rows()).scalar()
     top = [1, 5, 10, 20, 100]
     c = concentration(holder_totals(sup, "supplier_id", AWARD), "supplier_id", top)
     g = ["m"]
@@ -155,7 +156,7 @@ def suppliers(v, s: Slices) -> DataFrame:
     return union([
         pack(sup, [
             Figure("SUP-01", p, "Eligible awards", awards, "count", awards),
-            Figure("SUP-02", p, "Distinct suppliers", F.count_distinct("supplier_id"), "count", awards),
+            Figure("SUP-02", p, "Distinct suppliers", holders, "count", awards),
             Figure("SUP-03", p, "Value attributed", F.sum(AWARD), "NGN", awards),
         ]),
         pack(c, [

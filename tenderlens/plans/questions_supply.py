@@ -45,11 +45,15 @@ def population_disclosure(v, awards=None, suppliers=None) -> DataFrame:
     awards = v.award_value_eligible if awards is None else awards
     suppliers = v.supplier_award_eligible if suppliers is None else suppliers
     cand = awards.agg(rows().alias("n"), F.sum(AWARD).alias("value"))
-    e = suppliers.agg(
-        F.count_distinct("award_id").alias("eligible_awards"),
-        F.count_distinct("supplier_id").alias("distinct_suppliers"),
-        F.sum(AWARD).alias("value"),
-    ).withColumns({"cand_n": cand.select("n").scalar(), "cand_value": cand.select("value").scalar()})
+    # One distinct count per aggregate: two would expand every row.
+    holders = suppliers.select("supplier_id").distinct().agg(rows()).scalar()
+    e = suppliers.agg(F.count_distinct("award_id").alias("eligible_awards"), F.sum(AWARD).alias("value")).withColumns(
+        {
+            "distinct_suppliers": holders,
+            "cand_n": cand.select("n").scalar(),
+            "cand_value": cand.select("value").scalar(),
+        }
+    )
     left_out = F.col("cand_value") - F.col("value")
     return e.select(
         F.lit("M-S01").alias("metric"),

@@ -340,7 +340,6 @@ def source_totals(releases: DataFrame, r: Rules) -> DataFrame:
     n("count.transactions", F.size(tx))
     n("count.milestones", F.size(ms))
     n("count.parties", F.size(parties))
-    total["count.processes"] = F.count_distinct("ocid").cast("string")
     n("count.contracts_with_implementation", count_if(
         contracts,
         lambda c: (F.size(F.coalesce(c["implementation"]["transactions"], F.array())) > 0)
@@ -390,7 +389,11 @@ def source_totals(releases: DataFrame, r: Rules) -> DataFrame:
     n("flag.party.INCOMPLETE", count_if(
         parties,
         lambda p: F.coalesce(F.array_contains(p["roles"], "supplier") & (p["id"] == r.bare_supplier_id), F.lit(False))))
-    return releases.agg(*[c.alias(k.replace(".", "__")) for k, c in total.items()])
+    # The distinct count is its own aggregate: next to the sums it would make
+    # Spark shuffle one wide partial row per process.
+    processes = releases.select("ocid").distinct().agg(F.count(F.lit(1)).cast("string")).scalar()
+    wide = releases.agg(*[c.alias(k.replace(".", "__")) for k, c in total.items()])
+    return wide.withColumn("count__processes", processes)
 
 
 def source_profile(releases: DataFrame, r: Rules) -> DataFrame:

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from tenderlens.plans import core as core_plan
-from tenderlens.plans.check_suites import document_reconciliation
+from tenderlens.plans.check_suites import document_reconciliation, spot_checks
 from tenderlens.plans.workspace import Views, Workspace
 from tenderlens.rules import Rules
 from tenderlens.sources import package
@@ -184,6 +184,19 @@ def test_scale_flag(ws):
     assert f["A24"] == ("SIBLING_LOT", 500.0)
 
 
+def test_spot_checks(ws):
+    spots = [
+        ("SP-02", "award_value_eligible", "ocid", "P2", "award_value_amount", "5000.0000"),
+        ("SP-03", "supplier_award_eligible", "ocid", "P8", "supplier_name", "Acme"),
+        ("SF-11", "award_scale_flag", "award_id", "A24", "flag_reason", "SIBLING_LOT"),
+        ("SF-13", "award_scale_flag", "award_id", "A20", "flag_reason", None),
+        ("bad", "award_scale_flag", "award_id", "A24", "flag_reason", "DROPPED_DECIMAL"),
+    ]
+    got = by(spot_checks(ws, spots), "check_id", "passed", "actual")
+    assert got["SP-02"] == (True, "5000.0000") and got["SP-03"] == (True, "Acme") and got["SF-11"][0]
+    assert got["SF-13"] == (None, None) and got["bad"] == (False, "SIBLING_LOT")
+
+
 def test_attribution_reconciles(ws):
     for r in ws.v.dq_impact.filter("dq_ref = 'ALL'").collect():
         assert r["records_with_issue"] == r["candidate_records"] - r["eligible_records"], r["metric_id"]
