@@ -19,7 +19,10 @@ def value_bucket(value: Column) -> Column:
     """Monotone bucket number, 0.3% wide: money spans some 10,000 buckets, and
     one bucket of 4-decimal amounts holds a bounded number of distinct values."""
     x = value.cast("double")
-    return (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * _STEPS_PER_OCTAVE)).cast("int")
+    b = (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * _STEPS_PER_OCTAVE)).cast("int")
+    # Never NULL: no null filter is pushed to one side of the bucket joins only,
+    # so both sides keep the same plan and the pre-aggregated shuffle is reused.
+    return F.coalesce(b, F.lit(0))
 
 
 def _keys(groups) -> list[str]:

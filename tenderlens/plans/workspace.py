@@ -22,15 +22,21 @@ from tenderlens.rules import Rules
 from tenderlens.sources import package
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the session names; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tenderlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = context.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tenderlens-")
+    return _LOCAL_FOLDERS[app]
 
 
 class Workspace:
