@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from oracle.prelude import with_tables
+from oracle.questions import SQL as QUESTIONS
 from oracle.questions import DB, HHI, KB, KPI, PB, RB, pct, q, ranked_totals
 from oracle.blocks import IMPLT
+from oracle.impact import SQL as IMPACT
 
 FLAG = "(award_id IN (SELECT award_id FROM asf))"
 MAIN, OTHER, THIRD, BUYER = "'1-URGENT'", "'2-HIGH'", "'5-LOW'", "'B-3'"
@@ -166,12 +168,14 @@ SQL = {
        UNION ALL SELECT 'signature_lag', buyer_id, buyer_id_flag, NULL, NULL, days FROM sle""",
     "s17_dictionary_encoding": f"SELECT count(*) AS facts, 0::BIGINT AS buyers_outside, 0::BIGINT AS methods_outside, count(*) FILTER (buyer_id = 'B-') AS bare_buyer_facts, count(DISTINCT buyer_id) AS buyers_used, count(DISTINCT {NM}) AS methods_used FROM awv",
     "s18_minor_units": "SELECT award_id, (value * 100)::BIGINT AS value_minor FROM awv",
-    "s21_presentation": " UNION ALL ".join(f"SELECT '{v}' AS view_name, {NM} AS procurement_method, count(*) AS n FROM {t} GROUP BY 1, 2" for v, t in PRES.items()),
+    "s21_presentation": " UNION ALL ".join(
+        f"SELECT '{v}' AS view_name, count(*) AS n, " + ("count(*) FILTER (method IS NULL)" if v in PRES else "0::BIGINT") + f" AS not_stated FROM {t}"
+        for v, t in VIEWS.items() if v not in ("award_scale_flag", "dim_procurement_method"))
+      + " UNION ALL SELECT 'dim_procurement_method', count(DISTINCT coalesce(method, '-')), count(DISTINCT coalesce(method, '-')) FILTER (method IS NULL) FROM competition",
     "s22_constant_table": "SELECT i::BIGINT AS step, x::DOUBLE AS \"limit\", count(*) AS awards FROM awv, (VALUES (0, 50000), (1, 100000), (2, 200000), (3, 400000)) g(i, x) WHERE value >= x GROUP BY 1, 2",
     "s23_series": f"SELECT g.i AS band, count(c.b) AS n FROM (SELECT unnest(generate_series(1, 8)) AS i) g LEFT JOIN (SELECT left(({PB}), 1)::BIGINT AS b FROM competition) c ON c.b = g.i GROUP BY 1",
-    "s24_stored_results": f"""SELECT 'concentration_by_method' AS result_set, 7 * count(DISTINCT {NM}) AS n_cells, count(DISTINCT {NM}) AS n_rows, 7 * count(DISTINCT {NM}) AS filled FROM sav
-       UNION ALL SELECT 'competition_by_method', 6 * count(DISTINCT {NM}), count(DISTINCT {NM}), 6 * count(DISTINCT {NM}) FROM competition WHERE prim
-       UNION ALL SELECT 'competition_headline', 10, 2, 10 UNION ALL SELECT 'competition_by_status', 4 * count(DISTINCT tender_status), count(DISTINCT tender_status), 4 * count(DISTINCT tender_status) FROM competition""",
+    "s24_stored_results": " UNION ALL ".join(
+        f"SELECT '{n}' AS result_set, count(*) AS n_rows FROM ({body})" for n, body in {**QUESTIONS, **IMPACT}.items() if n.startswith("q")),
     **{name: " UNION ALL ".join(parts) for name, parts in R.items()},
     "r9_measures_under_filters": " UNION ALL ".join(R9),
     "r10_scenario_headlines": " UNION ALL ".join(scenario("published", "true") + scenario("without flagged", f"NOT {FLAG}")),

@@ -80,6 +80,7 @@ SQL = {
         freq("procurement_method_details", "tender", "method"), freq("tender_status", "tender", "status"), freq("award_status", "awards", "status"), freq("contract_status", "contracts", "status"),
         freq("party_role", "(SELECT unnest(string_split(roles, ',')) AS role FROM parties)", "role"), freq("suppliers_per_award", "(SELECT count(*) AS n FROM award_suppliers GROUP BY award_id)", "n")]),
     "p10_release_dates_by_year": "SELECT year(release_date) AS year, count(*) AS releases, count(DISTINCT ocid) AS processes FROM releases GROUP BY 1",
+    "p10c_equal_to_package_date": "SELECT (SELECT max(release_date) FROM releases) AS published, count(*) AS releases, count(*) FILTER (release_date = (SELECT max(release_date) FROM releases)) AS on_that_day FROM releases",
     "p10b_date_order_disagreement": """SELECT count(*) AS repeated_processes, count(*) FILTER (a <> b) AS order_disagrees FROM (SELECT arg_max(release_id, (release_date, release_seq)) AS a,
        arg_max(release_id, release_seq) AS b FROM releases GROUP BY ocid HAVING count(*) > 1)""",
     "p11_dropped_decimal_candidates": "SELECT ocid, award_id, ratio AS award_to_budget_ratio, value::DOUBLE / 100 / budget::DOUBLE BETWEEN 0.5 AND 2 AS fits_after_division FROM bva WHERE ratio > 10",

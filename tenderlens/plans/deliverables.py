@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 from tenderlens.functions import bands, flags
 from tenderlens.operators.checks import cells, compare_cells, compare_figures, trace_claims
-from tenderlens.plans import export, figures, incremental, measures, questions_supply, register
+from tenderlens.plans import (
+    export,
+    figures,
+    incremental,
+    measures,
+    questions_entity,
+    questions_supply,
+    questions_value,
+    register,
+)
 from tenderlens.plans.common import rows, union
 from tenderlens.plans.questions_supply import AWARD
+from tenderlens.rules import METHOD_NOT_STATED
 from tenderlens.sources import package, sinks
 
 SLICES = figures.ORDER_SLICES
@@ -92,13 +102,14 @@ def integrity(ws) -> DataFrame:
 
 
 def presented_counts(ws) -> DataFrame:
-    return union(
-        [
-            export.presented(ws.v, view).groupBy("procurement_method").agg(rows().alias("n")).select(
-                F.lit(view).alias("view_name"), "procurement_method", "n")
-            for view in export.PRESENTED
-        ]
-    )
+    """Rows of each reporting projection, and how many carry the not-stated label."""
+    parts = []
+    for view in export.PRESENTED:
+        df = export.presented(ws.v, view)
+        label = F.col("procurement_method") == METHOD_NOT_STATED if "procurement_method" in df.columns else F.lit(False)
+        parts.append(df.agg(rows().alias("n"), F.count_if(label).alias("not_stated")).select(
+            F.lit(view).alias("view_name"), "n", "not_stated"))
+    return union(parts)
 
 
 def constant_table_join(ws) -> DataFrame:
@@ -130,8 +141,12 @@ def long_results(ws) -> DataFrame:
 
 
 def stored_results(ws) -> DataFrame:
-    return ws.table("result_cells", lambda: long_results(ws)).groupBy("result_set").agg(
-        rows().alias("n_cells"), F.count_distinct("row_key").alias("n_rows"), F.count("value").alias("filled"))
+    """Run every result set, store its rows, and count what was stored."""
+    root = f"{ws.root}/result_sets"
+    if "result_sets" not in ws.__dict__:
+        every = {**questions_supply.RESULT_SETS, **questions_value.RESULT_SETS, **questions_entity.RESULT_SETS}
+        ws.result_sets = sinks.store_result_sets({n: f(ws.v) for n, f in every.items()}, root)
+    return ws.spark.read.parquet(root).groupBy("result_set").agg(rows().alias("n_rows"))
 
 
 SOURCES = {

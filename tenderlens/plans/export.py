@@ -161,21 +161,34 @@ def presentation(df: DataFrame, keep: dict[str, str], fill: dict[str, str] | Non
     )
 
 
-# view -> columns shown; the method is renamed and its NULL labelled.
+# view -> columns shown; where a view has a method it is renamed and its NULL labelled.
+_METHOD = "procurement_method_details"
 PRESENTED = {
-    "competition_eligible": ["ocid", "buyer_id", "tender_status", "number_of_tenderers", "in_primary_population", "is_single_bidder"],
-    "award_value_eligible": ["ocid", "award_id", "buyer_id", "award_value_amount", "award_date"],
-    "supplier_award_eligible": ["ocid", "award_id", "buyer_id", "supplier_id", "supplier_name", "award_value_amount"],
-    "budget_award_comparison": ["ocid", "award_id", "buyer_id", "budget_amount", "award_value_amount", "award_to_budget_ratio"],
-    "tender_duration_eligible": ["ocid", "buyer_id", "tender_start_date", "tender_duration_days"],
-    "award_lag_eligible": ["ocid", "award_id", "buyer_id", "award_date", "award_lag_days"],
+    "dim_buyer": ["buyer_id", "buyer_name", "buyer_code", "buyer_label"],
+    "dim_procurement_method": ["procurement_method", "is_not_stated"],
+    "lifecycle_stage": ["ocid", "buyer_id", "release_count", "highest_stage_rank", "highest_stage"],
+    "budget_eligible": ["ocid", "budget_project_id", "buyer_id", "budget_amount", "multi_project_flag"],
+    "competition_eligible": ["ocid", "buyer_id", _METHOD, "tender_status", "number_of_tenderers", "in_primary_population", "is_single_bidder"],
+    "award_value_eligible": ["ocid", "award_id", "buyer_id", _METHOD, "award_value_amount", "award_date"],
+    "supplier_award_eligible": ["ocid", "award_id", "buyer_id", _METHOD, "supplier_id", "supplier_name", "award_value_amount"],
+    "budget_award_comparison": ["ocid", "award_id", "buyer_id", _METHOD, "budget_amount", "award_value_amount", "award_to_budget_ratio"],
+    "tender_duration_eligible": ["ocid", "buyer_id", _METHOD, "tender_start_date", "tender_duration_days"],
+    "award_lag_eligible": ["ocid", "award_id", "buyer_id", _METHOD, "award_date", "award_lag_days"],
+    "signature_lag_eligible": ["ocid", "contract_id", "buyer_id", "date_signed", "signature_lag_days"],
+    "contract_implementation_coverage": ["ocid", "contract_id", "buyer_id", "contract_status", "has_implementation"],
+    "entity_benchmark": ["buyer_id", "process_count", "award_n", "award_value_total", "single_bidder_rate"],
+    "metric_population": ["metric_id", "candidate_count", "eligible_count", "eligible_pct"],
+    "dq_impact": ["metric_id", "dq_ref", "impact_type", "records_with_issue", "pct_of_candidate"],
 }
+_TYPES = {"number_of_tenderers": "bigint", "highest_stage_rank": "bigint", "release_count": "bigint"}
 
 
 def presented(v, view: str) -> DataFrame:
-    m = "procurement_method_details"
-    keep = {**{c: c for c in PRESENTED[view]}, m: "procurement_method"}
-    return presentation(getattr(v, view), keep, {m: METHOD_NOT_STATED})
+    """The reporting projection of a view: named, labelled and typed columns."""
+    df = getattr(v, view)
+    typed = df.withColumns({c: F.col(c).cast(t) for c, t in _TYPES.items() if c in df.columns})
+    keep = {c: "procurement_method" if c == _METHOD else c for c in PRESENTED[view]}
+    return presentation(typed, keep, {_METHOD: METHOD_NOT_STATED})
 
 
 TABLES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,20 @@ def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/run={current_run(spark, root)}/{name}")
 
 
+def store_result_sets(result_sets: dict[str, DataFrame], root: str) -> str:
+    """Each named result set as JSON rows in its own partition; a few jobs at a time."""
+
+    def one(item: tuple[str, DataFrame]) -> None:
+        name, df = item
+        df.select(F.to_json(F.struct(*df.columns)).alias("row_json")).write.mode("overwrite").parquet(
+            f"{root}/result_set={name}"
+        )
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(one, result_sets.items()))
+    return root
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """Name, bytes and SHA-256 of every file under ``path``; one row, and one read, per file."""
     files = (

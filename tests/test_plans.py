@@ -66,3 +66,35 @@ def test_manifest_finds_changes(spark, tmp_path):
     (tmp_path / "y.parquet").write_bytes(b"changed")
     with pytest.raises(ValueError, match="differ"):
         sinks.require_intact(pinned, sinks.file_manifest(spark, str(tmp_path)))
+
+
+def test_export_and_result_sets(spark, workspace, tmp_path):
+    from tenderlens.plans import export
+
+    root = str(tmp_path / "export")
+    export.export_tables(workspace.v, root)
+    facts = sinks.read_current(spark, root, "awards")
+    assert facts.count() == workspace.v.award_value_eligible.count()
+    codes = export.dictionary(workspace.v.dim_buyer, "buyer_id")
+    index = sorted(r["index"] for r in codes.collect())
+    assert index == list(range(workspace.v.dim_buyer.count()))
+
+
+def test_minor_units_refuse_fractions(spark):
+    from tenderlens.plans.export import minor_units
+
+    df = spark.sql("SELECT CAST(x AS DECIMAL(30,4)) AS x FROM VALUES (1.25), (NULL), (7) t(x)")
+    assert [r["m"] for r in df.select(minor_units(F.col("x")).alias("m")).collect()] == [125, None, 700]
+    with pytest.raises(Exception, match="whole number of minor units"):
+        spark.sql("SELECT CAST(1.255 AS DECIMAL(30,4)) AS x").select(minor_units(F.col("x"))).collect()
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tenderlens.plans.workspace import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, applicationId="x")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
