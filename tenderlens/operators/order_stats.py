@@ -181,6 +181,16 @@ def top_rows(
     return few.withColumn(name, F.row_number().over(w)).drop("_all")
 
 
+def _fewest(k: Column, value: Column, need: Column) -> Column:
+    """Smallest count, from ``k`` up, whose exact multiple of ``value`` covers ``need``."""
+    return (
+        F.when(k * value >= need, k)
+        .when((k + 1) * value >= need, k + 1)
+        .when((k + 2) * value >= need, k + 2)
+        .otherwise(k + 3)
+    )
+
+
 def depth_to_share(
     df: DataFrame, value: str, shares: dict[str, str], groups: tuple | list = ()
 ) -> DataFrame:
@@ -217,10 +227,9 @@ def depth_to_share(
         .withColumn("_s0", F.col("_before__s") + F.coalesce(F.sum("_s").over(w), zero))
         .withColumn("_t", F.explode("_want"))
         .filter((F.col("_t.goal") > F.col("_s0")) & (F.col("_t.goal") <= F.col("_s0") + F.col("_s")))
-        .withColumn(
-            "_depth",
-            F.col("_n0") + F.ceil((F.col("_t.goal") - F.col("_s0")).cast("double") / F.col("_v").cast("double")),
-        )
+        .withColumn("_need", F.col("_t.goal") - F.col("_s0"))
+        .withColumn("_k", F.greatest(F.floor(F.col("_need").cast("double") / F.col("_v").cast("double")) - 1, zero))
+        .withColumn("_depth", F.col("_n0") + _fewest(F.col("_k"), F.col("_v"), F.col("_need")))
     )
     return inside.groupBy(*keys).agg(
         *[

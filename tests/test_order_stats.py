@@ -103,6 +103,12 @@ def test_concentration_and_depth(spark):
             assert r["most"] == int(np.argmax(cum * 10 >= total * 8)) + 1
 
 
+def test_depth_is_exact_on_decimal_multiples(spark):
+    df = spark.sql("SELECT CAST(0.1 AS DECIMAL(30,4)) AS v FROM range(22)")
+    got = o.depth_to_share(df, "v", {"half": "0.5", "all": "1.0", "most": "0.8"}).first()
+    assert (got["half"], got["all"], got["most"]) == (11, 22, 18)
+
+
 def test_top_share_includes_ties(spark):
     df = spark.createDataFrame([(5,), (5,), (3,), (3,), (3,), (1,)], "value long")
     assert top_share_with_ties(df, 3).first()["share"] == pytest.approx(19 / 20)
