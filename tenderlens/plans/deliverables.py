@@ -140,13 +140,17 @@ def long_results(ws) -> DataFrame:
     return union([cells(getattr(questions_supply, n)(ws.v), n, keys) for n, keys in STORED.items()])
 
 
+RESULT_SETS = {**questions_supply.RESULT_SETS, **questions_value.RESULT_SETS, **questions_entity.RESULT_SETS}
+
+
 def stored_results(ws) -> DataFrame:
-    """Run every result set, store its rows, and count what was stored."""
+    """Run every result set, store its rows, and count what was stored; an empty set counts 0."""
     root = f"{ws.root}/result_sets"
     if "result_sets" not in ws.__dict__:
-        every = {**questions_supply.RESULT_SETS, **questions_value.RESULT_SETS, **questions_entity.RESULT_SETS}
-        ws.result_sets = sinks.store_result_sets({n: f(ws.v) for n, f in every.items()}, root)
-    return ws.spark.read.parquet(root).groupBy("result_set").agg(rows().alias("n_rows"))
+        ws.result_sets = sinks.store_result_sets({n: f(ws.v) for n, f in RESULT_SETS.items()}, root)
+    stored = ws.spark.read.parquet(root).groupBy("result_set").agg(rows().alias("n"))
+    names = ws.spark.createDataFrame([(n,) for n in RESULT_SETS], "result_set string")
+    return names.join(stored, "result_set", "left").select("result_set", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 SOURCES = {
