@@ -23,11 +23,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlens.llm import textscan
+
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -157,16 +158,6 @@ class _Shared:
         return self.variable.value
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``size`` bytes of text, so that long texts leave in small batches."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(lengths, dtype=np.int64) // size
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ``ids`` array of int): the token ids of each whole text."""
     spark = docs.sparkSession
@@ -176,7 +167,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for part in _slices(batch, 1, OUT_BYTES):
+            for part in textscan.slices(batch, 1, OUT_BYTES):
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())

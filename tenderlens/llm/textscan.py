@@ -11,10 +11,12 @@ mixed afterwards).  Two different words meet with probability 2**-64 per pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,6 +56,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _Cache.up[:n], _Cache.down[:n]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z; other bytes as they are."""
+    return _LOWER[data]
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each; a longer text is a part of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and n + 1 offsets; a null text has no bytes."""
     if texts.null_count:
@@ -112,21 +129,35 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 def scan(texts: pa.Array, lower: bool = True) -> Words:
     data, offsets = buffer_of(texts)
     if lower:
-        data = _LOWER[data]
+        data = lowered(data)
     start, end, doc = spans(data, offsets)
     return Words(data, offsets, start, end, doc, span_hashes(data, start, end))
 
 
+def within(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only inside one text."""
+    return mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of every run of ``size`` words that lies in one text."""
+    return windows_at(words, size)[:2]
+
+
+def windows_at(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``windows``, and the place of each run's first word."""
     n = len(words.hash) - size + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     for i in range(size):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words.hash[i: i + n]
-    own = words.doc[:n] == words.doc[size - 1:]
-    return mix(h[own]), words.doc[:n][own]
+    at = np.flatnonzero(words.doc[:n] == words.doc[size - 1:])
+    return mix(h[at]), words.doc[at], at
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
