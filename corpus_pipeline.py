@@ -1 +1,74 @@
-"""The corpus pipeline: stages of the training-data operators, each written and read again."""
+"""The corpus pipeline: quality, language, near-duplicates, mix, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet to the shared checkpoint folder and reads it back as the next
+stage's ``docs``, so a lost executor repeats tasks of one stage only.  All stages
+but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tenderlens.llm import bpe, jaccard, langid, mixing, quality
+from tenderlens.llm.queries import VOCABULARY
+from tenderlens.llm.storage import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the classifier go."""
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that the network sees in them, go."""
+    return langid.keep(docs, langid.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays.
+
+    Documents without an id cannot be told apart and stay.
+    """
+    found = jaccard.join_components(docs, jaccard.Rule(words=5, num=80, den=100))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return rest
+    # Rows that share an id are linked with themselves: one of them stays.
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
+        rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    )
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them: once at least, twice at most."""
+    tokens = stored(mixing.token_table(docs), "mix-tokens")
+    return mixing.realise(docs, mixing.plan(tokens)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, with the digests of the round trip."""
+    encoded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    return bpe.digests(encoded, extra=("ids",))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", source_mix),
+    ("BPE encoding and decoding", tokens),
+]
+
+# Learned models decide in the first two stages: SQL cannot express them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs

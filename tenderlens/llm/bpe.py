@@ -203,11 +203,12 @@ def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids
     return rows.mapInArrow(run, f"_id {id_type}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
-def digests(round_trip: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(round_trip: DataFrame, id_col: str = "doc_id", extra: tuple = ()) -> DataFrame:
     """Per document: number of ids and digests of the ids and of the decoded text."""
     return round_trip.select(
         id_col,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *extra,
     )

@@ -261,6 +261,19 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.nd
     return out
 
 
+def _labelled(texts: pa.Array, network: Network | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    n = len(texts)
+    if network is None:
+        return ["und"] * n, np.zeros(n)
+    data, offsets = textscan.buffer_of(texts)
+    data = textscan.lowered(data)
+    lettered = _has_letter(data, offsets, texts)
+    pooled = network.pooled(*windows_of(data, offsets), n)
+    lang = [network.languages[k] if ok else "und" for k, ok in zip(pooled.argmax(1), lettered)]
+    return lang, np.where(lettered, np.clip(pooled.max(1), 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
@@ -269,17 +282,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textscan.slices(batch, 1, SLICE_BYTES):
-                texts = part.column(1)
-                data, offsets = textscan.buffer_of(texts)
-                data = textscan.lowered(data)
-                lettered = _has_letter(data, offsets, texts)
-                if network is None:
-                    lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                else:
-                    pooled = network.pooled(*windows_of(data, offsets), part.num_rows)
-                    best = pooled.argmax(1)
-                    lang = [network.languages[k] if ok else "und" for k, ok in zip(best, lettered)]
-                    score = np.where(lettered, np.clip(pooled.max(1), 0, 1), 0.0)
+                lang, score = _labelled(part.column(1), network)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                     names=["_id", "lang_pred", "score"],
@@ -287,3 +290,16 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
 
     out = rows.mapInArrow(run, f"_id {id_type}, lang_pred string, score double")
     return out.select(F.col("_id").alias("doc_id"), held_out(F.col("_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep(docs: DataFrame, network: Network | None, least: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` with a letter and a language of at least this probability, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textscan.slices(batch, at, SLICE_BYTES):
+                _, score = _labelled(part.column(at), network)
+                yield part.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema) if network else docs.limit(0)

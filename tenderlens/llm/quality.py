@@ -256,3 +256,20 @@ def judge(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) ->
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("score") >= keep_from)
     ).withColumnRenamed("_id", "doc_id")
+
+
+def keep(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textscan.slices(batch, at, SLICE_BYTES):
+                words = textscan.scan(part.column(at), lower=False)
+                counts = text_counts(words)
+                kept = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= 50 * counts["n_words"])
+                if model:
+                    kept &= model.probability(words) >= keep_from
+                yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -177,9 +177,26 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             extra[more] = extra[more] * np.uint64(0xD6E8FEB86659FD93) + words.hash[first[short[more]] + i]
         extra = mix(extra + count[short].astype(np.uint64))
         h, doc = np.concatenate([h, extra]), np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(words.n_texts + 1))
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+    cuts = np.searchsorted(doc, np.arange(words.n_texts + 1))
+    sets = [_distinct(h[a:b]) for a, b in zip(cuts, cuts[1:])]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
+    return (np.concatenate(sets) if sets else h), offsets
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    if len(h) > 1:
+        keep = np.ones(len(h), bool)
+        keep[1:] = h[1:] != h[:-1]
+        h = h[keep]
+    return h
+
+
+def scan_parts(texts: pa.ChunkedArray | pa.Array, size: int, lower: bool = True) -> Iterator[Words]:
+    """``scan`` over about ``size`` bytes of text at a time."""
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        batch = pa.RecordBatch.from_arrays([chunk], names=["text"])
+        for part in slices(batch, 0, size):
+            yield scan(part.column(0), lower)
