@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle.checks import DATES
 from oracle.prelude import date_flag, with_tables
 from oracle.questions import DB, IV, PB, RB, pct, q
-from oracle.study import RAW
+from oracle.study import RAW, date_class, exclusive
 
 TOT = "(SELECT supplier_id, count(*) AS awards, sum(value) AS v FROM sav GROUP BY 1)"
 TOTB = "(SELECT buyer_id, supplier_id, count(*) AS awards, sum(value) AS v FROM sav GROUP BY 1, 2)"
@@ -42,10 +42,9 @@ SQL = {
     "f10_multi_project": "SELECT multi_project_flag AS flag, count(*) AS n FROM process_snapshot GROUP BY 1",
     "f11_test_like_names": "SELECT buyer_id, regexp_matches(concat_ws(' ', buyer_id, buyer_name), '(?i)\\b(test|tests|testing|demo|dummy|sample|trial)\\b') AS test_like FROM dim_buyer",
     "f12_buyer_labels": "SELECT buyer_id, substr(buyer_id, 3) AS code FROM dim_buyer",
-    "f13_profiler_date_classes": f"""SELECT CASE WHEN d IS NULL THEN 'MISSING' WHEN d IN (DATE '1900-01-01', DATE '1970-01-01', DATE '2001-01-01') THEN 'PLACEHOLDER' WHEN d >= DATE '2031-01-01' THEN 'EXTREME'
-       WHEN d >= DATE '2026-01-01' THEN 'FUTURE' WHEN d < DATE '2000-01-01' THEN 'PAST' ELSE 'VALID' END AS date_class, count(*) AS n FROM {RAW} GROUP BY 1""",
-    "f14_study_date_classes": f"""SELECT f AS field, CASE {date_flag('d')} WHEN 'IMPOSSIBLE' THEN 'EXTREME' WHEN 'FUTURE' THEN 'FUTURE' WHEN 'PLACEHOLDER' THEN 'PLACEHOLDER' WHEN 'VALID' THEN 'VALID' ELSE 'MISSING' END AS date_class,
-       count(*) AS n FROM {RAW} GROUP BY 1, 2""",
+    "f13_profiler_date_classes": f"SELECT {date_class('t')} AS date_class, count(*) AS n FROM {RAW} GROUP BY 1",
+    "f14_study_date_classes": f"""SELECT f AS field, CASE WHEN t IS NULL THEN NULL WHEN t[:10] = '1990-01-01' THEN 'PLACEHOLDER' WHEN t[:4]::INT >= 2001 THEN 'IMPOSSIBLE' WHEN t[:4]::INT >= 2000 THEN 'FUTURE'
+       ELSE 'VALID' END AS date_class, count(*) AS n FROM {RAW} GROUP BY 1, 2""",
     "f15_bands": " UNION ALL ".join([
         fam("participation", PB, "competition"), fam("ratio", RB, "bva"), fam("duration", DB, IV),
         fam("coverage", COVR, "(SELECT buyer_id, avg(has_implementation::INT) AS r FROM cic WHERE buyer_id <> 'B-' GROUP BY 1)"),
@@ -90,9 +89,16 @@ SQL = {
     "a16_depth_to_share": f"SELECT buyer_id, min(rn) FILTER (2 * cum >= tot) AS to_50, min(rn) FILTER (10 * cum >= 8 * tot) AS to_80 FROM (SELECT *, row_number() OVER w AS rn, sum(v) OVER w AS cum, sum(v) OVER (PARTITION BY buyer_id) AS tot FROM {TOTB} WINDOW w AS (PARTITION BY buyer_id ORDER BY v DESC, supplier_id ROWS UNBOUNDED PRECEDING)) GROUP BY 1",
     "a17_conditional_pivot": "SELECT metric_id, max(records_with_issue) FILTER (dq_ref = 'ALL') AS all_reasons, max(records_with_issue) FILTER (dq_ref = 'OTHER') AS other_rule FROM dqi GROUP BY 1",
     "a18_frequency": f"SELECT list_aggregate(list_sort({TAGS}), 'string_agg', ',') AS tags, count(*) AS n FROM releases GROUP BY 1",
-    "a19_describe": f"SELECT count(*) AS n, min(number_of_tenderers)::BIGINT AS minimum, max(number_of_tenderers)::BIGINT AS maximum, round(avg(number_of_tenderers), 4) AS mean, " + ", ".join(f"round({q('number_of_tenderers', p)}, 4) AS {n}" for n, p in (("p25", .25), ("p50", .5), ("p75", .75), ("p95", .95))) + " FROM tender",
+    "a19_describe": f"""SELECT count(*) AS n, min(x)::BIGINT AS minimum, max(x)::BIGINT AS maximum, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.5), 4) AS median,
+       {", ".join(f"round({exclusive(p)}, 4) AS {n}" for n, p in (("q1", .25), ("q3", .75), ("p95", .95)))}
+       FROM (SELECT number_of_tenderers AS x, row_number() OVER (ORDER BY number_of_tenderers) AS rn, count(*) OVER () AS n FROM tender)""",
     "a20_thresholds": thresholds(),
-    "a21_presence": " UNION ALL ".join(f"SELECT '{f}' AS field, count({c}) AS present FROM tender" for f, c in (("status", "status"), ("procurement_method_details", "method"), ("tender_start_date", "tender_start_date"), ("tender_end_date", "tender_end_date"))),
+    "a21_presence": " UNION ALL ".join(
+        f"SELECT '{f}' AS field, count({c}) AS present FROM tender" for f, c in (
+            *((x, x) for x in ("tender_id", "status", "number_of_tenderers", "tender_value_amount", "tender_start_date", "tender_end_date",
+                               "tenderer_count_flag", "tender_value_monetary_flag", "tender_start_date_flag", "tender_end_date_flag")),
+            ("procurement_method_details", "method"), *((x, "1") for x in ("title", "description", "procurement_method", "tender_value_currency", "has_enquiries", "submission_method")),
+            *((x, "NULL") for x in ("procurement_method_rationale", "award_criteria", "award_criteria_details", "submission_method_details")))),
     "a22_multiplicity": "SELECT supplier_id, count(DISTINCT supplier_name_raw) AS n_values, min(supplier_name_raw) AS sample FROM award_suppliers GROUP BY 1 HAVING count(DISTINCT supplier_name_raw) > 1",
     "w01_row_number": f"SELECT supplier_id, row_number() OVER (ORDER BY v DESC, supplier_id) AS position FROM {TOT}",
     "w02_rank": "SELECT buyer_id, award_n, process_count, rank() OVER (ORDER BY award_n DESC, process_count DESC) AS r FROM eb",

@@ -112,7 +112,7 @@ SQL = {
        max(records_with_issue) FILTER (dq_ref = 'ALL') AS excluded,
        (coalesce(sum(records_lost_only_to_issue), 0))::BIGINT AS single_cause, true AS reconciles
        FROM dqi WHERE impact_type NOT IN ('DISCLOSED', 'PRE_EXCLUDED') GROUP BY metric_id""",
-    "d07_dq_impact": f"SELECT {DQI_COLS.replace(', note', '')} FROM dqi",
+    "d07_dq_impact": f"SELECT {DQI_COLS} FROM dqi",
     "v13_dq_impact": f"SELECT {DQI_COLS} FROM dqi",
     "q7_1_exclusions_by_metric": """SELECT metric_order::BIGINT AS metric_order, metric_id, metric_name, c AS candidate_records, e AS eligible_records, round(100 * e / c::DOUBLE, 1) AS eligible_pct, x AS excluded_records,
        one::BIGINT AS lost_to_one_dq_issue_only, oth::BIGINT AS lost_to_non_dq_rule_only, (x - one - oth)::BIGINT AS lost_to_two_or_more_reasons, if(c - e = x, 'yes', 'NO') AS reconciles_candidate_minus_eligible

@@ -118,7 +118,9 @@ CTES += [
         "transactions",
         """SELECT 'C' || o.release_id AS contract_id, 'X' || o.release_id || '-' || ls AS transaction_id,
                   sum(price) AS transaction_value, any_value(buyer_id) AS payer_id,
-                  any_value(CASE WHEN o.sk % 10 = 0 THEN 'S-' ELSE 'S' || o.sk::VARCHAR END) AS payee_id
+                  any_value(CASE WHEN o.sk % 10 = 0 THEN 'S-' ELSE 'S' || o.sk::VARCHAR END) AS payee_id,
+                  any_value(buyer_name) AS payer_name,
+                  any_value('Supplier ' || CASE WHEN o.k % 9 = 0 THEN ' ' || o.sk::VARCHAR || chr(9) ELSE o.sk::VARCHAR END) AS payee_name
            FROM li JOIN o ON o.k = li.k WHERE has_contract AND rf = 'R' GROUP BY o.release_id, ls""",
     ),
     (

@@ -25,23 +25,26 @@ REGISTER = f"""SELECT m.metric_id, m.metric_name, m.grain, m.candidate_populatio
  elig AS eligible_count, round(100.0 * elig / nullif(cand, 0)::DOUBLE, 1) AS eligible_pct FROM reg JOIN {REG_META} USING (metric_id)"""
 
 
+BUDGET_TEXT = """'Budget of order ' || release_id AS budget_description, CASE WHEN budget_project_id IS NOT NULL THEN 'Programme ' || ocid END AS budget_project"""
 SQL = {
     # staging
     "s02_releases": "SELECT release_id, release_seq, ocid, release_date, tag, 'tender' AS initiation_type, 'en' AS language, buyer_id, buyer_name, party_flag FROM releases",
-    "s03_planning": "SELECT release_id, ocid, release_seq, buyer_id, party_flag, budget_id, budget_project_id, budget_amount::DOUBLE AS budget_amount, budget_currency, budget_amount_flag, budget_monetary_flag FROM planning",
-    "s04_tender": """SELECT release_id, ocid, release_seq, tender_id, status, method AS procurement_method_details, number_of_tenderers, tender_value_amount::DOUBLE AS tender_value_amount,
+    "s03_planning": f"SELECT release_id, ocid, release_seq, buyer_id, party_flag, budget_id, budget_project_id, budget_amount::DOUBLE AS budget_amount, budget_currency, budget_amount_flag, budget_monetary_flag, {BUDGET_TEXT} FROM planning",
+    "s04_tender": """SELECT release_id, ocid, release_seq, tender_id, 'Tender ' || release_id AS title, 'Goods and services of order ' || release_id AS description, 'open' AS procurement_method,
+      NULL::VARCHAR AS procurement_method_rationale, 'USD' AS tender_value_currency, NULL::VARCHAR AS award_criteria, NULL::VARCHAR AS award_criteria_details, 'written' AS submission_method,
+      NULL::VARCHAR AS submission_method_details, status, method AS procurement_method_details, number_of_tenderers, tender_value_amount::DOUBLE AS tender_value_amount,
       tender_start_date, tender_end_date, (release_seq % 6 = 0) AS has_enquiries, tenderer_count_flag, tender_value_monetary_flag, tender_start_date_flag, tender_end_date_flag FROM tender""",
-    "s05_awards": "SELECT award_id, release_id, ocid, release_seq, status, award_date, value::DOUBLE AS award_value_amount, 'USD' AS award_value_currency, award_value_flag, award_monetary_flag, award_date_flag FROM awards",
+    "s05_awards": "SELECT award_id, release_id, ocid, release_seq, 'Award ' || release_id AS title, NULL::VARCHAR AS description, status, award_date, value::DOUBLE AS award_value_amount, 'USD' AS award_value_currency, award_value_flag, award_monetary_flag, award_date_flag FROM awards",
     "s06_award_suppliers": "SELECT award_id, ocid, release_seq, supplier_seq::BIGINT AS supplier_seq, supplier_id, supplier_name, supplier_name_raw FROM award_suppliers",
-    "s07_contracts": """SELECT contract_id, release_id, ocid, release_seq, award_id, status, value::DOUBLE AS contract_value_amount, date_signed, period_start_date, period_end_date,
+    "s07_contracts": """SELECT contract_id, release_id, ocid, release_seq, award_id, 'Contract ' || release_id AS title, NULL::VARCHAR AS description, 'USD' AS contract_value_currency, status, value::DOUBLE AS contract_value_amount, date_signed, period_start_date, period_end_date,
       has_implementation, contract_monetary_flag, date_signed_flag, period_start_date_flag, period_end_date_flag FROM contracts""",
-    "s08_transactions": "SELECT contract_id, transaction_id, transaction_value::DOUBLE AS transaction_value, payer_id, payee_id, CASE WHEN transaction_value = 0 THEN 'ZERO_VALUE' END AS transaction_monetary_flag FROM transactions",
-    "s09_milestones": "SELECT contract_id, milestone_source, milestone_id, due_date, due_date AS date_met, CASE WHEN milestone_source = 'IMPLEMENTATION' THEN 'met' END AS status, due_date_flag, due_date_flag AS date_met_flag FROM milestones",
-    "s10_parties": """SELECT release_id, ocid, release_seq, party_id, party_name_raw, trim(regexp_replace(party_name_raw, '\\s+', ' ', 'g')) AS party_name, party_id AS identifier_id, roles,
+    "s08_transactions": "SELECT contract_id, transaction_id, transaction_value::DOUBLE AS transaction_value, payer_id, payer_name, payee_id, payee_name, 'USD' AS transaction_currency, CASE WHEN transaction_value = 0 THEN 'ZERO_VALUE' END AS transaction_monetary_flag FROM transactions",
+    "s09_milestones": "SELECT contract_id, milestone_source, milestone_id, NULL::VARCHAR AS title, NULL::VARCHAR AS description, NULL::VARCHAR AS code, due_date, due_date AS date_met, CASE WHEN milestone_source = 'IMPLEMENTATION' THEN 'met' END AS status, due_date_flag, due_date_flag AS date_met_flag FROM milestones",
+    "s10_parties": """SELECT release_id, ocid, release_seq, party_id, party_name_raw, trim(regexp_replace(party_name_raw, '\\s+', ' ', 'g')) AS party_name, party_id AS identifier_id, 'ORDERS' AS identifier_scheme, roles,
       CASE WHEN roles = 'supplier' AND party_id = 'S-' THEN 'INCOMPLETE' END AS supplier_id_flag FROM parties""",
     # snapshot and dimensions
-    "k01_budget_lines": "SELECT ocid, budget_project_id, release_id, release_seq, buyer_id, party_flag, budget_amount::DOUBLE AS budget_amount, budget_currency, budget_amount_flag, budget_monetary_flag FROM budget_lines",
-    "k02_release_facts": "SELECT ocid, release_count, latest_release_id, buyer_id FROM snap",
+    "k01_budget_lines": f"SELECT ocid, budget_project_id, release_id, release_seq, buyer_id, party_flag, budget_amount::DOUBLE AS budget_amount, budget_currency, budget_amount_flag, budget_monetary_flag, {BUDGET_TEXT} FROM budget_lines",
+    "k02_release_facts": "SELECT ocid, release_count, latest_release_id, buyer_id, tags AS tags_observed FROM snap",
     "k03_tags_per_process": "SELECT ocid, tags AS tags_observed FROM snap",
     "k04_latest_tender": "SELECT ocid, tender_release_id, tender_id FROM process_snapshot WHERE tender_id IS NOT NULL",
     "k05_latest_award": "SELECT ocid, award_release_id, award_id FROM process_snapshot WHERE award_id IS NOT NULL",
@@ -52,10 +55,10 @@ SQL = {
       (SELECT 1 FROM awards b WHERE b.ocid = a.ocid AND b.release_seq > a.release_seq)""",
     "k09_latest_line_by_row_number": """SELECT ocid, budget_project_id, release_id FROM planning WHERE budget_project_id IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY ocid, budget_project_id ORDER BY release_seq DESC) = 1""",
-    "k10_dim_buyer": "SELECT buyer_id, buyer_name, release_count, buyer_id_flag, test_entity_flag FROM dim_buyer",
+    "k10_dim_buyer": "SELECT buyer_id, buyer_name, buyer_name AS buyer_name_raw, release_count, buyer_id_flag, test_entity_flag FROM dim_buyer",
     "k11_dim_supplier": "SELECT supplier_id, supplier_name, supplier_name_raw, name_variant_count, in_supplier_parties, in_award_suppliers, supplier_id_flag FROM sup",
     # views
-    "v01_budget_eligible": "SELECT ocid, budget_project_id, release_id, buyer_id, buyer_name, budget_amount::DOUBLE AS budget_amount, budget_currency, multi_project_flag FROM budget_eligible",
+    "v01_budget_eligible": f"SELECT ocid, budget_project_id, release_id, buyer_id, buyer_name, budget_amount::DOUBLE AS budget_amount, budget_currency, multi_project_flag, {BUDGET_TEXT} FROM budget_eligible",
     "v02_competition_eligible": f"SELECT ocid, tender_release_id, tender_id, {WHO}, {M}, tender_status, number_of_tenderers, tenderer_count_flag, prim AS in_primary_population, single AS is_single_bidder FROM competition",
     "v03_award_value_eligible": f"SELECT ocid, award_id, award_release_id, {WHO}, {M}, value::DOUBLE AS award_value_amount, 'USD' AS award_value_currency, award_date, award_date_flag FROM awv",
     "v04_supplier_award_eligible": f"SELECT ocid, award_id, {WHO}, {M}, supplier_id, supplier_name, name_variant_count, distinct_supplier_count, value::DOUBLE AS award_value_amount FROM sav",

@@ -49,39 +49,27 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
-def _section(name: str, drop: tuple = ()) -> Query:
+def _section(name: str) -> Query:
     """The flatten operator itself, over the stored release documents."""
     flat = getattr(package, f"flatten_{name}")
     takes_rules = flat.__code__.co_argcount == 2
 
     def run(ws: Workspace) -> DataFrame:
-        df = flat(ws.releases, ws.rules) if takes_rules else flat(ws.releases)
-        return df.drop(*drop)
+        return flat(ws.releases, ws.rules) if takes_rules else flat(ws.releases)
 
     return run
 
 
-_TEXT = ("title", "description")
 STAGING: dict[str, Query] = {
-    "s02_releases": _section("releases"),
-    "s03_planning": _section("planning", ("budget_description", "budget_project")),
-    "s04_tender": _section(
-        "tender",
-        (*_TEXT, "procurement_method", "procurement_method_rationale", "tender_value_currency", "award_criteria",
-         "award_criteria_details", "submission_method", "submission_method_details"),
-    ),
-    "s05_awards": _section("awards", _TEXT),
-    "s06_award_suppliers": _section("award_suppliers"),
-    "s07_contracts": _section("contracts", (*_TEXT, "contract_value_currency")),
-    "s08_transactions": _section("transactions", ("transaction_currency", "payer_name", "payee_name")),
-    "s09_milestones": _section("milestones", (*_TEXT, "code")),
-    "s10_parties": _section("parties", ("identifier_scheme",)),
+    f"s{i:02d}_{name}": _section(name)
+    for i, name in enumerate(
+        ("releases", "planning", "tender", "awards", "award_suppliers", "contracts", "transactions", "milestones", "parties"), 2
+    )
 }
 
-_TEXT_BUDGET = ("budget_description", "budget_project")
 CORE: dict[str, Query] = {
-    "k01_budget_lines": lambda ws: core.build_budget_lines(ws.stg.planning).drop(*_TEXT_BUDGET),
-    "k02_release_facts": lambda ws: core.release_facts(ws.stg.releases).drop("tags_observed"),
+    "k01_budget_lines": lambda ws: core.build_budget_lines(ws.stg.planning),
+    "k02_release_facts": lambda ws: core.release_facts(ws.stg.releases),
     "k03_tags_per_process": lambda ws: core.release_facts(ws.stg.releases).select("ocid", "tags_observed"),
     "k04_latest_tender": lambda ws: core.pick_latest(ws.stg.tender, "tender", "tender_id"),
     "k05_latest_award": lambda ws: core.pick_latest(ws.stg.awards, "award", "award_id"),
@@ -95,17 +83,17 @@ CORE: dict[str, Query] = {
     "k09_latest_line_by_row_number": lambda ws: latest_per_key(
         ws.stg.planning.filter(F.col("budget_project_id").isNotNull()), ["ocid", "budget_project_id"], ["release_seq"]
     ).select("ocid", "budget_project_id", "release_id"),
-    "k10_dim_buyer": lambda ws: core.build_dim_buyer(ws.stg.releases, ws.rules).drop("buyer_name_raw"),
+    "k10_dim_buyer": lambda ws: core.build_dim_buyer(ws.stg.releases, ws.rules),
     "k11_dim_supplier": lambda ws: core.build_dim_supplier(ws.stg.parties, ws.stg.award_suppliers, ws.rules),
 }
 
 
-def _view(name: str, drop: tuple = ()) -> Query:
-    return lambda ws: ws.v.plan(name).drop(*drop)
+def _view(name: str) -> Query:
+    return lambda ws: ws.v.plan(name)
 
 
 VIEWS: dict[str, Query] = {
-    "v01_budget_eligible": _view("budget_eligible", _TEXT_BUDGET),
+    "v01_budget_eligible": _view("budget_eligible"),
     "v02_competition_eligible": _view("competition_eligible"),
     "v03_award_value_eligible": _view("award_value_eligible"),
     "v04_supplier_award_eligible": _view("supplier_award_eligible"),
@@ -157,7 +145,7 @@ ATTRIBUTION: dict[str, Query] = {
     "d06_disclosures": lambda ws: impact.disclosures(ws.v).select(
         "metric_id", "dq_ref", "candidate_records", "records_with_issue", "affected_value", "eligible_value"
     ),
-    "d07_dq_impact": lambda ws: impact.dq_impact(ws.v).drop("note"),
+    "d07_dq_impact": lambda ws: impact.dq_impact(ws.v),
     "d08_invariants": _invariants,
 }
 

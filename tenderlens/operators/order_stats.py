@@ -47,11 +47,21 @@ def _before(hist: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     )
 
 
+def _place(p: float, n: Column, exclusive: bool) -> Column:
+    """Place of a percentile among n sorted values, counted from zero."""
+    if exclusive:
+        return F.greatest(F.lit(0.0), F.least(F.lit(p) * (n + 1) - 1, (n - 1).cast("double")))
+    return F.lit(p) * (n - 1)
+
+
 def exact_percentiles(
-    df: DataFrame, value: str, probs: dict[str, float], groups: tuple | list = ()
+    df: DataFrame, value: str, probs: dict[str, float], groups: tuple | list = (), exclusive: bool = False
 ) -> DataFrame:
     """Interpolated percentiles per group (``percentile_cont`` semantics).
 
+    ``exclusive`` puts the percentile at p (n + 1), counted from one, so that the
+    sample's ends are not the population's; places outside are the ends.
+
     Equal values are pre-aggregated before the first shuffle, so one value
     holding a third of the rows is one row per map task. Group keys must be
     non-null; NULL values are ignored.
@@ -68,7 +78,7 @@ def exact_percentiles(
     names = list(probs)
     wanted = []
     for i, name in enumerate(names):
-        exact = F.lit(float(probs[name])) * (n - 1)
+        exact = _place(float(probs[name]), n, exclusive)
         wanted.append(F.struct(F.lit(2 * i).alias("i"), F.floor(exact).alias("at")))
         wanted.append(F.struct(F.lit(2 * i + 1).alias("i"), F.ceil(exact).alias("at")))
     lo, hi = F.col("_before__c"), F.col("_before__c") + F.col("_in__c")
@@ -93,7 +103,7 @@ def exact_percentiles(
     q = inside.groupBy(*keys).agg(F.max("_total__c").alias("_n"), *aggs)
     out = []
     for i, name in enumerate(names):
-        exact = F.lit(float(probs[name])) * (F.col("_n") - 1)
+        exact = _place(float(probs[name]), F.col("_n"), exclusive)
         part = exact - F.floor(exact)
         a, b = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}")
         # Ten places: an exact tie stays a tie when the caller rounds it.
@@ -181,36 +191,29 @@ def top_rows(
     return few.withColumn(name, F.row_number().over(w)).drop("_all")
 
 
-def _fewest(k: Column, value: Column, need: Column) -> Column:
-    """Smallest count, from ``k`` up, whose exact multiple of ``value`` covers ``need``."""
-    return (
-        F.when(k * value >= need, k)
-        .when((k + 1) * value >= need, k + 1)
-        .when((k + 2) * value >= need, k + 2)
-        .otherwise(k + 3)
-    )
-
-
 def depth_to_share(
     df: DataFrame, value: str, shares: dict[str, str], groups: tuple | list = ()
 ) -> DataFrame:
     """How many of the largest values are needed to reach each share of the total.
 
+    The total is that of all values, zero and negative ones included.
     ``shares`` maps an output name to a decimal share such as '0.5'. Equal
     values are one row, so ties cost nothing.
     """
     keys = _keys(groups)
     freq = (
         _with_key(df, groups)
-        .filter(F.col(value) > 0)
+        .filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.sum(value).alias("_s"))
-        .withColumn("_b", -value_bucket(F.col("_v")))
+        .agg(F.count(F.lit(1)).alias("_c"), F.sum(value).alias("_a"))
+        # Running sums grow over the positive values only; the goal is a share of everything.
+        .withColumns({"_b": -value_bucket(F.col("_v")), "_s": F.when(F.col("_v") > 0, F.col("_a")).otherwise(F.lit(0))})
     )
     hist = _before(
-        freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s")), keys, ["_c", "_s"]
+        freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.sum("_a").alias("_a")),
+        keys, ["_c", "_s", "_a"],
     )
-    total = F.col("_total__s")
+    total = F.col("_total__a")
     goals = [
         F.struct(F.lit(i).alias("i"), (total * F.lit(s).cast("decimal(4,3)")).cast("decimal(38,6)").alias("goal"))
         for i, s in enumerate(shares.values())
@@ -228,8 +231,8 @@ def depth_to_share(
         .withColumn("_t", F.explode("_want"))
         .filter((F.col("_t.goal") > F.col("_s0")) & (F.col("_t.goal") <= F.col("_s0") + F.col("_s")))
         .withColumn("_need", F.col("_t.goal") - F.col("_s0"))
-        .withColumn("_k", F.greatest(F.floor(F.col("_need").cast("double") / F.col("_v").cast("double")) - 1, zero))
-        .withColumn("_depth", F.col("_n0") + _fewest(F.col("_k"), F.col("_v"), F.col("_need")))
+        # Whole multiples and their remainder are exact on decimals.
+        .withColumn("_depth", F.col("_n0") + F.expr("_need div _v") + F.when(F.col("_need") % F.col("_v") > 0, 1).otherwise(0))
     )
     return inside.groupBy(*keys).agg(
         *[

@@ -13,7 +13,8 @@ from tenderlens.operators.concentration import concentration, hhi, holder_totals
 from tenderlens.operators.order_stats import depth_to_share, exact_percentiles, ntile, percent_rank, top_rows, with_position
 from tenderlens.plans.check_suites import DATE_COLUMNS, MONEY_COLUMNS
 from tenderlens.plans.common import mark, pct, ratio, rows, sum_if, union, with_totals
-from tenderlens.plans.profile import multiplicity, profiler_date_class, raw_dates, threshold_counts
+from tenderlens.plans.export import minor_units
+from tenderlens.plans.profile import multiplicity, profiler_date_class, raw_dates, study_date_class, threshold_counts
 from tenderlens.plans.questions_supply import AWARD, cumulative_bands
 from tenderlens.plans.questions_value import RATIO, intervals
 from tenderlens.plans.views import method, rate
@@ -95,9 +96,8 @@ FLAGS = {
     "f12_buyer_labels": lambda ws: ws.core.dim_buyer.select("buyer_id", flags.buyer_code(F.col("buyer_id"), ws.rules).alias("code")),
     "f13_profiler_date_classes": lambda ws: raw_dates(ws.releases).groupBy(
         profiler_date_class(F.col("text")).alias("date_class")).agg(rows().alias("n")),
-    "f14_study_date_classes": lambda ws: raw_dates(ws.releases).groupBy("field", profiler_date_class(
-        F.col("text"), (ws.rules.placeholder_date,),
-        {"past": "0001-01-01", "future": ws.rules.future_from, "extreme": ws.rules.impossible_from}).alias("date_class")).agg(rows().alias("n")),
+    "f14_study_date_classes": lambda ws: raw_dates(ws.releases).groupBy(
+        "field", study_date_class(F.col("text"), ws.rules).alias("date_class")).agg(rows().alias("n")),
     "f15_bands": bands_everywhere,
     "f16_small_n_notes": lambda ws: ws.v.entity_benchmark.select("buyer_id", flags.small_n_note(F.col("award_n"), 40).alias("note")),
     "f17_materiality": materiality_levels,
@@ -175,15 +175,18 @@ JOINS = {
 # ------------------------------------------------------------------ aggregates
 def describe_tenderers(ws) -> DataFrame:
     x = F.col(N)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
-    return ws.stg.tender.agg(
-        rows().alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.round(F.avg(x), 4).alias("mean"), q.alias("q")
-    ).select("n", "minimum", "maximum", "mean", *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p25", "p50", "p75", "p95"))])
+    t = ws.stg.tender.select(F.lit("all").alias("g"), x)
+    stats = t.groupBy("g").agg(
+        rows().alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.round(F.avg(x), 4).alias("mean"))
+    outer = exact_percentiles(t, N, {"q1": 0.25, "q3": 0.75, "p95": 0.95}, ["g"], exclusive=True)
+    middle = exact_percentiles(t, N, {"median": 0.5}, ["g"])
+    return stats.join(outer, "g").join(middle, "g").select(
+        "n", "minimum", "maximum", "mean", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "p95")])
 
 
 def presence(ws) -> DataFrame:
     t = ws.stg.tender
-    cols = ["status", "procurement_method_details", "tender_start_date", "tender_end_date"]
+    cols = [c for c in t.columns if c not in ("release_id", "ocid", "release_seq")]
     one = t.agg(*[F.count(c).alias(c) for c in cols])
     return one.unpivot([], cols, "field", "present")
 
@@ -378,7 +381,7 @@ SCALARS = {
     "x17_safe_division": lambda ws: ws.core.process_snapshot.select(
         "ocid", F.round(F.try_divide(F.col("release_count"), F.col("budget_line_count") - 1), 6).alias("per_extra_line")),
     "x18_units": lambda ws: ws.v.award_value_eligible.select(
-        "award_id", (F.col(AWARD) * 100).cast("bigint").alias("minor"), F.round(F.col(AWARD).cast("double") / ws.rules.unit, 2).alias("shown")),
+        "award_id", minor_units(F.col(AWARD)).alias("minor"), F.round(F.col(AWARD).cast("double") / ws.rules.unit, 2).alias("shown")),
     "x19_nested_access": lambda ws: ws.releases.select(
         "id", F.col("planning.budget.amount.currency").alias("currency"), F.col("tender.tenderPeriod.endDate").alias("tender_end"),
         F.get("awards", F.lit(0))["value"]["amount"].alias("first_award")),

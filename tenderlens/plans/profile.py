@@ -9,26 +9,36 @@ from tenderlens.functions import flags
 from tenderlens.model import RELEASE_FIELDS
 from tenderlens.operators.order_stats import exact_percentiles
 from tenderlens.plans.common import rows, union
+from tenderlens.rules import Rules
 
-# Thresholds of the profiler (older than the flag rules).
-OLD_PLACEHOLDERS = ("1900-01-01", "1970-01-01", "2001-01-01")
-OLD_LIMITS = {"past": "2000-01-01", "future": "2026-01-01", "extreme": "2031-01-01"}
+# Day texts that stand for no date, and the years of the profiler's classes.
+PLACEHOLDER_DAYS = ("2001-01-01", "1970-01-01", "0001-01-01")
+LAST_PAST_YEAR, LAST_PRESENT_YEAR, LAST_FUTURE_YEAR = 1999, 2025, 2030
 
 
-def profiler_date_class(text: Column, placeholders=OLD_PLACEHOLDERS, limits=OLD_LIMITS) -> Column:
-    """Classes of a raw date text, unparseable texts included."""
-    d = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
+def profiler_date_class(text: Column) -> Column:
+    """Class of a raw date text; an empty text cannot be parsed, only NULL is missing."""
+    year = F.year(F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    return (
+        F.when(text.isNull(), "NULL")
+        .when(F.substring(text, 1, 10).isin(*PLACEHOLDER_DAYS), "PLACEHOLDER")
+        .when(year.isNull(), "UNPARSEABLE")
+        .when(year > LAST_FUTURE_YEAR, "EXTREME_FUTURE")
+        .when(year > LAST_PRESENT_YEAR, "FUTURE")
+        .when(year <= LAST_PAST_YEAR, "EXTREME_PAST")
+        .otherwise("VALID")
+    )
 
-    def day(x):
-        return F.lit(x).cast("date")
 
+def study_date_class(text: Column, r: Rules) -> Column:
+    """Class by the leading year alone; a text without one cannot be parsed, NULL and empty have no class."""
+    leading = F.substring(text, 1, 4).try_cast("int")
     return (
-        F.when(text.isNull() | (text == ""), "MISSING")
-        .when(d.isNull(), "UNPARSEABLE")
-        .when(d.isin(*[day(x) for x in placeholders]), "PLACEHOLDER")
-        .when(d >= day(limits["extreme"]), "EXTREME")
-        .when(d >= day(limits["future"]), "FUTURE")
-        .when(d < day(limits["past"]), "PAST")
+        F.when(text.isNull() | (text == ""), F.lit(None).cast("string"))
+        .when(leading.isNull(), "UNPARSEABLE")
+        .when(F.startswith(text, F.lit(r.placeholder_date)), "PLACEHOLDER")
+        .when(leading >= r.study_impossible_year, "IMPOSSIBLE")
+        .when(leading >= r.study_future_year, "FUTURE")
         .otherwise("VALID")
     )
 
@@ -50,7 +60,7 @@ def raw_dates(releases: DataFrame) -> DataFrame:
 
 
 def date_classes(ws) -> DataFrame:
-    c = profiler_date_class(F.col("text"), limits=OLD_LIMITS)
+    c = profiler_date_class(F.col("text"))
     return raw_dates(ws.releases).groupBy("field", c.alias("date_class")).agg(
         rows().alias("n"), F.min("text").alias("first_text"), F.max("text").alias("last_text")
     )
@@ -98,7 +108,10 @@ def tag_combinations(ws) -> DataFrame:
 
 
 def describe_amounts(ws) -> DataFrame:
-    """Count, range, mean, zeros, negatives and exact inclusive percentiles per measure."""
+    """Count, range, mean, zeros, negatives and exact percentiles per measure.
+
+    All but the median are exclusive; a sample too small for one has its end instead.
+    """
     stg = ws.stg
     long = union(
         [
@@ -114,9 +127,14 @@ def describe_amounts(ws) -> DataFrame:
         F.round(F.sum(x).cast("double") / F.count(x), 2).alias("mean"),
         F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
     )
-    probs = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    q = exact_percentiles(long, "x", probs, ["measure"])
-    return stats.join(q.select("measure", *[F.round(p, 4).alias(p) for p in probs]), "measure")
+    outer = exact_percentiles(long, "x", {"q1": 0.25, "q3": 0.75, "p95": 0.95, "p99": 0.99}, ["measure"], exclusive=True)
+    middle = exact_percentiles(long, "x", {"median": 0.5}, ["measure"])
+    low, high = F.col("minimum").cast("double"), F.col("maximum").cast("double")
+    ends = {"q1": (4, low), "q3": (4, high), "p95": (20, high), "p99": (100, high)}
+    return stats.join(outer, "measure").join(middle, "measure").select(
+        *stats.columns, F.round("median", 4).alias("median"),
+        *[F.round(F.when(F.col("n") < least, end).otherwise(F.col(c)), 4).alias(c) for c, (least, end) in ends.items()],
+    )
 
 
 def threshold_counts(ws, thresholds: dict[str, list]) -> DataFrame:
@@ -139,25 +157,48 @@ def threshold_counts(ws, thresholds: dict[str, list]) -> DataFrame:
 
 
 def extreme_records(ws) -> DataFrame:
-    """Extreme tenders, budgets and awards with their process and buyer."""
-    stg = ws.stg
-    who = stg.releases.select("release_id", "buyer_id")
-    parts = [
-        stg.tender.filter("tenderer_count_flag = 'ANOMALOUS'").select(
-            F.lit("tenderers").alias("kind"), "release_id", "ocid", F.col("number_of_tenderers").cast("double").alias("value")),
-        stg.planning.filter("budget_amount_flag = 'EXTREME'").select(
-            F.lit("budget").alias("kind"), "release_id", "ocid", F.col("budget_amount").cast("double").alias("value")),
-        stg.awards.filter("award_value_flag = 'EXTREME'").select(
-            F.lit("award").alias("kind"), "release_id", "ocid", F.col("award_value_amount").cast("double").alias("value")),
-    ]
-    return union(parts).join(who, "release_id")
+    """Extreme tenders, budgets and awards with what their release says around them, in one pass over the documents."""
+    r = ws.rules
+    none = F.array()
+    budget, tender = F.col("planning.budget"), F.col("tender")
+
+    def record(kind, value, award=None):
+        text = F.lit(None).cast("string")
+        a = award
+        return F.struct(
+            F.lit(kind).alias("kind"), value.cast("double").alias("value"),
+            (text if a is None else a["id"]).alias("award_id"), (text if a is None else a["status"]).alias("award_status"),
+            (text if a is None else F.substring(a["date"], 1, 10)).alias("award_day"),
+            (text if a is None else F.array_join(F.transform(F.coalesce(a["suppliers"], none), lambda x: x["name"]), ";")).alias("suppliers"),
+        )
+
+    found = F.concat(
+        F.when(tender["numberOfTenderers"] > r.elevated_max, F.array(record("tenderers", tender["numberOfTenderers"]))).otherwise(none),
+        F.when(budget["amount"]["amount"] >= r.extreme_budget, F.array(record("budget", budget["amount"]["amount"]))).otherwise(none),
+        F.transform(
+            F.filter(F.coalesce("awards", none), lambda a: a["value"]["amount"] >= r.profile_extreme_value),
+            lambda a: record("award", a["value"]["amount"], a),
+        ),
+    )
+    context = ws.releases.select(
+        F.col("id").alias("release_id"), "ocid", F.substring("date", 1, 10).alias("release_day"),
+        F.array_join("tag", ",").alias("tags"), F.col("buyer.id").alias("buyer_id"), F.col("buyer.name").alias("buyer_name"),
+        budget["amount"]["currency"].alias("budget_currency"), budget["description"].alias("budget_description"),
+        budget["project"].alias("budget_project"), budget["projectID"].alias("budget_project_id"),
+        tender["value"]["amount"].alias("tender_value_amount"), tender["title"].alias("tender_title"),
+        tender["description"].alias("tender_description"), tender["status"].alias("tender_status"),
+        tender["procurementMethod"].alias("procurement_method"),
+        tender["procurementMethodDetails"].alias("procurement_method_details"), found.alias("found"),
+    )
+    return context.select("*", F.inline("found")).drop("found")
 
 
 def extreme_overlap(ws) -> DataFrame:
-    """Processes with both an extreme award and an extreme budget."""
-    a = ws.stg.awards.filter("award_value_flag = 'EXTREME'").select("ocid").distinct()
-    b = ws.stg.planning.filter("budget_amount_flag = 'EXTREME'").select("ocid").distinct()
-    return a.join(b, "ocid", "left_semi")
+    """Processes with both an extreme tender value and an extreme award."""
+    limit = F.lit(ws.rules.profile_extreme_value)
+    a = ws.stg.awards.filter(F.col("award_value_amount") >= limit).select("ocid").distinct()
+    t = ws.stg.tender.filter(F.col("tender_value_amount") >= limit).select("ocid").distinct()
+    return a.join(t, "ocid", "left_semi")
 
 
 def implementation_structure(ws) -> DataFrame:
@@ -236,10 +277,12 @@ def date_order_disagreement(ws) -> DataFrame:
 
 
 def dropped_decimal_candidates(ws) -> DataFrame:
-    """Awards above 10 x budget that fit the budget once divided by 100."""
+    """Awards above 10 x budget: does a whole-number award fit the budget once divided by 100? Decimals throughout."""
     b = ws.v.budget_award_comparison.filter(F.col("award_to_budget_ratio") > 10)
-    x = F.col("award_value_amount").cast("double") / 100 / F.col("budget_amount").cast("double")
-    return b.select("ocid", "award_id", "award_to_budget_ratio", x.between(0.5, 2).alias("fits_after_division"))
+    award, budget = F.col("award_value_amount"), F.col("budget_amount")
+    whole = award % 1 == 0
+    near = (award >= budget * 50) & (award <= budget * 200)
+    return b.select("ocid", "award_id", "award_to_budget_ratio", whole.alias("whole_number"), (whole & near).alias("fits_after_division"))
 
 
 PROFILES = {

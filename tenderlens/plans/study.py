@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlens.functions import flags
 from tenderlens.operators.latest import text_order_disagrees
 from tenderlens.plans.common import rows
 from tenderlens.plans.core import pick_latest
@@ -16,35 +17,40 @@ SNAPSHOT_RULES = {
     "R2": "latest release that has a budget",
     "R3": "latest budget per project, summed",
 }
-FULL_LIFECYCLE = 5
+# Fixed value: the tags of a release that covers the whole life of a process, in text order.
+FULL_LIFECYCLE = ("award", "contract", "implementation", "planning", "tender")
 
 
 def _budgeted(ws) -> DataFrame:
-    """Every release with its tags and budget (both tables share one key)."""
-    rel = ws.stg.releases.select("release_id", "ocid", "release_seq", "tag")
-    plan = ws.stg.planning.select("release_id", "budget_project_id", "budget_amount")
-    return rel.join(plan, "release_id")
+    """Every release with its tags and budget; ``has`` tells whether it has a budget object, whatever its amount."""
+    return ws.releases.select(
+        F.col("id").alias("release_id"), "ocid", flags.sequence_key(F.col("id")).alias("release_seq"), "tag",
+        F.col("planning.budget").isNotNull().alias("has"),
+        F.col("planning.budget.projectID").alias("project"),
+        F.col("planning.budget.amount").alias("money"),
+        F.col("planning.budget.amount.amount").alias("amount"),
+    )
+
+
+def _latest_per_project(b: DataFrame) -> DataFrame:
+    """The latest budget of each project of a process; a missing project is a project, a later NULL replaces an amount."""
+    return b.filter("has").groupBy("ocid", "project").agg(
+        F.max_by(F.struct("amount"), "release_seq").alias("last")
+    ).select("ocid", "project", F.col("last.amount").alias("amount"))
 
 
 def rule_values(ws) -> DataFrame:
     """One row per process with the budget each rule would use."""
     b = _budgeted(ws)
-    n, has = F.size("tag"), F.col("budget_amount").isNotNull()
-    amount = F.struct(F.col("budget_amount").alias("a"))
+    n, amount = F.size("tag"), F.struct(F.col("amount").alias("a"))
     whole = b.groupBy("ocid").agg(
         F.max_by(amount, F.struct(n.alias("n"), F.col("release_id").alias("id"))).alias("R0"),
         F.max_by(amount, F.struct(n.alias("n"), F.col("release_seq").alias("id"))).alias("R1"),
-        F.max_by("budget_amount", F.when(has, F.col("release_seq"))).alias("R2"),
+        F.max_by(amount, F.when(F.col("has"), F.col("release_seq"))).alias("R2"),
     )
-    per_project = (
-        b.filter(has & F.col("budget_project_id").isNotNull())
-        .groupBy("ocid", "budget_project_id")
-        .agg(F.max_by("budget_amount", "release_seq").alias("amount"))
-        .groupBy("ocid")
-        .agg(F.sum("amount").alias("R3"))
-    )
-    return whole.join(per_project, "ocid", "left").select(
-        "ocid", F.col("R0.a").alias("R0"), F.col("R1.a").alias("R1"), "R2", "R3"
+    summed = _latest_per_project(b).groupBy("ocid").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("R3"))
+    return whole.join(summed, "ocid", "left").select(
+        "ocid", F.col("R0.a").alias("R0"), F.col("R1.a").alias("R1"), F.col("R2.a").alias("R2"), "R3"
     )
 
 
@@ -76,48 +82,62 @@ def order_disagreement(ws) -> DataFrame:
     return text_order_disagrees(ws.stg.releases, "ocid", "release_id", "release_seq")
 
 
+def _several(value, where=None) -> Column:
+    """More than one distinct value, NULL counted as a value, from hash aggregates of fixed width."""
+    h = F.xxhash64(value)
+    h = h if where is None else F.when(where, h)
+    return F.coalesce(F.min(h) != F.max(h), F.lit(False))
+
+
 def divergence(ws) -> DataFrame:
     """What changes between the releases of one process; one aggregate per process, then counts."""
     b = _budgeted(ws)
-    amount, project = F.col("budget_amount"), F.col("budget_project_id")
-    has = amount.isNotNull()
+    has = F.col("has")
+    money = F.coalesce(F.to_json("money"), F.lit(""))
+    tags = F.array_join(F.array_sort("tag"), ",")
+    full, planning = ",".join(FULL_LIFECYCLE), "planning"
     per = b.groupBy("ocid").agg(
         rows().alias("n"),
-        F.count_distinct("budget_amount").alias("amounts"),
-        F.count_if(~has).alias("missing"),
-        F.count_distinct(F.when(has, project)).alias("projects"),
-        F.count_distinct(F.array_join("tag", ",")).alias("tag_sets"),
-        F.count_if(F.size("tag") == FULL_LIFECYCLE).alias("full"),
-        F.max_by(has, "release_seq").alias("latest_has"),
+        _several(money).alias("differing"),
+        _several(F.coalesce(F.col("amount").cast("string"), F.lit("")), has).alias("amounts"),
+        _several(F.coalesce("project", F.lit("")), has).alias("projects"),
+        _several(tags).alias("tag_sets"),
+        F.count_if(tags == full).alias("full"),
+        F.bool_and(tags == planning).alias("planning_only"),
+        F.max("release_seq").alias("last"),
+        F.max(F.when(has, F.col("release_seq"))).alias("last_with"),
     ).filter("n > 1")
-    spans = b.filter(has & project.isNotNull()).groupBy("budget_project_id").agg(
-        F.count_distinct("ocid").alias("n")
-    ).agg(F.count_if(F.col("n") > 1)).scalar()
-    amounts, missing = F.col("amounts"), F.col("missing")
-    differing = (amounts + F.when(missing > 0, 1).otherwise(0)) > 1
-    pattern = F.when(F.col("projects") > 1, "MULTI_PROJECT").when(amounts > 1, "SAME_PROJECT_REVISED").otherwise("IDENTICAL_BUDGET")
+    spans = b.filter(has).groupBy("project").agg(
+        F.min(F.xxhash64("ocid")).alias("a"), F.max(F.xxhash64("ocid")).alias("b")
+    ).agg(F.count_if(F.col("a") != F.col("b"))).scalar()
+    lines = _latest_per_project(b).agg(rows()).scalar()
+    pattern = F.when(F.col("projects"), "MULTI_PROJECT").when(F.col("amounts"), "SAME_PROJECT_REVISED").otherwise("IDENTICAL_BUDGET")
     per = per.withColumn("pattern", pattern)
     out = per.agg(
         rows().alias("multi_release_processes"),
-        F.count_if(differing).alias("differing_budgets"),
-        F.count_if(differing & (amounts <= 1)).alias("differing_by_missing_only"),
-        F.count_if(F.col("tag_sets") > 1).alias("mixed_tag_sets"),
+        F.count_if("differing").alias("differing_budgets"),
+        F.count_if(F.col("differing") & ~F.col("amounts")).alias("differing_by_missing_only"),
+        F.count_if("tag_sets").alias("mixed_tag_sets"),
         F.count_if(F.col("full") >= 2).alias("two_or_more_full_lifecycle"),
-        F.count_if(~F.col("latest_has")).alias("latest_lacks_budget"),
+        F.count_if(~F.col("last").eqNullSafe(F.col("last_with"))).alias("latest_lacks_budget"),
         *[F.count_if(F.col("pattern") == p).alias(p.lower()) for p in
           ("IDENTICAL_BUDGET", "SAME_PROJECT_REVISED", "MULTI_PROJECT")],
+        F.count_if((F.col("pattern") == "MULTI_PROJECT") & F.col("planning_only")).alias("multi_project_planning_only"),
     )
-    return out.withColumn("projects_spanning_processes", spans)
+    return out.withColumns({"projects_spanning_processes": spans, "budget_lines_per_project_rule": lines})
 
 
 def award_conflicts(ws) -> DataFrame:
-    """Processes whose award value or supplier differs between releases."""
-    s = ws.stg.award_suppliers.filter("supplier_seq = 1").select("award_id", "supplier_id")
-    sig = F.struct("award_value_amount", "supplier_id")
+    """Processes whose releases disagree on their first award: its value or its whole list of suppliers."""
+    first = F.get("awards", F.lit(0))
+    suppliers = F.array_sort(F.transform(first["suppliers"], lambda s: F.coalesce(s["id"], F.lit(""))))
+    sig = F.struct(
+        first["value"]["amount"].alias("value"), F.coalesce(suppliers, F.array().cast("array<string>")).alias("suppliers")
+    )
+    signed = ws.releases.filter(F.size("awards") > 0).select("ocid", F.to_json(sig).alias("sig"))
     return (
-        ws.stg.awards.join(s, "award_id", "left")
-        .groupBy("ocid")
-        .agg(F.count_distinct("release_id").alias("award_releases"), F.count_distinct(sig).alias("signatures"))
+        signed.groupBy("ocid", "sig").agg(rows().alias("n"))
+        .groupBy("ocid").agg(F.sum("n").alias("award_releases"), rows().alias("signatures"))
         .filter((F.col("award_releases") > 1) & (F.col("signatures") > 1))
     )
 
@@ -137,7 +157,10 @@ def section_alignment(ws) -> DataFrame:
     return j.agg(
         F.count_if(ar != cr).alias("award_release_ne_contract_release"),
         F.count_if(tr != ar).alias("tender_release_ne_award_release"),
-    ).withColumn("contract_award_in_other_release", elsewhere)
+    ).withColumns({
+        "contract_award_in_other_release": elsewhere,
+        "most_awards_per_release": ws.releases.agg(F.max(F.coalesce(F.size("awards"), F.lit(0))).cast("bigint")).scalar(),
+    })
 
 
 def _per_contract(ws) -> DataFrame:
@@ -165,18 +188,42 @@ def transactions_against_value(ws) -> DataFrame:
 
 
 def process_history(ws, processes: DataFrame) -> DataFrame:
-    """Every release of the given processes (a DataFrame of ``ocid``), with its sections."""
-    stg = ws.stg
-    rel = stg.releases.join(processes.select("ocid").distinct(), "ocid", "left_semi")
-    return (
-        rel.select("ocid", "release_seq", "release_id", "buyer_id", F.array_join("tag", ",").alias("tags"))
-        .join(stg.planning.select("release_id", "budget_project_id", "budget_amount"), "release_id", "left")
-        .join(stg.tender.select("release_id", "tender_id", "number_of_tenderers"), "release_id", "left")
-        .join(stg.awards.select("release_id", "award_id", F.col("status").alias("award_status"), "award_value_amount"),
-              "release_id", "left")
-        .join(stg.contracts.select("release_id", "contract_id", "date_signed"), "release_id", "left")
-        .orderBy("ocid", "release_seq")
-    )
+    """One row per release of the given processes (a DataFrame of ``ocid``), every section as it stands in the release.
+
+    Awards, contracts and their transactions stay nested, so nothing fans out.
+    """
+    rel = ws.releases.join(processes.select("ocid").distinct(), "ocid", "left_semi")
+    none = F.array()
+    awards = F.transform(F.coalesce("awards", none), lambda a: F.concat_ws(
+        "|", a["id"], F.coalesce(a["status"], F.lit("-")), F.substring(F.coalesce(a["date"], F.lit("-")), 1, 10),
+        F.coalesce(a["value"]["amount"].cast("decimal(30,2)").cast("string"), F.lit("-")), F.coalesce(a["title"], F.lit("-")),
+        F.array_join(F.transform(F.coalesce(a["suppliers"], none), lambda s: F.concat_ws("=", s["id"], s["name"])), ";"),
+    ))
+    contracts = F.transform(F.coalesce("contracts", none), lambda c: F.concat_ws(
+        "|", c["id"], F.coalesce(c["status"], F.lit("-")), F.substring(F.coalesce(c["dateSigned"], F.lit("-")), 1, 10),
+        F.coalesce(c["value"]["amount"].cast("decimal(30,2)").cast("string"), F.lit("-")), F.coalesce(c["title"], F.lit("-")),
+        F.size(F.coalesce(c["implementation"]["transactions"], none)).cast("string"),
+        F.aggregate(
+            F.coalesce(c["implementation"]["transactions"], none), F.lit(0).cast("decimal(30,2)"),
+            lambda t, x: (t + F.coalesce(x["value"]["amount"], F.lit(0))).cast("decimal(30,2)"),
+        ).cast("string"),
+        F.size(F.coalesce(c["implementation"]["milestones"], none)).cast("string"),
+    ))
+    return rel.select(
+        "ocid", flags.sequence_key(F.col("id")).alias("release_seq"), F.col("id").alias("release_id"),
+        F.substring("date", 1, 10).alias("release_day"), F.array_join("tag", ",").alias("tags"),
+        F.col("buyer.id").alias("buyer_id"), F.col("buyer.name").alias("buyer_name"),
+        F.col("planning.budget.projectID").alias("budget_project_id"), F.col("planning.budget.project").alias("budget_project"),
+        F.col("planning.budget.description").alias("budget_description"),
+        F.col("planning.budget.amount.amount").alias("budget_amount"),
+        F.col("tender.id").alias("tender_id"), F.col("tender.title").alias("tender_title"),
+        F.col("tender.description").alias("tender_description"), F.col("tender.status").alias("tender_status"),
+        F.col("tender.procurementMethodDetails").alias("procurement_method_details"),
+        F.col("tender.value.amount").alias("tender_value_amount"), F.col("tender.numberOfTenderers").alias("number_of_tenderers"),
+        F.substring("tender.tenderPeriod.startDate", 1, 10).alias("tender_start"),
+        F.substring("tender.tenderPeriod.endDate", 1, 10).alias("tender_end"),
+        F.array_join(awards, " / ").alias("awards"), F.array_join(contracts, " / ").alias("contracts"),
+    ).orderBy("ocid", "release_seq")
 
 
 def flagged_history(ws) -> DataFrame:

@@ -25,6 +25,11 @@ class Rules:
     placeholder_date: str = "2001-01-01"
     future_from: str = "2026-01-01"
     impossible_from: str = "2051-01-01"
+    # The snapshot study classes dates by their year alone.
+    study_future_year: int = 2026
+    study_impossible_year: int = 2051
+    # The profiler looks at awards and tender values from here on, below the flag of extreme awards.
+    profile_extreme_value: Decimal = Decimal("500000000000")
     # Whole words that mark a buyer as a possible test entity; a portal may
     # add its own name.
     test_words: tuple = ("test", "tests", "testing", "demo", "dummy", "sample", "trial")

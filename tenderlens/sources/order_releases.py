@@ -29,6 +29,9 @@ ORDER_RULES = Rules(
     placeholder_date="1990-01-01",
     future_from="2001-01-01",
     impossible_from="2001-10-01",
+    study_future_year=2000,
+    study_impossible_year=2001,
+    profile_extreme_value=Decimal("400000"),
     ratio_low=Decimal("5"),
     ratio_high=Decimal("20"),
     sibling_factor=10,
@@ -185,7 +188,7 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     award = F.struct(
         label("A").alias("id"),
-        nil.alias("title"),
+        label("Award ").alias("title"),
         nil.alias("description"),
         F.when(every(7), "cancelled").when(every(7, 1), nil).otherwise("active").alias("status"),
         _iso(F.col("first_ship")).alias("date"),
@@ -207,7 +210,7 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = F.struct(
         label("C").alias("id"),
         label("A").alias("awardID"),
-        nil.alias("title"),
+        label("Contract ").alias("title"),
         nil.alias("description"),
         F.col("lead_status").alias("status"),
         _money(award_value).alias("value"),
@@ -234,8 +237,8 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tender = F.struct(
         label("T").alias("id"),
-        nil.alias("title"),
-        nil.alias("description"),
+        label("Tender ").alias("title"),
+        label("Goods and services of order ").alias("description"),
         F.when(every(30), nil).when(F.col("o_orderstatus") == "F", "complete").otherwise("active").alias("status"),
         F.lit("open").alias("procurementMethod"),
         F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("procurementMethodDetails"),
@@ -280,8 +283,8 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 label("G").alias("id"),
                 project.alias("projectID"),
-                nil.alias("project"),
-                nil.alias("description"),
+                F.when(project.isNotNull(), F.concat(F.lit("Programme "), ocid)).alias("project"),
+                label("Budget of order ").alias("description"),
                 F.when(~every(100, 2), _money(budget_amount)).alias("amount"),
             ).alias("budget")
         ),
