@@ -40,6 +40,7 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-tables-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-warehouse-"))
         .getOrCreate()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle.views import SQL as SECTIONS
 from oracle.prelude import with_tables
 from oracle.questions import SQL as QUESTIONS
 from oracle.questions import DB, HHI, KB, KPI, PB, RB, pct, q, ranked_totals
@@ -150,9 +151,39 @@ def scenario(label: str, w: str) -> list[str]:
 NM = "coalesce(method, '(method not stated)')"
 PRES = {"competition_eligible": "competition", "award_value_eligible": "awv", "supplier_award_eligible": "sav", "budget_award_comparison": "bva", "tender_duration_eligible": "tde", "award_lag_eligible": "ale"}
 TABLES = ["releases", "planning", "tender", "awards", "award_suppliers", "contracts", "transactions", "milestones", "parties"]
+# Columns of each staging table by name; the star marks money.
+DIGESTED = {
+    "releases": "buyer_id buyer_name initiation_type language ocid party_flag release_date release_id release_seq tag",
+    "planning": "*budget_amount budget_amount_flag budget_currency budget_description budget_id budget_monetary_flag budget_project budget_project_id buyer_id ocid party_flag release_id release_seq",
+    "tender": """award_criteria award_criteria_details description has_enquiries number_of_tenderers ocid procurement_method procurement_method_details procurement_method_rationale release_id release_seq
+        status submission_method submission_method_details tender_end_date tender_end_date_flag tender_id tender_start_date tender_start_date_flag *tender_value_amount tender_value_currency
+        tender_value_monetary_flag tenderer_count_flag title""",
+    "awards": "award_date award_date_flag award_id award_monetary_flag *award_value_amount award_value_currency award_value_flag description ocid release_id release_seq status title",
+    "award_suppliers": "award_id ocid release_seq supplier_id supplier_name supplier_name_raw supplier_seq",
+    "contracts": """award_id contract_id contract_monetary_flag *contract_value_amount contract_value_currency date_signed date_signed_flag description has_implementation ocid period_end_date
+        period_end_date_flag period_start_date period_start_date_flag release_id release_seq status title""",
+    "transactions": "contract_id payee_id payee_name payer_id payer_name transaction_currency transaction_id transaction_monetary_flag *transaction_value",
+    "milestones": "code contract_id date_met date_met_flag description due_date due_date_flag milestone_id milestone_source status title",
+    "parties": "identifier_id identifier_scheme ocid party_id party_name party_name_raw release_id release_seq roles supplier_id_flag",
+}
+
+
+def digest(table: str) -> str:
+    """Row count and the sum of the leading 48 bits of each row's SHA-256."""
+    body = next(sql for name, sql in SECTIONS.items() if name[0] == "s" and name.split("_", 1)[1] == table)
+    parts = [
+        f"coalesce({c[1:] + '::DECIMAL(18,4)' if c[0] == '*' else c}::VARCHAR, chr(92) || 'N')" for c in DIGESTED[table].split()
+    ]
+    return f"""SELECT '{table}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || sha256(concat_ws('|', {", ".join(parts)}))[:12])::BIGINT), 0)::VARCHAR AS digest FROM ({body})"""
+
+
 SQL = {
     "s01_package_scan": """SELECT strftime(r.release_date, '%Y') AS year, count(*) AS releases, count(DISTINCT r.ocid) AS processes, sum(p.budget_amount)::DOUBLE AS budget, coalesce(sum(a.value), 0)::DOUBLE AS award_value, count(t.tender_id) AS tenders
        FROM releases r JOIN planning p USING (release_id) LEFT JOIN awards a USING (release_id) LEFT JOIN tender t USING (release_id) GROUP BY 1""",
+    "s01b_release_lines": """SELECT strftime(r.release_date, '%Y') AS year, count(*) AS releases, count(DISTINCT r.ocid) AS processes, sum(p.budget_amount)::DOUBLE AS budget, coalesce(sum(a.value), 0)::DOUBLE AS award_value, count(t.tender_id) AS tenders
+       FROM releases r JOIN planning p USING (release_id) LEFT JOIN awards a USING (release_id) LEFT JOIN tender t USING (release_id) GROUP BY 1""",
+    "s19_manifest": " UNION ALL ".join(digest(t) for t in TABLES),
+    "s20_integrity": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS published_rows, true AS intact FROM {t}" for t in TABLES),
     "s11_strict_dates": "SELECT tender_start_date AS day, count(*) AS tenders FROM tender GROUP BY 1",
     "s12_replaced_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES),
     "s13_refreshed_snapshot": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, count(DISTINCT ocid) AS processes FROM {t}" for t in ("budget_lines", "process_snapshot")),
@@ -204,7 +235,8 @@ SQL = {
             ("r1_executive", "Executive overview"), ("r2_suppliers", "Supplier concentration"), ("r3_competition", "Competition"), ("r4_budget", "Budget vs award"), ("r5_timing", "Timing"),
             ("r6_entities", "Entity benchmark"), ("r7_implementation", "Implementation & lifecycle"), ("r8_quality", "Data quality & coverage"))) + ") GROUP BY 1, 2",
     "st1_streamed_pick": "SELECT ocid, latest_release_id, buyer_id, tender_release_id, award_release_id FROM process_snapshot",
-    "st1b_streamed_budget_lines": "SELECT ocid, budget_project_id, release_id, budget_amount::DOUBLE AS budget_amount FROM budget_lines",
+    "st1b_streamed_budget_lines": SECTIONS["k01_budget_lines"],
+    "st1c_streamed_snapshot": SECTIONS["k07_process_snapshot"],
 }
 
 

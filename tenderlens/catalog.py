@@ -179,15 +179,25 @@ _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """One workspace per application and input folder; its tables are built on first use."""
+    """One workspace per application and input folder; its tables are built on first use.
+
+    They answer for the input as it was then; call ``refresh`` after it has changed.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WORKSPACES:
         _WORKSPACES[key] = Workspace(spark, lambda: order_releases(spark, sf_dir), ORDER_RULES)
     return _WORKSPACES[key]
 
 
+def refresh(spark: SparkSession, sf_dir: str) -> None:
+    """Forget and remove the tables built from this folder: the next query reads it anew."""
+    ws = _WORKSPACES.pop((spark.sparkContext.applicationId, sf_dir), None)
+    if ws:
+        ws.close()
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(QUERIES[name](workspace(spark, sf_dir)))
 
 
-__all__ = ["QUERIES", "VIEW_NAMES", "present", "run", "workspace"]
+__all__ = ["QUERIES", "VIEW_NAMES", "present", "refresh", "run", "workspace"]

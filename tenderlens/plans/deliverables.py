@@ -35,9 +35,16 @@ def _json_lines(ws) -> str:
     return path
 
 
-def package_scan(ws) -> DataFrame:
-    """Read JSON release lines with the explicit schema; exact decimals survive the text."""
-    r = package.read_release_lines(ws.spark, _json_lines(ws))
+def packages(ws) -> str:
+    """The release documents as package files, written once; published on the day of the newest release."""
+    path = f"{ws.root}/packages"
+    if "package_path" not in ws.__dict__:
+        package.write_packages(ws.releases, path, ws.releases.agg(F.max("date")).scalar())
+        ws.package_path = path
+    return path
+
+
+def _by_year(r: DataFrame) -> DataFrame:
     awards = F.transform("awards", lambda a: a["value"]["amount"])
     total = F.aggregate(
         F.coalesce(awards, F.array().cast("array<decimal(30,4)>")), F.lit(0).cast("decimal(30,4)"),
@@ -48,6 +55,24 @@ def package_scan(ws) -> DataFrame:
         F.count("tender").alias("tenders"))
 
 
+def package_scan(ws) -> DataFrame:
+    """Read package files with the explicit schema; exact decimals survive the text."""
+    return _by_year(package.read_package(ws.spark, packages(ws)))
+
+
+def line_scan(ws) -> DataFrame:
+    return _by_year(package.read_release_lines(ws.spark, _json_lines(ws)))
+
+
+def equal_to_package_date(ws) -> DataFrame:
+    """Releases dated on the publication day that the packages state."""
+    published = package.published_dates(ws.spark, packages(ws)).select(F.to_date(F.substring("published", 1, 10)).alias("published"))
+    days = ws.stg.releases.select(flags.utc_day(F.col("release_date")).alias("day"))
+    n = days.agg(rows()).scalar()
+    return published.join(days, F.col("day") == F.col("published"), "left").groupBy("published").agg(
+        F.count("day").alias("on_that_day")).withColumn("releases", n)
+
+
 def strict_dates(ws) -> DataFrame:
     t = ws.releases.filter(F.col("tender").isNotNull())
     day = flags.strict_date(F.col("tender.tenderPeriod.startDate"), "tender start")
@@ -91,14 +116,20 @@ def view_counts(ws) -> DataFrame:
 
 
 def manifest(ws) -> DataFrame:
-    """Files of the published awards table, by content."""
+    """Rows and content digest of every published table."""
     root = _published(ws)
-    path = f"{root}/run={sinks.current_run(ws.spark, root)}/awards"
-    return sinks.file_manifest(ws.spark, path)
+    return union([sinks.table_digest(sinks.read_current(ws.spark, root, n), n) for n in ws.stg.tables()])
 
 
 def integrity(ws) -> DataFrame:
-    return sinks.verify_manifest(manifest(ws), manifest(ws))
+    """Every published table against the same table flattened from the source documents again."""
+    again = package.flatten(ws.releases, ws.rules).tables()
+    source = union([sinks.table_digest(df, n) for n, df in again.items()])
+    expected = source.withColumnsRenamed({"n_rows": "source_rows", "digest": "source_digest"})
+    return expected.join(manifest(ws), "table_name", "full").select(
+        "table_name", "source_rows", F.col("n_rows").alias("published_rows"),
+        (F.col("source_digest").eqNullSafe(F.col("digest")) & F.col("source_rows").eqNullSafe(F.col("n_rows"))).alias("intact"),
+    )
 
 
 def presented_counts(ws) -> DataFrame:
@@ -155,6 +186,7 @@ def stored_results(ws) -> DataFrame:
 
 SOURCES = {
     "s01_package_scan": package_scan,
+    "s01b_release_lines": line_scan,
     "s11_strict_dates": strict_dates,
     "s12_replaced_tables": replaced_tables,
     "s13_refreshed_snapshot": refreshed_snapshot,
@@ -278,7 +310,10 @@ COMPARISONS = {
     "c16_claim_trace": claim_trace,
     "r_all_figures": lambda ws: figure_pack(ws).groupBy("page", "unit").agg(
         rows().alias("n_figures"), F.count("expected_value").alias("with_value"), F.count("measure").alias("with_measure")),
-    "st1_streamed_pick": incremental.streamed_pick,
+    "p10c_equal_to_package_date": equal_to_package_date,
+    "st1_streamed_pick": lambda ws: incremental.streamed_snapshot(ws).select(
+        "ocid", "latest_release_id", "buyer_id", "tender_release_id", "award_release_id"),
+    "st1c_streamed_snapshot": incremental.streamed_snapshot,
     "st1b_streamed_budget_lines": incremental.streamed_budget_lines,
 }
 

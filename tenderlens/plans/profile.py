@@ -257,15 +257,6 @@ def release_dates_by_year(ws) -> DataFrame:
     )
 
 
-def equal_to_package_date(ws, published=None) -> DataFrame:
-    """Releases dated on the package's publication day (by default the latest release day)."""
-    day = flags.utc_day(F.col("release_date"))
-    latest = ws.stg.releases.agg(F.max(day)).scalar()
-    target = latest if published is None else F.lit(published).cast("date")
-    return ws.stg.releases.withColumn("published", target).groupBy("published").agg(
-        rows().alias("releases"), F.count_if(day == F.col("published")).alias("on_that_day"))
-
-
 def date_order_disagreement(ws) -> DataFrame:
     """Processes whose newest publication date is not on the release with the greatest id."""
     per = ws.stg.releases.groupBy("ocid").agg(
@@ -298,7 +289,6 @@ PROFILES = {
     "p08_supplier_name_multiplicity": supplier_name_multiplicity,
     "p09_frequencies": frequencies,
     "p10_release_dates_by_year": release_dates_by_year,
-    "p10c_equal_to_package_date": equal_to_package_date,
     "p10b_date_order_disagreement": date_order_disagreement,
     "p11_dropped_decimal_candidates": dropped_decimal_candidates,
 }

@@ -1,13 +1,14 @@
 """Materialisation: each table is built once, written to shared storage, and read back.
 
 Writing cuts the lineage: losing an executor never recomputes more than the
-table being built. The folder comes from ``spark.checkpoint.dir``; a private
-temporary folder is used only by a local session that names none.
+table being built. The folder comes from ``spark.checkpoint.dir``. Every build of
+a table goes to a folder of its own, so a reader of an earlier build keeps its
+files until ``close`` removes the workspace.
 """
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -19,24 +20,24 @@ from tenderlens.model import Core, Staging
 from tenderlens.plans import core as core_plan
 from tenderlens.plans import impact, register, views
 from tenderlens.rules import Rules
-from tenderlens.sources import package
+from tenderlens.sources import files, package, sinks
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
+
+
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """The folder for this application where its session names none; every executor must reach it."""
+    _FOLDERS[spark.sparkContext.applicationId] = folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; a local session without one gets a temporary folder."""
+    """The folder in ``spark.checkpoint.dir``, else the one given to ``use_folder``."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _FOLDERS.get(context.applicationId)
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = context.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tenderlens-")
-    return _LOCAL_FOLDERS[app]
+    return folder.rstrip("/")
 
 
 class Workspace:
@@ -57,8 +58,8 @@ class Workspace:
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._built:
-            path = f"{self.root}/{name}"
-            build().write.mode("overwrite").parquet(path)
+            path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
             self._built[name] = self.spark.read.parquet(path)
         return self._built[name]
 
@@ -95,8 +96,17 @@ class Workspace:
     def v(self) -> Views:
         return Views(self.core, keep=lambda name, build: self.table(f"vw_{name}", build))
 
-    def build_all(self) -> dict[str, DataFrame]:
-        """Staging, core and every view, in dependency order."""
+    def build_all(self, pinned: DataFrame | None = None, source: str | None = None) -> dict[str, DataFrame]:
+        """Staging, core and every view, in dependency order.
+
+        With ``pinned`` (a file manifest) and ``source`` (the folder of the input
+        files), the input must equal the manifest before and after the load.
+        """
+        if pinned is not None:
+            sinks.require_intact(pinned, sinks.file_manifest(self.spark, source, "*"))
+        self.stg
+        if pinned is not None:
+            sinks.require_intact(pinned, sinks.file_manifest(self.spark, source, "*"))
         v = self.v
         with ThreadPoolExecutor(max_workers=4) as pool:
             for wave in VIEW_WAVES:
@@ -104,13 +114,30 @@ class Workspace:
         return dict(self._built)
 
     def refresh_snapshot(self) -> Core:
-        """Rebuild the latest-per-key tables (budget lines first) and drop the views on top."""
-        for name in [n for n in self._built if n.startswith("vw_") or n in ("budget_lines", "process_snapshot")]:
+        """Rebuild budget lines and snapshot and publish both at once; views on top are built anew when asked for.
+
+        The new tables are written beside the old ones. They become current
+        together, when one row is appended to the run log after both are whole;
+        a failed refresh leaves the old ones, and open readers keep their files.
+        """
+        stg, r = self.stg, self.rules
+        new = Workspace(self.spark, self._releases, r, f"{self.root}/refresh-{uuid.uuid4().hex}")
+        lines = new.table("budget_lines", lambda: core_plan.build_budget_lines(stg.planning))
+        new.table("process_snapshot", lambda: core_plan.build_process_snapshot(stg, lines))
+        log = self.spark.createDataFrame([(time.time_ns(), new.root)], "published_at bigint, folder string")
+        log.coalesce(1).write.mode("append").parquet(f"{self.root}/refreshes")
+        for name in [n for n in self._built if n.startswith("vw_")]:
             del self._built[name]
+        self._built |= new._built
         self.__dict__.pop("core", None)
         self.__dict__.pop("v", None)
         return self.core
 
+    def close(self) -> None:
+        """Remove every table of this workspace."""
+        files.remove(self.spark, self.root)
+        self._built.clear()
+
 
 # Views of one wave read only core tables and earlier waves.
 VIEW_WAVES = [

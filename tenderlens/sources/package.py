@@ -22,7 +22,7 @@ from tenderlens.rules import Rules
 
 
 def read_package(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """One JSON package object. A multi-line document is a single read task, so
+    """JSON package objects, one per file. A package is a single read task, so
     the releases are spread right after the explode."""
     releases = (
         spark.read.schema(PACKAGE_SCHEMA)
@@ -34,6 +34,29 @@ def read_package(spark: SparkSession, path: str, partitions: int | None = None)
     return releases.repartition(partitions) if partitions else releases.repartition("id")
 
 
+def write_packages(releases: DataFrame, path: str, published: str | Column, per_package: int = 2000) -> None:
+    """Release packages of about ``per_package`` releases each, one JSON file per package."""
+    files = max(1, -(-releases.count() // per_package))
+    numbered = releases.select(
+        F.pmod(F.xxhash64("id"), F.lit(files)).alias("file"), F.struct(*RELEASE_FIELDS).alias("release")
+    )
+    packed = numbered.groupBy("file").agg(F.collect_list("release").alias("releases")).select(
+        "file",
+        F.to_json(F.struct(
+            F.lit("urn:package").alias("uri"), F.lit("1.1").alias("version"),
+            (F.lit(published) if isinstance(published, str) else published).alias("publishedDate"), "releases",
+        )).alias("value"),
+    )
+    packed.write.partitionBy("file").text(path)
+
+
+def published_dates(spark: SparkSession, path: str) -> DataFrame:
+    """(published): the distinct package dates below ``path``; the releases are not parsed."""
+    return spark.read.schema("publishedDate string").option("multiLine", True).json(path).select(
+        F.col("publishedDate").alias("published")
+    ).distinct()
+
+
 def read_release_lines(spark: SparkSession, path: str) -> DataFrame:
     """Releases as JSON lines: splittable, the form to use at scale."""
     return spark.read.schema(RELEASE_SCHEMA).option("mode", "FAILFAST").json(path)

@@ -6,8 +6,9 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def replace_tables(tables: dict[str, DataFrame], root: str) -> str:
@@ -40,7 +41,7 @@ def store_result_sets(result_sets: dict[str, DataFrame], root: str) -> str:
 
     def one(item: tuple[str, DataFrame]) -> None:
         name, df = item
-        df.select(F.to_json(F.struct(*df.columns)).alias("row_json")).write.mode("overwrite").parquet(
+        df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row_json")).write.mode("overwrite").parquet(
             f"{root}/result_set={name}"
         )
 
@@ -61,6 +62,32 @@ def file_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") ->
     )
 
 
+def _rendered(df: DataFrame, name: str) -> Column:
+    """A column as exact text: decimals with four places, days, arrays joined; NULL has a mark of its own."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.DecimalType):
+        c = c.cast("decimal(38,4)")
+    elif isinstance(kind, T.ArrayType):
+        c = F.array_join(c, ",")
+    elif isinstance(kind, T.TimestampType):
+        c = c.cast("date")
+    return F.coalesce(c.cast("string"), F.lit("\\N"))
+
+
+def table_digest(df: DataFrame, name: str) -> DataFrame:
+    """Rows and content digest of a table, whatever the order of its rows and files.
+
+    Each row is hashed as the text of its columns by name; the digest is the sum
+    of the leading 48 bits, one small aggregate per task.
+    """
+    text = F.concat_ws("|", *[_rendered(df, c) for c in sorted(df.columns)])
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    total = F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("digest")).select(
+        F.lit(name).alias("table_name"), "n_rows", "digest"
+    )
+
+
 def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Files missing on either side, or different, come out with ``intact`` false."""
     j = expected.alias("e").join(actual.alias("a"), "file", "full")

@@ -12,12 +12,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlens.operators.latest import latest_per_key
+from tenderlens.sources import files
 
 
 class LatestTable:
@@ -27,10 +27,8 @@ class LatestTable:
         self.spark, self.root, self.keys, self.order = spark, root.rstrip("/"), keys, order
 
     def _stored(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return None  # nothing written yet
+        path = f"{self.root}/{name}"
+        return self.spark.read.parquet(path) if files.exists(self.spark, path) else None
 
     def _base(self) -> tuple[str | None, int]:
         """Folder of the current base and the last batch it covers."""
@@ -51,7 +49,9 @@ class LatestTable:
         batches = self._stored("batches")
         if batches is not None:
             parts.append(batches.filter(F.col("batch_id") > upto).drop("batch_id"))
-        return parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts[0] if parts else None)
+        if not parts:
+            return None
+        return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
     def read(self) -> DataFrame | None:
         versions = self._versions()
@@ -63,14 +63,27 @@ class LatestTable:
         base, covered = self._base()
         if upto <= covered:
             return
-        batches = self._stored("batches").filter((F.col("batch_id") > covered) & (F.col("batch_id") <= upto))
-        rows = batches.drop("batch_id")
+        batches = self._stored("batches")
+        if batches is None:
+            return
+        rows = batches.filter((F.col("batch_id") > covered) & (F.col("batch_id") <= upto)).drop("batch_id")
         if base is not None:
             rows = self.spark.read.parquet(f"{self.root}/{base}").unionByName(rows)
         name = f"base-{uuid.uuid4().hex}"
         latest_per_key(rows, self.keys, self.order).write.parquet(f"{self.root}/{name}")
         entry = self.spark.createDataFrame([(name, upto)], "base string, upto bigint")
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/bases")
+        self._prune(covered, keep={name, base})
+
+    def _prune(self, covered: int, keep: set) -> None:
+        """Drop what even the base before this one covers: readers may be one compaction behind, not two."""
+        for folder in files.children(self.spark, f"{self.root}/batches"):
+            number = folder.removeprefix("batch_id=")
+            if number.isdigit() and int(number) <= covered:
+                files.remove(self.spark, f"{self.root}/batches/{folder}")
+        for folder in files.children(self.spark, self.root):
+            if folder.startswith("base-") and folder not in keep:
+                files.remove(self.spark, f"{self.root}/{folder}")
 
 
 def maintain(

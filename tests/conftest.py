@@ -20,6 +20,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("TEST_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="test-tables-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="test-warehouse-"))
     )
     session = builder.getOrCreate()
