@@ -215,6 +215,9 @@ SUITES: dict[str, list[tuple]] = {
         ("SF-01", f"(SELECT count(*) FROM (SELECT award_id FROM {DD} UNION SELECT award_id FROM {SL}))", n("asf")), ("SF-02", n(DD), n("asf", "dd")), ("SF-03", n(SL), n("asf", "sl")),
         ("SF-04", "0", dup("asf", "award_id")), ("SF-05", "0", n("asf", "award_id NOT IN (SELECT award_id FROM awv)")), ("SF-06", "0", "0"), ("SF-07", "0", n("asf", "value >= 600000")),
         ("SF-08", "0", n("asf", "buyer_id = 'B-7'")), ("SF-09", "0", n("asf", "(dd AND NOT ratio BETWEEN 5 AND 20) OR (sl AND NOT ratio_to_sibling >= 10)")), ("SF-10", "0", n("asf", "sl AND buyer_id = 'B-'")),
+        ("SF-11", f"(SELECT if(count(*) > 0, 'true', 'none') FROM {SL})", f"(SELECT coalesce(max(sl::VARCHAR), 'none') FROM asf WHERE award_id = (SELECT min(award_id) FROM {SL}))"),
+        ("SF-12", f"(SELECT if(count(*) > 0, 'true', 'none') FROM {DD})", f"(SELECT coalesce(max(dd::VARCHAR), 'none') FROM asf WHERE award_id = (SELECT min(award_id) FROM {DD}))"),
+        ("SF-13", "0", n("asf", "award_id NOT IN (SELECT award_id FROM sav) AND award_id NOT IN (SELECT award_id FROM bva)")),
         ("SF-14", f"{n('awv')} || '|' || (SELECT count(DISTINCT award_id) FROM sav) || '|' || {n('bva')}", "(SELECT string_agg(elig::VARCHAR, '|' ORDER BY ord) FROM reg WHERE metric_id IN ('M-V01', 'M-S01', 'P4-BvA'))"),
         ("SF-15", None, "|| '|' ||".join(n("asf", f"{SFK} = '{x}'") + "::VARCHAR" for x in "dsb")), ("SF-16", None, "(SELECT round(sum(value)::DOUBLE / 1000, 2) FROM asf)"),
         ("SF-17", None, f"round(100 * {money('asf', 'value')}::DOUBLE / {money('awv', 'value')}::DOUBLE, 2)"),

@@ -24,12 +24,12 @@ CTES: list[tuple[str, str]] = [
         """SELECT o_orderkey AS k, o_orderkey::VARCHAR AS release_id, o_orderkey AS release_seq,
                   'P' || o_custkey::VARCHAR AS ocid, o_orderstatus AS st, o_orderpriority AS pr,
                   o_totalprice::DECIMAL(18,4) AS tp, o_orderdate::DATE AS od,
-                  CASE WHEN o_orderkey % 97 = 0 THEN 'B-' ELSE 'B-' || c_nationkey::VARCHAR END AS buyer_id,
-                  CASE WHEN o_orderkey % 97 <> 0 THEN n_name END AS buyer_name,
+                  CASE WHEN o_custkey % 97 = 0 THEN 'B-' ELSE 'B-' || c_nationkey::VARCHAR END AS buyer_id,
+                  CASE WHEN o_custkey % 97 <> 0 THEN n_name END AS buyer_name,
                   CASE WHEN o_orderkey % 50 = 0 THEN 'NO_PARTIES' END AS party_flag,
                   n_lines, total, d0, d1, lead.sk AS sk, lead.ls AS lead_ls,
                   (o_orderstatus = 'F' AND n_lines IS NOT NULL) AS has_award,
-                  (o_orderstatus = 'F' AND n_lines IS NOT NULL AND o_orderkey % 5 <> 0) AS has_contract
+                  (o_orderstatus = 'F' AND n_lines IS NOT NULL AND o_custkey % 5 <> 0) AS has_contract
            FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
                 LEFT JOIN ol ON ol.k = o_orderkey LEFT JOIN lead ON lead.k = o_orderkey""",
     ),

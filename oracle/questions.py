@@ -160,7 +160,7 @@ SQL = {
       GROUP BY m""",
     "q2_1_competition_headline": f"""SELECT pop AS population, count(*) AS eligible_tenders, {q('n', 0.5)} AS median_tenderers_m_c01,
       round(100 * avg((n = 1)::INT), 2) AS single_bidder_rate_pct_m_c02, round(avg(n), 2) AS mean_tenderers, max(n)::BIGINT AS max_tenderers
-      FROM (SELECT 'primary (NORMAL, 1-100)' AS pop, number_of_tenderers AS n FROM competition WHERE prim
+      FROM (SELECT 'primary (NORMAL, 1-8)' AS pop, number_of_tenderers AS n FROM competition WHERE prim
             UNION ALL SELECT 'sensitivity (NORMAL + ELEVATED)', number_of_tenderers FROM competition) GROUP BY pop""",
     "q2_1b_register": entries("M-C01 / M-C02", "M-C01 (sensitivity)"),
     "q2_2_participation_bands": f"""SELECT b AS participation_band, p AS primary_tenders, {pct('p', 'sum(p) OVER ()', 2)} AS pct_of_primary,

@@ -23,8 +23,9 @@ def hhi(value: Column) -> Column:
 def _join(left: DataFrame, right: DataFrame, groups) -> DataFrame:
     if groups:
         return left.join(right, list(groups), "left")
-    # Both sides are one-row aggregates: the right one is read as scalar subqueries.
-    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+    # Both sides are one-row aggregates: the right one is read as one scalar subquery.
+    row = right.select(F.struct(*right.columns).alias("_r")).scalar()
+    return left.withColumn("_r", row).select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in right.columns])
 
 
 def concentration(

@@ -130,6 +130,8 @@ def with_position(
     ``count_as`` names the number of rows of the group.
     """
     running = running or {}
+    if kind == "rank" and not running:
+        return _with_rank(df, order[:rank_keys], name, groups, count_as)
     keys = _keys(groups)
     first, direction = order[0]
     b = value_bucket(F.col(first))
@@ -161,6 +163,35 @@ def with_position(
     return out.select(*keep)
 
 
+def _with_rank(
+    df: DataFrame, order: list[tuple[str, str]], name: str, groups: tuple | list, count_as: str | None
+) -> DataFrame:
+    """Rank of a value is one more than the rows in front of it, so it is worked
+    out on the distinct values: ties of any number are one row per map task, and
+    no task sorts them. Rows get their rank by a join that Spark can split."""
+    keys = _keys(groups)
+    src = _with_key(df, groups)
+    columns = [c for c, _ in order]
+    first, direction = order[0]
+    b = value_bucket(F.col(first))
+    values = src.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", -b if direction == "desc" else b)
+    hist = _before(values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")), keys, ["_c"])
+    cols = [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order]
+    w = Window.partitionBy(*keys, "_b").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.join(hist.select(*keys, "_b", "_before__c", "_total__c"), [*keys, "_b"]).select(
+        *[F.col(c).alias(f"_k_{c}") for c in dict.fromkeys([*keys, *columns])],
+        (F.col("_before__c") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).cast("bigint").alias(name),
+        F.col("_total__c").cast("bigint").alias("_n"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in dict.fromkeys([*keys, *columns])]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    out = src.join(ranked, condition)
+    extra = [F.col("_n").alias(count_as)] if count_as else []
+    return out.select(*df.columns, name, *extra)
+
+
 def percent_rank(rank: Column, n: Column) -> Column:
     return F.when(n > 1, (rank - 1) / (n - 1).cast("double")).otherwise(F.lit(0.0))
 

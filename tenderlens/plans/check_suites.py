@@ -755,6 +755,15 @@ def scale_flag(ws) -> DataFrame:
                            count(v.budget_award_comparison).cast("string"))
     split = F.concat_ws("|", *[F.count_if(F.col("flag_reason") == x).cast("string") for x in reasons])
     total = aw.agg(F.sum("award_value_amount")).scalar()
+    untestable = aw.select("award_id").join(v.supplier_award_eligible.select("award_id"), "award_id", "left_anti").join(
+        v.budget_award_comparison.select("award_id"), "award_id", "left_anti")
+
+    def spot(check_id, name, recount, column):
+        first = recount.agg(F.min("award_id").alias("award_id"))
+        found = F.coalesce(F.max(F.col(column).cast("string")), F.lit("none"))
+        some = recount.agg(F.when(rows() > 0, "true").otherwise("none")).scalar()
+        return probe(flag.join(first, "award_id"), [Check(check_id, name, found, some)])
+
     extreme = flag.join(ws.stg.awards.filter(F.col("award_value_flag") == "EXTREME").select("award_id"), "award_id", "left_semi")
     probes = [
         probe(flag, [
@@ -774,6 +783,10 @@ def scale_flag(ws) -> DataFrame:
         probe(flag.join(aw.select("award_id"), "award_id", "left_anti"), [Check("SF-05", "flagged outside M-V01", rows(), "0")]),
         probe(extreme, [Check("SF-07", "flagged and extreme", rows(), "0")]),
         probe(pop, [Check("SF-14", "eligible populations unchanged", counts, eligible)]),
+        spot("SF-11", "first recounted sibling lot is flagged as one", sl, "sibling_lot_test"),
+        spot("SF-12", "first recounted dropped decimal is flagged as one", dd, "dropped_decimal_test"),
+        probe(flag.join(untestable, "award_id", "left_semi"), [
+            Check("SF-13", "awards without budget line and usable supplier are not flagged", rows(), "0")]),
     ]
     return suite("Award scale flag", probes)
 

@@ -83,32 +83,30 @@ def overall_concentration(v) -> DataFrame:
     )
 
 
-def supplier_table(v, source=None) -> DataFrame:
+def top_suppliers(v, n: int = 20, source=None) -> DataFrame:
+    """The n largest suppliers, every one tied with the n-th included. Totals carry
+    ids and values only; names and entities are looked up for the few that remain."""
     source = v.supplier_award_eligible if source is None else source
-    return source.groupBy("supplier_id").agg(
+    totals = holder_totals(source, "supplier_id", AWARD)
+    cut = totals.orderBy(F.col("value").desc()).limit(n).agg(F.min("value")).scalar()
+    total = totals.agg(F.sum("value")).scalar()
+    w = Window.partitionBy("_all").orderBy(F.col("value").desc())
+    upto = Window.partitionBy("_all").orderBy(F.col("value").desc(), "supplier_id").rowsBetween(Window.unboundedPreceding, 0)
+    best = totals.filter(F.col("value") >= cut).withColumn("_all", F.lit(0)).select(
+        "supplier_id", "awards", "value", F.rank().over(w).cast("bigint").alias("value_rank"),
+        F.sum("value").over(upto).alias("cum"), total.alias("total"),
+    )
+    about = source.join(best.select("supplier_id"), "supplier_id", "left_semi").groupBy("supplier_id").agg(
         F.max("supplier_name").alias("supplier_name"),
         F.max("name_variant_count").alias("name_variant_count"),
-        rows().alias("awards"),
         F.count_distinct("buyer_id").alias("procuring_entities"),
-        F.sum(AWARD).alias("value"),
     )
-
-
-def top_suppliers(v, n: int = 20, source=None) -> DataFrame:
-    ranked = with_position(
-        supplier_table(v, source),
-        [("value", "desc"), ("supplier_id", "asc")],
-        "value_rank",
-        rank_keys=1,
-        running={"value": "cum"},
-    ).filter(F.col("value_rank") <= n)
-    total = F.col("cum_total")
     note = F.when(F.col("name_variant_count") > 1, "several name variants (DQ-13): share may be understated")
-    return ranked.select(
+    return best.join(about, "supplier_id").select(
         "value_rank", "supplier_id", "supplier_name", "awards", "procuring_entities",
         money(F.col("value"), v.rules, 2).alias(_unit(v, "value")),
-        pct(F.col("value"), total, 2).alias("share_pct"),
-        pct(F.col("cum"), total, 2).alias("cumulative_share_pct"),
+        pct(F.col("value"), F.col("total"), 2).alias("share_pct"),
+        pct(F.col("cum"), F.col("total"), 2).alias("cumulative_share_pct"),
         note.otherwise("single name").alias("identity_note"),
     )
 
@@ -235,7 +233,7 @@ def _primary(df: DataFrame) -> DataFrame:
 
 def competition_headline(v) -> DataFrame:
     """Both populations from one scan: a primary tender counts once in each."""
-    both = F.array(F.lit("primary (NORMAL, 1-100)"), F.lit("sensitivity (NORMAL + ELEVATED)"))
+    both = F.array(F.lit(f"primary (NORMAL, 1-{v.rules.normal_max})"), F.lit("sensitivity (NORMAL + ELEVATED)"))
     labels = F.when(F.col("in_primary_population"), both).otherwise(F.slice(both, 2, 1))
     return v.competition_eligible.withColumn("population", F.explode(labels)).groupBy("population").agg(
         rows().alias("eligible_tenders"),

@@ -143,10 +143,11 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     has_tender = F.col("o_orderstatus").isin("O", "F")
     has_award = (F.col("o_orderstatus") == "F") & F.col("n_lines").isNotNull()
-    has_contract = has_award & ~every(5)
+    # A process either signs contracts or not, and keeps its buyer: what the views assume of real processes.
+    has_contract = has_award & (F.col("o_custkey") % 5 != 0)
     has_impl = has_contract & F.coalesce("r_F", "r_O", F.datediff("a_F", F.lit("1970-01-01")),
                                          F.datediff("a_O", F.lit("1970-01-01"))).isNotNull()
-    bare_buyer = every(97)
+    bare_buyer = F.col("o_custkey") % 97 == 0
     buyer_id = F.when(bare_buyer, "B-").otherwise(F.concat(F.lit("B-"), F.col("c_nationkey").cast("string")))
     buyer_name = F.when(~bare_buyer, F.col("n_name"))
     supp = F.col("lead_supplier")
