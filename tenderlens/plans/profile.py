@@ -226,9 +226,12 @@ def multiplicity(pairs: DataFrame, key: str, value: str) -> DataFrame:
 
 def supplier_name_multiplicity(ws) -> DataFrame:
     party = ws.stg.parties.filter(F.array_contains("roles", "supplier")).select("party_id", "party_name_raw")
-    ids = multiplicity(party, "party_id", "party_name_raw").select(F.lit("ids with several names").alias("kind"), "n_values")
-    names = multiplicity(party, "party_name_raw", "party_id").select(F.lit("names with several ids").alias("kind"), "n_values")
-    return ids.unionByName(names).groupBy("kind", "n_values").agg(rows().alias("n"))
+    def side(kind, key, value):
+        return multiplicity(party, key, value).select(F.lit(kind).alias("kind"), "n_values", F.col(key).alias("key"))
+
+    both = side("ids with several names", "party_id", "party_name_raw").unionByName(
+        side("names with several ids", "party_name_raw", "party_id"))
+    return both.groupBy("kind", "n_values").agg(rows().alias("n"), F.min("key").alias("sample"))
 
 
 def frequencies(ws) -> DataFrame:

@@ -12,14 +12,19 @@ from tenderlens.sources import sinks
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow"]
 
 
+# Joins on an inequality with a fixed, tiny table.
+SMALL_SERIES: dict[str, list[str]] = {}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n[0] in "kvqdcrp"))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not n.startswith("st1")))
 def test_no_forbidden_operator(name, spark, workspace):
     text = plan(catalog.run(name, spark, SF_DIR))
-    assert [x for x in FORBIDDEN if x in text] == []
+    allowed = SMALL_SERIES.get(name, [])
+    assert [x for x in FORBIDDEN if x in text and x not in allowed] == []
 
 
 @pytest.mark.parametrize("name", ["k01_budget_lines", "q1_4_concentration_by_method", "v16_award_scale_flag", "u04_distinct_on"])
@@ -41,10 +46,9 @@ def test_nested_pruning(spark, workspace):
     assert "tenderPeriod" not in text and "projectID" not in text
 
 
-def test_gates_that_hold_on_any_data(spark, workspace):
-    for suite in (check_suites.key_uniqueness, check_suites.referential_integrity, check_suites.release_reconciliation,
-                  check_suites.layer_reconciliation, check_suites.scale_flag, check_suites.presentation_dims):
-        assert failures(suite(workspace)).collect() == []
+def test_every_gate_is_green(spark, workspace):
+    for name, suite in check_suites.SUITES.items():
+        assert failures(suite(workspace)).collect() == [], name
 
 
 def test_published_set_is_replaced_as_a_whole(spark, tmp_path):

@@ -15,7 +15,7 @@ NAMES = [
     "v04_supplier_award_eligible", "v11_entity_benchmark", "v12_metric_population", "v13_dq_impact", "v16_award_scale_flag",
     "q1_2_overall_concentration", "q1_5_concentration_by_entity", "q2_6_competition_extremes", "q3_2_ratio_percentiles",
     "q4_2_timing_distribution", "q5_4_kpi_profile", "c01_key_uniqueness", "c04_release_reconciliation", "w01_row_number",
-    "a05_percentiles", "a16_depth_to_share",
+    "a05_percentiles", "a16_depth_to_share", "t03_top_with_ties", "w02_rank", "w03_percent_rank", "q1_3_top_suppliers",
 ]
 
 
