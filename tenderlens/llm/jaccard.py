@@ -10,8 +10,8 @@ when intersection / union >= ``num`` / ``den``, in whole numbers.  Steps:
    single document cannot be shared, so a set with fewer than ``OVERLAP`` shared
    ones in front links with nothing: most texts end here.
 3. Equal sets are one class.  The remaining classes are partitioned into groups
-   of similar sets: by their smallest shingle hash, large groups split into
-   bounded chunks.  The matrix (shingle, group) stores the union of the front
+   of similar sets: by the smallest hash among the more widely held half of
+   their shingles, large groups split into bounded chunks.  The matrix (shingle, group) stores the union of the front
    shingles of each group.
 4. A query set meets the matrix; the number of its front shingles in a group's
    union bounds its overlap with every member.  Only groups that reach the
@@ -43,7 +43,7 @@ from tenderlens.llm.storage import block_count, block_of, stored, text_bytes
 
 OVERLAP = 4
 MEMBERS, TASK_SHINGLES = 512, 1 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -74,8 +74,9 @@ def _sets(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
 def described(docs: DataFrame, rule: Rule, block_bytes: int = blockcounts.BLOCK_BYTES) -> DataFrame:
     """One row per document: (doc_id, n, sid, and for possible partners low, front, shingles).
 
-    ``sid`` is a hash of the whole set.  ``low`` is its smallest shingle hash, ``front``
-    the shared shingles among its rarest.  Of equal sets in a block one row
+    ``sid`` is a hash of the whole set.  ``low`` is the smallest hash among its more
+    widely held half (edits of one copy are not in it, so similar sets agree),
+    ``front`` the shared shingles among its rarest.  Of equal sets in a block one row
     carries them.
     """
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
@@ -112,7 +113,11 @@ def described(docs: DataFrame, rule: Rule, block_bytes: int = blockcounts.BLOCK_
                     shared = own[order].view(np.int64)
                     seen.add(key)
             front.append(shared)
-            low.append(int(own[:1].view(np.int64)[0]) if shared is not None else None)
+            if shared is not None:
+                held = held_by[a:b]
+                low.append(int(own[held >= np.median(held)][:1].view(np.int64)[0]))
+            else:
+                low.append(None)
             shingles.append(own.view(np.int64) if shared is not None else None)
         return pa.table({
             "doc_id": texts["_id"], "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.int64()),
@@ -125,7 +130,7 @@ def described(docs: DataFrame, rule: Rule, block_bytes: int = blockcounts.BLOCK_
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """Adds ``gid``: classes with the same smallest shingle, in chunks of bounded members and shingles."""
+    """Adds ``gid``: classes with the same ``low``, in chunks of bounded members and shingles."""
     sizes = classes.groupBy("low").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     chunks = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("total") / TASK_SHINGLES), F.lit(1)).cast("bigint")
     sizes = sizes.where(chunks > 1).select("low", chunks.alias("chunks"))
