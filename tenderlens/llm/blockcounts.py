@@ -7,9 +7,10 @@ adds up the weights of equal keys over all blocks and answers every row with an
 array of totals in the order of its keys.  A key that a third of all documents
 hold is one element per block, so no part or block is hot.
 
-Per element a question costs 8 bytes (4 where ``narrow``) and an answer little
-more than 1 after compression; that is what keeps the shuffle a small multiple
-of the text.  Both sides are plain groups of rows that Spark shuffles, spills
+Per element a question costs 8 bytes (4 where ``narrow``) and its weight and its
+answer 1 byte each before compression: counts below 127 are bytes, the few
+others follow in a second array.  That keeps the shuffle a small multiple of
+the text.  Both sides are plain groups of rows that Spark shuffles, spills
 and repeats after a lost executor.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 8 << 20
@@ -37,8 +39,25 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _small(counts: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Lists of counts as lists of bytes, and the counts from 127 on in a second list."""
+    large = counts >= 127
+    before = np.concatenate([[0], np.cumsum(large)])[offsets].astype(np.int32)
+    return (
+        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.minimum(counts, 127).astype(np.int8))),
+        pa.ListArray.from_arrays(pa.array(before), pa.array(np.minimum(counts[large], 2**31 - 1).astype(np.int32))),
+    )
+
+
+def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """The counts again, of one row or of many in a row."""
+    out = small.astype(np.int64)
+    out[small == 127] = large
+    return out
+
+
 def questions(block: int, kinds: list[tuple[np.ndarray, np.ndarray]], bits: int, narrow: bool, everywhere: bool) -> pa.Table:
-    """Rows (part, block, keys, weights); ``kinds`` are (sorted distinct uint64 keys, weights).
+    """Rows (part, block, keys, small, large); ``kinds`` are (sorted distinct uint64 keys, weights).
 
     ``everywhere`` also asks the parts of the first kind in which the block has no key.
     """
@@ -52,15 +71,16 @@ def questions(block: int, kinds: list[tuple[np.ndarray, np.ndarray]], bits: int,
                 ends.append(base + b)
         base += len(keys)
         all_keys.append(_narrowed(keys, bits) if narrow else keys.view(np.int64))
-        all_weights.append(weights.astype(np.int32))
+        all_weights.append(weights.astype(np.int64))
     offsets = np.array([*starts, ends[-1]] if ends else [0], np.int32)
     keys_ = np.concatenate(all_keys) if all_keys else np.empty(0, np.int64)
-    weights_ = np.concatenate(all_weights) if all_weights else np.empty(0, np.int32)
+    small, large = _small(np.concatenate(all_weights) if all_weights else np.empty(0, np.int64), offsets)
     return pa.table({
         "part": pa.array(parts, pa.int64()),
         "block": pa.array(np.full(len(parts), block), pa.int64()),
         "keys": pa.ListArray.from_arrays(offsets, pa.array(keys_)),
-        "weights": pa.ListArray.from_arrays(offsets, pa.array(weights_)),
+        "small": small,
+        "large": large,
     })
 
 
@@ -70,19 +90,19 @@ def _narrowed(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks()
-    lists = table["keys"].combine_chunks() if isinstance(table["keys"], pa.ChunkedArray) else table["keys"]
     keys = _flat(table["keys"])
-    weights = _flat(table["weights"])
-    lengths = np.array([len(x) for x in lists], np.int64)
+    weights = _whole(_flat(table["small"]), _flat(table["large"]))
+    lengths = pc.list_value_length(table["keys"]).to_numpy()
     distinct, place = np.unique(keys, return_inverse=True)
     totals = np.bincount(place, weights=weights, minlength=len(distinct)).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     n = len(lengths)
+    small, large = _small(totals[place], offsets)
     return pa.table({
         "block": table["block"],
         "part": table["part"],
-        "counts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.minimum(totals, 2**31 - 1).astype(np.int32)[place])),
+        "small": small,
+        "large": large,
         "part_total": pa.array(np.full(n, totals.sum()), pa.int64()),
         "part_distinct": pa.array(np.full(n, (totals > 0).sum()), pa.int64()),
     })
@@ -95,15 +115,15 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 
 def counted(blocks: DataFrame, kinds_of: Callable[[pa.Table], list], bits: int, narrow: bool = False,
             everywhere: bool = False) -> DataFrame:
-    """Answers (block, part, counts, part_total, part_distinct) to the questions of every block."""
+    """Answers (block, part, small, large, part_total, part_distinct) to the questions of every block."""
     key = "int" if narrow else "bigint"
 
     def ask(group: tuple, table: pa.Table) -> pa.Table:
         return questions(group[0].as_py(), kinds_of(table), bits, narrow, everywhere)
 
-    asked = blocks.groupBy("block").applyInArrow(ask, f"part bigint, block bigint, keys array<{key}>, weights array<int>")
+    asked = blocks.groupBy("block").applyInArrow(ask, f"part bigint, block bigint, keys array<{key}>, small array<tinyint>, large array<int>")
     return asked.groupBy("part").applyInArrow(
-        _answer, "block bigint, part bigint, counts array<int>, part_total bigint, part_distinct bigint"
+        _answer, "block bigint, part bigint, small array<tinyint>, large array<int>, part_total bigint, part_distinct bigint"
     )
 
 
@@ -112,15 +132,14 @@ def totals_of(kinds: list[np.ndarray], answers: pa.Table, bits: int) -> list[np.
     parts = answers["part"].to_numpy()
     order = np.argsort(parts)
     rows = {int(parts[i]): i for i in order}
-    counts = answers["counts"].combine_chunks() if isinstance(answers["counts"], pa.ChunkedArray) else answers["counts"]
-    if isinstance(counts, pa.ChunkedArray):
-        counts = pa.concat_arrays(counts.chunks)
+    small, large = (pa.concat_arrays(answers[c].chunks) if answers[c].num_chunks else [] for c in ("small", "large"))
     out = []
     for kind, keys in enumerate(kinds):
         found = np.zeros(len(keys), np.int64)
         cuts = _cuts(keys, bits)
         for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
-                found[a:b] = counts[rows[(kind << bits) + p]].values.to_numpy()
+                row = rows[(kind << bits) + p]
+                found[a:b] = _whole(small[row].values.to_numpy(), large[row].values.to_numpy())
         out.append(found)
     return out
