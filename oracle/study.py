@@ -85,6 +85,14 @@ SQL = {
         [presence(x, "true") for x in ("id", "ocid", "date", "tag", "initiationType", "language", "buyer", "planning")]
         + [presence("parties", "k % 50 <> 0"), presence("tender", "st IN ('O', 'F')"), presence("awards", "has_award"), presence("contracts", "has_contract")]
     ),
+    "p02b_section_presence": " UNION ALL ".join(f"SELECT '{item}' AS item, (SELECT count(*) FROM {src}) AS n" for item, src in (
+        ("buyer", "o"), ("planning", "o"), ("budget", "o"), ("budget amount", "planning WHERE budget_amount IS NOT NULL"), ("tender", "tender"),
+        ("tender without number of tenderers", "tender WHERE number_of_tenderers IS NULL"), ("tender value", "tender WHERE tender_value_amount IS NOT NULL"), ("tender title", "tender"),
+        ("releases with awards", "awards"), ("releases with several awards", "o WHERE false"), ("awards", "awards"), ("awards without value", "awards WHERE value IS NULL"),
+        ("award dates", "awards WHERE award_date IS NOT NULL"), ("releases with contracts", "contracts"), ("contracts", "contracts"),
+        ("contract period starts", "contracts WHERE period_start_date IS NOT NULL"), ("contract period ends", "contracts WHERE period_end_date IS NOT NULL"),
+        ("releases with parties", "(SELECT DISTINCT release_id FROM parties)"), ("parties", "parties"), ("parties without id", "parties WHERE party_id IS NULL"),
+        ("parties without name", "parties WHERE party_name_raw IS NULL"), ("implementation in the tags", "releases WHERE stage = 5"))),
     "p03_tag_combinations": """SELECT list_aggregate(list_sort(string_split(r.tag, ',')), 'string_agg', ',') AS tags, count(*) AS releases, count(*) FILTER (s.release_count > 1) AS in_repeated_processes
        FROM releases r JOIN snap s ON s.ocid = r.ocid GROUP BY 1""",
     "p04_describe_amounts": f"""SELECT m AS measure, count(x) AS n, min(x)::DOUBLE AS minimum, max(x)::DOUBLE AS maximum, round(sum(x)::DOUBLE / count(x), 2) AS mean, count(*) FILTER (x = 0) AS zeros,

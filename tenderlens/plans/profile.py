@@ -98,6 +98,43 @@ def field_presence(ws) -> DataFrame:
     return ws.releases.agg(*aggs).select(F.inline(cells))
 
 
+def section_presence(ws) -> DataFrame:
+    """Which sections and inner fields the documents have, one scan, no explode."""
+    none = F.array()
+
+    def of(array, test=None):
+        items = F.coalesce(array, none)
+        return F.size(items if test is None else F.filter(items, test))
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+    def present(path):
+        return F.count(F.col(path))
+
+    awards, contracts, parties = F.col("awards"), F.col("contracts"), F.col("parties")
+    tender = F.col("tender")
+    items = {
+        "buyer": present("buyer"), "planning": present("planning"), "budget": present("planning.budget"),
+        "budget amount": present("planning.budget.amount.amount"), "tender": present("tender"),
+        "tender without number of tenderers": F.count_if(tender.isNotNull() & tender["numberOfTenderers"].isNull()),
+        "tender value": present("tender.value.amount"),
+        "tender title": F.count_if(F.coalesce(tender["title"] != "", F.lit(False))),
+        "releases with awards": F.count_if(of(awards) > 0), "releases with several awards": F.count_if(of(awards) > 1),
+        "awards": total(of(awards)), "awards without value": total(of(awards, lambda a: a["value"]["amount"].isNull())),
+        "award dates": total(of(awards, lambda a: F.coalesce(a["date"] != "", F.lit(False)))),
+        "releases with contracts": F.count_if(of(contracts) > 0), "contracts": total(of(contracts)),
+        "contract period starts": total(of(contracts, lambda c: F.coalesce(c["period"]["startDate"] != "", F.lit(False)))),
+        "contract period ends": total(of(contracts, lambda c: F.coalesce(c["period"]["endDate"] != "", F.lit(False)))),
+        "releases with parties": F.count_if(of(parties) > 0), "parties": total(of(parties)),
+        "parties without id": total(of(parties, lambda p: p["id"].isNull())),
+        "parties without name": total(of(parties, lambda p: p["name"].isNull())),
+        "implementation in the tags": F.count_if(F.array_contains(F.coalesce("tag", none), "implementation")),
+    }
+    one = ws.releases.agg(*[c.alias(f"x{i}") for i, c in enumerate(items.values())])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("item"), F.col(f"x{i}").alias("n")) for i, n in enumerate(items)])))
+
+
 def tag_combinations(ws) -> DataFrame:
     """Tag sets over all releases, and within processes that repeat."""
     tags = F.array_join(F.array_sort("tag"), ",").alias("tags")
@@ -283,6 +320,7 @@ PROFILES = {
     "p01_release_distribution": release_distribution,
     "p01b_most_repeated": most_repeated,
     "p02_field_presence": field_presence,
+    "p02b_section_presence": section_presence,
     "p03_tag_combinations": tag_combinations,
     "p04_describe_amounts": describe_amounts,
     "p05_extreme_records": extreme_records,
