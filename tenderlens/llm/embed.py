@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tenderlens.llm import graph
 from tenderlens.llm.storage import stored
 
-BLOCKS, CHUNK = 8, 512
+BLOCKS, CHUNK = 8, 2048
 COSINE = 0.93
 SLACK = 1e-9
 PAIRS_AT_ONCE = 1 << 15
@@ -137,16 +137,20 @@ def dealt(places: DataFrame) -> DataFrame:
     tasks = F.when(
         F.col("home"), F.concat(with_homes, F.coalesce(with_visitors, F.array().cast("array<struct<i:int,j:int,role:int>>")))
     ).otherwise(visits)
-    return rows.withColumn("task", F.explode(tasks)).select(
+    rows = rows.withColumn("task", F.explode(tasks)).select(
         *cell, "task.i", "task.j", "task.role", "key", "copies", "embedding"
     )
+    # Dealt by task: a partitioning by cell alone would keep all tasks of a full cell together.
+    return rows.repartition(*cell, "i", "j")
 
 
 def candidates(left: np.ndarray, right: np.ndarray, block: slice, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the block's budget, with a little slack for the rounding of the matrix product."""
-    a, b = left[:, block], right[:, block]
-    distance = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.nonzero(distance <= budget + 1e-7)
+    """Index pairs within the block's budget, with slack for single precision; ``confirmed`` decides exactly."""
+    a, b = left[:, block].astype(np.float32), right[:, block].astype(np.float32)
+    distance = -2 * a @ b.T
+    distance += (a * a).sum(1)[:, None]
+    distance += (b * b).sum(1)[None, :]
+    return np.nonzero(distance <= budget + 1e-5)
 
 
 def confirmed(vectors: np.ndarray, turned: np.ndarray, a: np.ndarray, b: np.ndarray, j: int, cosine: float) -> np.ndarray:
