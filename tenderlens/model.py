@@ -97,4 +97,5 @@ class Core:
     dim_supplier: DataFrame
     budget_lines: DataFrame
     process_snapshot: DataFrame
+    process_sections: DataFrame
     rules: Rules

@@ -142,3 +142,49 @@ def build_process_snapshot(stg: Staging, budget_lines: DataFrame) -> DataFrame:
             flags.multi_project_flag(F.col("_lines")).alias("multi_project_flag"),
         )
     )
+
+
+def without_test(df: DataFrame, dim_buyer: DataFrame, r: Rules) -> DataFrame:
+    """Attach the buyer's name and flag; drop the test entity."""
+    buyers = dim_buyer.filter(F.col("test_entity_flag").isNull()).select("buyer_id", "buyer_name", "buyer_id_flag")
+    return df.filter(F.col("buyer_id") != r.test_buyer_id).join(buyers, "buyer_id")
+
+
+def build_process_sections(stg: Staging, snapshot: DataFrame, dim_buyer: DataFrame, r: Rules) -> DataFrame:
+    """One wide row per process of a real buyer: the fields of its latest tender, award and contract.
+
+    The joins that every view of these populations needs are made once, on keys
+    that are unique on the staging side; the views are filters over this table.
+    """
+    tender = stg.tender.select(
+        "ocid", F.col("release_id").alias("tender_release_id"), "procurement_method_details",
+        F.col("status").alias("tender_status"), "number_of_tenderers", "tenderer_count_flag",
+        "tender_start_date", "tender_end_date", "tender_start_date_flag", "tender_end_date_flag",
+    )
+    award = stg.awards.select(
+        "ocid", "award_id", F.col("status").alias("award_status"), "award_value_amount", "award_value_currency",
+        "award_value_flag", "award_monetary_flag", "award_date", "award_date_flag",
+    )
+    per_release = stg.awards.groupBy("ocid", F.col("release_id").alias("award_release_id")).agg(
+        F.count(F.lit(1)).alias("awards_in_release")
+    )
+    contract = stg.contracts.select(
+        "ocid", "contract_id", F.col("release_id").alias("contract_release_id"), F.col("status").alias("contract_status"),
+        "has_implementation", "date_signed", "date_signed_flag",
+    )
+    tx = stg.transactions.groupBy("contract_id").agg(F.count(F.lit(1)).alias("transaction_count"))
+    ms = stg.milestones.filter("milestone_source = 'IMPLEMENTATION'").groupBy("contract_id").agg(
+        F.count(F.lit(1)).alias("implementation_milestone_count")
+    )
+    base = without_test(
+        snapshot.select("ocid", "buyer_id", "release_count", "tags_observed", "tender_release_id", "tender_id",
+                        "award_release_id", "award_id", "contract_id"), dim_buyer, r)
+    return (
+        base.join(tender, ["ocid", "tender_release_id"], "left")
+        .join(award, ["ocid", "award_id"], "left")
+        .join(per_release, ["ocid", "award_release_id"], "left")
+        .join(contract, ["ocid", "contract_id"], "left")
+        .join(tx, "contract_id", "left")
+        .join(ms, "contract_id", "left")
+        .fillna({"transaction_count": 0, "implementation_milestone_count": 0})
+    )

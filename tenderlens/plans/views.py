@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions import bands, flags
 from tenderlens.model import Core
 from tenderlens.operators.order_stats import exact_percentiles, top_rows
+from tenderlens.plans.core import without_test
 from tenderlens.rules import METHOD_NOT_STATED
 
 _WHO = ["buyer_id", "buyer_name", "buyer_id_flag"]
@@ -22,24 +23,11 @@ _WHO = ["buyer_id", "buyer_name", "buyer_id_flag"]
 
 def exclude_test(df: DataFrame, core: Core) -> DataFrame:
     """Attach the buyer's name and flag; drop the test entity before any population."""
-    buyers = core.dim_buyer.filter(F.col("test_entity_flag").isNull()).select(*_WHO)
-    return df.filter(F.col("buyer_id") != core.rules.test_buyer_id).join(buyers, "buyer_id")
+    return without_test(df, core.dim_buyer, core.rules)
 
 
-def _snapshot(core: Core, *cols: str) -> DataFrame:
-    return exclude_test(core.process_snapshot.select("ocid", "buyer_id", *cols), core)
-
-
-def _tender(core: Core, *cols: str) -> DataFrame:
-    return core.stg.tender.select("ocid", F.col("release_id").alias("tender_release_id"), *cols)
-
-
-def _with_tender(core: Core, base: DataFrame, *cols: str, how: str = "inner") -> DataFrame:
-    return base.join(_tender(core, *cols), ["ocid", "tender_release_id"], how)
-
-
-def _with_award(core: Core, base: DataFrame, *cols: str) -> DataFrame:
-    return base.join(core.stg.awards.select("ocid", "award_id", *cols), ["ocid", "award_id"])
+def _has(section: str):
+    return F.col(section).isNotNull()
 
 
 def budget_eligible(core: Core) -> DataFrame:
@@ -62,12 +50,8 @@ def budget_eligible(core: Core) -> DataFrame:
 
 
 def competition_eligible(core: Core) -> DataFrame:
-    base = _snapshot(core, "tender_release_id")
-    return _with_tender(
-        core, base, "tender_id", "procurement_method_details", F.col("status").alias("tender_status"),
-        "number_of_tenderers", "tenderer_count_flag",
-    ).filter(
-        F.col("tender_status").isNotNull() & F.col("tenderer_count_flag").isin("NORMAL", "ELEVATED")
+    return core.process_sections.filter(
+        _has("tender_id") & F.col("tender_status").isNotNull() & F.col("tenderer_count_flag").isin("NORMAL", "ELEVATED")
     ).select(
         "ocid", "tender_release_id", "tender_id", *_WHO, "procurement_method_details", "tender_status",
         "number_of_tenderers", "tenderer_count_flag",
@@ -77,15 +61,10 @@ def competition_eligible(core: Core) -> DataFrame:
 
 
 def award_value_eligible(core: Core) -> DataFrame:
-    usable = core.stg.awards.filter(
-        (F.col("status") == "active")
-        & F.col("award_value_flag").isNull()
-        & F.col("award_monetary_flag").isNull()
+    return core.process_sections.filter(
+        _has("award_id") & (F.col("award_status") == "active")
+        & F.col("award_value_flag").isNull() & F.col("award_monetary_flag").isNull()
     ).select(
-        "ocid", "award_id", "award_value_amount", "award_value_currency", "award_date", "award_date_flag"
-    )
-    base = _snapshot(core, "tender_release_id", "award_id", "award_release_id").join(usable, ["ocid", "award_id"])
-    return _with_tender(core, base, "procurement_method_details", how="left").select(
         "ocid", "award_id", "award_release_id", *_WHO, "procurement_method_details", "award_value_amount",
         "award_value_currency", "award_date", "award_date_flag",
     )
@@ -132,12 +111,7 @@ def budget_award_comparison(core: Core, awards: DataFrame | None = None) -> Data
 
 
 def tender_duration_eligible(core: Core) -> DataFrame:
-    base = _snapshot(core, "tender_release_id")
-    joined = _with_tender(
-        core, base, "procurement_method_details", "tender_start_date", "tender_end_date",
-        "tender_start_date_flag", "tender_end_date_flag",
-    )
-    return joined.filter(
+    return core.process_sections.filter(
         (F.col("tender_start_date_flag") == "VALID")
         & (F.col("tender_end_date_flag") == "VALID")
         & (F.col("tender_end_date") >= F.col("tender_start_date"))
@@ -148,30 +122,22 @@ def tender_duration_eligible(core: Core) -> DataFrame:
 
 
 def award_lag_eligible(core: Core) -> DataFrame:
-    base = _snapshot(core, "tender_release_id", "award_id", "award_release_id")
-    single = core.stg.awards.groupBy("ocid", F.col("release_id").alias("award_release_id")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).filter("n = 1").drop("n")
-    joined = _with_award(
-        core,
-        _with_tender(core, base, "procurement_method_details", "tender_start_date", "tender_start_date_flag"),
-        F.col("status").alias("award_status"), "award_date", "award_date_flag",
-    )
-    return joined.filter(
-        (F.col("tender_start_date_flag") == "VALID")
+    return core.process_sections.filter(
+        _has("tender_release_id") & _has("award_id")
+        & (F.col("tender_start_date_flag") == "VALID")
         & (F.col("award_date_flag") == "VALID")
         & (F.col("award_date") >= F.col("tender_start_date"))
-    ).join(single, ["ocid", "award_release_id"], "left_semi").select(
+        & (F.col("awards_in_release") == 1)
+    ).select(
         "ocid", "award_id", *_WHO, "procurement_method_details", "award_status", "tender_start_date",
         "award_date", F.datediff("award_date", "tender_start_date").alias("award_lag_days"),
     )
 
 
 def signature_lag_eligible(core: Core) -> DataFrame:
-    signed = core.stg.contracts.select("ocid", "contract_id", "date_signed", "date_signed_flag")
-    base = _with_award(core, _snapshot(core, "award_id", "contract_id"), "award_date", "award_date_flag")
-    return base.join(signed, ["ocid", "contract_id"]).filter(
-        (F.col("award_date_flag") == "VALID")
+    return core.process_sections.filter(
+        _has("contract_id")
+        & (F.col("award_date_flag") == "VALID")
         & (F.col("date_signed_flag") == "VALID")
         & (F.col("date_signed") >= F.col("award_date"))
     ).select(
@@ -182,30 +148,16 @@ def signature_lag_eligible(core: Core) -> DataFrame:
 
 def lifecycle_stage(core: Core) -> DataFrame:
     rank = bands.stage_rank(F.col("tags_observed"))
-    return _snapshot(core, "release_count", "tags_observed").select(
+    return core.process_sections.select(
         "ocid", *_WHO, "release_count", "tags_observed", rank.alias("highest_stage_rank"),
         bands.stage_name(rank).alias("highest_stage"),
     )
 
 
 def contract_implementation_coverage(core: Core) -> DataFrame:
-    tx = core.stg.transactions.groupBy("contract_id").agg(F.count(F.lit(1)).alias("tx"))
-    ms = (
-        core.stg.milestones.filter("milestone_source = 'IMPLEMENTATION'")
-        .groupBy("contract_id").agg(F.count(F.lit(1)).alias("ms"))
-    )
-    contracts = core.stg.contracts.select(
-        "ocid", "contract_id", F.col("release_id").alias("contract_release_id"),
-        F.col("status").alias("contract_status"), "has_implementation",
-    )
-    return (
-        _snapshot(core, "contract_id").join(contracts, ["ocid", "contract_id"])
-        .join(tx, "contract_id", "left").join(ms, "contract_id", "left")
-        .select(
-            "ocid", "contract_id", "contract_release_id", *_WHO, "contract_status", "has_implementation",
-            F.coalesce("tx", F.lit(0)).alias("transaction_count"),
-            F.coalesce("ms", F.lit(0)).alias("implementation_milestone_count"),
-        )
+    return core.process_sections.filter(_has("contract_id")).select(
+        "ocid", "contract_id", "contract_release_id", *_WHO, "contract_status", "has_implementation",
+        "transaction_count", "implementation_milestone_count",
     )
 
 

@@ -90,7 +90,10 @@ class Workspace:
         snapshot = self.table(
             "process_snapshot", lambda: core_plan.build_process_snapshot(stg, t["budget_lines"])
         )
-        return Core(stg=stg, process_snapshot=snapshot, rules=r, **t)
+        sections = self.table(
+            "process_sections", lambda: core_plan.build_process_sections(stg, snapshot, t["dim_buyer"], r)
+        )
+        return Core(stg=stg, process_snapshot=snapshot, process_sections=sections, rules=r, **t)
 
     @cached_property
     def v(self) -> Views:
@@ -114,16 +117,17 @@ class Workspace:
         return dict(self._built)
 
     def refresh_snapshot(self) -> Core:
-        """Rebuild budget lines and snapshot and publish both at once; views on top are built anew when asked for.
+        """Rebuild budget lines, snapshot and sections and publish them at once; views on top are built anew when asked for.
 
         The new tables are written beside the old ones. They become current
-        together, when one row is appended to the run log after both are whole;
+        together, when one row is appended to the run log after all are whole;
         a failed refresh leaves the old ones, and open readers keep their files.
         """
         stg, r = self.stg, self.rules
         new = Workspace(self.spark, self._releases, r, f"{self.root}/refresh-{uuid.uuid4().hex}")
         lines = new.table("budget_lines", lambda: core_plan.build_budget_lines(stg.planning))
-        new.table("process_snapshot", lambda: core_plan.build_process_snapshot(stg, lines))
+        snapshot = new.table("process_snapshot", lambda: core_plan.build_process_snapshot(stg, lines))
+        new.table("process_sections", lambda: core_plan.build_process_sections(stg, snapshot, self.core.dim_buyer, r))
         log = self.spark.createDataFrame([(time.time_ns(), new.root)], "published_at bigint, folder string")
         log.coalesce(1).write.mode("append").parquet(f"{self.root}/refreshes")
         for name in [n for n in self._built if n.startswith("vw_")]:
