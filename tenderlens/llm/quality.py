@@ -27,16 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.llm import textscan
 
-SAMPLE = 3000
+SAMPLE = 2000
 BUCKETS = 1 << 15  # for words and for characters each
 KEEP_FROM = 0.3
 MIN_WORDS = 50
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -157,32 +158,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -50, 50)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, held: np.ndarray, rounds: int = 80) -> Model | None:
-    """Logistic regression by Adam on the rows not held, Platt scaling on those held."""
-    train = np.flatnonzero(~held)
+@dataclass
+class Rows:
+    """Sparse feature rows in flat arrays: 8 bytes per entry."""
+
+    cells: np.ndarray  # int32
+    shares: np.ndarray  # float32
+    cuts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, shares and the place of the row of each entry, for a few rows."""
+        spans = [slice(self.cuts[i], self.cuts[i + 1]) for i in which]
+        lengths = self.cuts[which + 1] - self.cuts[which]
+        return (np.concatenate([self.cells[x] for x in spans]), np.concatenate([self.shares[x] for x in spans]),
+                np.repeat(np.arange(len(which)), lengths))
+
+
+def fit(rows: Rows, good: np.ndarray, held: np.ndarray, order: np.ndarray, epochs: int = 12, batch: int = 200) -> Model | None:
+    """Logistic regression by Adam over batches, in ``order``, of the rows not held; Platt scaling on those held."""
+    train = order[~held[order]]
     if len(np.unique(good[train])) < 2:
         return None
     scale = 30.0
-    column = np.concatenate([rows[i][0] for i in train])
-    value = np.concatenate([rows[i][1] for i in train]) * scale
-    owner = np.repeat(np.arange(len(train)), [len(rows[i][0]) for i in train])
-    target = good[train].astype(float)
-    each = np.where(target > 0, 0.5 / target.sum(), 0.5 / (len(target) - target.sum()))
+    bad_share = 1 - good[train].mean()
+    each = np.where(good, 0.5 / (1 - bad_share), 0.5 / bad_share)
     weight, bias = np.zeros(2 * BUCKETS), 0.0
     mean, square = np.zeros(2 * BUCKETS + 1), np.zeros(2 * BUCKETS + 1)
-    for step in range(1, rounds + 1):
-        score = np.bincount(owner, weights=weight[column] * value, minlength=len(train)) + bias
-        off = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - target) * each
-        slope = np.bincount(column, weights=value * off[owner], minlength=2 * BUCKETS) + 1e-5 * weight
-        slope = np.append(slope, off.sum())
-        mean = 0.9 * mean + 0.1 * slope
-        square = 0.99 * square + 0.01 * slope**2
-        move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        weight -= move[:-1]
-        bias -= move[-1]
+    step = 0
+    for _ in range(epochs):
+        for a in range(0, len(train), batch):
+            step += 1
+            which = train[a: a + batch]
+            cells, shares, owner = rows.take(which)
+            value = shares * scale
+            score = np.bincount(owner, weights=weight[cells] * value, minlength=len(which)) + bias
+            off = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - good[which]) * each[which] / len(which)
+            slope = np.bincount(cells, weights=value * off[owner], minlength=2 * BUCKETS) + 1e-5 * weight
+            slope = np.append(slope, off.sum())
+            mean = 0.9 * mean + 0.1 * slope
+            square = 0.99 * square + 0.01 * slope**2
+            move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+            weight -= move[:-1]
+            bias -= move[-1]
     weight *= scale
-    raw = np.array([weight[c] @ v + bias for c, v in rows])
-    a, b = platt(raw[held], good[held]) if len(np.unique(good[held])) == 2 else (1.0, 0.0)
+    test = np.flatnonzero(held)
+    a, b = 1.0, 0.0
+    if len(np.unique(good[test])) == 2:
+        cells, shares, owner = rows.take(test)
+        raw = np.bincount(owner, weights=weight[cells] * shares, minlength=len(test)) + bias
+        a, b = platt(raw, good[test])
     return Model(weight.astype(np.float32), float(bias), a, b)
 
 
@@ -225,12 +252,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     seen = chosen.mapInArrow(run, "place bigint, mean double, cells array<int>, shares array<float>").toArrow()
     if seen.num_rows == 0:
         return None
-    seen = seen.sort_by("place")
-    rows = [
-        (np.asarray(c.values), np.asarray(s.values, np.float64)) for c, s in zip(seen["cells"], seen["shares"])
-    ]
     place = seen["place"].to_numpy()
-    return fit(rows, seen["mean"].to_numpy() >= 0.5, place % 5 == 0)
+    order = np.argsort(place, kind="stable")
+    lengths = pc.list_value_length(seen["cells"]).to_numpy()
+    cells, shares = (np.concatenate([c.flatten().to_numpy() for c in seen[n].chunks]) for n in ("cells", "shares"))
+    good = seen["mean"].to_numpy() >= 0.5
+    del seen
+    rows = Rows(cells, shares, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))
+    return fit(rows, good, place % 5 == 0, order)
 
 
 def judge(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) -> DataFrame:
