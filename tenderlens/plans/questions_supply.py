@@ -69,9 +69,8 @@ def population_disclosure(v, awards=None, suppliers=None) -> DataFrame:
 
 
 def overall_concentration(v) -> DataFrame:
-    totals = holder_totals(v.supplier_award_eligible, "supplier_id", AWARD)
     top = [1, 5, 10, 20, 100]
-    c = concentration(totals, "supplier_id", top, DEPTHS)
+    c = concentration(v.supplier_totals, "supplier_id", top, DEPTHS)
     return c.select(
         F.col("holders").alias("suppliers"),
         F.col("awards").alias("awards_in_scope"),
@@ -86,8 +85,8 @@ def overall_concentration(v) -> DataFrame:
 def top_suppliers(v, n: int = 20, source=None) -> DataFrame:
     """The n largest suppliers, every one tied with the n-th included. Totals carry
     ids and values only; names and entities are looked up for the few that remain."""
+    totals = v.supplier_totals if source is None else holder_totals(source, "supplier_id", AWARD)
     source = v.supplier_award_eligible if source is None else source
-    totals = holder_totals(source, "supplier_id", AWARD)
     cut = totals.orderBy(F.col("value").desc()).limit(n).agg(F.min("value")).scalar()
     total = totals.agg(F.sum("value")).scalar()
     w = Window.partitionBy("_all").orderBy(F.col("value").desc())

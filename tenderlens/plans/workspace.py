@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderlens.model import Core, Staging
+from tenderlens.operators.concentration import holder_totals
 from tenderlens.plans import core as core_plan
 from tenderlens.plans import impact, register, views
 from tenderlens.rules import Rules
@@ -114,6 +115,7 @@ class Workspace:
         with ThreadPoolExecutor(max_workers=4) as pool:
             for wave in VIEW_WAVES:
                 list(pool.map(lambda name: getattr(v, name), wave))
+        v.supplier_totals
         return dict(self._built)
 
     def refresh_snapshot(self) -> Core:
@@ -178,6 +180,12 @@ class Views:
         setattr(self, name, df)
         return df
 
+    @cached_property
+    def supplier_totals(self) -> DataFrame:
+        """Awards and value per supplier: what every overall concentration question starts from."""
+        return self._keep("supplier_totals", lambda: holder_totals(
+            self.supplier_award_eligible, "supplier_id", "award_value_amount"))
+
     def plan(self, name: str) -> DataFrame:
         """The view's own plan over the core tables (never its stored copy)."""
         c = self.core
