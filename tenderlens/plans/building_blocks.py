@@ -175,13 +175,17 @@ JOINS = {
 # ------------------------------------------------------------------ aggregates
 def describe_tenderers(ws) -> DataFrame:
     x = F.col(N)
-    t = ws.stg.tender.select(F.lit("all").alias("g"), x)
-    stats = t.groupBy("g").agg(
-        rows().alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.round(F.avg(x), 4).alias("mean"))
-    outer = exact_percentiles(t, N, {"q1": 0.25, "q3": 0.75, "p95": 0.95}, ["g"], exclusive=True)
-    middle = exact_percentiles(t, N, {"median": 0.5}, ["g"])
-    return stats.join(outer, "g").join(middle, "g").select(
-        "n", "minimum", "maximum", "mean", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "p95")])
+    t = ws.stg.tender.select(x)
+    stats = t.agg(rows().alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.round(F.avg(x), 4).alias("mean"))
+    # One-row answers meet as scalar subqueries.
+    parts = (
+        exact_percentiles(t, N, {"q1": 0.25, "q3": 0.75, "p95": 0.95}, exclusive=True), exact_percentiles(t, N, {"median": 0.5})
+    )
+    for i, p in enumerate(parts):
+        stats = stats.withColumn(f"_{i}", p.select(F.struct(*p.columns).alias("s")).scalar())
+    return stats.select(
+        "n", "minimum", "maximum", "mean",
+        *[F.round(f"_{i}.{c}", 4).alias(c) for i, p in enumerate(parts) for c in p.columns])
 
 
 def presence(ws) -> DataFrame:
