@@ -51,8 +51,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, with the digests of the round trip."""
-    encoded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
-    return bpe.digests(encoded, extra=("ids",))
+    return bpe.digests(bpe.round_trip(docs, VOCABULARY), extra=("ids",))
 
 
 STAGES = [

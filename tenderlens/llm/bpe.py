@@ -32,8 +32,8 @@ from tenderlens.llm import textscan
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-REMEMBERED_PIECES = 400_000
-OUT_BYTES = 8 << 20
+REMEMBERED_PIECES = 250_000  # in each of two generations
+OUT_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,10 +64,15 @@ def read_vocabulary(path: str) -> dict:
 
 
 class Codec(dict):
-    """Piece to the bytes of its int32 ids; unseen pieces are merged on demand."""
+    """Piece to the bytes of its int32 ids; unseen pieces are merged on demand.
+
+    When the dictionary is full it becomes the older generation, from which a
+    piece in use comes back; the rest of the generation before is forgotten.
+    """
 
     def __init__(self, vocabulary: dict):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.single = vocabulary["single"]
         self.rank = {(a << 20) | b: (rank, new) for rank, (a, b, new) in enumerate(vocabulary["merges"])}
         self.token = vocabulary["bytes"]
@@ -77,8 +82,11 @@ class Codec(dict):
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.merge(piece.encode()), np.int32).tobytes()
+        out = self.older.pop(piece, None)
+        if out is None:
+            out = np.array(self.merge(piece.encode()), np.int32).tobytes()
         if len(self) >= REMEMBERED_PIECES:
+            self.older = dict(self)
             self.clear()
         self[piece] = out
         return out
@@ -158,25 +166,44 @@ class _Shared:
         return self.variable.value
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ``ids`` array of int): the token ids of each whole text."""
-    spark = docs.sparkSession
-    shared = _Shared(spark, read_vocabulary(vocabulary_path))
+def _encoded(codec: Codec, texts: pa.Array) -> tuple[list[np.ndarray], pa.ListArray]:
+    ids = [codec.encode(t or "") for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+    return ids, pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _over_texts(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, more: str, make) -> DataFrame:
+    """One pass over (id, text): ``make`` gives the columns behind the id for a part of a batch."""
+    shared = _Shared(docs.sparkSession, read_vocabulary(vocabulary_path))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
             for part in textscan.slices(batch, 1, OUT_BYTES):
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["_id", "ids"]
-                )
+                columns = make(codec, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["_id", *columns])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {id_type}, ids array<int>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {id_type}, {more}").withColumnRenamed("_id", id_col)
+
+
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, ``ids`` array of int): the token ids of each whole text."""
+    return _over_texts(
+        docs, vocabulary_path, id_col, text_col, "ids array<int>", lambda codec, texts: {"ids": _encoded(codec, texts)[1]}
+    )
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, ``ids``, ``decoded``): ``encode`` and ``decode`` in one pass, with one Python worker per task."""
+
+    def both(codec: Codec, texts: pa.Array) -> dict:
+        ids, lists = _encoded(codec, texts)
+        return {"ids": lists, "decoded": pa.array([codec.decode(i) for i in ids], pa.string())}
+
+    return _over_texts(docs, vocabulary_path, id_col, text_col, "ids array<int>, decoded string", both)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -189,7 +216,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids
         codec = _codec(shared)
         for batch in batches:
             lists = batch.column(1)
-            size = max(1, min(batch.num_rows, (2 << 20) * batch.num_rows // max(1, len(lists.flatten()))))
+            size = max(1, min(batch.num_rows, (1 << 19) * batch.num_rows // max(1, len(lists.flatten()))))
             for a in range(0, batch.num_rows, size):
                 part = batch.slice(a, size)
                 texts = [
@@ -203,9 +230,9 @@ def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids
     return rows.mapInArrow(run, f"_id {id_type}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
-def digests(round_trip: DataFrame, id_col: str = "doc_id", extra: tuple = ()) -> DataFrame:
+def digests(decoded: DataFrame, id_col: str = "doc_id", extra: tuple = ()) -> DataFrame:
     """Per document: number of ids and digests of the ids and of the decoded text."""
-    return round_trip.select(
+    return decoded.select(
         id_col,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

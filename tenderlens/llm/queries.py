@@ -24,8 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
-    return bpe.digests(bpe.decode(encoded, VOCABULARY))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 @query

@@ -40,9 +40,11 @@ def test_rows(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (None, "x"), (1, "Hello world"), (4, long)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit("clash")).withColumn("_id", F.lit(0))
     got = bpe.digests(bpe.decode(bpe.encode(docs, PATH), PATH)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bpe.digests(bpe.round_trip(docs, PATH)).collect()))
     want = []
     for i, t in rows:
         ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert bpe.digests(bpe.decode(bpe.encode(docs.limit(0), PATH), PATH)).count() == 0
+    assert bpe.round_trip(docs.limit(0), PATH).count() == 0
