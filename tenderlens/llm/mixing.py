@@ -20,7 +20,8 @@ sources; the sources are never collected.
 Defined results: a null source is a source of its own; sources without tokens
 keep one copy of their documents and have weight 0; documents of equal hash
 (repeated rows) are taken or left together; null texts have no tokens.  A
-document is never cut.  An empty table gives no rows.
+document is never cut.  Input columns whose names this module gives (mix_...) are
+replaced, other extra columns stay.  An empty table gives no rows.
 """
 
 from __future__ import annotations
