@@ -1,9 +1,10 @@
 """Connected components of a graph of any size: large star and small star, in turns.
 
 Each round links every node to the smallest node it knows of; a few rounds
-reach a forest of depth one.  Minima are taken with partial aggregation and met
-again in joins that Spark can split, so a hub of any size is no hot task.  Each
-round is written to the shared folder, which cuts the lineage.
+reach a forest of depth one.  Minima are taken with partial aggregation, written
+to the shared folder, and met again in plain joins that Spark can split, so a
+hub of any size is no hot task.  Each round is written too, which cuts the
+lineage.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while (found := _print_of(now)) != before:
         before, step = found, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = stored(
+            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-large"
+        )
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-small")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
