@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tenderlens.llm import blockcounts, textscan
 from tenderlens.llm.storage import block_count, block_of, text_bytes
 
-ORDER, MASS = 2, 30.0
+ORDER, MASS = 2, 300.0
 SEGMENT = 64
 SLICE_BYTES = 1 << 19
 END = np.uint64(0x5851F42D4C957F2D)  # the end of a text; no word is empty, so no word's bytes stand for it
@@ -74,7 +74,7 @@ def tokens(texts: pa.ChunkedArray | pa.Array) -> Tokens:
 
 
 def grams(t: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For k = 1 .. order: distinct k-grams, the place of each token's k-gram among them (-1: none), last tokens."""
+    """For k = 1 .. order: distinct k-grams, the place of each token's k-gram among them (-1: none), one last token of each."""
     out, h = [], t.hash
     at = np.arange(len(h))
     for k in range(1, order + 1):
@@ -82,10 +82,12 @@ def grams(t: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
             h = h.copy()
             h[1:] = textscan.mix(previous[:-1] * np.uint64(0xD6E8FEB86659FD93) + t.hash[1:])
             at = np.flatnonzero(np.arange(len(t.hash)) - t.first[t.doc] >= k - 1)
-        distinct, index, inverse = np.unique(h[at], return_index=True, return_inverse=True)
-        place = np.full(len(t.hash), -1, np.int64)
+        distinct, inverse = np.unique(h[at], return_inverse=True)
+        place = np.full(len(t.hash), -1, np.int32)
         place[at] = inverse
-        out.append((distinct, place, at[index]))
+        last = np.empty(len(distinct), np.int64)
+        last[inverse] = at
+        out.append((distinct, place, last))
         previous = h
     return out
 
