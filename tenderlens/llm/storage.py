@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,21 @@ from pyspark.sql import functions as F
 from tenderlens.plans.workspace import shared_folder
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it.
+
+    That serves local sessions and shared installations, whatever the working
+    directory; elsewhere submit the package with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    given = spark.sparkContext.environment
+    paths = [p for p in given.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        given["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
