@@ -233,7 +233,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "lowest",
         F.coalesce("root", "key").alias("root"),
     )
-    lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    # Written first: the join with it then reads two plain shuffles and can split a large component.
+    lowest = stored(rooted.groupBy("root").agg(F.min("lowest").alias("component_id")), "embed-lowest")
     named = rooted.join(lowest, "root").select("key", "n_links", "component_id")
     out = rows.select("vec_id", "key").join(named, "key", "left")
     component = F.coalesce("component_id", "vec_id").cast("bigint")
