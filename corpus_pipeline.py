@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.llm import bpe, jaccard, langid, mixing, quality
 from tenderlens.llm.queries import VOCABULARY
-from tenderlens.llm.storage import importable, stored, table
+from tenderlens.llm.storage import prepare, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that the network sees in them, go."""
-    importable(spark)
+    prepare(spark)
     return langid.keep(docs, langid.train(docs))
 
 
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id cannot be told apart and stay.
     """
-    importable(spark)
+    prepare(spark)
     found = jaccard.join_components(docs, jaccard.Rule(words=5, num=80, den=100))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -47,13 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them: once at least, twice at most."""
+    prepare(spark)
     tokens = stored(mixing.token_table(docs), "mix-tokens")
     return mixing.realise(docs, mixing.plan(tokens)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, with the digests of the round trip."""
-    importable(spark)
+    prepare(spark)
     return bpe.digests(bpe.round_trip(docs, VOCABULARY), extra=("ids",))
 
 

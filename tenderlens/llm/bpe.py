@@ -32,7 +32,7 @@ from tenderlens.llm import textscan
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-REMEMBERED_PIECES = 250_000  # in each of two generations
+REMEMBERED_PIECES = 150_000  # in each of two generations
 OUT_BYTES = 2 << 20
 
 
@@ -184,6 +184,7 @@ def _over_texts(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: st
             for part in textscan.slices(batch, 1, OUT_BYTES):
                 columns = make(codec, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["_id", *columns])
+        pa.default_memory_pool().release_unused()
 
     id_type = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {id_type}, {more}").withColumnRenamed("_id", id_col)

@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from tenderlens.plans.workspace import shared_folder
 
 
-def importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    That serves local sessions and shared installations, whatever the working
-    directory; elsewhere submit the package with ``--py-files``.
+
+def prepare(spark: SparkSession) -> None:
+    """What the Python workers of these operators need of a session.
+
+    They find this package where the driver found it; that serves local sessions
+    and shared installations, whatever the working directory; elsewhere submit
+    the package with ``--py-files``.  Rows hold whole texts, so a session that
+    has Spark's default of 10,000 rows per Arrow batch gets 1,000: that bounds
+    the memory of the batch in the executor and in the worker.
     """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     given = spark.sparkContext.environment
     paths = [p for p in given.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -25,7 +33,7 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
