@@ -74,15 +74,24 @@ def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character."""
-    letters = F.split(text, "")
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    counts = F.transform(
-        F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda d: d == c)).cast("double") / n
-    )
-    return F.when(F.length(text) == 0, 0.0).otherwise(
-        -F.aggregate(counts, F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    """Bits per character of the whole text: its sorted characters are read once, run by run."""
+    letters = F.sort_array(F.split(text, ""))
+    n = F.length(text).cast("double")
+
+    def ended(a: Column) -> Column:
+        return a["bits"] + F.when(a["run"] > 1, a["run"] * F.log2(a["run"])).otherwise(0.0)
+
+    runs = F.aggregate(
+        letters,
+        F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("bits")),
+        lambda a, c: F.struct(
+            c.alias("last"),
+            F.when(c == a["last"], a["run"] + 1.0).otherwise(1.0).alias("run"),
+            F.when(c == a["last"], a["bits"]).otherwise(ended(a)).alias("bits"),
+        ),
+        ended,
     )
+    return F.when(n == 0, 0.0).otherwise(F.greatest(F.log2(n) - runs / n, F.lit(0.0)))
 
 
 def _digits(text: Column) -> Column:
@@ -97,11 +106,7 @@ _KEYS = ("last", "domain", "segment")
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """Adds the features that need the URL alone, and the keys of the suffix statistics.
-
-    Only the first 2,048 characters count for the two entropies (a feature of bounded
-    cost); lengths, ratios and counts use the whole URL.
-    """
+    """Adds the features that need the URL alone, and the keys of the suffix statistics."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     labels = F.split(host, r"\.")
@@ -115,8 +120,8 @@ def lexical(pages: DataFrame) -> DataFrame:
         (F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit("")))).cast("double").alias("hyphens"),
         _digits(url).alias("url_digits"),
         _digits(host).alias("host_digits"),
-        _entropy(F.substring(host, 1, 2048)).alias("host_entropy"),
-        _entropy(F.substring(path, 1, 2048)).alias("path_entropy"),
+        _entropy(host).alias("host_entropy"),
+        _entropy(path).alias("path_entropy"),
         F.size(F.filter(F.split(query, "&"), lambda s: s != "")).cast("double").alias("parameters"),
         F.length(query).cast("double").alias("query_length"),
         F.contains(url, F.lit("#")).cast("double").alias("fragment"),

@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -62,3 +64,14 @@ def test_trees_learn_the_labels(spark):
 def test_no_python_in_the_plan(spark):
     plan = urls.judge(table(spark, SF_DIR, "pages"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_entropy_of_the_whole_text(spark):
+    paths = ["", "/", "/a/b", "/" + "ab" * 1500, "/" + "ab" * 1500 + "xyzq" * 1500, "/é😀" + "😀é✓" * 900, "/" + "".join(map(chr, range(0x4E00, 0x9E00)))]
+    df = spark.createDataFrame([(i, f"http://h{'x' * 3000 + 'yz' * i}.org{p}", f"h{'x' * 3000 + 'yz' * i}.org", p) for i, p in enumerate(paths)],
+                               "page_id bigint, url string, host string, path string")
+    got = {r.page_id: r for r in urls.lexical(df).select("page_id", "host", "host_entropy", "path_entropy").collect()}
+    for i, p in enumerate(paths):
+        for text, value in ((p, got[i].path_entropy), (got[i].host, got[i].host_entropy)):
+            want = -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
+            assert math.isclose(value, want, abs_tol=1e-9), (i, value, want)
