@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.llm import textscan
 
-SAMPLE = 2000
+SAMPLE = 3000
 BUCKETS = 1 << 15  # for words and for characters each
 KEEP_FROM = 0.3
 MIN_WORDS = 50

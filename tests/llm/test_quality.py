@@ -65,3 +65,7 @@ def test_edges(spark):
     assert quality.judge(docs.limit(0), None).count() == 0
     odd = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id bigint, quality int")
     assert quality.train(docs, odd) is None
+
+
+def test_sample_size():
+    assert quality.SAMPLE == 3000
