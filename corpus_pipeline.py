@@ -28,21 +28,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays.
+    """Of rows linked by five-word shingles at 0.8 or more, the first by id and hash of the text stays.
 
-    Documents without an id cannot be told apart and stay.
+    Rows are told apart by id and text, so different texts of one id are judged each,
+    and a missing id, last in the order, is an id like others.  Of rows with the same id
+    and text one stays, the first by its other columns; rows that have no words and no id
+    all stay.
     """
     prepare(spark)
-    found = jaccard.join_components(docs, jaccard.Rule(words=5, num=80, den=100))
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("print"))
+    # All fields may be null here: Arrow compares the nullability of inner fields.
+    key = key.cast(f"struct<missing:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},print:bigint>")
+    found = jaccard.join_components(docs.select(key.alias("doc_id"), text.alias("text")), jaccard.Rule(words=5, num=80, den=100))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    keyed = docs.withColumn("_key", key)
+    rest = keyed.join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
+    again = found.where("set_id is not null or not doc_id.missing").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = again.where("n > 1").select(F.col("doc_id").alias("_key"))
     if again.isEmpty():
-        return rest
-    # Rows that share an id are linked with themselves: one of them stays.
-    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    )
+        return rest.select(*docs.columns)
+    one = rest.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,21 @@ def test_empty_and_odd_rows(spark):
             stage(spark, docs, SF_DIR).collect()
     kept = corpus_pipeline.near_duplicates(spark, odd, SF_DIR).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "None"]
+
+
+def test_near_duplicates_by_row(spark):
+    def words(k):
+        return " ".join(f"t{k}w{i}" for i in range(60))
+
+    rows = [
+        (1, words(1), "a"), (1, words(2), "a"),  # two texts of one id: both stay
+        (2, words(1) + " more", "b"), (2, words(3), "b"),  # one of them is a near copy of id 1
+        (3, words(4), "d"), (3, words(4), "c"),  # the same row twice
+        (None, words(5), "e"), (None, words(5) + " more", "f"), (None, words(1), "g"), (None, words(6), "h"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((str(r.doc_id), r.text.split()[0], r.source) for r in corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect())
+    five = [r for r in got if r[1] == "t5w0"]
+    assert len(five) == 1 and five[0][0] == "None"
+    assert [r for r in got if r[1] != "t5w0"] == [
+        ("1", "t1w0", "a"), ("1", "t2w0", "a"), ("2", "t3w0", "b"), ("3", "t4w0", "c"), ("None", "t6w0", "h")]
