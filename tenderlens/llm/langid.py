@@ -226,7 +226,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     by_hash = known.select(F.xxhash64("_id").alias("place"), "_id", "lang")
     chosen = by_hash.orderBy("place", "_id").limit(sample).select("_id").distinct()
     # At most ``sample`` ids: a proven bound for the broadcast.
-    texts = known.join(F.broadcast(chosen), "_id", "left_semi").select(F.xxhash64("_id").alias("place"), "lang", "_text")
+    # One row for each id, however often it occurs; a few tasks make the windows.
+    first = F.min_by(F.struct("lang", "_text"), F.struct(F.xxhash64("_text", "lang"), "lang"))
+    texts = known.join(F.broadcast(chosen), "_id", "left_semi").groupBy("_id").agg(first.alias("one"))
+    texts = texts.select(F.xxhash64("_id").alias("place"), "one.lang", "one._text").repartition(32, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

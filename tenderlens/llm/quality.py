@@ -8,7 +8,7 @@ The classifier is a logistic regression over hashed word n-grams (1 and 2) and
 character n-grams (1, 3 and 5 UTF-8 bytes); the features of a kind are their
 shares among all of that kind in the text, so the length of a text does not matter.
 It is trained on a bounded sample of labelled documents (``SAMPLE`` rows, the
-lowest hashes of the document id), with every class weighted equally, and
+lowest hashes of the document id, one text of each id), with every class weighted equally, and
 calibrated by Platt scaling on a fifth of the sample that training leaves out.
 Features are made in tasks; the driver sees at most SAMPLE x 2 x BUCKETS
 numbers.  Scoring is one pass over the texts without a shuffle.
@@ -237,7 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     judged = judged.withColumn("place", F.xxhash64("_key")).orderBy("place", "_key").limit(sample)
     # The sample has at most ``sample`` rows: a proven bound for the broadcast.
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
-    chosen = texts.join(F.broadcast(judged), F.col("_id") == F.col("_key")).select("place", "mean", "_text")
+    chosen = texts.join(F.broadcast(judged), F.col("_id") == F.col("_key"))
+    # One row for each id, however often it occurs; a few tasks make the features.
+    first = F.min_by("_text", F.struct(F.col("_text").isNull(), F.xxhash64("_text")))
+    chosen = chosen.groupBy("place", "mean", "_key").agg(first.alias("_text")).select("place", "mean", "_text").repartition(32, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,3 +48,13 @@ def test_edges(spark):
     assert {(1, True), (2, True), (3, True), (None, False), (5, False)} == by
     assert langid.identify(docs.limit(0), None).count() == 0
     assert langid.train(docs.limit(0)) is None
+
+
+def test_one_row_for_each_sampled_id(spark, monkeypatch):
+    ids = [r.id for r in spark.range(100).where(~langid.held_out(F.col("id"))).limit(2).collect()]
+    rows = [(ids[0], f"some words number {k} " + "abc " * 400, "en") for k in range(200)] + [(ids[1], "andere worte", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda values, label, languages: seen.append((len(label), languages)))
+    langid.train(docs)
+    assert seen[0][1] == ["de", "en"] and seen[0][0] <= 2 * langid.PER_DOC

@@ -69,3 +69,13 @@ def test_edges(spark):
 
 def test_sample_size():
     assert quality.SAMPLE == 3000
+
+
+def test_one_row_for_each_sampled_id(spark, monkeypatch):
+    rows = [(1, f"good words number {k}") for k in range(200)] + [(2, "bad # text"), (3, "other good words"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id bigint, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda shares, good, *rest: sizes.append(len(good)))
+    quality.train(docs, labels)
+    assert sizes == [4]
