@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import bpe, chat, embed, jaccard, langid, licenses, lm, mixing, quality, urls
+from tenderlens.llm import bpe, chat, codes, embed, jaccard, langid, licenses, lm, mixing, quality, urls
 from tenderlens.llm.storage import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -131,3 +131,45 @@ degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN found ON found.x = vec_id LEFT JOIN degree ON degree.x = vec_id
 """
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds() -> str:
+    """Each round: all distances, the nearest entry (then the lower index), the floor of the mean."""
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"""
+assigned_{k} AS MATERIALIZED (
+  SELECT vec_id, label, cut.p, x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS found
+  FROM cut JOIN book_{k} b ON b.p = cut.p GROUP BY vec_id, label, cut.p, x)""")
+        if k < codes.ROUNDS:
+            steps.append(f"""
+cells_{k} AS (SELECT p, found % 256 AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM assigned_{k}),
+means_{k} AS (SELECT p, e, i, floor(sum(v) / count(*)) AS m FROM cells_{k} GROUP BY p, e, i),
+moved_{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM means_{k} GROUP BY p, e),
+book_{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book_{k} b LEFT JOIN moved_{k} m USING (p, e))""")
+    return ",".join(steps)
+
+
+SQL["op11_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, label, p, q[p * (len(q) // 4) + 1 : (p + 1) * (len(q) // 4)] AS x FROM kept, range(4) parts(p)),
+first_ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256),
+book_0 AS MATERIALIZED (SELECT p, e, x AS c FROM cut JOIN first_ids USING (vec_id)),{_rounds()},
+one AS (
+  SELECT vec_id, label, string_agg(printf('%02x', found % 256), '' ORDER BY p) AS code, sum(found // 256)::BIGINT AS error
+  FROM assigned_{codes.ROUNDS} GROUP BY vec_id, label),
+per_label AS (SELECT label, sum(error)::BIGINT AS label_error FROM one GROUP BY label),
+flat AS (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM book_{codes.ROUNDS}),
+digest AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM flat)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM one JOIN per_label ON one.label IS NOT DISTINCT FROM per_label.label, digest
+"""
