@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import bpe, chat, codes, embed, jaccard, langid, licenses, lm, mixing, quality, urls
+from tenderlens.llm import bpe, chat, codes, embed, jaccard, langid, licenses, lines, lm, mixing, quality, urls
 from tenderlens.llm.storage import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -173,3 +173,22 @@ digest AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) A
 SELECT vec_id, code, error, label_error, codebooks_sha256
 FROM one JOIN per_label ON one.label IS NOT DISTINCT FROM per_label.label, digest
 """
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.without_repeated_lines(table(spark, sf_dir, "documents")))
+
+
+SQL["op12_line_dedup"] = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM split)),
+keepers AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key),
+judged AS (SELECT l.*, first IS NOT NULL AND first <> doc_id AS gone FROM lines l LEFT JOIN keepers USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
