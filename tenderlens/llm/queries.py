@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm import bpe, chat, codes, embed, jaccard, langid, licenses, lines, lm, mixing, quality, urls
+from tenderlens.llm import bpe, chat, codes, embed, jaccard, langid, licenses, lines, lm, mixing, quality, trie, urls
 from tenderlens.llm.storage import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -192,3 +192,38 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_nodes(trie.forked(trie.encoded(table(spark, sf_dir, "conversations"))))
+
+
+SQL["op13_prefix_trie"] = """
+WITH convs AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+forks AS (
+  SELECT conv_id, own, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 6 AS h FROM convs),
+rebuilt AS (
+  SELECT f.conv_id, coalesce(b.own[1:h], []) || f.own[h + 1:] AS seq FROM forks f LEFT JOIN convs b ON b.conv_id = f.base),
+prefixes AS (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM rebuilt),
+nodes AS MATERIALIZED (
+  SELECT seq[1:d] AS prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(seq) = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY seq[1:d], d),
+children AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+judged AS MATERIALIZED (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.prefix[n.depth].t) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix AND c.depth = n.depth),
+up AS (SELECT prefix, depth, n_children, saved, unnest(range(depth + 1)) AS a FROM judged),
+subtrees AS (
+  SELECT prefix[1:a] AS prefix, a AS depth, count_if(n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM up GROUP BY prefix[1:a], a)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM judged n JOIN subtrees s ON s.prefix = n.prefix AND s.depth = n.depth
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
