@@ -8,7 +8,8 @@ reference, tokens it expands to).  The template marks turns:
     <|im_start|>role NEWLINE body <|im_end|> NEWLINE
 
 Control strings cannot arise from content: ``\\`` becomes ``\\\\`` and ``<|``
-becomes ``<\\|`` (a line break in a role becomes ``\\n``); ``unescape`` undoes it.
+becomes ``<\\|`` (a line break in a role becomes ``\\n``); a part after the first that begins
+with ``|`` begins with ``\\|``, so no control string arises where parts meet. ``unescape`` undoes it.
 Rendering is column expressions, one row per turn; a conversation is the
 concatenation of its pieces by turn.  Reading back streams the pieces of each
 conversation in order with a few numbers and two digests as state, so the size
@@ -64,11 +65,12 @@ def _kind(part: Column) -> Column:
     return F.when(kind.isin("text", *EXPANDED), kind).otherwise("document")
 
 
-def _visit(part: Column) -> Column:
+def _visit(part: Column, place: Column) -> Column:
     kind = _kind(part)
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), kind, F.lit("|>"))
-    )
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    # The part in front may end with "<"; a line break or a placeholder cannot.
+    text = F.when((place > 0) & F.startswith(text, F.lit("|")), F.concat(F.lit("\\"), text)).otherwise(text)
+    return F.when(kind == "text", text).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
 
 
 def _attachment(part: Column) -> Column:
@@ -95,7 +97,7 @@ def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     rows = rows.select(
         "conv_id", "turn", "role",
         head.alias("head"),
-        F.array_join(F.transform("parts", _visit), "").alias("body"),
+        F.array_join(F.transform("parts", lambda p, i: _visit(p, i)), "").alias("body"),
         F.transform(F.filter("parts", lambda p: _kind(p) != "text"), _attachment).alias("attachments"),
     )
     learnt = F.col("role").isin(*learn)
