@@ -65,7 +65,8 @@ SQL = {
     "j12_anti": "SELECT release_id, tender_id FROM tender WHERE release_id NOT IN (SELECT release_id FROM awards)",
     "j13_not_in": "SELECT DISTINCT buyer_id FROM releases WHERE buyer_id NOT IN (SELECT buyer_id FROM dim_buyer WHERE buyer_id NOT IN ('B-', 'B-7'))",
     "j14_left_is_null": "SELECT award_id FROM awards WHERE award_id NOT IN (SELECT award_id FROM contracts)",
-    "j15_siblings": "SELECT supplier_id, buyer_id, count(*) AS n FROM sav GROUP BY 1, 2 HAVING count(*) > 1",
+    "j15_siblings": """SELECT a.supplier_id, a.buyer_id, a.award_id, a.value::DOUBLE AS award_value_amount, b.award_id AS sibling_award_id, b.value::DOUBLE AS sibling_award_value
+       FROM sav a JOIN sav b ON b.supplier_id = a.supplier_id AND b.buyer_id = a.buyer_id AND b.award_id <> a.award_id AND a.value >= 10 * b.value WHERE a.buyer_id <> 'B-'""",
     "j16_previous_stage": "SELECT stage::BIGINT AS highest_stage_rank, n, p AS previous FROM (SELECT stage, count(*) AS n, lag(stage) OVER (ORDER BY stage) AS ps, lag(count(*)) OVER (ORDER BY stage) AS p FROM ps GROUP BY stage) WHERE stage - ps = 1",
     "j17_later_exists": "SELECT ocid, award_id FROM awards a WHERE EXISTS (SELECT 1 FROM awards b WHERE b.ocid = a.ocid AND b.release_seq > a.release_seq)",
     "j18_scalar_subquery": f"SELECT award_id, {pct('value', '(SELECT sum(value) FROM awv)', 6)} AS pct_of_all FROM asf",
@@ -80,7 +81,7 @@ SQL = {
     "a07_bool": "SELECT buyer_id, bool_or(has_implementation) AS any_reported, bool_and(has_implementation) AS all_reported FROM cic GROUP BY 1",
     "a08_distinct_sorted_array": "SELECT ocid, coalesce(string_agg(DISTINCT status, ',' ORDER BY status), '') AS statuses FROM awards GROUP BY 1",
     "a09_latest_value": "SELECT ocid, arg_max(award_id, release_seq) AS latest_award FROM awards GROUP BY 1",
-    "a10_ordered_text": "SELECT metric_id, string_agg(dq_ref, '; ' ORDER BY dq_ref) AS issues FROM dqi GROUP BY 1",
+    "a10_ordered_text": "SELECT metric_id, string_agg(dq_ref || ' (' || records_with_issue || ')', '; ' ORDER BY records_with_issue DESC, dq_ref) AS issues FROM dqi GROUP BY 1",
     "a11_two_levels": f"SELECT buyer_id, count(*) AS suppliers, max(v)::DOUBLE AS largest, sum(v)::DOUBLE AS total FROM {TOTB} GROUP BY 1",
     "a12_having": "SELECT ocid, count(*) AS n FROM releases GROUP BY 1 HAVING count(*) > 12",
     "a13_weighted_gap": f"SELECT {MS} AS method, round(avg(single::INT) - (SELECT avg(single::INT) FROM competition), 6) AS gap FROM competition GROUP BY 1",

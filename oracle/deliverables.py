@@ -151,12 +151,12 @@ def scenario(label: str, w: str) -> list[str]:
 NM = "coalesce(method, '(method not stated)')"
 PRES = {"competition_eligible": "competition", "award_value_eligible": "awv", "supplier_award_eligible": "sav", "budget_award_comparison": "bva", "tender_duration_eligible": "tde", "award_lag_eligible": "ale"}
 TABLES = ["releases", "planning", "tender", "awards", "award_suppliers", "contracts", "transactions", "milestones", "parties"]
-# Columns of each staging table by name; the star marks money.
+# Columns of each staging table by name; the star marks money, @ lists, # moments.
 DIGESTED = {
-    "releases": "buyer_id buyer_name initiation_type language ocid party_flag release_date release_id release_seq tag",
+    "releases": "buyer_id buyer_name initiation_type language ocid party_flag #release_date release_id release_seq @tag",
     "planning": "*budget_amount budget_amount_flag budget_currency budget_description budget_id budget_monetary_flag budget_project budget_project_id buyer_id ocid party_flag release_id release_seq",
     "tender": """award_criteria award_criteria_details description has_enquiries number_of_tenderers ocid procurement_method procurement_method_details procurement_method_rationale release_id release_seq
-        status submission_method submission_method_details tender_end_date tender_end_date_flag tender_id tender_start_date tender_start_date_flag *tender_value_amount tender_value_currency
+        status @submission_method submission_method_details tender_end_date tender_end_date_flag tender_id tender_start_date tender_start_date_flag *tender_value_amount tender_value_currency
         tender_value_monetary_flag tenderer_count_flag title""",
     "awards": "award_date award_date_flag award_id award_monetary_flag *award_value_amount award_value_currency award_value_flag description ocid release_id release_seq status title",
     "award_suppliers": "award_id ocid release_seq supplier_id supplier_name supplier_name_raw supplier_seq",
@@ -164,17 +164,53 @@ DIGESTED = {
         period_end_date_flag period_start_date period_start_date_flag release_id release_seq status title""",
     "transactions": "contract_id payee_id payee_name payer_id payer_name transaction_currency transaction_id transaction_monetary_flag *transaction_value",
     "milestones": "code contract_id date_met date_met_flag description due_date due_date_flag milestone_id milestone_source status title",
-    "parties": "identifier_id identifier_scheme ocid party_id party_name party_name_raw release_id release_seq roles supplier_id_flag",
+    "parties": "identifier_id identifier_scheme ocid party_id party_name party_name_raw release_id release_seq @roles supplier_id_flag",
 }
 
 
+def measured(text: str) -> str:
+    """A text with its length in front; a dash for NULL."""
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+def rendered(c: str) -> str:
+    kinds = {
+        "*": lambda x: f"{x}::DECIMAL(18,4)::VARCHAR", "#": lambda x: f"epoch_us({x}::TIMESTAMP)::VARCHAR",
+        "@": lambda x: f"array_to_string(list_transform(string_split({x}, ','), lambda e: length(e) || ':' || e), '')",
+    }
+    return measured(kinds[c[0]](c[1:]) if c[0] in kinds else f"({c}::VARCHAR)")
+
+
 def digest(table: str) -> str:
     """Row count and the sum of the leading 48 bits of each row's SHA-256."""
     body = next(sql for name, sql in SECTIONS.items() if name[0] == "s" and name.split("_", 1)[1] == table)
-    parts = [
-        f"coalesce({c[1:] + '::DECIMAL(18,4)' if c[0] == '*' else c}::VARCHAR, chr(92) || 'N')" for c in DIGESTED[table].split()
-    ]
-    return f"""SELECT '{table}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || sha256(concat_ws('|', {", ".join(parts)}))[:12])::BIGINT), 0)::VARCHAR AS digest FROM ({body})"""
+    text = " || ".join(rendered(c) for c in DIGESTED[table].split())
+    return f"""SELECT '{table}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || sha256({text})[:12])::BIGINT), 0)::VARCHAR AS digest FROM ({body})"""
+
+
+DIGESTS = " UNION ALL ".join(digest(t) for t in TABLES)
+LINES = """SELECT release_seq // 20000 AS file, release_seq AS place, award_id, award_id || ';' || coalesce(value::DECIMAL(18,4)::VARCHAR, '') || ';' || coalesce(status, '') AS line FROM awards"""
+
+
+def tree(lines: str) -> str:
+    """Rows, bytes and digest of each file of lines: a digest of lines, of ranges of 64 KiB and of the file."""
+    return f"""SELECT file, sum(n)::BIGINT AS "rows", sum(size)::BIGINT AS bytes, sha256(sum(size)::BIGINT || ':' || string_agg(leaf, '' ORDER BY r)) AS digest
+      FROM (SELECT file, pos // 65536 AS r, count(*) AS n, sum(size) AS size, sha256(string_agg(d, '' ORDER BY pos)) AS leaf
+        FROM (SELECT file, sha256(line) AS d, strlen(line) + 1 AS size, sum(strlen(line) + 1) OVER (PARTITION BY file ORDER BY place, award_id) - strlen(line) - 1 AS pos FROM ({lines}))
+        GROUP BY 1, 2) GROUP BY 1"""
+
+
+TAMPERED = f"""SELECT file, place, award_id, line || CASE WHEN place = (SELECT min(release_seq) FROM awards) THEN '0' ELSE '' END AS line FROM ({LINES})
+  WHERE file < (SELECT max(release_seq) // 20000 FROM awards) UNION ALL SELECT -1, 0, 'A', 'A;1;'"""
+MOVED = f"{LINES} UNION ALL SELECT -2, 0, 'A', 'late'"
+
+
+def gate(case: str, lines: str, stops: bool) -> str:
+    """The pinned files against those of ``lines``, found by their digests."""
+    loaded = "NULL::BIGINT" if stops else f"(SELECT count(*) FROM ({LINES}))"
+    return f"""SELECT '{case}' AS input, coalesce(e.file, a.file) AS file, e."rows" AS expected_rows, a."rows" AS actual_rows, e.bytes AS expected_bytes, a.bytes AS actual_bytes,
+      e.digest IS NOT DISTINCT FROM a.digest AS intact, bool_or(e.digest IS DISTINCT FROM a.digest) OVER () AS stopped, {loaded} AS loaded_rows
+      FROM ({tree(LINES)}) e FULL JOIN ({tree(lines)}) a ON a.file = e.file"""
 
 
 SQL = {
@@ -182,8 +218,10 @@ SQL = {
        FROM releases r JOIN planning p USING (release_id) LEFT JOIN awards a USING (release_id) LEFT JOIN tender t USING (release_id) GROUP BY 1""",
     "s01b_release_lines": """SELECT strftime(r.release_date, '%Y') AS year, count(*) AS releases, count(DISTINCT r.ocid) AS processes, sum(p.budget_amount)::DOUBLE AS budget, coalesce(sum(a.value), 0)::DOUBLE AS award_value, count(t.tender_id) AS tenders
        FROM releases r JOIN planning p USING (release_id) LEFT JOIN awards a USING (release_id) LEFT JOIN tender t USING (release_id) GROUP BY 1""",
-    "s19_manifest": " UNION ALL ".join(digest(t) for t in TABLES),
-    "s20_integrity": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS published_rows, true AS intact FROM {t}" for t in TABLES),
+    "s19_manifest": tree(LINES),
+    "s19b_table_digests": DIGESTS,
+    "s20_integrity": f"SELECT table_name, n_rows AS source_rows, n_rows AS published_rows, digest AS source_digest, digest AS published_digest, digest = digest AS intact FROM ({DIGESTS})",
+    "s20b_input_gate": " UNION ALL ".join((gate("as pinned", LINES, False), gate("tampered", TAMPERED, True), gate("changed during the load", MOVED, True))),
     "s11_strict_dates": "SELECT tender_start_date AS day, count(*) AS tenders FROM tender GROUP BY 1",
     "s12_replaced_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES),
     "s13_refreshed_snapshot": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, count(DISTINCT ocid) AS processes FROM {t}" for t in ("budget_lines", "process_snapshot")),

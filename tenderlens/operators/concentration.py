@@ -66,5 +66,16 @@ def top_share_with_ties(totals: DataFrame, n: int, value: str = "value") -> Data
     )
 
 
+def top_shares_with_ties(totals: DataFrame, label: str, tops: dict[str, int], value: str = "value") -> DataFrame:
+    """(label, value): for each label its own n, as ``top_share_with_ties``. Each task ships the largest n rows of a label."""
+    n = F.create_map(*[F.lit(x) for item in tops.items() for x in item])[F.col(label)]
+    best = top_rows(totals.select(label, value), [(value, "desc")], max(tops.values()), [label])
+    cut = best.filter(F.col("position") <= n).groupBy(label).agg(F.min(value).alias("_cut"))
+    v = F.col(value)
+    return totals.join(cut, label).groupBy(label).agg(
+        F.try_divide(F.sum(F.when(v >= F.col("_cut"), v)).cast("double"), F.sum(v).cast("double")).alias("value")
+    )
+
+
 def share_pct(part: Column, whole: Column, places: int) -> Column:
     return F.round(F.try_divide(part.cast("double") * 100, whole.cast("double")), places)

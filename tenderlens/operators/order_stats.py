@@ -3,8 +3,9 @@
 A value is mapped to one of some ten thousand monotone log-scale buckets. A
 histogram of the buckets (bounded size) gives the count and sum in front of
 each bucket; only the rows inside a bucket are then sorted, each bucket in its
-own task. Results are exact: the bucket decides where the work happens, never
-what the answer is.
+own task. Where rows need a place of their own, a bucket that many of them tie in is
+cut into ranges of the whole order, tie-break keys included. Results are exact:
+bucket and range decide where the work happens, never what the answer is.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS_PER_OCTAVE = 256
+# Ranges of a whole table at most, sampled rows for each, rows of a range at least, splitters compared at a time.
+_RANGES, _SAMPLED, _RANGE_ROWS, _CHUNK = 1024, 16, 4096, 32
 
 
 def value_bucket(value: Column) -> Column:
@@ -33,14 +36,14 @@ def _with_key(df: DataFrame, groups) -> DataFrame:
     return df if groups else df.withColumn("_all", F.lit(0))
 
 
-def _before(hist: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+def _before(hist: DataFrame, keys: list[str], sums: list[str], cell: tuple = ("_b",)) -> DataFrame:
     """Running totals strictly in front of each bucket, and group totals."""
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     zero = F.lit(0)
     return hist.select(
         *keys,
-        "_b",
+        *cell,
         *[F.col(c).alias(f"_in_{c}") for c in sums],
         *[F.coalesce(F.sum(c).over(w), zero).alias(f"_before_{c}") for c in sums],
         *[F.sum(c).over(whole).alias(f"_total_{c}") for c in sums],
@@ -55,12 +58,14 @@ def _place(p: float, n: Column, exclusive: bool) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, probs: dict[str, float], groups: tuple | list = (), exclusive: bool = False
+    df: DataFrame, value: str, probs: dict[str, float], groups: tuple | list = (), exclusive: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Interpolated percentiles per group (``percentile_cont`` semantics).
 
     ``exclusive`` puts the percentile at p (n + 1), counted from one, so that the
-    sample's ends are not the population's; places outside are the ends.
+    sample's ends are not the population's; places outside are the ends. A row
+    counts as often as ``weight`` says.
 
     Equal values are pre-aggregated before the first shuffle, so one value
     holding a third of the rows is one row per map task. Group keys must be
@@ -70,7 +75,7 @@ def exact_percentiles(
     src = _with_key(df, groups).filter(F.col(value).isNotNull())
     freq = (
         src.groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     hist = _before(freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")), keys, ["_c"])
@@ -120,6 +125,7 @@ def with_position(
     running: dict[str, str] | None = None,
     count_as: str | None = None,
     rank_keys: int | None = None,
+    split_ties: bool = False,
 ) -> DataFrame:
     """Global (or per-group) ``rank`` / ``row_number`` in ``order``.
 
@@ -127,30 +133,31 @@ def with_position(
     not null. ``running`` maps a column to the name of its running sum
     (current row included; give a unique last order key); its group total is
     kept as ``<name>_total``. ``rank_keys`` ranks on the leading keys only.
-    ``count_as`` names the number of rows of the group.
+    ``count_as`` names the number of rows of the group. ``split_ties`` cuts the
+    buckets into ranges of the whole order, for tables of which any share may tie in the
+    first column; it reads the input twice more. Without it a bucket is one task, which
+    suits tables of one row per entity. A plain rank never sorts ties.
     """
     running = running or {}
     if kind == "rank" and not running:
         return _with_rank(df, order[:rank_keys], name, groups, count_as)
+    if kind == "rank" and split_ties:
+        ranked = _with_rank(df, order[:rank_keys], name, groups, count_as)
+        out = with_position(ranked, order, "_place", groups, "row_number", running, split_ties=True)
+        return out.select(*ranked.columns, *[c for alias in running.values() for c in (alias, f"{alias}_total")])
     keys = _keys(groups)
-    first, direction = order[0]
-    b = value_bucket(F.col(first))
-    src = _with_key(df, groups).withColumn("_b", -b if direction == "desc" else b)
+    cell = ("_b", "_r") if split_ties else ("_b",)
+    src = _with_ranges(df, order, groups) if split_ties else _with_bucket(df, order, groups)
     sums = ["_c", *running]
     hist = _before(
-        src.groupBy(*keys, "_b").agg(
-            F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(c) for c in running]
-        ),
-        keys,
-        sums,
-    ).select(*keys, "_b", *[f"_before_{c}" for c in sums], *[f"_total_{c}" for c in sums])
-    cols = [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order]
-    w = Window.partitionBy(*keys, "_b").orderBy(*cols)
-    ranked = Window.partitionBy(*keys, "_b").orderBy(*cols[:rank_keys])
-    fn = F.rank() if kind == "rank" else F.row_number()
+        src.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(c) for c in running]), keys, sums, cell
+    ).select(*keys, *cell, *[f"_before_{c}" for c in sums], *[f"_total_{c}" for c in sums])
+    w = Window.partitionBy(*keys, *cell).orderBy(*_sorted_by(order), *(["_t"] if split_ties else []))
+    ranked = Window.partitionBy(*keys, *cell).orderBy(*_sorted_by(order[:rank_keys]))
+    place = F.rank().over(ranked) if kind == "rank" else F.row_number().over(w)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = src.join(hist, [*keys, "_b"])
-    out = out.withColumn(name, (F.col("_before__c") + fn.over(ranked)).cast("bigint"))
+    out = src.join(hist, [*keys, *cell])
+    out = out.withColumn(name, (F.col("_before__c") + place).cast("bigint"))
     for c, alias in running.items():
         out = out.withColumn(alias, F.col(f"_before_{c}") + F.sum(c).over(upto))
         out = out.withColumnRenamed(f"_total_{c}", f"{alias}_total")
@@ -163,6 +170,57 @@ def with_position(
     return out.select(*keep)
 
 
+def _sorted_by(order: list[tuple[str, str]]) -> list[Column]:
+    return [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order]
+
+
+def _in_front(splitter: Column, order: list[tuple[str, str]]) -> Column:
+    """Whether a splitter comes strictly before the row, with nulls where a sort puts them."""
+    out = F.lit(False)
+    for c, direction in reversed([*order, ("_t", "asc")]):
+        s, x = splitter[c], F.col(c)
+        less = (s > x) | (s.isNotNull() & x.isNull()) if direction == "desc" else (s < x) | (s.isNull() & x.isNotNull())
+        out = F.coalesce(less, F.lit(False)) | (s.eqNullSafe(x) & out)
+    return out
+
+
+def _with_bucket(df: DataFrame, order: list[tuple[str, str]], groups: tuple | list) -> DataFrame:
+    first, direction = order[0]
+    b = value_bucket(F.col(first))
+    return _with_key(df, groups).withColumn("_b", -b if direction == "desc" else b)
+
+
+def _with_ranges(df: DataFrame, order: list[tuple[str, str]], groups: tuple | list) -> DataFrame:
+    """The rows with bucket ``_b``, range ``_r`` and a last tie-break ``_t``, a hash of the row.
+
+    Splitters are evenly spaced rows of a sample in the whole order, chosen by hash, so
+    any share of the rows may tie in the leading value: a range holds some 1/1024 of the
+    table, or ``_RANGE_ROWS`` rows. At most about ``_RANGES`` splitters go to every task;
+    a row meets those of its own bucket, the heads of chunks first.
+    """
+    keys = _keys(groups)
+    whole = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    src = _with_bucket(df, order, groups).withColumn("_t", F.xxhash64(*whole))
+    n = src.agg(F.count(F.lit(1))).scalar()
+    columns = list(dict.fromkeys([c for c, _ in order] + ["_t"]))
+    rate = F.least(F.lit(1.0), F.lit(float(_RANGES * _SAMPLED)) / F.greatest(n, F.lit(1)))
+    step = F.greatest(F.lit(_SAMPLED), F.ceil(F.lit(_RANGE_ROWS) * rate))
+    drawn = src.filter(F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(1 << 40)) < rate * float(1 << 40))
+    all_keys = list(dict.fromkeys([*keys, "_b", *columns]))
+    w = Window.partitionBy(F.lit(0)).orderBy(*keys, *_sorted_by(order), "_t")  # the sample, a bounded number of rows
+    splitters = drawn.select(*all_keys).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") % step == 0)
+    held = splitters.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_i", *columns))).alias("_s"))
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / _CHUNK).cast("int")), lambda i: F.slice("_s", i * _CHUNK + 1, F.lit(_CHUNK)))
+    held = held.select(*keys, "_b", chunks.alias("_chunks")).withColumn("_heads", F.transform("_chunks", lambda c: c[0]))
+    out = src.join(F.broadcast(held), [*keys, "_b"], "left")
+    passed = F.size(F.filter("_heads", lambda s: _in_front(s, order)))
+    out = out.withColumn("_h", F.when(F.col("_heads").isNotNull(), passed).otherwise(0))
+    inside = F.size(F.filter(F.get("_chunks", F.col("_h") - 1), lambda s: _in_front(s, order)))
+    out = out.withColumn("_r", F.when(F.col("_h") > 0, (F.col("_h") - 1) * _CHUNK + inside).otherwise(0))
+    return out.drop("_heads", "_chunks", "_h")
+
+
 def _with_rank(
     df: DataFrame, order: list[tuple[str, str]], name: str, groups: tuple | list, count_as: str | None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions import bands, flags
+from tenderlens.operators.bands_join import pairs_apart
 from tenderlens.operators.concentration import concentration, hhi, holder_totals, top_share_with_ties
 from tenderlens.operators.order_stats import depth_to_share, exact_percentiles, ntile, percent_rank, top_rows, with_position
 from tenderlens.plans.check_suites import DATE_COLUMNS, MONEY_COLUMNS
@@ -136,6 +137,13 @@ def not_the_latest(ws) -> DataFrame:
         F.col("release_seq") < F.col("last")).select("ocid", "award_id")
 
 
+def sibling_pairs(ws) -> DataFrame:
+    """Every pair of awards of one supplier from one buyer of which one is many times the other."""
+    own = ws.v.supplier_award_eligible.filter(F.col("buyer_id_flag").isNull())
+    found = pairs_apart(own, ["supplier_id", "buyer_id"], "award_id", AWARD, ws.rules.sibling_factor)
+    return found.withColumnsRenamed({"other_award_id": "sibling_award_id", f"other_{AWARD}": "sibling_award_value"})
+
+
 JOINS = {
     "j01_inner": lambda ws: _award_buyer(ws).join(ws.stg.tender.select("release_id", "tender_id"), "release_id").select("award_id", "tender_id"),
     "j02_left": lambda ws: ws.stg.awards.select("award_id").join(
@@ -158,7 +166,7 @@ JOINS = {
         ws.v.dim_buyer.select("buyer_id").filter("buyer_id IS NOT NULL"), "buyer_id", "left_anti"),
     "j14_left_is_null": lambda ws: ws.stg.awards.select("award_id").join(
         ws.stg.contracts.select("award_id", "contract_id"), "award_id", "left").filter("contract_id IS NULL").select("award_id"),
-    "j15_siblings": lambda ws: ws.v.supplier_award_eligible.groupBy("supplier_id", "buyer_id").agg(rows().alias("n")).filter("n > 1"),
+    "j15_siblings": sibling_pairs,
     "j16_previous_stage": stage_self_join,
     "j17_later_exists": not_the_latest,
     "j18_scalar_subquery": lambda ws: ws.v.award_scale_flag.select(
@@ -216,8 +224,9 @@ AGGREGATES = {
         F.bool_or("has_implementation").alias("any_reported"), F.bool_and("has_implementation").alias("all_reported")),
     "a08_distinct_sorted_array": lambda ws: ws.stg.awards.groupBy("ocid").agg(F.array_sort(F.collect_set("status")).alias("statuses")),
     "a09_latest_value": lambda ws: ws.stg.awards.groupBy("ocid").agg(F.max_by("award_id", "release_seq").alias("latest_award")),
-    "a10_ordered_text": lambda ws: ws.v.dq_impact.groupBy("metric_id").agg(
-        F.array_join(F.array_sort(F.collect_set("dq_ref")), "; ").alias("issues")),
+    "a10_ordered_text": lambda ws: ws.v.dq_impact.withColumn(
+        "part", F.concat("dq_ref", F.lit(" ("), F.col("records_with_issue").cast("string"), F.lit(")"))).groupBy("metric_id").agg(
+        F.expr("listagg(part, '; ') WITHIN GROUP (ORDER BY records_with_issue DESC, dq_ref)").alias("issues")),
     "a11_two_levels": lambda ws: holder_totals(ws.v.supplier_award_eligible, "supplier_id", AWARD, ["buyer_id"]).groupBy("buyer_id").agg(
         rows().alias("suppliers"), F.max("value").alias("largest"), F.sum("value").alias("total")),
     "a12_having": lambda ws: ws.stg.releases.groupBy("ocid").agg(rows().alias("n")).filter("n > 12"),
@@ -273,7 +282,7 @@ def partition_shares(ws) -> DataFrame:
 
 WINDOWS = {
     "w01_row_number": lambda ws: with_position(
-        _holders(ws), [("value", "desc"), ("supplier_id", "asc")], "position", kind="row_number").select("supplier_id", "position"),
+        _holders(ws), [("value", "desc"), ("supplier_id", "asc")], "position", kind="row_number", split_ties=True).select("supplier_id", "position"),
     "w02_rank": lambda ws: with_position(
         ws.v.entity_benchmark.select("buyer_id", "award_n", "process_count"), [("award_n", "desc"), ("process_count", "desc")], "r"),
     "w03_percent_rank": lambda ws: with_position(
@@ -281,12 +290,12 @@ WINDOWS = {
         [("single_bidder_rate", "asc")], "_r", count_as="_n").select(
         "buyer_id", F.round(percent_rank(F.col("_r"), F.col("_n")), 6).alias("place")),
     "w04_ntile": lambda ws: with_position(
-        _holders(ws), [("value", "asc"), ("supplier_id", "asc")], "_r", kind="row_number", count_as="_n").select(
-        "supplier_id", ntile(F.col("_r"), F.col("_n"), 4).alias("quartile")),
+        _holders(ws), [("value", "asc"), ("supplier_id", "asc")], "_place", kind="row_number", count_as="_n", split_ties=True).select(
+        "supplier_id", ntile(F.col("_place"), F.col("_n"), 4).alias("quartile")),
     "w05_gap_aware_lag": year_gap_change,
     "w06_lead": second_largest,
     "w07_running_share": lambda ws: with_position(
-        _holders(ws), [("value", "desc"), ("supplier_id", "asc")], "position", kind="row_number", running={"value": "cum"}).select(
+        _holders(ws), [("value", "desc"), ("supplier_id", "asc")], "position", kind="row_number", running={"value": "cum"}, split_ties=True).select(
         "supplier_id", "cum", pct(F.col("cum"), F.col("cum_total"), 4).alias("cumulative_pct")),
     "w08_partition_totals": partition_shares,
     "w09_over_aggregate": lambda ws: cumulative_bands(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions import bands, flags
 from tenderlens.operators.checks import cells, compare_cells, compare_figures, trace_claims
 from tenderlens.plans import (
+    cube,
     export,
     figures,
     incremental,
@@ -20,7 +21,7 @@ from tenderlens.plans import (
 from tenderlens.plans.common import rows, union
 from tenderlens.plans.questions_supply import AWARD
 from tenderlens.rules import METHOD_NOT_STATED
-from tenderlens.sources import package, sinks
+from tenderlens.sources import files, package, sinks
 
 SLICES = figures.ORDER_SLICES
 
@@ -56,8 +57,8 @@ def _by_year(r: DataFrame) -> DataFrame:
 
 
 def package_scan(ws) -> DataFrame:
-    """Read package files with the explicit schema; exact decimals survive the text."""
-    return _by_year(package.read_package(ws.spark, packages(ws)))
+    """Read package files with the explicit schema, each by as many tasks as its size asks for; exact decimals survive the text."""
+    return _by_year(package.read_package_split(ws.spark, packages(ws), "part-*"))
 
 
 def line_scan(ws) -> DataFrame:
@@ -115,19 +116,103 @@ def view_counts(ws) -> DataFrame:
     return register.view_counts(ws.v, VIEW_NAMES)
 
 
-def manifest(ws) -> DataFrame:
+def table_manifest(ws) -> DataFrame:
     """Rows and content digest of every published table."""
     root = _published(ws)
     return union([sinks.table_digest(sinks.read_current(ws.spark, root, n), n) for n in ws.stg.tables()])
 
 
+# Release numbers of one export file; bytes of one range of its digest tree.
+FILE_RELEASES, FILE_RANGE = 20000, 64 << 10
+
+
+def award_lines(ws) -> DataFrame:
+    """(file, place, award_id, line): the staged awards as text lines, in files of bounded size and stable content."""
+    blank = F.lit("")
+    return ws.stg.awards.select(
+        F.floor(F.col("release_seq") / FILE_RELEASES).cast("bigint").alias("file"), F.col("release_seq").alias("place"), "award_id",
+        F.concat_ws(";", "award_id", F.coalesce(F.col(AWARD).cast("string"), blank), F.coalesce("status", blank)).alias("line"))
+
+
+def _exported(ws) -> str:
+    if "award_files" not in ws.__dict__:
+        ws.award_files = sinks.write_lines(award_lines(ws), f"{ws.root}/award_files", order=("place", "award_id"))
+    return ws.award_files
+
+
+def _by_number(manifest: DataFrame) -> DataFrame:
+    """Files by the number in their folder; the rest of a name is the writer's."""
+    return manifest.withColumn("file", F.regexp_extract("file", r"file=(-?[0-9]+)/", 1).cast("bigint"))
+
+
+def _numbered(ws, path: str) -> DataFrame:
+    return _by_number(sinks.file_manifest(ws.spark, path, "part-*", FILE_RANGE))
+
+
+def file_manifest(ws) -> DataFrame:
+    """Rows, bytes and digest of every file of the award export."""
+    return _numbered(ws, _exported(ws))
+
+
+def _tampered(ws) -> str:
+    """The export with three faults: the first line of the first file longer, the last file missing, a file too many."""
+    if "tampered_files" not in ws.__dict__:
+        lines = award_lines(ws)
+        ends = lines.agg(F.min(F.struct("file", "place", "award_id")).alias("first"), F.max("file").alias("last"))
+        first = ends.select("first").scalar()
+        changed = F.when(F.struct("file", "place", "award_id") == first, F.concat("line", F.lit("0"))).otherwise(F.col("line"))
+        kept = lines.withColumn("line", changed).filter(F.col("file") < ends.select("last").scalar())
+        extra = ws.spark.range(1).select(
+            F.lit(-1).cast("bigint").alias("file"), F.lit(0).cast("bigint").alias("place"), F.lit("A").alias("award_id"), F.lit("A;1;").alias("line"))
+        ws.tampered_files = sinks.write_lines(kept.unionByName(extra), f"{ws.root}/award_files_tampered", order=("place", "award_id"))
+    return ws.tampered_files
+
+
+def input_gate(ws) -> DataFrame:
+    """The gate before and after a load, over three inputs: as pinned, tampered with, and changed while it is read."""
+    pinned = ws.table("award_manifest", lambda: sinks.file_manifest(ws.spark, _exported(ws), "part-*", FILE_RANGE))
+    moving = f"{ws.root}/award_files_moving"
+    if "moving_files" not in ws.__dict__:
+        ws.moving_files = sinks.write_lines(award_lines(ws), moving, order=("place", "award_id"))
+
+    def manifest_of(path: str):
+        return lambda: _numbered(ws, path)
+
+    def read(path: str):
+        return ws.spark.read.option("recursiveFileLookup", True).text(path).agg(rows()).first()[0]
+
+    def read_and_change() -> int:
+        n = read(moving)
+        late = ws.spark.createDataFrame([(-2, 0, "A", "late")], "file bigint, place bigint, award_id string, line string")
+        if not files.exists(ws.spark, f"{moving}/late"):
+            sinks.write_lines(late, f"{moving}/late")
+        return n
+
+    cases = {
+        "as pinned": (_exported(ws), lambda: read(_exported(ws))),
+        "tampered": (_tampered(ws), lambda: read(_tampered(ws))),
+        "changed during the load": (moving, read_and_change),
+    }
+    parts = []
+    for case, (path, load) in cases.items():
+        expected, stopped, loaded = _by_number(pinned), False, None
+        try:
+            loaded = sinks.gated(expected, manifest_of(path), load)
+        except sinks.ChangedInput:
+            stopped = True
+        found = sinks.verify_manifest(expected, _numbered(ws, path))
+        parts.append(found.select(
+            F.lit(case).alias("input"), "*", F.lit(stopped).alias("stopped"), F.lit(loaded).cast("bigint").alias("loaded_rows")))
+    return union(parts)
+
+
 def integrity(ws) -> DataFrame:
-    """Every published table against the same table flattened from the source documents again."""
+    """Every published table against the same table flattened from the source documents again, with both digests."""
     again = package.flatten(ws.releases, ws.rules).tables()
     source = union([sinks.table_digest(df, n) for n, df in again.items()])
     expected = source.withColumnsRenamed({"n_rows": "source_rows", "digest": "source_digest"})
-    return expected.join(manifest(ws), "table_name", "full").select(
-        "table_name", "source_rows", F.col("n_rows").alias("published_rows"),
+    return expected.join(table_manifest(ws), "table_name", "full").select(
+        "table_name", "source_rows", F.col("n_rows").alias("published_rows"), "source_digest", F.col("digest").alias("published_digest"),
         (F.col("source_digest").eqNullSafe(F.col("digest")) & F.col("source_rows").eqNullSafe(F.col("n_rows"))).alias("intact"),
     )
 
@@ -200,8 +285,10 @@ SOURCES = {
     "s16c_timing_facts": lambda ws: export.timing_facts(ws.v),
     "s17_dictionary_encoding": lambda ws: export.encoding_guard(ws.v),
     "s18_minor_units": lambda ws: export.award_minor_units(ws.v),
-    "s19_manifest": manifest,
+    "s19_manifest": file_manifest,
+    "s19b_table_digests": table_manifest,
     "s20_integrity": integrity,
+    "s20b_input_gate": input_gate,
     "s21_presentation": presented_counts,
     "s22_constant_table": constant_table_join,
     "s23_series": series_with_zeros,
@@ -245,19 +332,35 @@ def measures_under_filters(ws) -> DataFrame:
         ("eligible share M-E01", "eligible_share", {}, {"metric": "M-E01"}),
         ("impact M-V01 / OTHER", "impact", {}, {"metric": "M-V01", "issue": "OTHER", "column": "records_with_issue"}),
     ]
-    return measures.measure_table(ws.v, calls)
+    found = cube.measure_table(ws.v, {label: call for label, *call in calls})
+    return found.select("label", F.round("value", 6).alias("value"))
+
+
+HEADLINES = [
+    ("supplier_awards", {}), ("supplier_value", {}), ("top_supplier_share", {"n": 1}), ("top_supplier_share", {"n": 10}),
+    ("supplier_hhi", {}), ("comparable_processes", {}), ("comparable_award", {}), ("aggregate_ratio", {}), ("median_ratio", {}),
+]
+
+
+def scenario_headlines(ws) -> DataFrame:
+    """The scenario figures by filter instead of by marker: a second implementation."""
+    calls = {}
+    for scenario, f in (("published", {}), ("without flagged", {"scale_flag": "exclude"})):
+        for name, p in HEADLINES:
+            calls[f"{scenario}: {name}" + "".join(f"_{x}" for x in p.values())] = (name, f, p)
+    return cube.measure_table(ws.v, calls).select("label", F.round("value", 6).alias("value"))
 
 
 MEASURES = {
     **{name: _family(name) for name in figures.FAMILIES},
     "r9_measures_under_filters": measures_under_filters,
-    "r10_scenario_headlines": lambda ws: measures.scenario_headlines(ws.v),
-    "r11_top_suppliers_filtered": lambda ws: measures.top_suppliers(ws.v, {"method": SLICES.method_main}, 20).drop("identity_note"),
-    "r11b_share_by_method_filtered": lambda ws: measures.share_by_method(ws.v, {"buyer": SLICES.buyer}, 3),
-    "r11c_net_differences": lambda ws: measures.net_differences(ws.v, {"method": SLICES.method_main}, 5, 2),
-    "r11d_timing_by_year": lambda ws: measures.timing_by_year(ws.v, {"method": SLICES.method_main}),
+    "r10_scenario_headlines": scenario_headlines,
+    "r11_top_suppliers_filtered": lambda ws: cube.top_suppliers(ws.v, {"method": SLICES.method_main}, 20).drop("identity_note"),
+    "r11b_share_by_method_filtered": lambda ws: cube.share_by_method(ws.v, {"buyer": SLICES.buyer}, 3),
+    "r11c_net_differences": lambda ws: cube.net_differences(ws.v, {"method": SLICES.method_main}, 5, 2),
+    "r11d_timing_by_year": lambda ws: cube.timing_by_year(ws.v, {"method": SLICES.method_main}),
     "r11e_entity_kpis": lambda ws: measures.entity_kpis(ws.v),
-    "r12_disclosure": lambda ws: measures.disclosure(ws.v, {"method": SLICES.method_main}),
+    "r12_disclosure": lambda ws: cube.disclosure(ws.v, {"method": SLICES.method_main}),
 }
 
 def figure_pack(ws) -> DataFrame:
@@ -278,7 +381,7 @@ def cell_comparison(ws) -> DataFrame:
     """A result set against the same table recomputed through the filter path."""
     name, keys = "concentration_by_method", ["procurement_method"]
     stored = ws.table("result_cells", lambda: long_results(ws)).filter(F.col("result_set") == name)
-    again = cells(measures.share_by_method(ws.v, {}, 5), name, keys)
+    again = cells(cube.share_by_method(ws.v, {}, 5), name, keys)
     return compare_cells(stored, again).select("row_key", "column_name", "matches")
 
 

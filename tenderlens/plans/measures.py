@@ -1,14 +1,16 @@
-"""Measures under filters: one row per call, filters apply where a view carries the field."""
+"""Measures under filters, read from the views themselves: one row per call, filters apply where a view carries the field.
+
+``cube`` reads the same measures from pre-aggregated cells; this is the other formulation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.functions import bands
 from tenderlens.operators.concentration import hhi, holder_totals, top_share_with_ties
 from tenderlens.operators.order_stats import exact_percentiles
-from tenderlens.plans import questions_supply
 from tenderlens.plans.common import dbl, ratio, rows, union
 from tenderlens.plans.questions_entity import KPIS, _gated
 from tenderlens.plans.questions_supply import AWARD
@@ -24,26 +26,29 @@ BUYER_VIEWS = {
 FLAG_VIEWS = {"award_value_eligible", "supplier_award_eligible", "budget_award_comparison"}
 
 
+# Filter field -> the views that carry it, and where they have it.
+FIELDS = {
+    "buyer": (BUYER_VIEWS, lambda: F.col("buyer_id")),
+    "method": (set(METHOD_VIEWS), method),
+    "tender_status": ({"competition_eligible"}, lambda: F.col("tender_status")),
+    "contract_status": ({"contract_implementation_coverage"}, lambda: F.col("contract_status")),
+    "tender_start_year": ({"tender_duration_eligible"}, lambda: F.year("tender_start_date")),
+    "award_year": ({"award_lag_eligible"}, lambda: F.year("award_date")),
+}
+
+
 def filtered(v, view: str, filters: dict) -> DataFrame:
     """``filters``: buyer, method, tender_status, contract_status, tender_start_year,
     award_year, scale_flag='exclude'. A filter leaves other views unchanged."""
     df = getattr(v, view)
-    on = {
-        "buyer": (view in BUYER_VIEWS, lambda x: F.col("buyer_id") == x),
-        "method": (view in METHOD_VIEWS, lambda x: method() == x),
-        "tender_status": (view == "competition_eligible", lambda x: F.col("tender_status") == x),
-        "contract_status": (view == "contract_implementation_coverage", lambda x: F.col("contract_status") == x),
-        "tender_start_year": (view == "tender_duration_eligible", lambda x: F.year("tender_start_date") == x),
-        "award_year": (view == "award_lag_eligible", lambda x: F.year("award_date") == x),
-    }
     for name, value in filters.items():
         if name == "scale_flag":
             if value == "exclude" and view in FLAG_VIEWS:
                 df = df.join(v.award_scale_flag.select("award_id"), "award_id", "left_anti")
             continue
-        applies, predicate = on[name]
-        if applies and value is not None:
-            df = df.filter(predicate(value))
+        views, column = FIELDS[name]
+        if view in views and value is not None:
+            df = df.filter(column() == value)
     return df
 
 
@@ -205,73 +210,9 @@ def measure_batch(v, calls: dict[str, tuple[str, dict, dict]]) -> DataFrame:
     return union(parts)
 
 
-def measure_table(v, calls: list[tuple[str, str, dict, dict]]) -> DataFrame:
-    """(label, value) rows for several measure calls."""
-    return union(
-        [
-            measure(v, name, filters, **params).select(F.lit(label).alias("label"), F.round("value", 6).alias("value"))
-            for label, name, filters, params in calls
-        ]
-    )
-
-
-HEADLINES = [
-    ("supplier_awards", {}), ("supplier_value", {}), ("top_supplier_share", {"n": 1}), ("top_supplier_share", {"n": 10}),
-    ("supplier_hhi", {}), ("comparable_processes", {}), ("comparable_award", {}), ("aggregate_ratio", {}), ("median_ratio", {}),
-]
-
-
-def scenario_headlines(v) -> DataFrame:
-    """The scenario figures by filter instead of by marker: a second implementation."""
-    calls = []
-    for scenario, f in (("published", {}), ("without flagged", {"scale_flag": "exclude"})):
-        for name, p in HEADLINES:
-            tag = name + "".join(f"_{x}" for x in p.values())
-            calls.append((f"{scenario}: {tag}", name, f, p))
-    return measure_table(v, calls)
-
-
-# ------------------------------------------------------------------ tables under filters
-def top_suppliers(v, filters: dict, n: int = 20) -> DataFrame:
-    return questions_supply.top_suppliers(v, n, filtered(v, "supplier_award_eligible", filters))
-
-
-def share_by_method(v, filters: dict, n: int = 5) -> DataFrame:
-    return questions_supply.concentration_by_method(v, n, filtered(v, "supplier_award_eligible", filters))
-
-
-def net_differences(v, filters: dict, n: int = 5, min_n: int = 10) -> DataFrame:
-    """The largest positive and the largest negative net differences of entities."""
-    e = filtered(v, "budget_award_comparison", filters).filter(F.col("buyer_id_flag").isNull()).groupBy("buyer_id").agg(
-        F.max("buyer_name").alias("buyer_name"), rows().alias("processes"), F.sum("variance_amount").alias("net"),
-    ).filter((F.col("processes") >= min_n) & (F.col("net") != 0))
-    side = F.when(F.col("net") > 0, "above").otherwise("below")
-    w = Window.partitionBy("side").orderBy(F.abs("net").desc(), "buyer_id")
-    return e.withColumn("side", side).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
-
-
-def timing_by_year(v, filters: dict) -> DataFrame:
-    d = filtered(v, "tender_duration_eligible", filters).groupBy(F.year("tender_start_date").alias("year")).agg(
-        rows().alias("tender_duration_n"), median(F.col("tender_duration_days")).alias("median_tender_duration"))
-    a = filtered(v, "award_lag_eligible", filters).groupBy(F.year("award_date").alias("year")).agg(
-        rows().alias("award_lag_n"), median(F.col("award_lag_days")).alias("median_award_lag"))
-    return d.join(a, "year", "full")
-
-
 def entity_kpis(v, filters: dict | None = None) -> DataFrame:
     """Every entity with its KPIs, blank below the minimum n."""
     e = _gated(v)
     if filters and filters.get("buyer"):
         e = e.filter(F.col("buyer_id") == filters["buyer"])
     return e.select("buyer_id", "buyer_name", "process_count", "award_n", *[F.col(k).cast("double").alias(k) for k in KPIS])
-
-
-def disclosure(v, filters: dict) -> DataFrame:
-    """Excluded awards and value under a filter, with the sentence to show beside them."""
-    d = questions_supply.population_disclosure(
-        v, filtered(v, "award_value_eligible", filters), filtered(v, "supplier_award_eligible", filters))
-    text = F.concat(
-        F.col("excluded_awards_bare_supplier_id").cast("string"), F.lit(" awards ("),
-        F.col("excluded_pct_of_candidate_value").cast("decimal(10,1)").cast("string"),
-        F.lit("% of value) have no usable supplier ID and are not included."))
-    return d.withColumn("disclosure", text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions import bands
@@ -47,12 +47,14 @@ def population_disclosure(v, awards=None, suppliers=None) -> DataFrame:
     cand = awards.agg(rows().alias("n"), F.sum(AWARD).alias("value"))
     # One distinct count per aggregate: two would expand every row.
     holders = suppliers.select("supplier_id").distinct().agg(rows()).scalar()
-    e = suppliers.agg(F.count_distinct("award_id").alias("eligible_awards"), F.sum(AWARD).alias("value")).withColumns(
-        {
-            "distinct_suppliers": holders,
-            "cand_n": cand.select("n").scalar(),
-            "cand_value": cand.select("value").scalar(),
-        }
+    kept = suppliers.agg(F.count_distinct("award_id").alias("eligible_awards"), F.sum(AWARD).alias("value"))
+    return disclosed(v, cand, kept, holders)
+
+
+def disclosed(v, cand: DataFrame, kept: DataFrame, holders: Column) -> DataFrame:
+    """Candidates (n, value) and eligible awards (eligible_awards, value), one row each, as the disclosure."""
+    e = kept.withColumns(
+        {"distinct_suppliers": holders, "cand_n": cand.select("n").scalar(), "cand_value": cand.select("value").scalar()}
     )
     left_out = F.col("cand_value") - F.col("value")
     return e.select(
@@ -68,6 +70,15 @@ def population_disclosure(v, awards=None, suppliers=None) -> DataFrame:
     )
 
 
+def with_disclosure(d: DataFrame) -> DataFrame:
+    """The sentence to show beside the figures."""
+    text = F.concat(
+        F.col("excluded_awards_bare_supplier_id").cast("string"), F.lit(" awards ("),
+        F.col("excluded_pct_of_candidate_value").cast("decimal(10,1)").cast("string"),
+        F.lit("% of value) have no usable supplier ID and are not included."))
+    return d.withColumn("disclosure", text)
+
+
 def overall_concentration(v) -> DataFrame:
     top = [1, 5, 10, 20, 100]
     c = concentration(v.supplier_totals, "supplier_id", top, DEPTHS)
@@ -86,7 +97,11 @@ def top_suppliers(v, n: int = 20, source=None) -> DataFrame:
     """The n largest suppliers, every one tied with the n-th included. Totals carry
     ids and values only; names and entities are looked up for the few that remain."""
     totals = v.supplier_totals if source is None else holder_totals(source, "supplier_id", AWARD)
-    source = v.supplier_award_eligible if source is None else source
+    return largest_suppliers(v, totals, v.supplier_award_eligible if source is None else source, n)
+
+
+def largest_suppliers(v, totals: DataFrame, source: DataFrame, n: int) -> DataFrame:
+    """``totals`` per supplier (awards, value); ``source`` tells names and entities."""
     cut = totals.orderBy(F.col("value").desc()).limit(n).agg(F.min("value")).scalar()
     total = totals.agg(F.sum("value")).scalar()
     w = Window.partitionBy("_all").orderBy(F.col("value").desc())
@@ -114,9 +129,12 @@ def concentration_by_method(v, n: int = 5, source=None) -> DataFrame:
     source = v.supplier_award_eligible if source is None else source
     g = ["procurement_method"]
     totals = holder_totals(source.withColumn(g[0], method()), "supplier_id", AWARD, g)
-    c = concentration(totals, "supplier_id", [1, n], groups=g)
+    return method_concentration(v, concentration(totals, "supplier_id", [1, n], groups=g), n)
+
+
+def method_concentration(v, c: DataFrame, n: int) -> DataFrame:
     return c.select(
-        g[0],
+        "procurement_method",
         F.col("awards").alias("eligible_awards"),
         F.col("holders").alias("suppliers"),
         money(F.col("value"), v.rules, 2).alias(_unit(v, "value")),

@@ -107,10 +107,7 @@ class Workspace:
         files), the input must equal the manifest before and after the load.
         """
         if pinned is not None:
-            sinks.require_intact(pinned, sinks.file_manifest(self.spark, source, "*"))
-        self.stg
-        if pinned is not None:
-            sinks.require_intact(pinned, sinks.file_manifest(self.spark, source, "*"))
+            sinks.gated(pinned, lambda: sinks.file_manifest(self.spark, source), lambda: self.stg)
         v = self.v
         with ThreadPoolExecutor(max_workers=4) as pool:
             for wave in VIEW_WAVES:

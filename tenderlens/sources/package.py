@@ -7,7 +7,7 @@ needs (nested column pruning), and carries the release's ``ocid`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions import flags
@@ -16,14 +16,16 @@ from tenderlens.model import (
     PACKAGE_SCHEMA,
     RELEASE_FIELDS,
     RELEASE_SCHEMA,
+    RELEASE_STRUCT,
     Staging,
 )
 from tenderlens.rules import Rules
+from tenderlens.sources import splits
 
 
 def read_package(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """JSON package objects, one per file. A package is a single read task, so
-    the releases are spread right after the explode."""
+    the releases are spread right after the explode; ``read_package_split`` reads a large one by many."""
     releases = (
         spark.read.schema(PACKAGE_SCHEMA)
         .option("multiLine", True)
@@ -34,6 +36,91 @@ def read_package(spark: SparkSession, path: str, partitions: int | None = None)
     return releases.repartition(partitions) if partitions else releases.repartition("id")
 
 
+def _packages_in_pieces(spark: SparkSession, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """The text of every object in an array of a package's root, and one row per file with what was read of it.
+
+    A file is read by many tasks as the pieces between opening braces. Whether a
+    piece begins inside a string follows from the quotes in front of it, and with that how
+    deep it is nested; both are sums over the file, taken inside the blocks first.
+    """
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters every quote is a real one
+    pieces = splits.records(spark, path, pattern, "{").withColumn("plain", plain).withColumn("cut", F.split("plain", '"', -1))
+
+    def count(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    # Outside strings is every other part: from the first if the piece begins outside, else from the second.
+    outside = [F.array_join(F.filter("cut", every), "") for every in (lambda _, i: i % 2 == 0, lambda _, i: i % 2 == 1)]
+    closed = F.array(*[count(x, "}") for x in outside])
+    listed = F.array(*[count(x, "[") - count(x, "]") for x in outside])
+    named = F.regexp_extract("value", r'"([^"\\]*)"\s*:\s*\[[^\[\]{}"]*$', 1)
+    pieces = pieces.select(
+        "file", "bytes", "block", "nth", "value", "length", (F.size("cut") - 1).alias("quotes"), closed.alias("closed"),
+        listed.alias("listed"), F.nullif(named, F.lit("")).alias("name"),
+    )
+    w = splits.in_block()
+    pieces = pieces.withColumn("i", F.row_number().over(w)).withColumn("turn", splits.sum_in_front("quotes", w) % 2)
+    first = (F.col("block") == 0) & (F.col("i") == 1)
+
+    def nested(parity: Column) -> tuple[Column, Column]:
+        """Change of the depth in braces and in brackets, if the block begins outside (0) or inside (1) a string."""
+        inside = ((F.col("turn") + parity) % 2).cast("int")
+        opened = F.when(first | (inside == 1), 0).otherwise(1)
+        return opened - F.get("closed", inside), F.get("listed", inside)
+
+    sums = [F.sum(c).alias(f"{kind}{k}") for k in (0, 1) for kind, c in zip(("braces", "brackets"), nested(F.lit(k)))]
+    blocks = pieces.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.max("bytes").alias("bytes"), F.sum("quotes").alias("quotes"), *sums)
+    over = splits.over_blocks()
+    blocks = blocks.withColumn("parity", (splits.sum_in_front("quotes", over) % 2).cast("int"))
+    for kind in ("braces", "brackets"):
+        blocks = blocks.withColumn(kind, F.when(F.col("parity") == 0, F.col(f"{kind}0")).otherwise(F.col(f"{kind}1")))
+    blocks = blocks.withColumns({f"{kind}_before": splits.sum_in_front(kind, over) for kind in ("braces", "brackets")})
+    read = blocks.groupBy("file").agg(
+        (F.sum("n") - 1 + F.sum("length")).alias("read"), F.max("bytes").alias("bytes"), F.sum("braces").alias("braces"),
+        F.sum("brackets").alias("brackets"))
+
+    braces, brackets = nested(F.col("parity"))
+    placed = pieces.join(blocks.select("file", "block", "parity", "braces_before", "brackets_before"), ["file", "block"])
+    placed = placed.withColumns({"braces": braces, "brackets": brackets, "inside": (F.col("turn") + F.col("parity")) % 2})
+    placed = placed.withColumns({
+        "braces_before": F.col("braces_before") + splits.sum_in_front("braces", w),
+        "brackets_before": F.col("brackets_before") + splits.sum_in_front("brackets", w),
+    })
+    in_root_array = (F.col("braces_before") + F.col("braces") == 1) & (F.col("brackets_before") + F.col("brackets") == 1)
+    starts = (F.col("inside") == 0) & ~first & (F.col("braces_before") == 1) & (F.col("brackets_before") == 1)
+    here = F.struct("block", "i")
+    placed = placed.withColumns({"array": F.when(in_root_array, F.col("name")), "start": F.when(starts, here)})
+    tails = placed.groupBy("file", "block").agg(
+        F.max_by("array", F.when(F.col("array").isNotNull(), F.col("i"))).alias("array"), F.max("start").alias("start"))
+    carried = tails.select(
+        "file", "block", splits.last_in_front("array", over).alias("array_before"), splits.last_in_front("start", over).alias("start_before"))
+    placed = placed.join(carried, ["file", "block"]).withColumns({
+        "array": F.coalesce(splits.last_in_front("array", w), F.col("array_before")),
+        "object": F.coalesce(F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("start_before")),
+    })
+    # What follows the last brace of an object is no part of its value; the parser stops there.
+    ordered = F.array_sort(F.collect_list(F.struct("block", "i", "value")))
+    objects = placed.filter("object IS NOT NULL").groupBy("file", "object").agg(
+        F.max(F.when(F.col("start").isNotNull(), F.col("array"))).alias("array"),
+        F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda x: x["value"]), "{")).alias("text"))
+    return objects, read
+
+
+def read_package_split(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The releases of JSON package objects, one per file, a large package read by many tasks.
+
+    Equal to ``read_package`` whatever the layout of the text and wherever Spark cuts the
+    files. It stops if a byte of a file was not read or its brackets do not close.
+    """
+    objects, read = _packages_in_pieces(spark, path, pattern)
+    broken = read.filter(~F.col("read").isin(F.col("bytes"), F.col("bytes") - 3) | (F.col("braces") != 0) | (F.col("brackets") != 0))
+    whole = F.when(broken.agg(F.count(F.lit(1))).scalar() == 0, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a package was not read whole, or its brackets do not close")).cast("boolean"))
+    text = objects.filter(F.col("array") == "releases").filter(whole)
+    return text.select(F.from_json("text", RELEASE_STRUCT, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def write_packages(releases: DataFrame, path: str, published: str | Column, per_package: int = 2000) -> None:
     """Release packages of about ``per_package`` releases each, one JSON file per package."""
     files = max(1, -(-releases.count() // per_package))

@@ -69,3 +69,46 @@ def test_stream_of_documents_restarts(spark, tmp_path):
     assert lines == {"L": "9", "M": "4"}
     every = package.read_release_lines(spark, str(source))
     assert every.count() == 5
+
+
+def _bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_a_fold_writes_what_its_batch_touches(spark, tmp_path):
+    root = tmp_path / "t"
+    t = LatestTable(spark, str(root), ["k"], ["seq"], parts=32)
+    first = spark.range(40000).selectExpr("cast(id as string) as k", "1L as seq", "sha2(cast(id as string), 256) as v")
+    t.merge(first, 0)
+    t.compact(0)
+    (base,) = [f for f in root.iterdir() if f.name.startswith("fold-")]
+    whole, parts = _bytes(base), {p.name for p in base.iterdir() if p.name.startswith("_part=")}
+    assert len(parts) == 32
+    t.merge(spark.createDataFrame([("5", 2, "new"), ("17", 0, "late"), ("x", 1, "more")], SCHEMA), 1)
+    t.compact(1)
+    (fold,) = [f for f in root.iterdir() if f.name.startswith("fold-") and f != base]
+    assert _bytes(fold) < 0.15 * whole
+    assert len([p for p in fold.iterdir() if p.name.startswith("_part=")]) <= 3
+    rows = {r["k"]: (r["seq"], r["v"]) for r in t.read().collect()}
+    assert len(rows) == 40001 and rows["5"] == (2, "new") and rows["17"][0] == 1 and rows["x"] == (1, "more")
+    # Another number of parts is not taken up; what no version of the last two has is removed.
+    t = LatestTable(spark, str(root), ["k"], ["seq"], parts=5)
+    for i in (2, 3):
+        t.merge(spark.createDataFrame([("5", i + 1, "newer")], SCHEMA), i)
+        t.compact(i)
+    assert {r["k"]: r["seq"] for r in t.read().collect()}["5"] == 4 and t.read().count() == 40001
+    left = [p.name for f in root.iterdir() if f.name.startswith("fold-") for p in f.iterdir() if p.name.startswith("_part=")]
+    assert len(left) == 32 + 1 and len(list((root / "log").iterdir())) == 2
+
+
+def test_a_fold_that_was_not_published_changes_nothing(spark, tmp_path):
+    t = LatestTable(spark, str(tmp_path / "t"), ["k"], ["seq"])
+    t.merge(spark.createDataFrame([("a", 1, "a1")], SCHEMA), 0)
+    t.compact(0)
+    t.merge(spark.createDataFrame([("a", 2, "a2")], SCHEMA), 1)
+    broken = tmp_path / "t" / "log" / "version=1"
+    broken.mkdir()  # begun, not whole
+    (tmp_path / "t" / "fold-lost").mkdir()
+    assert state(t) == [("a", 2, "a2")]
+    t.compact(1)
+    assert state(t) == [("a", 2, "a2")] and not (tmp_path / "t" / "fold-lost").exists()

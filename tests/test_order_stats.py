@@ -120,3 +120,51 @@ def test_bucket_is_monotone(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
     buckets = [r["b"] for r in df.select("i", o.value_bucket(F.col("x")).alias("b")).orderBy("i").collect()]
     assert buckets == sorted(buckets)
+
+
+@pytest.fixture
+def small_ranges(monkeypatch):
+    monkeypatch.setattr(o, "_RANGE_ROWS", 16)
+    monkeypatch.setattr(o, "_CHUNK", 8)
+
+
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_a_third_of_the_rows_tied_is_no_hot_task(spark, small_ranges, direction):
+    rnd = random.Random(9)
+    n = 30000
+    raw = [(i, 7.0 if i % 3 == 0 else rnd.lognormvariate(3, 2), rnd.choice("abc") + str(i * 7919 % n), "hot" if i % 4 else "cold") for i in range(n)]
+    raw += [(n, 7.0, None, "hot")]
+    df = spark.createDataFrame(raw, "id long, x double, name string, g string").repartition(5)
+    order = [("x", direction), ("name", "desc")]
+    tied = sum(r[1] == 7.0 for r in raw)
+    largest = o._with_ranges(df, order, []).groupBy("_b", "_r").count().agg(F.max("count")).first()[0]
+    assert largest < 0.01 * tied
+    sign = -1 if direction == "desc" else 1
+    for groups in ([], ["g"]):
+        got = o.with_position(df, order, "k", groups, kind="row_number", running={"x": "cum"}, count_as="n", split_ties=True).collect()
+        ordered = sorted(sorted(raw, key=lambda r: (r[2] is not None, r[2] or ""), reverse=True), key=lambda r: sign * r[1])
+        expect, upto = {}, {}
+        for r in ordered:
+            g = r[3] if groups else None
+            k, cum = upto.get(g, (0, 0.0))
+            upto[g] = k + 1, cum + r[1]
+            expect[r[0]] = upto[g]
+        assert {r["id"]: r["k"] for r in got} == {i: k for i, (k, _) in expect.items()}
+        for r in got:
+            assert r["cum"] == pytest.approx(expect[r["id"]][1], rel=1e-9)
+            assert r["n"] == upto[r["g"] if groups else None][0]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_rank_with_a_running_sum_over_cut_ties(spark, small_ranges, split):
+    raw = [(i, float(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(raw, "id long, x double")
+    got = o.with_position(df, [("x", "desc"), ("id", "asc")], "r", running={"x": "cum"}, rank_keys=1, count_as="n", split_ties=split).collect()
+    ordered = sorted(raw, key=lambda r: (-r[1], r[0]))
+    cum = dict(zip([r[0] for r in ordered], np.cumsum([r[1] for r in ordered])))
+    assert all(r["r"] == 1 + sum(x > r["x"] for _, x in raw) and r["cum"] == cum[r["id"]] and r["n"] == 900 for r in got)
+
+
+def test_equal_rows_get_different_places(spark, small_ranges):
+    df = spark.createDataFrame([(1.0,)] * 500 + [(2.0,)], "x double")
+    assert sorted(r["k"] for r in o.with_position(df, [("x", "asc")], "k", kind="row_number", split_ties=True).collect()) == list(range(1, 502))
