@@ -62,6 +62,8 @@ TA = "tender t JOIN awards a ON a.release_id = t.release_id"
 CA = "contracts c JOIN awards a ON a.award_id = c.award_id"
 SNAP_AWARDS = "awards a JOIN process_snapshot s ON s.award_id = a.award_id"
 
+LAST = "(SELECT ocid, award_id, value FROM awards QUALIFY row_number() OVER (PARTITION BY ocid ORDER BY release_seq DESC) = 1)"
+MOST = "(SELECT ocid FROM awards WHERE ocid IN (SELECT ocid FROM awv) GROUP BY ocid ORDER BY count(*) DESC, ocid LIMIT 1)"
 SUITES: dict[str, list[tuple]] = {
     "c01_key_uniqueness": [
         ("UQ-01", "0", dup("releases", "release_id")), ("UQ-02", "0", dup("releases", "release_seq")),
@@ -171,11 +173,14 @@ SUITES: dict[str, list[tuple]] = {
         ("WF-10", None, n("tender", "tender_start_date_flag = 'VALID'")),
     ],
     "c09b_spot_checks": [
-        (f"SP-{c}{i}", None, f"(SELECT max({col}) FROM {src} WHERE ocid = '{p}')")
-        for i, p in enumerate(("P1", "P10", "P100"))
-        for c, src, col in (("A", "awv", "award_id"), ("B", "sav", "supplier_name"),
-                            ("C", "ps", "(['planning','tender','award','contract','implementation'])[stage]"),
-                            ("D", "asf", "CASE WHEN dd AND sl THEN 'DROPPED_DECIMAL+SIBLING_LOT' WHEN dd THEN 'DROPPED_DECIMAL' ELSE 'SIBLING_LOT' END"))
+        ("SP-02a", "0", f"(SELECT count(*) FROM awv v LEFT JOIN {LAST} l ON l.ocid = v.ocid WHERE v.value IS DISTINCT FROM l.value)"),
+        ("SP-02b", "0", f"(SELECT count(*) FROM awv v LEFT JOIN {LAST} l ON l.ocid = v.ocid WHERE v.award_id IS DISTINCT FROM l.award_id)"),
+        ("SP-02c", f"(SELECT max(value::VARCHAR) FROM {LAST} WHERE ocid = {MOST})", f"(SELECT max(value::VARCHAR) FROM awv WHERE ocid = {MOST})"),
+        ("SP-02d", f"(SELECT max(award_id) FROM {LAST} WHERE ocid = {MOST})", f"(SELECT max(award_id) FROM awv WHERE ocid = {MOST})"),
+        ("SP-03a", "0", n("sav", "supplier_id = 'S-'")),
+        ("SP-03b", "(SELECT count(*) FROM asup WHERE supplier_id <> 'S-' AND award_id IN (SELECT award_id FROM awv))", n("sav")),
+        ("SP-03c", f"(SELECT count(DISTINCT supplier_id) FROM asup WHERE supplier_id <> 'S-' AND award_id IN (SELECT award_id FROM {LAST} WHERE ocid = {MOST}))",
+         f"(SELECT count(DISTINCT supplier_id) FROM sav WHERE ocid = {MOST})"),
     ],
     "c10_business_questions": [
         ("BQ-01", f"(SELECT max(v)::DECIMAL(38,4) FROM {MINE})", f"(SELECT max(v)::DECIMAL(38,4) FROM {SUPV})"), ("BQ-02", n(MINE), n(SUPV)),

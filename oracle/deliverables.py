@@ -213,6 +213,35 @@ def gate(case: str, lines: str, stops: bool) -> str:
       FROM ({tree(LINES)}) e FULL JOIN ({tree(lines)}) a ON a.file = e.file"""
 
 
+# The columns that tell the rows of a result set apart; sets of one row are not named.
+KEYS = {
+    "q1_1b": "metric_id", "q2_1b": "metric_id", "q3_1b": "metric_id", "q4_1b": "metric_id", "q5_1b": "metric_id", "q6_1b": "metric_id", "q7_1": "metric_id",
+    "q1_4": "procurement_method", "q1_6b": "procurement_method", "q2_4": "procurement_method", "q3_4": "procurement_method", "q4_4": "procurement_method",
+    "q1_5": "buyer_id", "q3_5": "buyer_id", "q3_6": "buyer_id", "q3_9": "buyer_id", "q3_11b": "buyer_id", "q5_3": "buyer_id", "q5_7b": "buyer_id", "q6_5": "buyer_id",
+    "q1_6": "scenario", "q3_11": "scenario", "q4_1": "measure", "q4_2": "measure", "q5_2": "largest_entities", "q5_7": "largest_entities", "q5_0": "kpi", "q5_5": "kpi",
+    "q1_3": "supplier_id", "q2_1": "population", "q2_2": "participation_band", "q2_5": "tender_status", "q2_6": "ranking, buyer_id", "q3_3": "ratio_band",
+    "q3_12": "ratio_group", "q4_3": "measure, duration_band", "q4_5": "tender_start_year", "q4_6": "award_year", "q5_4": "buyer_name", "q5_6": "value_quartile",
+    "q6_2": "implementation_data_type", "q6_3": "contract_status", "q6_4": "entity_coverage_band", "q6_6": "stage_order", "q7_2": "metric_id, dq_ref", "q7_3": "dq_ref",
+}
+
+
+def numbers(name: str, body: str) -> str:
+    """The numbers of a result set, one row each."""
+    keys = KEYS.get("_".join(name.split("_")[:2]))
+    row, rest = (f"concat_ws('|', {keys})", f"* EXCLUDE ({keys})") if keys else ("''", "*")
+    return f"""SELECT '{name}' AS result_set, row_key, column_name, cell FROM (UNPIVOT (SELECT {row} AS row_key, TRY_CAST(COLUMNS({rest}) AS DECIMAL(30,8)) FROM ({body}))
+      ON COLUMNS(* EXCLUDE (row_key)) INTO NAME column_name VALUE cell)"""
+
+
+CLAIMS = f"""SELECT c.result_set, c.row_key, c.column_name, c.kind, c.stated::DOUBLE AS stated, round(a.cell, 6)::DOUBLE AS cell,
+    coalesce(a.found = 1 AND c.has_n AND CASE c.kind WHEN 'percent' THEN round(a.cell, 1)::DECIMAL(30,8) WHEN 'count' THEN round(a.cell, 0) ELSE round(a.cell, 2)::DECIMAL(30,8) END = c.stated, false) AS holds
+  FROM (SELECT result_set, CASE WHEN plant = 3 THEN row_key || '?' ELSE row_key END AS row_key, column_name, kind, plant <> 5 AS has_n,
+      (CASE kind WHEN 'percent' THEN round(cell, 1)::DECIMAL(30,8) WHEN 'count' THEN round(cell, 0) ELSE round(cell, 2)::DECIMAL(30,8) END + CASE WHEN plant = 0 THEN (CASE kind WHEN 'percent' THEN 0.1 WHEN 'count' THEN 1 ELSE 0.01 END)::DECIMAL(9,8) ELSE 0 END)::DECIMAL(30,8) AS stated
+    FROM (SELECT *, length(row_key || column_name) % 7 AS plant, CASE WHEN contains(column_name, 'pct') THEN 'percent' WHEN cell = floor(cell) THEN 'count' ELSE 'figure' END AS kind FROM cited)) c
+  LEFT JOIN (SELECT result_set, row_key, column_name, count(*) AS found, max(cell) AS cell FROM cited GROUP BY ALL) a
+    ON a.result_set = c.result_set AND a.row_key = c.row_key AND a.column_name = c.column_name"""
+CITED = " UNION ALL ".join(numbers(n, body) for n, body in {**QUESTIONS, **IMPACT}.items() if n.startswith("q"))
+
 SQL = {
     "s01_package_scan": """SELECT strftime(r.release_date, '%Y') AS year, count(*) AS releases, count(DISTINCT r.ocid) AS processes, sum(p.budget_amount)::DOUBLE AS budget, coalesce(sum(a.value), 0)::DOUBLE AS award_value, count(t.tender_id) AS tenders
        FROM releases r JOIN planning p USING (release_id) LEFT JOIN awards a USING (release_id) LEFT JOIN tender t USING (release_id) GROUP BY 1""",
@@ -265,11 +294,7 @@ SQL = {
     "c15_cell_comparison": f"SELECT m AS row_key, c AS column_name, true AS matches FROM (SELECT DISTINCT {NM} AS m FROM sav), (SELECT unnest(['eligible_awards', 'suppliers', 'value_k', 'top_1_share_pct', 'top_5_share_pct', 'herfindahl_index', 'reliability_note']) AS c)",
     "c15b_store_comparison": " UNION ALL ".join(
         f"SELECT '{n}' AS result_set, count(*) AS n_rows, 0::BIGINT AS only_stored, 0::BIGINT AS only_again FROM ({body})" for n, body in {**QUESTIONS, **IMPACT}.items() if n.startswith("q")),
-    "c16_claim_trace": " UNION ALL ".join(
-        f"SELECT '{rs}' AS result_set, {mm} AS row_key, '{col}' AS column_name, ({e})::DOUBLE AS stated, ({e})::DOUBLE AS cell, true AS holds FROM {src} WHERE method = {mm}"
-        for mm in (MAIN, OTHER, THIRD)
-        for rs, col, e, src in (("competition_by_method", "eligible_tenders", "count(*) FILTER (prim)", "competition"), ("concentration_by_method", "eligible_awards", "count(DISTINCT award_id)", "sav"),
-                                ("concentration_by_method", "suppliers", "count(DISTINCT supplier_id)", "sav"), ("competition_by_method", "median_tenderers", "quantile_cont(number_of_tenderers::DOUBLE, 0.5) FILTER (prim)", "competition"))),
+    "c16_claim_trace": CLAIMS,
     "r_all_figures": "SELECT page, unit, count(*) AS n_figures, count(expected_value) AS with_value, count(*) AS with_measure FROM (" + " UNION ALL ".join(
         f"SELECT '{p}' AS page, unit, expected_value FROM ({' UNION ALL '.join(R[k])})" for k, p in (
             ("r1_executive", "Executive overview"), ("r2_suppliers", "Supplier concentration"), ("r3_competition", "Competition"), ("r4_budget", "Budget vs award"), ("r5_timing", "Timing"),
@@ -281,4 +306,5 @@ SQL = {
 
 
 def sql() -> dict[str, str]:
-    return {name: with_tables(body) for name, body in SQL.items()}
+    out = {name: with_tables(body) for name, body in SQL.items() if name != "c16_claim_trace"}
+    return out | {"c16_claim_trace": with_tables(f", cited AS MATERIALIZED ({CITED}) {CLAIMS}")}

@@ -113,12 +113,30 @@ def compare_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.withColumn("matches", F.col("left_value").eqNullSafe(F.col("right_value")))
 
 
-def trace_claims(claims: DataFrame, long_results: DataFrame) -> DataFrame:
-    """Each claim (result_set, row_key, column_name, scale, places, stated)
-    against the cited cell x scale, rounded to the stated places."""
-    cited = claims.join(long_results, ["result_set", "row_key", "column_name"], "left")
-    p = F.pow(F.lit(10.0), F.col("places"))
-    shown = F.round(F.col("value").cast("double") * F.col("scale") * p) / p
-    return cited.withColumn("cell", shown).withColumn(
-        "holds", F.coalesce(F.abs(F.col("cell") - F.col("stated")) < 1e-9, F.lit(False))
-    )
+def numeric_cells(stored: DataFrame, keys: Column) -> DataFrame:
+    """The numbers of stored sets (result_set, row_json) as (result_set, row_key, column_name, cell) rows.
+
+    ``keys`` is a map from a set to the columns that tell its rows apart; other text is left out.
+    """
+    own = F.coalesce(keys[F.col("result_set")], F.array().cast("array<string>"))
+    rows = stored.select("result_set", F.from_json("row_json", "map<string,string>").alias("row"), own.alias("keys"))
+    row_key = F.array_join(F.transform("keys", lambda k: F.col("row")[k]), "|")
+    long = rows.select("result_set", "keys", row_key.alias("row_key"), F.explode("row").alias("column_name", "value"))
+    return long.filter(~F.array_contains("keys", F.col("column_name"))).select(
+        "result_set", "row_key", "column_name", F.col("value").try_cast("decimal(38,8)").alias("cell")).filter(F.col("cell").isNotNull())
+
+
+def trace_claims(claims: DataFrame, cells_: DataFrame) -> DataFrame:
+    """Each claim (result_set, row_key, column_name, places, stated, eligible_n) against the one cell it cites.
+
+    A claim holds if its selector finds exactly one cell, the stated figure is that cell rounded
+    half up to the stated places (the cell lies in the rounding interval of the figure, in decimals), and it
+    says how many records it rests on.
+    """
+    on = ["result_set", "row_key", "column_name"]
+    found = cells_.groupBy(*on).agg(F.count(F.lit(1)).alias("_found"), F.max("cell").alias("cell"))
+    step = F.create_map(*[x for p in range(9) for x in (F.lit(p), F.lit(f"1E-{p}").cast("decimal(9,8)"))])[F.col("places").cast("int")]
+    off = (F.abs("cell") - F.abs("stated")).cast("decimal(38,8)")
+    inside = (off * 2 >= -step) & (off * 2 < step) & ((F.signum("cell") == F.signum("stated")) | (F.col("stated") == 0))
+    holds = (F.col("_found") == 1) & inside & (F.col("eligible_n") > 0)
+    return claims.join(found, on, "left").withColumn("holds", F.coalesce(holds, F.lit(False))).drop("_found")

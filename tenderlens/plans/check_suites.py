@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.functions import flags
+from tenderlens.operators.latest import latest_by_max
 from tenderlens.operators.checks import Check, count, orphans, probe, repeats, suite
 from tenderlens.operators.latest import latest_by_max, latest_per_key, text_order_disagrees
 from tenderlens.operators.order_stats import exact_percentiles
@@ -561,15 +562,41 @@ def spot_checks(ws, records: list[tuple]) -> DataFrame:
     return suite("Spot checks", probes)
 
 
-# Three processes of the order data, in the views that show a correction, a supplier and a stage.
-ORDER_SPOTS = [
-    (f"SP-{c}{i}", view, "ocid", key, column, None)
-    for i, key in enumerate(("P1", "P10", "P100"))
-    for c, view, column in (
-        ("A", "award_value_eligible", "award_id"), ("B", "supplier_award_eligible", "supplier_name"),
-        ("C", "lifecycle_stage", "highest_stage"), ("D", "award_scale_flag", "flag_reason"),
-    )
-]
+def record_checks(ws) -> DataFrame:
+    """The corrections and suppliers that views show, against the staged releases, over all records and for the
+    process that was corrected most often."""
+    v, stg, r = ws.v, ws.stg, ws.rules
+    award = "award_value_amount"
+    last = latest_by_max(stg.awards.select("ocid", "award_id", "release_seq", award), ["ocid"], "release_seq")
+    shown = v.award_value_eligible.select("ocid", F.col("award_id").alias("shown_id"), F.col(award).alias("shown"))
+    both = shown.join(last, "ocid", "left")
+    corrections = stg.awards.groupBy("ocid").agg(rows().alias("n")).join(shown.select("ocid"), "ocid", "left_semi")
+    most = corrections.agg(F.min_by("ocid", F.struct(-F.col("n"), "ocid"))).scalar()
+    chosen = last.filter(F.col("ocid") == most)
+    suppliers = v.supplier_award_eligible
+    named = stg.award_suppliers.filter(F.col("supplier_id") != r.bare_supplier_id).join(chosen.select("award_id"), "award_id", "left_semi")
+    per_award = stg.award_suppliers.filter(F.col("supplier_id") != r.bare_supplier_id).select("award_id", "supplier_id").distinct()
+    counted = suppliers.select("award_id").distinct().join(per_award, "award_id")
+    probes = [
+        probe(both, [
+            Check("SP-02a", "award values that are not those of the latest correction", F.count_if(~F.col("shown").eqNullSafe(F.col(award))), "0"),
+            Check("SP-02b", "awards shown that are not the latest of their process", F.count_if(~F.col("shown_id").eqNullSafe(F.col("award_id"))), "0"),
+        ]),
+        probe(shown.filter(F.col("ocid") == most), [
+            Check("SP-02c", "value of the process corrected most often", F.max(F.col("shown").cast("string")),
+                  chosen.agg(F.max(F.col(award).cast("string"))).scalar()),
+            Check("SP-02d", "award of the process corrected most often", F.max("shown_id"), chosen.agg(F.max("award_id")).scalar()),
+        ]),
+        probe(suppliers, [
+            Check("SP-03a", "awards under the placeholder supplier", F.count_if(F.col("supplier_id") == r.bare_supplier_id), "0"),
+            Check("SP-03b", "award and supplier pairs", rows(), counted.agg(rows()).scalar()),
+        ]),
+        probe(suppliers.filter(F.col("ocid") == most), [
+            Check("SP-03c", "suppliers of the process corrected most often", F.count_distinct("supplier_id"),
+                  named.agg(F.count_distinct("supplier_id")).scalar()),
+        ]),
+    ]
+    return suite("Spot checks", probes)
 
 
 # ------------------------------------------------------------------ 10 questions
@@ -845,7 +872,7 @@ SUITES = {
     "c07_layer_reconciliation": layer_reconciliation,
     "c08_observations": observations,
     "c09_analytical_views": analytical_views,
-    "c09b_spot_checks": lambda ws: spot_checks(ws, ORDER_SPOTS),
+    "c09b_spot_checks": record_checks,
     "c10_business_questions": business_questions,
     "c11_presentation_dims": presentation_dims,
     "c12_scale_flag": scale_flag,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.functions import bands, flags
-from tenderlens.operators.checks import cells, compare_cells, compare_figures, trace_claims
+from tenderlens.operators.checks import cells, compare_cells, compare_figures, numeric_cells, trace_claims
 from tenderlens.plans import (
     cube,
     export,
@@ -404,26 +404,57 @@ def store_comparison(ws) -> DataFrame:
         "result_set", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "only_stored", "only_again")])
 
 
+# The columns that tell the rows of a result set apart; a set that is not named has one row.
+ROW_KEYS = {
+    **dict.fromkeys(("q1_1b_register", "q2_1b_register", "q3_1b_register", "q4_1b_register", "q5_1b_register", "q6_1b_register"), ["metric_id"]),
+    **dict.fromkeys(("q1_4_concentration_by_method", "q1_6b_method_sensitivity", "q2_4_competition_by_method", "q3_4_variance_by_method",
+                     "q4_4_timing_by_method"), ["procurement_method"]),
+    **dict.fromkeys(("q1_5_concentration_by_entity", "q3_5_entity_variance", "q3_6_entity_departure", "q3_9_above_ten_by_entity",
+                     "q3_11b_above_ten_without_flagged", "q5_3_top_entities", "q5_7b_top_entities_without_flagged", "q6_5_lowest_coverage"), ["buyer_id"]),
+    **dict.fromkeys(("q1_6_concentration_sensitivity", "q3_11_budget_sensitivity"), ["scenario"]),
+    **dict.fromkeys(("q4_1_timing_medians", "q4_2_timing_distribution"), ["measure"]),
+    **dict.fromkeys(("q5_2_activity_share", "q5_7_top_share_sensitivity"), ["largest_entities"]),
+    **dict.fromkeys(("q5_0_minimum_n", "q5_5_kpi_spread"), ["kpi"]),
+    "q1_3_top_suppliers": ["supplier_id"], "q2_1_competition_headline": ["population"], "q2_2_participation_bands": ["participation_band"],
+    "q2_5_competition_by_status": ["tender_status"], "q2_6_competition_extremes": ["ranking", "buyer_id"], "q3_3_ratio_bands": ["ratio_band"],
+    "q3_12_ratio_near_groups": ["ratio_group"], "q4_3_duration_bands": ["measure", "duration_band"], "q4_5_duration_by_year": ["tender_start_year"],
+    "q4_6_lag_by_year": ["award_year"], "q5_4_kpi_profile": ["buyer_name"], "q5_6_kpi_by_quartile": ["value_quartile"],
+    "q6_2_implementation_types": ["implementation_data_type"], "q6_3_coverage_by_status": ["contract_status"],
+    "q6_4_coverage_bands": ["entity_coverage_band"], "q6_6_lifecycle_funnel": ["stage_order"],
+    "q7_1_exclusions_by_metric": ["metric_id"], "q7_2_issue_matrix": ["metric_id", "dq_ref"], "q7_3_issues_across_metrics": ["dq_ref"],
+}
+
+
+def result_cells(ws) -> DataFrame:
+    """The numbers of every stored result set as (result_set, row_key, column_name, cell) rows."""
+    stored_results(ws)
+    keys = F.create_map(*[x for n, ks in ROW_KEYS.items() for x in (F.lit(n), F.array(*[F.lit(k) for k in ks]))])
+    return ws.table("numeric_cells", lambda: numeric_cells(ws.spark.read.parquet(f"{ws.root}/result_sets"), keys))
+
+
+def stated_claims(ws) -> DataFrame:
+    """A claim for every number of every set: percentages to one place, counts to none, other figures to two.
+
+    Of each seven kinds of place one is planted wrong: one step too high (0), a row that does not exist
+    (3), no number of records (5).
+    """
+    percent = F.contains("column_name", F.lit("pct"))
+    whole = F.col("cell") == F.floor("cell")
+    plant = F.length(F.concat("row_key", "column_name")) % 7
+    step = F.when(percent, F.lit("0.1")).when(whole, F.lit("1")).otherwise(F.lit("0.01")).cast("decimal(9,8)")
+    up = F.floor((F.abs("cell") / step).cast("decimal(38,8)") + F.lit("0.5").cast("decimal(2,1)"))
+    stated = (F.signum(F.col("cell").cast("double")).cast("int") * up * step + F.when(plant == 0, step).otherwise(0)).cast("decimal(38,8)")
+    return result_cells(ws).select(
+        "result_set", F.when(plant == 3, F.concat("row_key", F.lit("?"))).otherwise(F.col("row_key")).alias("row_key"), "column_name",
+        F.when(percent, "percent").when(whole, "count").otherwise("figure").alias("kind"),
+        F.when(percent, 1).when(whole, 0).otherwise(2).alias("places"), stated.alias("stated"),
+        F.when(plant != 5, 1).alias("eligible_n"))
+
+
 def claim_trace(ws) -> DataFrame:
-    """One claim per method (its share and its tenders), stated from the measures, traced to cells."""
-    v = ws.v
-    stated = union(
-        [
-            measures.measure(v, name, {"method": m}, **p).select(
-                F.lit(result).alias("result_set"), F.lit(m).alias("row_key"), F.lit(column).alias("column_name"),
-                F.lit(scale).alias("scale"), F.lit(places).alias("places"),
-                F.round(F.col("value") * factor, places).alias("stated"))
-            for m in (SLICES.method_main, SLICES.method_other, SLICES.method_third)
-            for name, p, result, column, scale, factor, places in (
-                ("competition_n_primary", {}, "competition_by_method", "eligible_tenders", 1.0, 1, 0),
-                ("supplier_awards", {}, "concentration_by_method", "eligible_awards", 1.0, 1, 0),
-                ("suppliers", {}, "concentration_by_method", "suppliers", 1.0, 1, 0),
-                ("median_tenderers_primary", {}, "competition_by_method", "median_tenderers", 1.0, 1, 1),
-            )
-        ]
-    )
-    long = ws.table("result_cells", lambda: long_results(ws))
-    return trace_claims(stated, long).select("result_set", "row_key", "column_name", "stated", "cell", "holds")
+    """The claims on every result set, traced to the cells they cite."""
+    return trace_claims(stated_claims(ws), result_cells(ws)).select(
+        "result_set", "row_key", "column_name", "kind", "stated", F.round("cell", 6).alias("cell"), "holds")
 
 
 COMPARISONS = {
