@@ -49,10 +49,19 @@ def budget_eligible(core: Core) -> DataFrame:
     )
 
 
+def _competing():
+    return _has("tender_id") & F.col("tender_status").isNotNull() & F.col("tenderer_count_flag").isin("NORMAL", "ELEVATED")
+
+
+def _valued():
+    return (
+        _has("award_id") & (F.col("award_status") == "active")
+        & F.col("award_value_flag").isNull() & F.col("award_monetary_flag").isNull()
+    )
+
+
 def competition_eligible(core: Core) -> DataFrame:
-    return core.process_sections.filter(
-        _has("tender_id") & F.col("tender_status").isNotNull() & F.col("tenderer_count_flag").isin("NORMAL", "ELEVATED")
-    ).select(
+    return core.process_sections.filter(_competing()).select(
         "ocid", "tender_release_id", "tender_id", *_WHO, "procurement_method_details", "tender_status",
         "number_of_tenderers", "tenderer_count_flag",
         (F.col("tenderer_count_flag") == "NORMAL").alias("in_primary_population"),
@@ -61,10 +70,7 @@ def competition_eligible(core: Core) -> DataFrame:
 
 
 def award_value_eligible(core: Core) -> DataFrame:
-    return core.process_sections.filter(
-        _has("award_id") & (F.col("award_status") == "active")
-        & F.col("award_value_flag").isNull() & F.col("award_monetary_flag").isNull()
-    ).select(
+    return core.process_sections.filter(_valued()).select(
         "ocid", "award_id", "award_release_id", *_WHO, "procurement_method_details", "award_value_amount",
         "award_value_currency", "award_date", "award_date_flag",
     )
@@ -175,29 +181,36 @@ def median(c, where=None):
 
 def entity_benchmark(core: Core, v) -> DataFrame:
     """One row per complete, non-test buyer; NULL means no eligible record.
-    Every measure is reduced to the buyer before it is joined."""
+
+    What comes from a process's own sections is one aggregate over the stored
+    sections, each measure under the condition of its population; budget lines,
+    suppliers and the exact median are reduced to the buyer apart.
+    """
     def complete(df):
         return df.filter(F.col("buyer_id_flag").isNull())
 
-    stage = F.col("highest_stage_rank")
-    primary = F.col("in_primary_population")
-    proc = complete(v.lifecycle_stage).groupBy("buyer_id").agg(
-        F.count(F.lit(1)).alias("process_count"),
+    def known(n, of):
+        return F.when(of > 0, n)
+
+    stage = bands.stage_rank(F.col("tags_observed"))
+    tendered, awarded, contracted = (F.coalesce(c, F.lit(False)) for c in (_competing(), _valued(), _has("contract_id")))
+    primary = tendered & (F.col("tenderer_count_flag") == "NORMAL")
+    amount, one = F.when(awarded, F.col("award_value_amount")), F.lit(1)
+    proc = complete(core.process_sections).groupBy("buyer_id").agg(
+        F.count(one).alias("process_count"),
         F.count_if(stage >= 2).alias("processes_reaching_tender"),
         F.count_if(stage >= 3).alias("processes_reaching_award"),
+        known(F.count_if(primary), F.count_if(tendered)).alias("competition_n"),
+        median(F.col("number_of_tenderers"), primary).alias("median_tenderers"),
+        F.round(rate(F.col("number_of_tenderers") == 1, primary), 4).alias("single_bidder_rate"),
+        known(F.count_if(awarded), F.count_if(awarded)).alias("award_n"), F.sum(amount).alias("award_value_total"),
+        known(F.count_if(contracted), F.count_if(contracted)).alias("contract_n"),
+        F.round(rate(F.col("has_implementation"), contracted), 4).alias("implementation_coverage_rate"),
     )
     budget = v.budget_eligible.groupBy("buyer_id").agg(
-        F.count(F.lit(1)).alias("budget_line_n"), F.sum("budget_amount").alias("planned_budget_total")
-    )
-    competition = complete(v.competition_eligible).groupBy("buyer_id").agg(
-        F.count_if(primary).alias("competition_n"),
-        median(F.col("number_of_tenderers"), primary).alias("median_tenderers"),
-        F.round(rate(F.col("is_single_bidder"), primary), 4).alias("single_bidder_rate"),
+        F.count(one).alias("budget_line_n"), F.sum("budget_amount").alias("planned_budget_total")
     )
     awards = complete(v.award_value_eligible)
-    award = awards.groupBy("buyer_id").agg(
-        F.count(F.lit(1)).alias("award_n"), F.sum("award_value_amount").alias("award_value_total")
-    )
     award_median = exact_percentiles(awards, "award_value_amount", {"m": 0.5}, ["buyer_id"]).select(
         "buyer_id", F.round("m", 2).alias("median_award_value")
     )
@@ -210,14 +223,10 @@ def entity_benchmark(core: Core, v) -> DataFrame:
             "top_supplier_value_share"
         ),
     )
-    impl = complete(v.contract_implementation_coverage).groupBy("buyer_id").agg(
-        F.count(F.lit(1)).alias("contract_n"),
-        F.round(rate(F.col("has_implementation")), 4).alias("implementation_coverage_rate"),
-    )
     names = core.dim_buyer.filter(
         F.col("buyer_id_flag").isNull() & F.col("test_entity_flag").isNull()
     ).select("buyer_id", "buyer_name")
-    parts = [budget, competition, award, award_median, shares, impl]
+    parts = [budget, award_median, shares]
     wide = reduce(lambda a, b: a.join(b, "buyer_id", "left"), parts, names.join(proc, "buyer_id"))
     return wide.select(
         "buyer_id", "buyer_name", "process_count", "processes_reaching_tender",
