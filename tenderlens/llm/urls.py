@@ -12,8 +12,11 @@ Everything is DataFrame functions and the Spark ML tree learner.
   learn lexical features: lengths, depth, digit ratios, character entropy,
   parameter counts, and smoothed block rates of the host's last label, its last
   two labels and the first path segment.  The rates are counts over all
-  labelled URLs; the trees are fitted on at most ``SAMPLE`` of them, the lowest
-  hashes of the URL.
+  labelled URLs; an example's own copies are left out of the rates it learns from.
+* The trees are fitted on at most ``SAMPLE`` different labelled URLs, half of
+  the places for each class, the lowest hashes of the URL. An example weighs as much as
+  its copies, and each class as much as in the whole table.
+* Features are worked out once and written; training and scoring read that table.
 
 Defined results: URLs without a label of either class, or an empty table, get
 ``allow`` where no rule fits.  Repeated rows are judged each, extra columns are not
@@ -28,6 +31,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderlens.llm.storage import stored
+
 # The rules of the contract.
 RULES = {
     "com/": "allow",
@@ -132,16 +137,36 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def _with_rates(rows: DataFrame, labelled: DataFrame, overall: float) -> DataFrame:
-    """Joins the smoothed block rate of each key; Spark sizes the joins itself."""
-    for key in _KEYS:
-        rate = labelled.groupBy(key).agg(
-            ((F.sum("blocked") + F.lit(SMOOTHING * overall)) / (F.count(F.lit(1)) + F.lit(SMOOTHING))).alias(f"rate_{key}")
-        )
-        rows = rows.join(rate, key, "left").fillna({f"rate_{key}": overall})
+def _rates(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Per key: how many labelled rows have it, and how many of these are blocked; written, as each is read twice."""
+    return {
+        key: stored(labelled.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("bad")), f"url-rates-{key}")
+        for key in _KEYS
+    }
+
+
+def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], overall: float, copies: Column, own: Column) -> DataFrame:
+    """Joins the smoothed block rate of each key without ``copies`` rows of label ``own``; Spark sizes the joins itself."""
+    for key, rate in rates.items():
+        bad, n = F.coalesce("bad", F.lit(0.0)) - copies * own, F.coalesce("n", F.lit(0)) - copies
+        value = (bad + F.lit(SMOOTHING * overall)) / (n + F.lit(SMOOTHING))
+        rows = rows.join(rate, key, "left").withColumn(f"rate_{key}", value).drop("n", "bad")
     return rows
 
 
+def _examples(labelled: DataFrame, sample: int) -> DataFrame:
+    """Different labelled URLs with ``copies`` and ``weight``: at most sample / 2 of each class, by the lowest hashes."""
+    urls = labelled.groupBy("place", "place2", "blocked").agg(F.count(F.lit(1)).alias("copies"))
+    each = [urls.where(F.col("blocked") == c).orderBy("place", "place2").limit(max(1, sample // 2)) for c in (0.0, 1.0)]
+    chosen = stored(each[0].unionByName(each[1]), "url-examples")
+    whole = labelled.groupBy("blocked").agg(F.count(F.lit(1)).alias("rows"))
+    drawn = chosen.groupBy("blocked").agg(F.sum("copies").alias("drawn"))
+    share = whole.join(drawn, "blocked").select("blocked", (F.col("rows") / F.col("drawn")).alias("share"))
+    weighed = chosen.join(share, "blocked").withColumn("weight", F.col("copies") * F.col("share")).drop("share", "blocked")
+    one = labelled.join(chosen.select("place", "place2"), ["place", "place2"], "left_semi").dropDuplicates(["place", "place2"])
+    return one.join(weighed, ["place", "place2"])
+
+
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page; score is the trees' block probability."""
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"))
@@ -150,23 +175,22 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE)
     rows = rows.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules))
     decided = F.try_element_at(verdicts, F.col("rule")) if rules else F.lit(None).cast("string")
     rows = rows.withColumn("decided", F.when(F.col("rule").isNotNull(), decided))
-    featured = lexical(rows).withColumn("blocked", (F.col("decided") == "block").cast("double"))
+    hashes = {"place": F.xxhash64("url"), "place2": F.xxhash64(F.lit(1), "url")}
+    featured = lexical(rows).withColumns({"blocked": (F.col("decided") == "block").cast("double"), **hashes}).drop("url")
+    featured = stored(featured, "url-features")
     labelled = featured.where("decided is not null")
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     if blocked in (0, n):
         verdict = F.coalesce("decided", F.lit("allow"))
-        return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(0.0).alias("score"))
-    ready = VectorAssembler(inputCols=list(LEXICAL), outputCol="features").transform(
-        _with_rates(featured, labelled, blocked / n)
-    )
-    examples = (
-        ready.where("decided is not null")
-        .select("features", "blocked", F.xxhash64("url").alias("place"), "url")
-        .orderBy("place", "url").limit(sample).select("features", "blocked")
-    )
+        return featured.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(0.0).alias("score"))
+    rates, gather = _rates(labelled), VectorAssembler(inputCols=list(LEXICAL), outputCol="features")
+    learn = _with_rates(_examples(labelled, sample), rates, blocked / n, F.col("copies"), F.col("blocked"))
+    examples = stored(learn.select("blocked", "weight", *LEXICAL), "url-learn")
     trees = GBTClassifier(
-        featuresCol="features", labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11,
-    ).fit(examples)
-    scored = trees.transform(ready).withColumn("score", vector_to_array("probability")[1])
+        featuresCol="features", labelCol="blocked", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11,
+    ).fit(gather.transform(examples))
+    none = F.lit(0.0)
+    scored = trees.transform(gather.transform(_with_rates(featured, rates, blocked / n, none, none)))
+    scored = scored.withColumn("score", vector_to_array("probability")[1])
     learnt = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("decided", learnt).alias("verdict"), "score")

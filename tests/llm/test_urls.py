@@ -61,6 +61,39 @@ def test_trees_learn_the_labels(spark):
     assert rest and all((r.verdict == "block") == r.host.endswith("xyz") for r in rest)
 
 
+def test_copies_of_one_url_do_not_fill_the_sample(spark):
+    rows = [(i, "http://spam0.xyz/same") for i in range(400)]
+    rows += [(1000 + i, f"http://{'spam' if i % 2 else 'news'}{i % 9}.{'xyz' if i % 2 else 'org'}/{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    rules = {f"spam{k}.xyz/": "block" for k in range(6)} | {f"news{k}.org/": "allow" for k in range(6)}
+    got = urls.judge(df, rules=rules, sample=160).collect()
+    rest = [r for r in got if r.rule is None]
+    right = [(r.verdict == "block") == r.host.endswith("xyz") for r in rest]
+    assert len(got) == 700 and len(rest) > 80 and sum(right) > 0.95 * len(rest), (sum(right), len(rest))
+
+
+def test_examples_have_both_classes_and_their_copies(spark):
+    rows = [(p, p, float(p % 10 == 0)) for p in range(100) for _ in range(1 + 3 * (p == 10))]
+    labelled = spark.createDataFrame(rows, "place bigint, place2 bigint, blocked double")
+    got = urls._examples(labelled, 10).collect()
+    assert sum(r.blocked == 1.0 for r in got) == 5 == sum(r.blocked == 0.0 for r in got)
+    assert {r.copies for r in got if r.place == 10} == {4}
+    assert abs(sum(r.weight for r in got if r.blocked == 1.0) - 13) < 1e-9
+    assert abs(sum(r.weight for r in got if r.blocked == 0.0) - 90) < 1e-9
+
+
+def test_a_row_is_left_out_of_its_own_rates(spark):
+    rows = [(1, "a", "x", "p", 1.0, 2), (2, "a", "y", "q", 0.0, 1)]
+    df = spark.createDataFrame(rows, "id int, last string, domain string, segment string, blocked double, copies int")
+    rates = urls._rates(df)
+    got = {r.id: r for r in urls._with_rates(df, rates, 0.5, F.col("copies"), F.col("blocked")).collect()}
+    # "a" is held by two rows, one of them blocked; the example's copies go.
+    s = urls.SMOOTHING
+    assert math.isclose(got[2].rate_last, (1 + s * 0.5) / (1 + s)) and math.isclose(got[2].rate_domain, (0 + s * 0.5) / s)
+    none = {r.id: r for r in urls._with_rates(df, rates, 0.5, F.lit(0.0), F.lit(0.0)).collect()}
+    assert math.isclose(none[1].rate_last, (1 + s * 0.5) / (2 + s))
+
+
 def test_no_python_in_the_plan(spark):
     plan = urls.judge(table(spark, SF_DIR, "pages"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
