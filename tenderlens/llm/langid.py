@@ -7,8 +7,8 @@ document is the mean over all its positions, so whole texts count, whatever
 their length.
 
 Training is backpropagation through time in numpy on the driver, on windows
-from a bounded sample of labelled documents (``SAMPLE`` documents, the lowest
-hashes of the id, at most ``PER_DOC`` windows of each, spread evenly).  The sample
+from a bounded sample of labelled documents (``SAMPLE`` documents, the same
+number for each language and ``LEAST`` at least, the lowest hashes of the id, at most ``PER_DOC`` windows of each, spread evenly).  The sample
 leaves the tasks as windows, never as whole texts.  Scoring is one pass over
 the texts without a shuffle; windows of many texts advance together as rows of
 one matrix.
@@ -26,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderlens.llm import textscan
 
 WINDOW, HIDDEN = 64, 8
-SAMPLE, PER_DOC = 3000, 4
+SAMPLE, PER_DOC, LEAST = 3000, 4, 8
 BATCH, STEPS = 256, 400
 ROWS_AT_ONCE = 4096
 SLICE_BYTES = 1 << 19
@@ -205,7 +205,9 @@ def fit(values: np.ndarray, label: np.ndarray, languages: list[str], steps: int
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     members = [np.flatnonzero(label == k) for k in range(len(languages))]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(m, BATCH // len(members)) for m in members])
+        # Languages take turns, so any number of them has the same share over some steps.
+        turns = np.bincount((np.arange(BATCH) + step * BATCH) % len(members), minlength=len(members))
+        pick = np.concatenate([rng.choice(m, n) for m, n in zip(members, turns) if n])
         _, slopes = net.step(np.ascontiguousarray(values[pick].T), label[pick])
         norm = np.sqrt(sum(float((g**2).sum()) for g in slopes))
         rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
@@ -218,14 +220,23 @@ def fit(values: np.ndarray, label: np.ndarray, languages: list[str], steps: int
     return net
 
 
+def _drawn(known: DataFrame, sample: int) -> DataFrame:
+    """(_id): the lowest hashes of the different ids of each language, the same number for all of them."""
+    languages = known.select("lang").distinct().agg(F.count(F.lit(1))).first()[0]
+    quota = max(LEAST, sample // max(1, languages))
+    # The window keeps at most the quota of each language in every task before it shuffles.
+    w = Window.partitionBy("lang").orderBy("place", "_id")
+    ids = known.distinct().withColumn("place", F.xxhash64("_id")).withColumn("_n", F.row_number().over(w))
+    return ids.where(F.col("_n") <= quota).select("_id").distinct()
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Network from the documents that are not held out."""
     known = docs.select(
         F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("lang")
     ).where(F.col("_text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("_id")))
-    by_hash = known.select(F.xxhash64("_id").alias("place"), "_id", "lang")
-    chosen = by_hash.orderBy("place", "_id").limit(sample).select("_id").distinct()
-    # At most ``sample`` ids: a proven bound for the broadcast.
+    chosen = _drawn(known.select("_id", "lang"), sample)
+    # At most ``sample`` ids, or ``LEAST`` for each language: a proven bound for the broadcast.
     # One row for each id, however often it occurs; a few tasks make the windows.
     first = F.min_by(F.struct("lang", "_text"), F.struct(F.xxhash64("_text", "lang"), "lang"))
     texts = known.join(F.broadcast(chosen), "_id", "left_semi").groupBy("_id").agg(first.alias("one"))

@@ -58,3 +58,20 @@ def test_one_row_for_each_sampled_id(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda values, label, languages: seen.append((len(label), languages)))
     langid.train(docs)
     assert seen[0][1] == ["de", "en"] and seen[0][0] <= 2 * langid.PER_DOC
+
+
+def test_a_rare_language_is_drawn(spark):
+    rows = [(i, "xx" if i == 777 else "en" if i % 2 else "de") for i in range(3000)] + [(5, "en")] * 500
+    got = {r._id for r in langid._drawn(spark.createDataFrame(rows, "_id bigint, lang string"), 90).collect()}
+    assert 777 in got and len(got) == 61
+    many = [(i, f"l{i % 300}") for i in range(6000)]
+    assert len(langid._drawn(spark.createDataFrame(many, "_id bigint, lang string"), 90).collect()) == 300 * langid.LEAST
+
+
+def test_more_languages_than_a_batch_has_rows():
+    languages = [f"l{k}" for k in range(300)]
+    values = np.full((600, langid.WINDOW), langid.PAD, np.int16)
+    values[:, :8] = np.random.default_rng(0).integers(97, 123, (600, 8))
+    net = langid.fit(values, np.arange(600) % 300, languages, steps=3)
+    start = langid.Network.new(languages, np.random.default_rng(3))
+    assert (net.bias != start.bias).sum() == 300

@@ -73,3 +73,13 @@ def test_near_duplicates_by_row(spark):
     assert len(five) == 1 and five[0][0] == "None"
     assert [r for r in got if r[1] != "t5w0"] == [
         ("1", "t1w0", "a"), ("1", "t2w0", "a"), ("2", "t3w0", "b"), ("3", "t4w0", "c"), ("None", "t6w0", "h")]
+
+
+def test_near_duplicates_keep_extra_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(1, text, "mine", {"a": 1}), (2, text + " more", "b", None), (3, "other words entirely", "c", {}), (3, "other words entirely", "a", {"x": 2})],
+        "doc_id bigint, text string, _key string, extra map<string,int>")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert got.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r["_key"], r.extra) for r in got.collect()) == [(1, "mine", {"a": 1}), (3, "a", {"x": 2})]
