@@ -42,14 +42,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = key.cast(f"struct<missing:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},print:bigint>")
     found = jaccard.join_components(docs.select(key.alias("doc_id"), text.alias("text")), jaccard.Rule(words=5, num=80, den=100))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    keyed = docs.withColumn("_key", key)
-    rest = keyed.join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
+    name = "_key"
+    while name in docs.columns:  # an extra column keeps its name and values
+        name += "_"
+    rest = docs.withColumn(name, key).join(gone.withColumnRenamed("doc_id", name), name, "left_anti")
     again = found.where("set_id is not null or not doc_id.missing").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    again = again.where("n > 1").select(F.col("doc_id").alias("_key"))
+    again = again.where("n > 1").select(F.col("doc_id").alias(name))
     if again.isEmpty():
         return rest.select(*docs.columns)
-    one = rest.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return rest.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+    # Maps have no order: their text decides.
+    order = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    one = rest.join(again, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row"))
+    return rest.join(again, name, "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
