@@ -9,11 +9,23 @@ RV = f"""(SELECT x.ocid, x.r0.v AS "R0", x.r1.v AS "R1", x.r2.v AS "R2", y.r3 AS
   (SELECT ocid, arg_max({{'v': amt}}, (stage, release_id)) AS r0, arg_max({{'v': amt}}, (stage, release_seq)) AS r1,
      arg_max({{'v': amt}}, release_seq) AS r2 FROM {B} GROUP BY ocid) x
   JOIN (SELECT ocid, coalesce(sum(a.v), 0) AS r3 FROM (SELECT ocid, prj, arg_max({{'v': amt}}, release_seq) AS a FROM {B} GROUP BY 1, 2) GROUP BY 1) y ON y.ocid = x.ocid)"""
-PER = f"""(SELECT ocid, count(*) AS n, count(DISTINCT coalesce(amt::VARCHAR, 'none')) AS amounts, count(DISTINCT coalesce(prj, 'none')) AS projects,
-  count(DISTINCT tag) AS sets, count(*) FILTER (stage = 5) AS full_n, bool_and(tag = 'planning') AS only_planning FROM {B} GROUP BY ocid HAVING count(*) > 1)"""
 CT = "(SELECT c.contract_id, c.value, count(x.transaction_id) AS n, sum(x.transaction_value) AS s, max(x.transaction_value) AS m FROM contracts c LEFT JOIN transactions x ON x.contract_id = c.contract_id GROUP BY 1, 2)"
 
 
+def divergence(has: str) -> str:
+    """Counts over the processes of several releases, of which those that meet the condition have a budget object."""
+    own = f"(SELECT *, {has} AS has, CASE WHEN {has} THEN prj END AS project, CASE WHEN {has} THEN amt END AS amount FROM {B})"
+    per = f"""(SELECT ocid, count(DISTINCT coalesce(amount::VARCHAR, 'none')) AS money, count(DISTINCT coalesce(amount::VARCHAR, 'none')) FILTER (has) AS amounts,
+      count(DISTINCT coalesce(project, 'none')) FILTER (has) AS projects, count(DISTINCT tag) AS sets, count(*) FILTER (stage = 5) AS full_n, bool_and(tag = 'planning') AS only_planning,
+      max(release_seq) AS newest, max(release_seq) FILTER (has) AS newest_with FROM {own} GROUP BY ocid HAVING count(*) > 1)"""
+    return f"""SELECT count(*) AS multi_release_processes, count(*) FILTER (money > 1) AS differing_budgets, count(*) FILTER (money > 1 AND amounts <= 1) AS differing_by_missing_only,
+       count(*) FILTER (sets > 1) AS mixed_tag_sets, count(*) FILTER (full_n >= 2) AS two_or_more_full_lifecycle, count(*) FILTER (newest IS DISTINCT FROM newest_with) AS latest_lacks_budget,
+       count(*) FILTER (projects <= 1 AND amounts <= 1) AS identical_budget, count(*) FILTER (projects <= 1 AND amounts > 1) AS same_project_revised, count(*) FILTER (projects > 1) AS multi_project,
+       count(*) FILTER (projects > 1 AND only_planning) AS multi_project_planning_only,
+       (SELECT count(*) FROM (SELECT project FROM {own} WHERE has GROUP BY 1 HAVING count(DISTINCT ocid) > 1)) AS projects_spanning_processes,
+       (SELECT count(*) FROM (SELECT DISTINCT ocid, project FROM {own} WHERE has)) AS budget_lines_per_project_rule FROM {per}"""
+
+
 def rule(code: str) -> str:
     others = ", ".join(f'(count(*) FILTER ("{code}" IS DISTINCT FROM "{o}"))::BIGINT AS differs_from_{o.lower()}' for o in ("R0", "R1", "R2", "R3"))
     return f"""SELECT '{code}' AS rule, count("{code}") AS processes_with_budget, (sum("{code}") FILTER ("{code}" < 495000))::DOUBLE AS total_without_extreme, {others} FROM {RV}"""
@@ -52,13 +64,8 @@ SQL = {
     "k12_rule_comparison": " UNION ALL ".join(rule(c) for c in ("R0", "R1", "R2", "R3")),
     "k13_order_disagreement": """SELECT ocid, count(*) AS n, max(release_id) AS latest_by_text, arg_max(release_id, release_seq) AS latest_by_order FROM releases GROUP BY ocid
        HAVING count(*) > 1 AND max(release_id) <> arg_max(release_id, release_seq)""",
-    # Every release of the order tables has a budget object; an amount may be missing in it.
-    "k14_divergence": f"""SELECT count(*) AS multi_release_processes, count(*) FILTER (amounts > 1) AS differing_budgets, 0::BIGINT AS differing_by_missing_only,
-       count(*) FILTER (sets > 1) AS mixed_tag_sets, count(*) FILTER (full_n >= 2) AS two_or_more_full_lifecycle, 0::BIGINT AS latest_lacks_budget,
-       count(*) FILTER (projects <= 1 AND amounts <= 1) AS identical_budget, count(*) FILTER (projects <= 1 AND amounts > 1) AS same_project_revised, count(*) FILTER (projects > 1) AS multi_project,
-       count(*) FILTER (projects > 1 AND only_planning) AS multi_project_planning_only,
-       (SELECT count(*) FROM (SELECT prj FROM {B} GROUP BY 1 HAVING count(DISTINCT ocid) > 1)) AS projects_spanning_processes,
-       (SELECT count(*) FROM (SELECT DISTINCT ocid, prj FROM {B})) AS budget_lines_per_project_rule FROM {PER}""",
+    "k14_divergence": divergence("true"),
+    "k14c_divergence_without_budgets": divergence("release_seq % 10 = 1"),
     "k14b_award_conflicts": """SELECT ocid, count(*) AS award_releases, count(DISTINCT sig) AS signatures FROM
        (SELECT a.ocid, a.release_id, any_value(a.value)::VARCHAR || '/' || string_agg(s.supplier_id, ',' ORDER BY s.supplier_id) AS sig FROM awards a
         JOIN award_suppliers s ON s.award_id = a.award_id GROUP BY 1, 2) GROUP BY 1 HAVING award_releases > 1 AND signatures > 1""",

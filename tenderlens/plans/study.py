@@ -89,9 +89,16 @@ def _several(value, where=None) -> Column:
     return F.coalesce(F.min(h) != F.max(h), F.lit(False))
 
 
-def divergence(ws) -> DataFrame:
+def _sparsely_budgeted(ws) -> DataFrame:
+    """The releases as if nine in ten had no budget object, by their number."""
+    kept = F.col("release_seq") % 10 == 1
+    blank = {c: F.when(kept, F.col(c)) for c in ("project", "money", "amount")}
+    return _budgeted(ws).withColumns({"has": F.col("has") & kept, **blank})
+
+
+def divergence(ws, budgeted=_budgeted) -> DataFrame:
     """What changes between the releases of one process; one aggregate per process, then counts."""
-    b = _budgeted(ws)
+    b = budgeted(ws)
     has = F.col("has")
     money = F.coalesce(F.to_json("money"), F.lit(""))
     tags = F.array_join(F.array_sort("tag"), ",")
@@ -234,6 +241,7 @@ STUDIES = {
     "k12_rule_comparison": rule_comparison,
     "k13_order_disagreement": order_disagreement,
     "k14_divergence": divergence,
+    "k14c_divergence_without_budgets": lambda ws: divergence(ws, _sparsely_budgeted),
     "k14b_award_conflicts": award_conflicts,
     "k15_section_alignment": section_alignment,
     "k16_transactions_per_contract": transactions_per_contract,
