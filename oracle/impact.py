@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from oracle.labels import ALL_REASONS, ISSUE_META, METRIC_META
 from oracle.prelude import CTES, with_tables
-from tenderlens.plans.impact import ALL_REASONS, ISSUE_META, METRIC_META
 
 T_IDS = "s.buyer_id = 'B-7'"
 

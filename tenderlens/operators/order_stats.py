@@ -57,6 +57,11 @@ def _place(p: float, n: Column, exclusive: bool) -> Column:
     return F.lit(p) * (n - 1)
 
 
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values ``_v`` with the sum of their counts ``_c`` and their bucket."""
+    return rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c")).withColumn("_b", value_bucket(F.col("_v")))
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probs: dict[str, float], groups: tuple | list = (), exclusive: bool = False,
     weight: str | None = None,
@@ -67,17 +72,15 @@ def exact_percentiles(
     sample's ends are not the population's; places outside are the ends. A row
     counts as often as ``weight`` says.
 
-    Equal values are pre-aggregated before the first shuffle, so one value
-    holding a third of the rows is one row per map task. Group keys must be
-    non-null; NULL values are ignored.
+    Equal values are pre-aggregated before they are shuffled, so one value
+    holding a third of the rows is one row per map task. Without groups only the values
+    of the buckets that hold a percentile are shuffled; the input is read twice.
+    Group keys must be non-null; NULL values are ignored.
     """
     keys = _keys(groups)
     src = _with_key(df, groups).filter(F.col(value).isNotNull())
-    freq = (
-        src.groupBy(*keys, F.col(value).alias("_v"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
-    )
+    src = src.select(*keys, F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_c"))
+    freq = _counted(src, keys) if groups else src.withColumn("_b", value_bucket(F.col("_v")))
     hist = _before(freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")), keys, ["_c"])
     n = F.col("_total__c")
     names = list(probs)
@@ -90,6 +93,8 @@ def exact_percentiles(
     targets = hist.withColumn(
         "_want", F.filter(F.array(*wanted), lambda t: (t["at"] >= lo) & (t["at"] < hi))
     ).filter(F.size("_want") > 0)
+    if not groups:  # two buckets for each percentile at most
+        freq = _counted(freq.join(F.broadcast(targets.select(*keys, "_b")), [*keys, "_b"], "left_semi"), keys)
     w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = (
         freq.join(targets.select(*keys, "_b", "_before__c", "_total__c", "_want"), [*keys, "_b"])
@@ -290,14 +295,16 @@ def depth_to_share(
     values are one row, so ties cost nothing.
     """
     keys = _keys(groups)
-    freq = (
-        _with_key(df, groups)
-        .filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.sum(value).alias("_a"))
-        # Running sums grow over the positive values only; the goal is a share of everything.
-        .withColumns({"_b": -value_bucket(F.col("_v")), "_s": F.when(F.col("_v") > 0, F.col("_a")).otherwise(F.lit(0))})
-    )
+    src = _with_key(df, groups).filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """Distinct values with their count, sum and bucket; running sums grow over the positive ones only."""
+        return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_a")).withColumns(
+            {"_b": -value_bucket(F.col("_v")), "_s": F.when(F.col("_v") > 0, F.col("_a")).otherwise(F.lit(0))})
+
+    # The goal is a share of everything. Without groups the values of the buckets that hold a goal are all that is shuffled.
+    freq = counted(src) if groups else src.withColumns({
+        "_b": -value_bucket(F.col("_v")), "_c": F.lit(1), "_a": F.col("_v"), "_s": F.when(F.col("_v") > 0, F.col("_v")).otherwise(F.lit(0))})
     hist = _before(
         freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.sum("_a").alias("_a")),
         keys, ["_c", "_s", "_a"],
@@ -311,6 +318,8 @@ def depth_to_share(
     targets = hist.withColumn(
         "_want", F.filter(F.array(*goals), lambda t: (t["goal"] > before) & (t["goal"] <= upto))
     ).filter(F.size("_want") > 0).select(*keys, "_b", "_before__c", "_before__s", "_want")
+    if not groups:
+        freq = counted(src.withColumn("_b", -value_bucket(F.col("_v"))).join(F.broadcast(targets.select(*keys, "_b")), [*keys, "_b"], "left_semi"))
     w = Window.partitionBy(*keys, "_b").orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     inside = (
