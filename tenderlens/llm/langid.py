@@ -222,12 +222,14 @@ def fit(values: np.ndarray, label: np.ndarray, languages: list[str], steps: int
 
 def _drawn(known: DataFrame, sample: int) -> DataFrame:
     """(_id): the lowest hashes of the different ids of each language, the same number for all of them."""
-    languages = known.select("lang").distinct().agg(F.count(F.lit(1))).first()[0]
-    quota = max(LEAST, sample // max(1, languages))
-    # The window keeps at most the quota of each language in every task before it shuffles.
+    whole = 1 << 40
+    ids = known.distinct().withColumn("place", F.pmod(F.xxhash64("_id"), F.lit(whole)))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    quota = max(LEAST, sample // max(1, sizes.agg(F.count(F.lit(1))).first()[0]))
+    # Some eight times the quota's places are low enough to be looked at, so a window is small whatever the language's size.
+    low = ids.join(sizes, "lang").where(F.col("place") < F.least(F.lit(1.0), F.lit(8.0 * quota + 64) / F.col("n")) * whole)
     w = Window.partitionBy("lang").orderBy("place", "_id")
-    ids = known.distinct().withColumn("place", F.xxhash64("_id")).withColumn("_n", F.row_number().over(w))
-    return ids.where(F.col("_n") <= quota).select("_id").distinct()
+    return low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).select("_id").distinct()
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
