@@ -156,15 +156,15 @@ def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], overall: float, co
 
 def _examples(labelled: DataFrame, sample: int) -> DataFrame:
     """Different labelled URLs with ``copies`` and ``weight``: at most sample / 2 of each class, by the lowest hashes."""
-    urls = labelled.groupBy("place", "place2", "blocked").agg(F.count(F.lit(1)).alias("copies"))
+    # All else follows from the URL: its copies are one row in each task before they are shuffled.
+    alike = [c for c in labelled.columns if c in LEXICAL or c in _KEYS]
+    urls = labelled.groupBy("place", "place2", "blocked", *alike).agg(F.count(F.lit(1)).alias("copies"))
     each = [urls.where(F.col("blocked") == c).orderBy("place", "place2").limit(max(1, sample // 2)) for c in (0.0, 1.0)]
     chosen = stored(each[0].unionByName(each[1]), "url-examples")
     whole = labelled.groupBy("blocked").agg(F.count(F.lit(1)).alias("rows"))
     drawn = chosen.groupBy("blocked").agg(F.sum("copies").alias("drawn"))
     share = whole.join(drawn, "blocked").select("blocked", (F.col("rows") / F.col("drawn")).alias("share"))
-    weighed = chosen.join(share, "blocked").withColumn("weight", F.col("copies") * F.col("share")).drop("share", "blocked")
-    one = labelled.join(chosen.select("place", "place2"), ["place", "place2"], "left_semi").dropDuplicates(["place", "place2"])
-    return one.join(weighed, ["place", "place2"])
+    return chosen.join(share, "blocked").withColumn("weight", F.col("copies") * F.col("share")).drop("share")
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> DataFrame:
