@@ -24,9 +24,9 @@ from tenderlens.plans import (
     study,
     views,
 )
-from tenderlens.plans.workspace import VIEW_NAMES, Workspace
+from tenderlens.plans.workspace import VIEW_NAMES, DerivedWorkspace, Workspace
 from tenderlens.sources import package
-from tenderlens.sources.order_releases import ORDER_RULES, order_releases
+from tenderlens.sources.order_releases import ORDER_RULES, order_documents, order_rows
 
 Query = Callable[[Workspace], DataFrame]
 
@@ -185,7 +185,7 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace(spark, lambda: order_releases(spark, sf_dir), ORDER_RULES)
+        _WORKSPACES[key] = DerivedWorkspace(spark, lambda: order_rows(spark, sf_dir), order_documents, ORDER_RULES)
     return _WORKSPACES[key]
 
 

@@ -40,6 +40,7 @@ _CONTRACT = (
     f"milestones:array<{_MILESTONE}>,implementation:struct<"
     f"transactions:array<{_TRANSACTION}>,milestones:array<{_MILESTONE}>>>"
 )
+MILESTONES, TRANSACTIONS = f"array<{_MILESTONE}>", f"array<{_TRANSACTION}>"
 _PARTY = (
     "struct<id:string,name:string,identifier:struct<scheme:string,id:string>,"
     "roles:array<string>>"

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
+from threading import Lock, RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +58,19 @@ class Workspace:
         self.root = root or f"{shared_folder(spark)}/tenderlens/{uuid.uuid4().hex}"
         self._releases = releases
         self._built: dict[str, DataFrame] = {}
+        self._building: dict[str, RLock] = defaultdict(RLock)
+        self._lock = Lock()
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._built:
-            path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-            build().write.parquet(path)
-            self._built[name] = self.spark.read.parquet(path)
-        return self._built[name]
+        """The stored table; several threads that ask for it at once wait for one build."""
+        with self._lock:
+            building = self._building[name]
+        with building:
+            if name not in self._built:
+                path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+                build().write.parquet(path)
+                self._built[name] = self.spark.read.parquet(path)
+            return self._built[name]
 
     def tables(self, builds: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
         """Independent tables, written as concurrent Spark jobs."""
@@ -78,23 +86,14 @@ class Workspace:
         flat = package.flatten(self.releases, self.rules).tables()
         return Staging(**self.tables({n: (lambda df=df: df) for n, df in flat.items()}))
 
+    @property
+    def documents(self) -> DataFrame:
+        """The release documents for whoever reads some of their fields: the stored ones."""
+        return self.releases
+
     @cached_property
-    def core(self) -> Core:
-        stg, r = self.stg, self.rules
-        t = self.tables(
-            {
-                "budget_lines": lambda: core_plan.build_budget_lines(stg.planning),
-                "dim_buyer": lambda: core_plan.build_dim_buyer(stg.releases, r),
-                "dim_supplier": lambda: core_plan.build_dim_supplier(stg.parties, stg.award_suppliers, r),
-            }
-        )
-        snapshot = self.table(
-            "process_snapshot", lambda: core_plan.build_process_snapshot(stg, t["budget_lines"])
-        )
-        sections = self.table(
-            "process_sections", lambda: core_plan.build_process_sections(stg, snapshot, t["dim_buyer"], r)
-        )
-        return Core(stg=stg, process_snapshot=snapshot, process_sections=sections, rules=r, **t)
+    def core(self) -> StoredCore:
+        return StoredCore(self)
 
     @cached_property
     def v(self) -> Views:
@@ -108,14 +107,15 @@ class Workspace:
         """
         if pinned is not None:
             sinks.gated(pinned, lambda: sinks.file_manifest(self.spark, source), lambda: self.stg)
-        v = self.v
+        v, c = self.v, self.core
         with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(lambda name: getattr(c, name), CORE_TABLES[:3]))
             for wave in VIEW_WAVES:
                 list(pool.map(lambda name: getattr(v, name), wave))
         v.supplier_totals
         return dict(self._built)
 
-    def refresh_snapshot(self) -> Core:
+    def refresh_snapshot(self) -> StoredCore:
         """Rebuild budget lines, snapshot and sections and publish them at once; views on top are built anew when asked for.
 
         The new tables are written beside the old ones. They become current
@@ -142,6 +142,61 @@ class Workspace:
         self._built.clear()
 
 
+CORE_TABLES = ["budget_lines", "dim_buyer", "dim_supplier", "process_snapshot", "process_sections"]
+
+
+class StoredCore:
+    """``Core`` whose tables are each built and stored when they are first asked for,
+    so a query pays for those that it reads."""
+
+    def __init__(self, ws: Workspace):
+        self._ws, self.stg, self.rules = ws, ws.stg, ws.rules
+
+    @cached_property
+    def budget_lines(self) -> DataFrame:
+        return self._ws.table("budget_lines", lambda: core_plan.build_budget_lines(self.stg.planning))
+
+    @cached_property
+    def dim_buyer(self) -> DataFrame:
+        return self._ws.table("dim_buyer", lambda: core_plan.build_dim_buyer(self.stg.releases, self.rules))
+
+    @cached_property
+    def dim_supplier(self) -> DataFrame:
+        return self._ws.table(
+            "dim_supplier", lambda: core_plan.build_dim_supplier(self.stg.parties, self.stg.award_suppliers, self.rules))
+
+    @cached_property
+    def process_snapshot(self) -> DataFrame:
+        return self._ws.table("process_snapshot", lambda: core_plan.build_process_snapshot(self.stg, self.budget_lines))
+
+    @cached_property
+    def process_sections(self) -> DataFrame:
+        return self._ws.table("process_sections", lambda: core_plan.build_process_sections(
+            self.stg, self.process_snapshot, self.dim_buyer, self.rules))
+
+
+class DerivedWorkspace(Workspace):
+    """A workspace whose documents are a narrow projection of stored flat rows.
+
+    ``rows`` is written once. A staging table is flattened from the documents of these rows when it is
+    read, so only the sections and fields that a query asks for are ever made; ``releases``
+    stores the whole documents for those who read them as files.
+    """
+
+    def __init__(self, spark: SparkSession, rows: Callable[[], DataFrame], document: Callable[[DataFrame], DataFrame],
+                 rules: Rules, root: str | None = None):
+        super().__init__(spark, lambda: self.documents, rules, root)
+        self._rows, self._document = rows, document
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self._document(self.table("rows", self._rows))
+
+    @cached_property
+    def stg(self) -> Staging:
+        return package.flatten(self.documents, self.rules)
+
+
 # Views of one wave read only core tables and earlier waves.
 VIEW_WAVES = [
     [

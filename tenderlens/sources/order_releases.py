@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.model import MONEY, RELEASE_FIELDS
+from tenderlens.model import MILESTONES, MONEY, RELEASE_FIELDS, TRANSACTIONS
 from tenderlens.rules import Rules
 
 ORDER_RULES = Rules(
@@ -64,9 +64,12 @@ def _milestone(mid: Column, due: Column, status: str | None) -> Column:
     )
 
 
-def _kept(candidates: list[Column]) -> Column:
-    """Array of the non-null candidates, in order."""
-    return F.array_compact(F.array(*candidates))
+def _kept(first: tuple[Column, Column], second: tuple[Column, Column], kind: str) -> Column:
+    """Array of those of two (condition, element) pairs whose condition holds, in order.
+
+    Branches, as a filter over the array would take the whole stage out of generated code."""
+    (a, x), (b, y) = first, second
+    return F.when(a & b, F.array(x, y)).when(a, F.array(x)).when(b, F.array(y)).otherwise(F.array().cast(kind))
 
 
 _SUPPLIER_DIGITS = Decimal(10) ** 15
@@ -115,22 +118,33 @@ def line_facts(lineitem: DataFrame) -> DataFrame:
     ).withColumns(dict(zip(("lead_supplier", "lead_status"), _lead(F.col("lead_code"))))).drop("lead_code")
 
 
-def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested releases with exactly the schema of the package reader."""
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat row per order: the order, the facts of its lines and its buyer.
+
+    Buyers are joined to the narrow orders before the lines are, so the wide rows
+    are not shuffled again.
+    """
 
     def table(name):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    orders = table("orders")
     buyers = (
         table("customer")
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select("c_custkey", "c_nationkey", "n_name")
     )
-    d = (
-        orders.join(line_facts(table("lineitem")), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
-    )
+    orders = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left").drop("c_custkey")
+    return orders.join(line_facts(table("lineitem")), F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+
+
+def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested releases with exactly the schema of the package reader."""
+    return order_documents(order_rows(spark, sf_dir))
+
+
+def order_documents(d: DataFrame) -> DataFrame:
+    """The release of each order row. Every leaf has its type, so no cast of a whole
+    section stands between a document and who reads one field of it."""
     k = F.col("o_orderkey")
     key = k.cast("string")
     nil = F.lit(None).cast("string")
@@ -198,16 +212,19 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def transaction(s):
-        return F.when(
-            F.col(f"r_{s}").isNotNull(),
-            F.struct(
-                label("X", f"-{s}").alias("id"),
-                _money(F.col(f"r_{s}")).alias("value"),
-                buyer_ref.alias("payer"),
-                supplier_ref.alias("payee"),
-            ),
+        return F.col(f"r_{s}").isNotNull(), F.struct(
+            label("X", f"-{s}").alias("id"),
+            _money(F.col(f"r_{s}")).alias("value"),
+            buyer_ref.alias("payer"),
+            supplier_ref.alias("payee"),
         )
 
+    def planned(s):
+        return F.col(f"n_{s}").isNotNull(), _milestone(label("N", f"-{s}"), nil, None)
+
+    def met(s):
+        return F.col(f"a_{s}").isNotNull(), _milestone(label("M", f"-{s}"), _iso(F.col(f"a_{s}")), "met")
+
     contract = F.struct(
         label("C").alias("id"),
         label("A").alias("awardID"),
@@ -220,20 +237,10 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(every(2), _iso(F.col("first_ship"))).alias("startDate"),
             _iso(F.col("last_ship")).alias("endDate"),
         ).alias("period"),
-        _kept([F.when(F.col(f"n_{s}").isNotNull(), _milestone(label("N", f"-{s}"), nil, None)) for s in "FO"]).alias(
-            "milestones"
-        ),
+        _kept(planned("F"), planned("O"), MILESTONES).alias("milestones"),
         F.struct(
-            _kept([transaction(s) for s in "FO"]).alias("transactions"),
-            _kept(
-                [
-                    F.when(
-                        F.col(f"a_{s}").isNotNull(),
-                        _milestone(label("M", f"-{s}"), _iso(F.col(f"a_{s}")), "met"),
-                    )
-                    for s in "FO"
-                ]
-            ).alias("milestones"),
+            _kept(transaction("F"), transaction("O"), TRANSACTIONS).alias("transactions"),
+            _kept(met("F"), met("O"), MILESTONES).alias("milestones"),
         ).alias("implementation"),
     )
     tender = F.struct(
@@ -254,28 +261,23 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("written")).alias("submissionMethod"),
         nil.alias("submissionMethodDetails"),
     )
+    buyer_party = party(buyer_id, buyer_name, ["buyer", "procuringEntity"])
+    supplier_party = party(supplier_id, supplier_name, ["supplier"])
     parties = F.when(
         ~every(50),
-        _kept(
-            [
-                party(buyer_id, buyer_name, ["buyer", "procuringEntity"]),
-                F.when(has_award & ~every(11), party(supplier_id, supplier_name, ["supplier"])),
-            ]
-        ),
+        F.when(has_award & ~every(11), F.array(buyer_party, supplier_party)).otherwise(F.array(buyer_party)),
     )
+    # Each stage includes the one before it, so the tags are always the first few.
+    stages = (has_tender, has_award, has_contract, has_impl)
+    tags = [F.lit(t) for t in ("planning", "tender", "award", "contract", "implementation")]
+    tag = F.array(tags[0])
+    for n, reached in enumerate(stages, 2):
+        tag = F.when(reached, F.array(*tags[:n])).otherwise(tag)
     columns = {
         "id": key,
         "ocid": ocid,
         "date": _iso(F.to_date("o_orderdate")),
-        "tag": _kept(
-            [
-                F.lit("planning"),
-                F.when(has_tender, "tender"),
-                F.when(has_award, "award"),
-                F.when(has_contract, "contract"),
-                F.when(has_impl, "implementation"),
-            ]
-        ),
+        "tag": tag,
         "initiationType": F.lit("tender"),
         "language": F.lit("en"),
         "buyer": buyer_ref,
@@ -293,4 +295,4 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "awards": F.when(has_award, F.array(award)),
         "contracts": F.when(has_contract, F.array(contract)),
     }
-    return d.select(*[c.cast(RELEASE_FIELDS[name]).alias(name) for name, c in columns.items()])
+    return d.select(*[columns[name].alias(name) for name in RELEASE_FIELDS])
