@@ -26,3 +26,9 @@ def children(spark: SparkSession, path: str) -> list[str]:
     if not store.exists(where):
         return []
     return sorted(s.getPath().getName() for s in store.listStatus(where))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder; none if there is no such folder."""
+    store, where = _at(spark, path)
+    return store.getContentSummary(where).getLength() if store.exists(where) else 0

@@ -5,7 +5,9 @@ folder: the cost of a batch follows the batch, not the table. Readers take the
 latest row per key over the base and the batches after it. The base is cut into
 parts by key hash, each in a folder of its own; a compaction folds batches into
 the parts they touch and leaves the others where they are, so what it writes
-follows the batches as well. Order is always the integer sequence, so a late
+follows the batches as well. The stream compacts when the batches have grown to the
+size of the base, so all compactions of a load together write a few times what came in,
+however many batches it had. Order is always the integer sequence, so a late
 release never wins and a replayed batch rewrites the same folder.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +92,18 @@ class LatestTable:
             return None
         return latest_per_key(found[0].unionByName(found[1]) if len(found) == 2 else found[0], self.keys, self.order)
 
+    def due(self) -> bool:
+        """Whether the batches since the last compaction hold as much as the base: folding them
+        earlier would rewrite the same base over and over, as keys touch every part."""
+        now = self._version()
+        base = sum(files.stored_bytes(self.spark, f"{self.root}/{f}") for f in set(now.parts.values()))
+        waiting = 0
+        for folder in files.children(self.spark, f"{self.root}/batches"):
+            number = folder.removeprefix("batch_id=")
+            if number.isdigit() and int(number) > now.upto:
+                waiting += files.stored_bytes(self.spark, f"{self.root}/batches/{folder}")
+        return waiting >= base
+
     def compact(self, upto: int) -> None:
         """Fold everything up to batch ``upto`` into the parts it touches; the new
         parts become current when their row is in the log, after the write succeeded."""
@@ -137,15 +152,21 @@ def maintain(
     compact_every: int = 50,
 ) -> StreamingQuery:
     """Run one stream into several latest-per-key tables. ``tables`` maps a
-    name to (table, how to get its rows from a batch of the stream)."""
+    name to (table, how to get its rows from a batch of the stream). The tables of
+    a batch are independent jobs, a few at a time. Every ``compact_every`` batches a
+    table whose batches have grown to the size of its base is compacted."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        def keep(entry: tuple[LatestTable, Callable[[DataFrame], DataFrame]]) -> None:
+            table, rows = entry
+            table.merge(rows(batch), batch_id)
+            if batch_id and batch_id % compact_every == 0 and table.due():
+                table.compact(batch_id)
+
         batch.persist()
         try:
-            for table, rows in tables.values():
-                table.merge(rows(batch), batch_id)
-                if batch_id and batch_id % compact_every == 0:
-                    table.compact(batch_id)
+            with ThreadPoolExecutor(max_workers=4) as pool:
+                list(pool.map(keep, tables.values()))
         finally:
             batch.unpersist()
 
