@@ -180,10 +180,11 @@ class DerivedWorkspace(Workspace):
 
     ``rows`` is written once. A staging table is flattened from the documents of these rows when it is
     read, so only the sections and fields that a query asks for are ever made; ``releases``
-    stores the whole documents for those who read them as files.
+    stores the whole documents for those who read them as files. ``document`` takes the rows and, if
+    not all are wanted, the paths inside awards and contracts that are.
     """
 
-    def __init__(self, spark: SparkSession, rows: Callable[[], DataFrame], document: Callable[[DataFrame], DataFrame],
+    def __init__(self, spark: SparkSession, rows: Callable[[], DataFrame], document: Callable[..., DataFrame],
                  rules: Rules, root: str | None = None):
         super().__init__(spark, lambda: self.documents, rules, root)
         self._rows, self._document = rows, document
@@ -194,7 +195,8 @@ class DerivedWorkspace(Workspace):
 
     @cached_property
     def stg(self) -> Staging:
-        return package.flatten(self.documents, self.rules)
+        rows = self.table("rows", self._rows)
+        return package.flatten(self.documents, self.rules, lambda paths: self._document(rows, paths))
 
 
 # Views of one wave read only core tables and earlier waves.

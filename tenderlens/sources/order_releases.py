@@ -8,6 +8,7 @@ order is reduced on the map side before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,7 @@ _LINE_PRICE = "decimal(18,4)"
 
 
 def _iso(day: Column) -> Column:
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    return F.concat(day.cast("string"), F.lit("T00:00:00Z"))
 
 
 def _money(amount: Column) -> Column:
@@ -142,10 +143,28 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_documents(order_rows(spark, sf_dir))
 
 
-def order_documents(d: DataFrame) -> DataFrame:
+def order_documents(d: DataFrame, reads: Collection[str] | None = None) -> DataFrame:
     """The release of each order row. Every leaf has its type, so no cast of a whole
-    section stands between a document and who reads one field of it."""
+    section stands between a document and who reads one field of it.
+
+    ``reads`` names the paths inside ``awards`` and ``contracts`` that are read, all if not given.
+    An exploded list is made whole, with what nobody reads of its elements, so other fields are left out here.
+    """
     k = F.col("o_orderkey")
+
+    def is_read(path):
+        return reads is None or any(x == path or x.startswith(f"{path}.") or path.startswith(f"{x}.") for x in reads)
+
+    def struct(path, **made):
+        return F.struct(*[c.alias(n) for n, c in made.items() if is_read(f"{path}.{n}")])
+
+    def listed(path, first, second, whole):
+        """Both elements with all fields, or with their id where nothing else of them is read."""
+        if is_read(f"{path}.status") or is_read(f"{path}.value"):
+            return _kept(first, second, whole)
+        (a, x), (b, y) = first, second
+        return _kept((a, F.struct(x["id"].alias("id"))), (b, F.struct(y["id"].alias("id"))), "array<struct<id:string>>")
+
     key = k.cast("string")
     nil = F.lit(None).cast("string")
 
@@ -201,14 +220,15 @@ def order_documents(d: DataFrame) -> DataFrame:
             F.array(*[F.lit(x) for x in roles]).alias("roles"),
         )
 
-    award = F.struct(
-        label("A").alias("id"),
-        label("Award ").alias("title"),
-        nil.alias("description"),
-        F.when(every(7), "cancelled").when(every(7, 1), nil).otherwise("active").alias("status"),
-        _iso(F.col("first_ship")).alias("date"),
-        _money(award_value).alias("value"),
-        F.array_repeat(supplier_ref, F.when(every(25), 3).otherwise(1)).alias("suppliers"),
+    award = struct(
+        "awards",
+        id=label("A"),
+        title=label("Award "),
+        description=nil,
+        status=F.when(every(7), "cancelled").when(every(7, 1), nil).otherwise("active"),
+        date=_iso(F.col("first_ship")),
+        value=_money(award_value),
+        suppliers=F.array_repeat(supplier_ref, F.when(every(25), 3).otherwise(1)),
     )
 
     def transaction(s):
@@ -225,23 +245,25 @@ def order_documents(d: DataFrame) -> DataFrame:
     def met(s):
         return F.col(f"a_{s}").isNotNull(), _milestone(label("M", f"-{s}"), _iso(F.col(f"a_{s}")), "met")
 
-    contract = F.struct(
-        label("C").alias("id"),
-        label("A").alias("awardID"),
-        label("Contract ").alias("title"),
-        nil.alias("description"),
-        F.col("lead_status").alias("status"),
-        _money(award_value).alias("value"),
-        _iso(F.col("last_ship")).alias("dateSigned"),
-        F.struct(
+    contract = struct(
+        "contracts",
+        id=label("C"),
+        awardID=label("A"),
+        title=label("Contract "),
+        description=nil,
+        status=F.col("lead_status"),
+        value=_money(award_value),
+        dateSigned=_iso(F.col("last_ship")),
+        period=F.struct(
             F.when(every(2), _iso(F.col("first_ship"))).alias("startDate"),
             _iso(F.col("last_ship")).alias("endDate"),
-        ).alias("period"),
-        _kept(planned("F"), planned("O"), MILESTONES).alias("milestones"),
-        F.struct(
-            _kept(transaction("F"), transaction("O"), TRANSACTIONS).alias("transactions"),
-            _kept(met("F"), met("O"), MILESTONES).alias("milestones"),
-        ).alias("implementation"),
+        ),
+        milestones=listed("contracts.milestones", planned("F"), planned("O"), MILESTONES),
+        implementation=struct(
+            "contracts.implementation",
+            transactions=listed("contracts.implementation.transactions", transaction("F"), transaction("O"), TRANSACTIONS),
+            milestones=listed("contracts.implementation.milestones", met("F"), met("O"), MILESTONES),
+        ),
     )
     tender = F.struct(
         label("T").alias("id"),

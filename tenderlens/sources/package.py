@@ -7,6 +7,8 @@ needs (nested column pruning), and carries the release's ``ocid`` and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -393,16 +395,31 @@ def flatten_parties(releases: DataFrame, r: Rules) -> DataFrame:
     )
 
 
-def flatten(releases: DataFrame, r: Rules) -> Staging:
+# What each flatten of an exploded list reads inside it; has_implementation needs no more of its lists than their ids.
+READS = {
+    "awards": [f"awards.{x}" for x in ("id", "title", "description", "status", "date", "value")],
+    "award_suppliers": ["awards.id", "awards.suppliers"],
+    "contracts": [f"contracts.{x}" for x in (
+        "id", "awardID", "title", "description", "status", "value", "dateSigned", "period",
+        "implementation.transactions.id", "implementation.milestones.id")],
+    "transactions": ["contracts.id", "contracts.implementation.transactions"],
+    "milestones": ["contracts.id", "contracts.milestones", "contracts.implementation.milestones"],
+}
+
+
+def flatten(releases: DataFrame, r: Rules, narrow: Callable[[list[str]], DataFrame] | None = None) -> Staging:
+    """The nine tables. Where the documents are made when they are read, ``narrow`` gives them
+    with only these paths of their awards and contracts."""
+    of = {name: narrow(paths) if narrow else releases for name, paths in READS.items()}
     return Staging(
         releases=flatten_releases(releases),
         planning=flatten_planning(releases, r),
         tender=flatten_tender(releases, r),
-        awards=flatten_awards(releases, r),
-        award_suppliers=flatten_award_suppliers(releases),
-        contracts=flatten_contracts(releases, r),
-        transactions=flatten_transactions(releases),
-        milestones=flatten_milestones(releases, r),
+        awards=flatten_awards(of["awards"], r),
+        award_suppliers=flatten_award_suppliers(of["award_suppliers"]),
+        contracts=flatten_contracts(of["contracts"], r),
+        transactions=flatten_transactions(of["transactions"]),
+        milestones=flatten_milestones(of["milestones"], r),
         parties=flatten_parties(releases, r),
     )
 

@@ -1,5 +1,8 @@
 """Steps that must cost what a query reads: tables on demand, documents."""
 
+from datetime import date, datetime
+from decimal import Decimal
+
 from tenderlens import catalog
 from tenderlens.model import RELEASE_SCHEMA
 from tenderlens.plans.workspace import DerivedWorkspace
@@ -38,3 +41,43 @@ def test_derived_staging_equals_the_stored_documents(spark):
     for name, table in ws.stg.tables().items():
         assert table.exceptAll(again[name]).count() == again[name].exceptAll(table).count() == 0, name
     ws.close()
+
+
+_ROWS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+    "o_orderpriority string, c_nationkey int, n_name string, n_lines bigint, line_value decimal(28,4), first_ship date, "
+    "last_ship date, r_F decimal(28,4), a_F date, n_F int, r_O decimal(28,4), a_O date, n_O int, lead_supplier bigint, "
+    "lead_status string"
+)
+
+
+def _order_rows(spark):
+    day, at, x = date(1995, 3, 4), datetime(1995, 1, 2, 3, 4), Decimal("12.5000")
+    lines = [  # n_lines, line_value, first_ship, last_ship, r_F, a_F, n_F, r_O, a_O, n_O, lead_supplier, lead_status
+        (2, x, day, day, x, day, 1, x, day, 1, 11, "F"),
+        (1, x, None, day, None, None, None, x, None, None, 20, "O"),
+        (1, None, day, None, None, day, None, None, None, 1, None, None),
+        (None,) * 12,
+    ]
+    heads = [(s, p, n) for s in ("F", "O", None) for p, n in ((None, None), (100.25, 7))]
+    both = [(k, 3 * k % 25, s, p, at if p else None, "1-URGENT", n, n and "PERU", *line)
+            for k, ((s, p, n), line) in enumerate(((h, line) for h in heads for line in lines), 24)]
+    return spark.createDataFrame([*both, *both[:3]], _ROWS)
+
+
+def test_lists_are_made_with_the_fields_that_are_read(spark):
+    """All fields of a contract were made for a table that reads its transactions only."""
+    rows = _order_rows(spark)
+    ws = DerivedWorkspace(spark, lambda: rows, order_documents, ORDER_RULES)
+    whole = package.flatten(order_documents(rows), ORDER_RULES).tables()
+    for name in package.READS:
+        table = getattr(ws.stg, name)
+        assert table.schema == whole[name].schema, name
+        found = sorted(map(str, table.collect()))
+        assert found and found == sorted(map(str, whole[name].collect())), name
+    unread = {"transactions": ("last_ship", "a_F", "n_F", "line_value"), "milestones": ("last_ship", "line_value"),
+              "contracts": ("n_F",), "award_suppliers": ("first_ship", "line_value"), "awards": ("lead_supplier",)}
+    for name, fields in unread.items():
+        scan = getattr(ws.stg, name)._jdf.queryExecution().executedPlan().toString().split("FileScan")[1].split("DataFilters")[0]
+        assert not [f for f in fields if f in scan], name
+    ws.close()
