@@ -74,18 +74,46 @@ def _kept(first: tuple[Column, Column], second: tuple[Column, Column], kind: str
 
 
 _SUPPLIER_DIGITS = Decimal(10) ** 15
+# A sum is kept as billions and the rest; a lead code of a price and a supplier below these fits a long.
+_BILLION, _LEAD_UNITS = 10**9, 9 * 10**9
 
 
-def _lead_code() -> Column:
-    """(price, supplier, status) packed into one ordered number. A fixed-width
-    buffer keeps the aggregate hash-based; a struct would force it to sort."""
-    cents = (F.col("price") * 10000).cast("decimal(18,0)")
-    rest = F.col("l_suppkey") * 1000 + F.ascii("l_linestatus")
-    return (cents * F.lit(_SUPPLIER_DIGITS).cast("decimal(16,0)") + rest.cast("decimal(18,0)")).cast("decimal(38,0)")
+def _units(price: Column) -> Column:
+    """The price as decimal(18,4), in whole ten-thousandths. A double near a whole number of them
+    becomes that number in the decimal cast too; the others are cast."""
+    scaled = price * 10000
+    near = (F.abs(price) < 1e10) & (F.abs(scaled - F.rint(scaled)) < 0.25)
+    return F.when(near, F.rint(scaled).cast("bigint")).otherwise((price.cast(_LINE_PRICE) * 10000).cast("bigint"))
+
+
+def _total(name: str, where: Column | None = None) -> list[Column]:
+    """An exact sum as two longs, which a hash aggregate updates in place; decimals are objects made anew for every line."""
+    return [F.sum(part if where is None else F.when(where, part)).alias(f"{name}_{kind}")
+            for kind, part in (("billions", F.expr(f"units div {_BILLION}")), ("rest", F.col("units") % _BILLION))]
 
 
-def _lead(code: Column) -> tuple[Column, Column]:
-    rest = (code % F.lit(_SUPPLIER_DIGITS).cast("decimal(16,0)")).cast("bigint")
+def _summed(name: str) -> Column:
+    billions, rest = (F.col(f"{name}_{kind}").cast("decimal(19,0)") for kind in ("billions", "rest"))
+    units = (billions * F.lit(_BILLION).cast("decimal(10,0)") + rest).cast("decimal(33,0)")
+    return (units * F.lit(Decimal("0.0001"))).cast("decimal(28,4)")
+
+
+def _lead_codes() -> list[Column]:
+    """(price, supplier, status) packed into one ordered number: a long where it fits, else a decimal.
+    A fixed-width buffer keeps the aggregate hash-based; a struct would force it to sort."""
+    rest = F.col("l_suppkey") * 1000 + F.ascii("l_linestatus")
+    units = F.col("units")
+    fits = units.between(0, _LEAD_UNITS - 1) & rest.between(0, _BILLION - 1)
+    wide = units.cast("decimal(18,0)") * F.lit(_SUPPLIER_DIGITS).cast("decimal(16,0)") + rest.cast("decimal(18,0)")
+    return [F.max(F.when(fits, units * _BILLION + rest)).alias("lead_code"),
+            F.max(F.when(~fits, wide.cast("decimal(38,0)"))).alias("wide_lead_code")]
+
+
+def _lead() -> tuple[Column, Column]:
+    code, wide, digits = F.col("lead_code"), F.col("wide_lead_code"), F.lit(_SUPPLIER_DIGITS).cast("decimal(16,0)")
+    units = F.expr(f"lead_code div {_BILLION}").cast("decimal(18,0)")
+    whole = F.greatest(wide, (units * digits + (code % _BILLION).cast("decimal(18,0)")).cast("decimal(38,0)"))
+    rest = F.when(wide.isNull(), code % _BILLION).otherwise((whole % digits).cast("bigint"))
     return F.floor(rest / 1000).cast("bigint"), F.chr(rest % 1000)
 
 
@@ -93,7 +121,7 @@ def line_facts(lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(
         "l_orderkey",
         "l_suppkey",
-        F.col("l_extendedprice").cast(_LINE_PRICE).alias("price"),
+        _units(F.col("l_extendedprice")).alias("units"),
         "l_returnflag",
         "l_linestatus",
         F.to_date("l_shipdate").alias("ship"),
@@ -102,21 +130,23 @@ def line_facts(lineitem: DataFrame) -> DataFrame:
     def part(flag, status):
         return (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
 
-    per_part = []
+    per_part, facts = [], ["l_orderkey", "n_lines", _summed("line_value").alias("line_value"), "first_ship", "last_ship"]
     for s in ("F", "O"):
         per_part += [
-            F.sum(F.when(part("R", s), F.col("price"))).alias(f"r_{s}"),
+            *_total(f"r_{s}", part("R", s)),
             F.min(F.when(part("A", s), F.col("ship"))).alias(f"a_{s}"),
             F.max(F.when(part("N", s), F.lit(1))).alias(f"n_{s}"),
         ]
+        facts += [_summed(f"r_{s}").alias(f"r_{s}"), f"a_{s}", f"n_{s}"]
+    lead_supplier, lead_status = _lead()
     return li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum("price").alias("line_value"),
+        *_total("line_value"),
         F.min("ship").alias("first_ship"),
         F.max("ship").alias("last_ship"),
-        F.max(_lead_code()).alias("lead_code"),
+        *_lead_codes(),
         *per_part,
-    ).withColumns(dict(zip(("lead_supplier", "lead_status"), _lead(F.col("lead_code"))))).drop("lead_code")
+    ).select(*facts, lead_supplier.alias("lead_supplier"), lead_status.alias("lead_status"))
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
