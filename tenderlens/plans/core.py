@@ -150,8 +150,20 @@ def without_test(df: DataFrame, dim_buyer: DataFrame, r: Rules) -> DataFrame:
     return df.filter(F.col("buyer_id") != r.test_buyer_id).join(buyers, "buyer_id")
 
 
-def build_process_sections(stg: Staging, snapshot: DataFrame, dim_buyer: DataFrame, r: Rules) -> DataFrame:
+def implementation_counts(stg: Staging) -> DataFrame:
+    """Transactions and implementation milestones per contract, from their tables."""
+    tx = stg.transactions.groupBy("contract_id").agg(F.count(F.lit(1)).alias("transaction_count"))
+    ms = stg.milestones.filter("milestone_source = 'IMPLEMENTATION'").groupBy("contract_id").agg(
+        F.count(F.lit(1)).alias("implementation_milestone_count")
+    )
+    return tx.join(ms, "contract_id", "full")
+
+
+def build_process_sections(
+    stg: Staging, snapshot: DataFrame, dim_buyer: DataFrame, r: Rules, implementation: DataFrame | None = None
+) -> DataFrame:
     """One wide row per process of a real buyer: the fields of its latest tender, award and contract.
+    ``implementation`` has the ``implementation_counts`` if they need not be counted from the staging tables.
 
     The joins that every view of these populations needs are made once, on keys
     that are unique on the staging side; the views are filters over this table.
@@ -172,10 +184,7 @@ def build_process_sections(stg: Staging, snapshot: DataFrame, dim_buyer: DataFra
         "ocid", "contract_id", F.col("release_id").alias("contract_release_id"), F.col("status").alias("contract_status"),
         "has_implementation", "date_signed", "date_signed_flag",
     )
-    tx = stg.transactions.groupBy("contract_id").agg(F.count(F.lit(1)).alias("transaction_count"))
-    ms = stg.milestones.filter("milestone_source = 'IMPLEMENTATION'").groupBy("contract_id").agg(
-        F.count(F.lit(1)).alias("implementation_milestone_count")
-    )
+    counts = implementation if implementation is not None else implementation_counts(stg)
     base = without_test(
         snapshot.select("ocid", "buyer_id", "release_count", "tags_observed", "tender_release_id", "tender_id",
                         "award_release_id", "award_id", "contract_id"), dim_buyer, r)
@@ -184,7 +193,6 @@ def build_process_sections(stg: Staging, snapshot: DataFrame, dim_buyer: DataFra
         .join(award, ["ocid", "award_id"], "left")
         .join(per_release, ["ocid", "award_release_id"], "left")
         .join(contract, ["ocid", "contract_id"], "left")
-        .join(tx, "contract_id", "left")
-        .join(ms, "contract_id", "left")
+        .join(counts, "contract_id", "left")
         .fillna({"transaction_count": 0, "implementation_milestone_count": 0})
     )

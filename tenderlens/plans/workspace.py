@@ -91,6 +91,11 @@ class Workspace:
         """The release documents for whoever reads some of their fields: the stored ones."""
         return self.releases
 
+    @property
+    def implementation(self) -> DataFrame:
+        """Transactions and implementation milestones per contract."""
+        return core_plan.implementation_counts(self.stg)
+
     @cached_property
     def core(self) -> StoredCore:
         return StoredCore(self)
@@ -172,7 +177,7 @@ class StoredCore:
     @cached_property
     def process_sections(self) -> DataFrame:
         return self._ws.table("process_sections", lambda: core_plan.build_process_sections(
-            self.stg, self.process_snapshot, self.dim_buyer, self.rules))
+            self.stg, self.process_snapshot, self.dim_buyer, self.rules, self._ws.implementation))
 
 
 class DerivedWorkspace(Workspace):
@@ -181,7 +186,7 @@ class DerivedWorkspace(Workspace):
     ``rows`` is written once. A staging table is flattened from the documents of these rows when it is
     read, so only the sections and fields that a query asks for are ever made; ``releases``
     stores the whole documents for those who read them as files. ``document`` takes the rows and, if
-    not all are wanted, the paths inside awards and contracts that are.
+    only one section is wanted, the paths inside it that are.
     """
 
     def __init__(self, spark: SparkSession, rows: Callable[[], DataFrame], document: Callable[..., DataFrame],
@@ -198,6 +203,11 @@ class DerivedWorkspace(Workspace):
         rows = self.table("rows", self._rows)
         return package.flatten(self.documents, self.rules, lambda paths: self._document(rows, paths))
 
+    @property
+    def implementation(self) -> DataFrame:
+        """Counted in the lists: neither transactions nor milestones are made."""
+        return package.implementation_counts(self._document(self.table("rows", self._rows), package.COUNTED))
+
 
 # Views of one wave read only core tables and earlier waves.
 VIEW_WAVES = [

@@ -177,10 +177,12 @@ def order_documents(d: DataFrame, reads: Collection[str] | None = None) -> DataF
     """The release of each order row. Every leaf has its type, so no cast of a whole
     section stands between a document and who reads one field of it.
 
-    ``reads`` names the paths inside ``awards`` and ``contracts`` that are read, all if not given.
-    An exploded list is made whole, with what nobody reads of its elements, so other fields are left out here.
+    ``reads`` names the paths inside one of tender, ``awards`` and ``contracts`` that are read. Then only the
+    releases that have this section come, with the section itself, or the one element of its list, in its place:
+    a list or a condition around it would be made whole for whoever reads one field.
     """
     k = F.col("o_orderkey")
+    section = next(iter(reads)).split(".")[0] if reads else None
 
     def is_read(path):
         return reads is None or any(x == path or x.startswith(f"{path}.") or path.startswith(f"{x}.") for x in reads)
@@ -347,4 +349,7 @@ def order_documents(d: DataFrame, reads: Collection[str] | None = None) -> DataF
         "awards": F.when(has_award, F.array(award)),
         "contracts": F.when(has_contract, F.array(contract)),
     }
+    if section:
+        held, element = {"tender": (has_tender, tender), "awards": (has_award, award), "contracts": (has_contract, contract)}[section]
+        d, columns[section] = d.filter(held), element
     return d.select(*[columns[name].alias(name) for name in RELEASE_FIELDS])

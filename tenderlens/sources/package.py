@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderlens.functions import flags
 from tenderlens.model import (
@@ -237,8 +238,14 @@ def flatten_tender(releases: DataFrame, r: Rules) -> DataFrame:
     )
 
 
+def _elements(releases: DataFrame, field: str, name: str) -> DataFrame:
+    """One row per element of the list; documents made for one element have it in the list's place."""
+    listed = isinstance(releases.schema[field].dataType, T.ArrayType)
+    return releases.select(*_lineage(), (F.explode(field) if listed else F.col(field)).alias(name))
+
+
 def _awards(releases: DataFrame) -> DataFrame:
-    return releases.select(*_lineage(), F.explode("awards").alias("a"))
+    return _elements(releases, "awards", "a")
 
 
 def flatten_awards(releases: DataFrame, r: Rules) -> DataFrame:
@@ -283,7 +290,7 @@ def flatten_award_suppliers(releases: DataFrame) -> DataFrame:
 
 
 def _contracts(releases: DataFrame) -> DataFrame:
-    return releases.select(*_lineage(), F.explode("contracts").alias("c"))
+    return _elements(releases, "contracts", "c")
 
 
 def flatten_contracts(releases: DataFrame, r: Rules) -> DataFrame:
@@ -373,6 +380,19 @@ def flatten_milestones(releases: DataFrame, r: Rules) -> DataFrame:
     )
 
 
+def implementation_counts(releases: DataFrame) -> DataFrame:
+    """(contract_id, transaction_count, implementation_milestone_count) of all contracts that report any:
+    the rows of ``flatten_transactions`` and of the implementation in ``flatten_milestones``, never made."""
+    def n(items):
+        return F.size(F.coalesce(F.col(f"c.implementation.{items}"), F.array())).cast("bigint")
+
+    counted = _contracts(releases).select(
+        F.col("c.id").alias("contract_id"), n("transactions").alias("transaction_count"),
+        n("milestones").alias("implementation_milestone_count"))
+    return counted.filter(F.col("transaction_count") + F.col("implementation_milestone_count") > 0).groupBy("contract_id").agg(
+        *[F.sum(c).alias(c) for c in counted.columns[1:]])
+
+
 def flatten_parties(releases: DataFrame, r: Rules) -> DataFrame:
     p = releases.select(*_lineage(), F.explode("parties").alias("p"))
     no_roles = F.array().cast("array<string>")
@@ -407,14 +427,17 @@ READS = {
 }
 
 
+COUNTED = ["contracts.id", "contracts.implementation.transactions.id", "contracts.implementation.milestones.id"]
+
+
 def flatten(releases: DataFrame, r: Rules, narrow: Callable[[list[str]], DataFrame] | None = None) -> Staging:
-    """The nine tables. Where the documents are made when they are read, ``narrow`` gives them
-    with only these paths of their awards and contracts."""
-    of = {name: narrow(paths) if narrow else releases for name, paths in READS.items()}
+    """The nine tables. Where the documents are made when they are read, ``narrow`` gives those that have a
+    tender, an award or a contract, with only these paths and without a list around it."""
+    of = {name: narrow(paths) if narrow else releases for name, paths in {"tender": ["tender"], **READS}.items()}
     return Staging(
         releases=flatten_releases(releases),
         planning=flatten_planning(releases, r),
-        tender=flatten_tender(releases, r),
+        tender=flatten_tender(of["tender"], r),
         awards=flatten_awards(of["awards"], r),
         award_suppliers=flatten_award_suppliers(of["award_suppliers"]),
         contracts=flatten_contracts(of["contracts"], r),

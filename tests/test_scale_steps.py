@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from tenderlens import catalog
 from tenderlens.model import RELEASE_SCHEMA
+from tenderlens.plans import core
 from tenderlens.plans.workspace import DerivedWorkspace
 from tenderlens.sources import package
 from tenderlens.sources.order_releases import ORDER_RULES, order_documents, order_rows
@@ -81,3 +82,29 @@ def test_lists_are_made_with_the_fields_that_are_read(spark):
         scan = getattr(ws.stg, name)._jdf.queryExecution().executedPlan().toString().split("FileScan")[1].split("DataFilters")[0]
         assert not [f for f in fields if f in scan], name
     ws.close()
+
+
+def test_a_field_of_a_section_is_made_without_the_section(spark):
+    """A list or a condition around a tender, an award or a contract had the whole of it made for one field."""
+    rows = _order_rows(spark)
+    ws = DerivedWorkspace(spark, lambda: rows, order_documents, ORDER_RULES)
+    whole = package.flatten(order_documents(rows), ORDER_RULES)
+    for name, field in {"tender": "status", "awards": "status", "contracts": "status"}.items():
+        table = getattr(ws.stg, name).select("ocid", field)
+        plan = table._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "explode" not in plan and "struct" not in plan and "title" not in plan, name
+        assert sorted(map(str, table.collect())) == sorted(map(str, getattr(whole, name).select("ocid", field).collect()))
+    ws.close()
+
+
+def test_implementation_is_counted_without_its_rows(spark):
+    """Transactions and milestones were exploded with all fields to be counted per contract."""
+    rows = _order_rows(spark)
+    ws = DerivedWorkspace(spark, lambda: rows, order_documents, ORDER_RULES)
+    none = {"transaction_count": 0, "implementation_milestone_count": 0}
+    plain = core.implementation_counts(package.flatten(order_documents(rows), ORDER_RULES)).fillna(none)
+    columns = ["contract_id", *none]
+    found = sorted(map(str, ws.implementation.select(columns).collect()))
+    assert found and found == sorted(map(str, plain.select(columns).collect()))
+    assert "explode" not in ws.implementation._jdf.queryExecution().optimizedPlan().toString().lower()
+    ws.close()
