@@ -27,19 +27,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node with an edge; ``edges`` has long columns a and b; root is the smallest node."""
     pairs = edges.where("a is not null and b is not null and a <> b")
     now = stored(
-        pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"
+        pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0", edges.count()
     )
     before, step = None, 0
     while (found := _print_of(now)) != before:
         before, step = found, step + 1
+        n = found[0]  # no round has more edges than the one before; a node is at the end of one
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = stored(
-            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-large"
+            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-large", 2 * n
         )
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-small")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-small", 2 * n)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
+        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}", 2 * n)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

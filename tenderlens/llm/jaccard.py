@@ -230,7 +230,7 @@ def join_components(docs: DataFrame, rule: Rule = Rule(), block_bytes: int = blo
         "sid", "first", F.coalesce("root", "sid").alias("root")
     )
     # Written first: the join with it then reads two plain shuffles and can split a large component.
-    lowest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-lowest")
+    lowest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-lowest", rows.count())
     named = rooted.join(lowest, "root").select("sid", "component_id")
     return rows.join(named, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tenderlens.plans.workspace import shared_folder
 
 
+FILE_ROWS = 1 << 18
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,12 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back.
 
     This cuts the lineage: a lost executor repeats tasks of one step only.
+    ``rows`` says how many short rows come at most. Few go to as many files as they fill, not
+    to one for each shuffle partition: on a local disk Hadoop starts a process for every file.
     """
     spark = df.sparkSession
+    if rows is not None:
+        files = max(1, -(-rows // FILE_ROWS))
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
-from tenderlens.llm import graph, jaccard
+from tenderlens.llm import graph, jaccard, storage
 from tenderlens.llm.storage import table
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -93,3 +93,23 @@ def test_components(spark):
         assert all(got.get(i, i) == want[i] for i in range(n))
     path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint")
     assert {r.root for r in graph.components(path).collect()} == {0}
+
+
+def test_small_components_go_to_few_files(spark, monkeypatch, tmp_path):
+    """A file costs a process on a local disk: not one for each shuffle partition of a small table."""
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    ways = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in ways}
+    try:
+        for k, v in ways.items():
+            spark.conf.set(k, v)
+        path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint")
+        assert {r.root for r in graph.components(path).collect()} == {0}
+        monkeypatch.setattr(storage, "FILE_ROWS", 50)
+        graph.components(path, "more")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = lambda name: [len(list(d.glob("*.parquet"))) for d in tmp_path.glob(f"llm/{name}-*")]
+    assert set(files("components")) == {1}
+    assert 1 < max(files("more")) <= 8
