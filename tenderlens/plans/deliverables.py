@@ -37,10 +37,11 @@ def _json_lines(ws) -> str:
 
 
 def packages(ws) -> str:
-    """The release documents as package files, written once; published on the day of the newest release."""
+    """The release documents as package files, written once; published on the day of the newest release.
+    They are made from the workspace's rows on the way to the files, not stored before."""
     path = f"{ws.root}/packages"
     if "package_path" not in ws.__dict__:
-        package.write_packages(ws.releases, path, ws.releases.agg(F.max("date")).scalar())
+        package.write_packages(ws.rows, path, ws.documents.agg(F.max("date")).scalar(), document=ws.document)
         ws.package_path = path
     return path
 

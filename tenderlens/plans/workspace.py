@@ -11,14 +11,14 @@ from __future__ import annotations
 import time
 import uuid
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 from threading import Lock, RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderlens.model import Core, Staging
+from tenderlens.model import RELEASE_FIELDS, Core, Staging
 from tenderlens.operators.concentration import holder_totals
 from tenderlens.plans import core as core_plan
 from tenderlens.plans import impact, register, views
@@ -91,6 +91,15 @@ class Workspace:
         """The release documents for whoever reads some of their fields: the stored ones."""
         return self.releases
 
+    @property
+    def rows(self) -> DataFrame:
+        """What ``document`` makes release documents from: here they are the stored documents themselves."""
+        return self.releases
+
+    def document(self, rows: DataFrame, keep: Collection[str] = ()) -> DataFrame:
+        """The documents of some of ``rows``, with the columns in ``keep`` beside them."""
+        return rows.select(*RELEASE_FIELDS, *keep)
+
     @property
     def implementation(self) -> DataFrame:
         """Transactions and implementation milestones per contract."""
@@ -183,10 +192,10 @@ class StoredCore:
 class DerivedWorkspace(Workspace):
     """A workspace whose documents are a narrow projection of stored flat rows.
 
-    ``rows`` is written once. A staging table is flattened from the documents of these rows when it is
+    ``rows`` are written once. A staging table is flattened from the documents of these rows when it is
     read, so only the sections and fields that a query asks for are ever made; ``releases``
     stores the whole documents for those who read them as files. ``document`` takes the rows and, if
-    only one section is wanted, the paths inside it that are.
+    only one section is wanted, the paths inside it that are; ``keep`` names columns of the rows to leave beside the document.
     """
 
     def __init__(self, spark: SparkSession, rows: Callable[[], DataFrame], document: Callable[..., DataFrame],
@@ -194,19 +203,26 @@ class DerivedWorkspace(Workspace):
         super().__init__(spark, lambda: self.documents, rules, root)
         self._rows, self._document = rows, document
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.table("rows", self._rows)
+
+    def document(self, rows: DataFrame, keep: Collection[str] = ()) -> DataFrame:
+        return self._document(rows, keep=keep)
+
     @cached_property
     def documents(self) -> DataFrame:
-        return self._document(self.table("rows", self._rows))
+        return self._document(self.rows)
 
     @cached_property
     def stg(self) -> Staging:
-        rows = self.table("rows", self._rows)
+        rows = self.rows
         return package.flatten(self.documents, self.rules, lambda paths: self._document(rows, paths))
 
     @property
     def implementation(self) -> DataFrame:
         """Counted in the lists: neither transactions nor milestones are made."""
-        return package.implementation_counts(self._document(self.table("rows", self._rows), package.COUNTED))
+        return package.implementation_counts(self._document(self.rows, package.COUNTED))
 
 
 # Views of one wave read only core tables and earlier waves.

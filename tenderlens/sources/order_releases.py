@@ -173,13 +173,13 @@ def order_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_documents(order_rows(spark, sf_dir))
 
 
-def order_documents(d: DataFrame, reads: Collection[str] | None = None) -> DataFrame:
+def order_documents(d: DataFrame, reads: Collection[str] | None = None, keep: Collection[str] = ()) -> DataFrame:
     """The release of each order row. Every leaf has its type, so no cast of a whole
     section stands between a document and who reads one field of it.
 
     ``reads`` names the paths inside one of tender, ``awards`` and ``contracts`` that are read. Then only the
     releases that have this section come, with the section itself, or the one element of its list, in its place:
-    a list or a condition around it would be made whole for whoever reads one field.
+    a list or a condition around it would be made whole for whoever reads one field. The columns in ``keep`` stay beside it.
     """
     k = F.col("o_orderkey")
     section = next(iter(reads)).split(".")[0] if reads else None
@@ -352,4 +352,4 @@ def order_documents(d: DataFrame, reads: Collection[str] | None = None) -> DataF
     if section:
         held, element = {"tender": (has_tender, tender), "awards": (has_award, award), "contracts": (has_contract, contract)}[section]
         d, columns[section] = d.filter(held), element
-    return d.select(*[columns[name].alias(name) for name in RELEASE_FIELDS])
+    return d.select(*[columns[name].alias(name) for name in RELEASE_FIELDS], *keep)

@@ -39,7 +39,43 @@ def read_package(spark: SparkSession, path: str, partitions: int | None = None)
     return releases.repartition(partitions) if partitions else releases.repartition("id")
 
 
-def _packages_in_pieces(spark: SparkSession, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+# Files up to this size are parsed whole by one task; a gzip file holds some twenty times its size.
+WHOLE_BYTES, WHOLE_GZIP_BYTES = 16 << 20, 1 << 20
+
+
+def _is_gzip(file: Column | str) -> Column:
+    return F.endswith(file, F.lit(".gz"))
+
+
+def _is_small(spark: SparkSession) -> Column:
+    """Whether one task reads the file anyway and can hold its text and its releases."""
+    share = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    most = F.when(_is_gzip("_metadata.file_name"), min(WHOLE_GZIP_BYTES, share)).otherwise(min(WHOLE_BYTES, share))
+    return F.col("_metadata.file_size") <= most
+
+
+def _not_whole() -> Column:
+    return F.raise_error(F.lit("a package was not read whole, or its brackets do not close"))
+
+
+def _whole_packages(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """The releases of the small packages, each parsed where it is read: no text is moved."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
+    files = files.filter(_is_small(spark)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    files = files.withColumn("outside", F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), '"[^"]*"', ""))
+
+    def but(mark: str) -> Column:
+        return F.length(F.replace("outside", F.lit(mark), F.lit("")))
+
+    read = _is_gzip("file") | (F.octet_length("value") == F.col("bytes"))  # a gzip file has a checksum of its own
+    whole = read & (but("{") == but("}")) & (but("[") == but("]"))
+    text = F.when(whole, F.ltrim("value", F.lit("\ufeff"))).otherwise(_not_whole())
+    parsed = F.from_json(text, f"struct<releases:array<{RELEASE_STRUCT}>>", {"mode": "FAILFAST"})
+    return files.select(parsed.alias("package")).select(F.inline("package.releases"))
+
+
+def _packages_in_pieces(spark: SparkSession, path: str, pattern: str, of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The text of every object in an array of a package's root, and one row per file with what was read of it.
 
     A file is read by many tasks as the pieces between opening braces. Whether a
@@ -47,7 +83,7 @@ def _packages_in_pieces(spark: SparkSession, path: str, pattern: str) -> tuple[D
     deep it is nested; both are sums over the file, taken inside the blocks first.
     """
     plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters every quote is a real one
-    pieces = splits.records(spark, path, pattern, "{").withColumn("plain", plain).withColumn("cut", F.split("plain", '"', -1))
+    pieces = splits.records(spark, path, pattern, "{", of).withColumn("plain", plain).withColumn("cut", F.split("plain", '"', -1))
 
     def count(text: Column, mark: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
@@ -114,30 +150,42 @@ def read_package_split(spark: SparkSession, path: str, pattern: str = "*") -> Da
     """The releases of JSON package objects, one per file, a large package read by many tasks.
 
     Equal to ``read_package`` whatever the layout of the text and wherever Spark cuts the
-    files. It stops if a byte of a file was not read or its brackets do not close.
+    files. It stops if a byte of a file was not read or its brackets do not close. Only the text of a
+    package that is larger than a task reads and holds is moved. Files may be in gzip (each is one task then).
     """
-    objects, read = _packages_in_pieces(spark, path, pattern)
-    broken = read.filter(~F.col("read").isin(F.col("bytes"), F.col("bytes") - 3) | (F.col("braces") != 0) | (F.col("brackets") != 0))
-    whole = F.when(broken.agg(F.count(F.lit(1))).scalar() == 0, F.lit(True)).otherwise(
-        F.raise_error(F.lit("a package was not read whole, or its brackets do not close")).cast("boolean"))
+    objects, read = _packages_in_pieces(spark, path, pattern, ~_is_small(spark))
+    unread = ~F.col("read").isin(F.col("bytes"), F.col("bytes") - 3) & ~_is_gzip("file")
+    broken = read.filter(unread | (F.col("braces") != 0) | (F.col("brackets") != 0))
+    whole = F.when(broken.agg(F.count(F.lit(1))).scalar() == 0, F.lit(True)).otherwise(_not_whole().cast("boolean"))
     text = objects.filter(F.col("array") == "releases").filter(whole)
-    return text.select(F.from_json("text", RELEASE_STRUCT, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    split = text.select(F.from_json("text", RELEASE_STRUCT, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return _whole_packages(spark, path, pattern).unionByName(split)
 
 
-def write_packages(releases: DataFrame, path: str, published: str | Column, per_package: int = 2000) -> None:
-    """Release packages of about ``per_package`` releases each, one JSON file per package."""
-    files = max(1, -(-releases.count() // per_package))
-    numbered = releases.select(
-        F.pmod(F.xxhash64("id"), F.lit(files)).alias("file"), F.struct(*RELEASE_FIELDS).alias("release")
-    )
-    packed = numbered.groupBy("file").agg(F.collect_list("release").alias("releases")).select(
-        "file",
-        F.to_json(F.struct(
-            F.lit("urn:package").alias("uri"), F.lit("1.1").alias("version"),
-            (F.lit(published) if isinstance(published, str) else published).alias("publishedDate"), "releases",
-        )).alias("value"),
-    )
-    packed.write.partitionBy("file").text(path)
+def write_packages(rows: DataFrame, path: str, published: str | Column, per_package: int = 2000,
+                   document: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> None:
+    """Release packages of about ``per_package`` releases each, one gzip JSON file per package.
+
+    ``rows`` are the releases, or what ``document`` makes them from; it keeps the named columns beside them.
+    The rows are dealt to the packages and sorted, so the documents and their text are made on the way
+    to the file, one at a time, and are neither shuffled nor gathered in a list.
+    """
+    files = max(1, -(-rows.count() // per_package))
+    of_package = Window.partitionBy("file").orderBy("file")
+    dealt = rows.select("*", F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file")).select(
+        "*", F.row_number().over(of_package).alias("nth"), F.lead("file").over(of_package).isNull().alias("is_last"))
+    # In the order of the files, as the writer asks for it, else it would sort the texts.
+    dealt = dealt.sortWithinPartitions("file", "nth")
+    releases = document(dealt, ["file", "nth", "is_last"]) if document else dealt
+    head = F.to_json(F.struct(
+        F.lit("urn:package").alias("uri"), F.lit("1.1").alias("version"),
+        (F.lit(published) if isinstance(published, str) else published).alias("publishedDate"),
+    ))
+    opening = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"releases":['))
+    text = F.concat(
+        F.when(F.col("nth") == 1, opening).otherwise(","), F.to_json(F.struct(*RELEASE_FIELDS)),
+        F.when(F.col("is_last"), "]}").otherwise(""))
+    releases.select("file", text.alias("value")).write.partitionBy("file").option("compression", "gzip").text(path)
 
 
 def published_dates(spark: SparkSession, path: str) -> DataFrame:

@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def records(spark: SparkSession, path: str, pattern: str = "*", separator: str = "\n") -> DataFrame:
+def records(spark: SparkSession, path: str, pattern: str = "*", separator: str = "\n", of: Column | None = None) -> DataFrame:
     """(file, bytes, block, nth, value, length): what lies between separators.
 
     ``block`` is where the share of the file begins that a task reads, ``nth`` ascends
-    with the place in it, ``length`` counts bytes, ``bytes`` are the file's.
+    with the place in it, ``length`` counts bytes, ``bytes`` are the file's. ``of`` is a condition on
+    ``_metadata``: files that do not meet it are not opened.
     """
     text = spark.read.option("lineSep", separator).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-    return text.select(
+    return (text if of is None else text.filter(of)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"),
         "value", F.octet_length("value").cast("bigint").alias("length"),

@@ -1,5 +1,7 @@
 """Steps that must cost what a query reads: tables on demand, documents."""
 
+import gzip
+import json
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -97,6 +99,23 @@ def test_a_field_of_a_section_is_made_without_the_section(spark):
     ws.close()
 
 
+def test_packages_are_made_of_rows_on_the_way_to_the_file(spark, tmp_path):
+    """Whole documents were stored, shuffled and gathered in lists to be written as text."""
+    rows = _order_rows(spark)
+    ws = DerivedWorkspace(spark, lambda: rows, order_documents, ORDER_RULES)
+    path = str(tmp_path / "packages")
+    package.write_packages(ws.rows, path, "2001-02-03T00:00:00Z", per_package=6, document=ws.document)
+    assert set(ws._built) == {"rows"}
+    texts = [json.loads(gzip.open(f).read()) for f in (tmp_path / "packages").rglob("part-*")]
+    assert len(texts) > 1 and {x["publishedDate"] for x in texts} == {"2001-02-03T00:00:00Z"}
+    whole = sorted(map(str, ws.releases.collect()))
+    for read in (package.read_package, package.read_package_split):
+        assert sorted(map(str, read(spark, path).drop("file").collect())) == whole
+    package.write_packages(ws.releases, f"{path}2", "2001-02-03T00:00:00Z", per_package=6)
+    assert sorted(map(str, package.read_package_split(spark, f"{path}2").collect())) == whole
+    ws.close()
+
+
 def test_implementation_is_counted_without_its_rows(spark):
     """Transactions and milestones were exploded with all fields to be counted per contract."""
     rows = _order_rows(spark)

@@ -1,5 +1,6 @@
 """Packages and manifests read in shares: nothing is lost at the cuts, wherever they lie."""
 
+import gzip
 import hashlib
 import json
 import random
@@ -46,6 +47,55 @@ def test_one_package_by_many_tasks(spark, tmp_path, small_shares, indent, share)
         assert spark.read.option("lineSep", "{").text(str(source)).rdd.getNumPartitions() > 20
 
 
+@pytest.mark.parametrize("share", [300, 10_000_000])
+def test_gzip_packages_are_read(spark, tmp_path, small_shares, share):
+    """The bytes of a gzip file were taken for the bytes of its text; one above the share goes by pieces, in one task."""
+    rnd = random.Random(share)
+    for f, n in enumerate((1, 60, 0)):
+        text = json.dumps({"uri": "u{", "releases": [release(f * 100 + i, rnd) for i in range(n)], "others": [{"id": "neither"}]}, ensure_ascii=False)
+        (tmp_path / f"p{f}.json.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "plain.json").write_text("\ufeff" + json.dumps({"releases": [release(900, rnd)], "uri": "u"}))
+    small_shares(share)
+    got, whole = (read(spark, str(tmp_path)).collect() for read in (package.read_package_split, package.read_package))
+    assert sorted(map(str, got)) == sorted(map(str, whole)) and len(got) == 62
+
+
+def test_text_of_a_package_that_a_task_holds_is_not_moved(spark, tmp_path, small_shares):
+    """All text was shuffled twice, in pieces; now only that of the files which are cut."""
+    for f in range(3):
+        (tmp_path / f"p{f}.json").write_text(json.dumps({"uri": "u", "releases": [release(f * 100 + i, random.Random(f)) for i in range(5 + 40 * f)]}))
+    sizes = sorted(p.stat().st_size for p in tmp_path.iterdir())
+    for share, cut in ((10_000_000, 0), (sizes[0], 2)):
+        small_shares(share)
+        df = package.read_package_split(spark, str(tmp_path))
+        assert len(df.collect()) == 5 + 45 + 85
+        assert _files_with_moved_text(df) == cut
+
+
+def _files_with_moved_text(df) -> int:
+    """Files read by the scans below an exchange of the plan that ran, not counting subqueries."""
+    def scans(node, moved):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return scans(node.executedPlan(), moved)
+        if "QueryStage" in name:
+            return scans(node.plan(), moved)
+        if name.startswith("Scan text"):
+            return [int(node.metrics().apply("numFiles").value())] if moved else []
+        moved = moved or "Exchange" in name
+        return [n for i in range(node.children().size()) for n in scans(node.children().apply(i), moved)]
+
+    return max(scans(df._jdf.queryExecution().executedPlan(), False), default=0)
+
+
+@pytest.mark.parametrize("cut, message", [("text", "brackets do not close"), ("file", "Unexpected end of input stream")])
+def test_a_gzip_package_cut_short_stops(spark, tmp_path, cut, message):
+    text = json.dumps({"uri": "u", "releases": [release(i, random.Random(i)) for i in range(30)]}).encode()
+    (tmp_path / "p.json.gz").write_bytes(gzip.compress(text[:-2]) if cut == "text" else gzip.compress(text)[:-20])
+    with pytest.raises(Exception, match=message):
+        package.read_package_split(spark, str(tmp_path)).collect()
+
+
 def test_a_package_cut_short_stops(spark, tmp_path):
     text = json.dumps({"uri": "u", "releases": [release(i, random.Random(i)) for i in range(3)]})
     (tmp_path / "p.json").write_text(text[:-2])
