@@ -71,8 +71,9 @@ def equal_to_package_date(ws) -> DataFrame:
     published = package.published_dates(ws.spark, packages(ws)).select(F.to_date(F.substring("published", 1, 10)).alias("published"))
     days = ws.stg.releases.select(flags.utc_day(F.col("release_date")).alias("day"))
     n = days.agg(rows()).scalar()
-    return published.join(days, F.col("day") == F.col("published"), "left").groupBy("published").agg(
-        F.count("day").alias("on_that_day")).withColumn("releases", n)
+    per_day = days.groupBy("day").agg(rows().alias("on_day"))
+    return published.join(per_day, F.col("day") == F.col("published"), "left").groupBy("published").agg(
+        F.coalesce(F.sum("on_day"), F.lit(0)).alias("on_that_day")).withColumn("releases", n)
 
 
 def strict_dates(ws) -> DataFrame:

@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from tenderlens import catalog
 from tenderlens.model import RELEASE_SCHEMA
-from tenderlens.plans import core
+from tenderlens.plans import core, deliverables
 from tenderlens.plans.workspace import DerivedWorkspace
 from tenderlens.sources import package
 from tenderlens.sources.order_releases import ORDER_RULES, order_documents, order_rows
@@ -116,6 +116,20 @@ def test_packages_are_made_of_rows_on_the_way_to_the_file(spark, tmp_path):
     ws.close()
 
 
+def test_scan_and_package_day_store_no_documents(spark):
+    """Both queries stored all documents as a table and as plain text; the days of all releases were shuffled to one day's join."""
+    rows = _order_rows(spark)
+    ws = DerivedWorkspace(spark, lambda: rows, order_documents, ORDER_RULES)
+    dates = [r["date"] for r in order_documents(rows).select("date").collect()]
+    day = deliverables.equal_to_package_date(ws)
+    assert tuple(day.first()) == (date(1995, 1, 2), dates.count("1995-01-02T00:00:00Z"), len(dates))
+    join = day._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert join.count("Aggregate") == 2  # the distinct dates of the packages, and releases per day
+    assert sum(r["releases"] for r in deliverables.package_scan(ws).collect()) == len(dates)
+    assert set(ws._built) == {"rows"}
+    ws.close()
+
+
 def test_implementation_is_counted_without_its_rows(spark):
     """Transactions and milestones were exploded with all fields to be counted per contract."""
     rows = _order_rows(spark)
