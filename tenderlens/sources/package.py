@@ -172,7 +172,10 @@ def write_packages(rows: DataFrame, path: str, published: str | Column, per_pack
     """
     files = max(1, -(-rows.count() // per_package))
     of_package = Window.partitionBy("file").orderBy("file")
-    dealt = rows.select("*", F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file")).select(
+    dealt = rows.select("*", F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"))
+    if (tasks := files // 50) > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(tasks, "file")  # so that a task sorts in memory, however many rows there are
+    dealt = dealt.select(
         "*", F.row_number().over(of_package).alias("nth"), F.lead("file").over(of_package).isNull().alias("is_last"))
     # In the order of the files, as the writer asks for it, else it would sort the texts.
     dealt = dealt.sortWithinPartitions("file", "nth")

@@ -116,6 +116,22 @@ def test_packages_are_made_of_rows_on_the_way_to_the_file(spark, tmp_path):
     ws.close()
 
 
+def test_many_packages_are_sorted_by_more_tasks_than_the_session_names(spark, tmp_path):
+    """All rows of the packages went through the session's shuffle partitions, whatever their number."""
+    rows, path = _order_rows(spark), str(tmp_path / "packages")
+    for _ in range(2):
+        rows = rows.unionAll(rows)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        package.write_packages(rows, path, "2001", per_package=1, document=lambda d, keep: order_documents(d, keep=keep))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len({f.name.split("-")[1] for f in (tmp_path / "packages").rglob("part-*")}) == 2
+    found = package.read_package_split(spark, path).collect()
+    assert sorted(map(str, found)) == sorted(map(str, order_documents(rows).collect()))
+
+
 def test_scan_and_package_day_store_no_documents(spark):
     """Both queries stored all documents as a table and as plain text; the days of all releases were shuffled to one day's join."""
     rows = _order_rows(spark)
